@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hayrick.llm import mixing, sharding
+from hayrick.llm import bpe, mixing, records, sharding
 from hayrick.session import table
 
 
@@ -14,14 +15,30 @@ def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = records.write_records(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    read = records.read_records(manifest)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids_le32").alias("ids_crc32"))
+
+
 def op6_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks).withColumn("n_bytes", F.coalesce(F.element_at("ends", -1), F.lit(0)).cast("bigint"))
+    decoded = bpe.decode(encoded, ranks, keep=("doc_id", "ids", "n_bytes"))
+    listed = F.encode(F.concat_ws(",", F.col("ids").cast("array<string>")), "UTF-8")
+    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_bytes")
+
+
 def queries() -> dict:
     return {
         "op2_kd_sharding": op2_kd_sharding,
+        "op4_binary_records": op4_binary_records,
         "op6_pareto_mixing": op6_pareto_mixing,
+        "op7_byte_bpe": op7_byte_bpe,
     }
 
 
