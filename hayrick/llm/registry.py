@@ -27,7 +27,7 @@ def op6_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks).withColumn("n_bytes", F.coalesce(F.element_at("ends", -1), F.lit(0)).cast("bigint"))
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks).withColumn("n_bytes", F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("bigint"))
     decoded = bpe.decode(encoded, ranks, keep=("doc_id", "ids", "n_bytes"))
     listed = F.encode(F.concat_ws(",", F.col("ids").cast("array<string>")), "UTF-8")
     return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_bytes")
