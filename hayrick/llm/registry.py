@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hayrick.llm import bpe, mixing, records, sharding
+from hayrick.llm import bpe, mixing, quality_rules, records, sharding
 from hayrick.session import table
 
 
@@ -21,6 +21,11 @@ def op4_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids_le32").alias("ids_crc32"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -37,10 +42,11 @@ def queries() -> dict:
     return {
         "op2_kd_sharding": op2_kd_sharding,
         "op4_binary_records": op4_binary_records,
+        "op5_quality_rules": op5_quality_rules,
         "op6_pareto_mixing": op6_pareto_mixing,
         "op7_byte_bpe": op7_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_quality_rules": quality_rules.oracle_sql()}
