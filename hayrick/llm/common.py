@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,3 +48,10 @@ def water_fill(df: DataFrame, total: Column, cap: Column, weight: Column, by: li
         .withColumn(out, F.coalesce(F.least(F.col("_cap"), F.col("_level") * F.col("_weight")), F.lit(0.0)))
         .drop("_total", "_cap", "_weight", "_ratio", "_level")
     )
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows that the driver knows, as a DataFrame made inside the JVM (no Python worker is started)."""
+    fields = T._parse_datatype_string(schema)
+    text = json.dumps([dict(zip(fields.names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), T.ArrayType(fields))))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hayrick.llm.common import small_table
 from hayrick.session import materialize
 
 BIN_BITS = 11
@@ -49,7 +50,7 @@ def _points(docs: DataFrame, id_col: str, text_col: str, dims: list[str], shards
     return materialize(
         rows.join(groups.withColumn("pieces", pieces), ["text_key", "text_crc32"])
         .withColumn("tie", F.shiftrightunsigned(F.xxhash64("text_key", "text_crc32", piece), 64 - _TIE_BITS))
-        .select("doc_id", "size", "text_crc32", *[f"x{i}" for i in range(len(dims))], F.log(F.col("size").cast("double")).alias(f"x{len(dims)}"), "tie"),
+        .select("doc_id", "size", "text_crc32", *[f"x{i}" for i in range(len(dims))], F.log(F.col("size").cast("double")).alias(f"x{len(dims)}"), "tie", F.lit(0).alias("node")),
         "shard-points",
     )
 
@@ -57,7 +58,7 @@ def _points(docs: DataFrame, id_col: str, text_col: str, dims: list[str], shards
 def _keyed(rows: DataFrame, cuts: list[dict]) -> DataFrame:
     """Each row of a node that is to be cut, with its position along the node's widest dimension."""
     spark = rows.sparkSession
-    table = spark.createDataFrame([(c["node"], c["dim"], c["lo"], c["hi"]) for c in cuts], "node int, dim int, lo double, hi double")
+    table = small_table(spark, [(c["node"], c["dim"], c["lo"], c["hi"]) for c in cuts], "node int, dim int, lo double, hi double")
     n = sum(1 for c in rows.columns if c[0] == "x" and c[1:].isdigit())
     value = F.element_at(F.array(*[F.col(f"x{i}") for i in range(n)]), F.col("dim") + 1)
     part = F.when(F.col("hi") > F.col("lo"), (value - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.lit(0.0))
@@ -73,7 +74,7 @@ def _find_cuts(rows: DataFrame, cuts: list[dict]) -> None:
         c |= {"base": 0, "below": 0, "shift": _VALUE_BITS + _TIE_BITS - BIN_BITS, "goal": c["bytes"] * c["left"] / c["shards"]}
     open_cuts = list(cuts)
     while open_cuts:
-        view = spark.createDataFrame([(c["node"], c["base"], c["shift"]) for c in open_cuts], "node int, base bigint, shift int")
+        view = small_table(spark, [(c["node"], c["base"], c["shift"]) for c in open_cuts], "node int, base bigint, shift int")
         offset = F.expr("shiftright(key - base, shift)")
         sums = keyed.join(F.broadcast(view), "node").withColumn("bin", offset).where((F.col("bin") >= 0) & (F.col("bin") < BINS)).groupBy("node", "bin").agg(F.sum("size").alias("bytes")).collect()
         by_node: dict[int, list] = {}
@@ -109,7 +110,7 @@ def kd_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col
     Defined cases: null text counts as empty (size 1, crc 0); null metadata sorts first; repeated rows are dealt
     like any others; an empty table gives an empty result. Slots number a shard's rows without gaps from 0.
     """
-    rows = _points(docs, id_col, text_col, list(dims), shards).withColumn("node", F.lit(0))
+    rows = _points(docs, id_col, text_col, list(dims), shards)
     n = len(dims) + 1
     plan, span = {0: (0, shards)}, None
     while todo := {k: v for k, v in plan.items() if v[1] > 1}:
@@ -132,11 +133,11 @@ def kd_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col
             moved.append((c["node"], c["at"], left, right))
         for k in todo.keys() - {c["node"] for c in cuts}:
             new[k] = (plan[k][0], 1)
-        table = rows.sparkSession.createDataFrame(moved, "node int, at bigint, l int, r int")
+        table = small_table(rows.sparkSession, moved, "node int, at bigint, l int, r int")
         side = F.when(F.col("at").isNull(), F.col("node")).when(F.col("key") < F.col("at"), F.col("l")).otherwise(F.col("r"))
         rows = _keyed(rows, cuts).join(F.broadcast(table), "node", "left").withColumn("node", side.cast("int")).drop("at", "l", "r", "key")
         plan = new
-    leaves = rows.sparkSession.createDataFrame([(k, v[0]) for k, v in plan.items()], "node int, shard int")
+    leaves = small_table(rows.sparkSession, [(k, v[0]) for k, v in plan.items()], "node int, shard int")
     return with_slots(rows.join(F.broadcast(leaves), "node").select("doc_id", "size", "text_crc32", "shard"))
 
 
