@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hayrick.llm import bpe, mixing, quality_rules, records, sharding
+from hayrick.llm import bpe, mixing, neardup, quality_rules, records, sharding
 from hayrick.session import table
 
 
@@ -15,6 +15,11 @@ def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op4_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = records.write_records(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     read = records.read_records(manifest)
@@ -41,6 +46,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op2_kd_sharding": op2_kd_sharding,
+        "op3_odd_sketch_dedup": op3_odd_sketch_dedup,
         "op4_binary_records": op4_binary_records,
         "op5_quality_rules": op5_quality_rules,
         "op6_pareto_mixing": op6_pareto_mixing,
