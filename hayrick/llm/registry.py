@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hayrick.llm import bpe, mixing, neardup, quality_rules, records, sharding
+from hayrick.llm import bpe, mixing, neardup, pii, quality_rules, records, sharding
 from hayrick.session import table
 
 
@@ -43,6 +43,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_bytes")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents"))
+    counts = [F.size(k).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(F.encode(pii.listed(pii.KINDS), "UTF-8"), 256).alias("base_sha256"), pii.listed((*pii.KINDS, "secret")).alias("spans"))
+
+
 def queries() -> dict:
     return {
         "op2_kd_sharding": op2_kd_sharding,
@@ -51,6 +57,7 @@ def queries() -> dict:
         "op5_quality_rules": op5_quality_rules,
         "op6_pareto_mixing": op6_pareto_mixing,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_pii": op8_pii,
     }
 
 
