@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hayrick.llm import bpe, mixing, neardup, pii, quality_rules, records, sharding
+from hayrick.llm import bpe, langid, mixing, neardup, pii, quality_model, quality_rules, records, sharding
+from hayrick.llm.textarrays import held_out
 from hayrick.session import table
 
 
@@ -49,6 +50,21 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(F.encode(pii.listed(pii.KINDS), "UTF-8"), 256).alias("base_sha256"), pii.listed((*pii.KINDS, "secret")).alias("spans"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~held_out(F.col("doc_id"))))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")) & (F.col("quality") == 1))
+    model = quality_model.train(docs.where(~held_out(F.col("doc_id"))), labels.select("doc_id"))
+    scored = quality_model.score(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
     return {
         "op2_kd_sharding": op2_kd_sharding,
@@ -58,6 +74,8 @@ def queries() -> dict:
         "op6_pareto_mixing": op6_pareto_mixing,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_pii": op8_pii,
+        "op9_language_id": op9_language_id,
+        "op10_quality_model": op10_quality_model,
     }
 
 
