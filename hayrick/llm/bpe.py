@@ -120,14 +120,19 @@ class RankMerger:
 
 
 @lru_cache(2)
-def _codec(path: str) -> tuple[PieceCache, np.ndarray, np.ndarray]:
-    """A worker's cache for this rank file, and its tokens' bytes and ends. The file has a fixed size of ~1 MB."""
+def _encoder(path: str) -> PieceCache:
+    """A worker's piece cache for this rank file. The file has a fixed size of about 1 MB."""
+    return PieceCache(RankMerger(read_ranks(path)))
+
+
+@lru_cache(2)
+def _tokens(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all tokens, one after another, and where each ends (from 0 on)."""
     ranks = read_ranks(path)
     tokens = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         tokens[rank] = token
-    ends = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
-    return PieceCache(RankMerger(ranks)), np.frombuffer(b"".join(tokens), np.uint8), ends
+    return np.frombuffer(b"".join(tokens), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
 
 
 def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.ListArray:
@@ -144,7 +149,7 @@ def encode(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: st
     schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", ends array<int>" * offsets
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, _, token_ends = _codec(rank_file)
+        cache, (_, token_ends) = _encoder(rank_file), _tokens(rank_file)
         width = np.diff(token_ends)
         for batch in it:
             texts = batch.column(1).to_pylist()
@@ -160,31 +165,33 @@ def encode(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: st
     return source.mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, rank_file: str, keep: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:
+def _bytes_of(lists: pa.ListArray, data: np.ndarray, token_ends: np.ndarray) -> pa.Array:
+    ids = lists.flatten().to_numpy(zero_copy_only=False)
+    counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    size = token_ends[ids + 1] - token_ends[ids]
+    flat = data[runs(token_ends[ids], size)]
+    upto = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
+    valid = pa.py_buffer(np.packbits(lists.is_valid().to_numpy(zero_copy_only=False), bitorder="little").tobytes()) if lists.null_count else None
+    return pa.Array.from_buffers(pa.binary(), len(lists), [valid, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(flat)])
+
+
+def decode(encoded: DataFrame, rank_file: str, keep: tuple[str, ...] = ("doc_id", "ids"), most: int = 1 << 19) -> DataFrame:
     """Adds ``decoded`` (binary): the bytes of the token ids. A null list decodes to null; an unknown id fails."""
     source = encoded.select(*keep)
     at = keep.index("ids")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, data, token_ends = _codec(rank_file)
+        data, token_ends = _tokens(rank_file)
         for batch in it:
-            column = batch.column(at)
-            column = column if isinstance(column, pa.ListArray) else pa.concat_arrays([column])
-            ids = column.flatten().to_numpy(zero_copy_only=False)
-            counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            size = (token_ends[ids + 1] - token_ends[ids]) if len(ids) else np.zeros(0, np.int64)
-            upto = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
-            flat = np.empty(int(upto[-1]), np.uint8)
-            step = 1 << 18
-            done = 0
-            for a in range(0, len(ids), step):
-                part = data[runs(token_ends[ids[a : a + step]], size[a : a + step])]
-                flat[done : done + len(part)] = part
-                done += len(part)
-            mask = column.is_null()
-            valid = None if not column.null_count else pa.py_buffer(np.packbits(~mask.to_numpy(zero_copy_only=False), bitorder="little").tobytes())
-            decoded = pa.Array.from_buffers(pa.binary(), len(column), [valid, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(flat)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*keep, "decoded"])
+            counts = batch.column(at).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            upto = np.cumsum(counts, dtype=np.int64)
+            low = 0
+            while low < batch.num_rows:  # rows with about `most` tokens at a time
+                done = upto[low - 1] if low else 0
+                high = max(low + 1, int(np.searchsorted(upto, done + most, "right")))
+                part = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([*part.columns, _bytes_of(part.column(at), data, token_ends)], names=[*keep, "decoded"])
+                low = high
 
     return source.mapInArrow(run, f"{fields}, decoded binary")

@@ -289,7 +289,7 @@ def encode_texts(texts: list[str | None], cache: PieceCache) -> tuple[np.ndarray
     return ids, np.diff(upto[edge]), start, counts
 
 
-def batches(texts: list[str | None], most_chars: int = 1 << 20):
+def batches(texts: list[str | None], most_chars: int = 1 << 18):
     """Slices [a, b) of a list of texts, each of about ``most_chars`` characters (a longer text stands alone)."""
     a = total = 0
     for i, t in enumerate(texts):
