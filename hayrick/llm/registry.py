@@ -6,11 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hayrick.llm import bpe, langid, mixing, neardup, pii, quality_model, quality_rules, records, sharding
+from hayrick.llm import bpe, langid, mixing, neardup, pii, quality_model, quality_rules, records, sharding, topk
 from hayrick.llm.textarrays import held_out
 from hayrick.session import table
 
 
+def op1_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
 def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.kd_shards(table(spark, sf_dir, "documents"), 8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -67,6 +71,7 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_cover_tree_topk": op1_cover_tree_topk,
         "op2_kd_sharding": op2_kd_sharding,
         "op3_odd_sketch_dedup": op3_odd_sketch_dedup,
         "op4_binary_records": op4_binary_records,
@@ -80,4 +85,14 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality_rules.oracle_sql()}
+    return {"op1_cover_tree_topk": TOP_K_SQL, "op5_quality_rules": quality_rules.oracle_sql()}
+
+
+TOP_K_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
