@@ -5,8 +5,10 @@ pairs, and all samples are folded into an odd sketch: a bitmap in which each sam
 population count of two sketches' XOR estimates how many samples differ. Pairs that the sketches cannot rule out
 are confirmed on the full sets.
 
-Buckets are never expanded into all their pairs. Each bucket first tests its members against its smallest one; only
-members that are still in another component than that hub are then tested against the rest of the bucket, in tiles.
+Buckets are never expanded into all their pairs. Each bucket tests its members against its smallest one, the hub.
+Members that stay outside the hub's component meet the other documents of that hub in tiles of bounded size, where
+the triangle inequality of the Jaccard distance, set sizes and sketches rule most pairs out and the rest are decided
+on the sets; only links leave a tile.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +29,8 @@ from hayrick.session import materialize
 BANDS, ROWS = 32, 5
 SAMPLES = BANDS * ROWS
 BITS = 512
-#: Rows of a bucket that one task compares with its outsiders.
-TILE = 512
+#: Outsiders and other documents of a hub that meet in one tile.
+OUTSIDERS, TILE = 256, 512
 
 _RNG = np.random.default_rng(41)
 _MARK = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -176,16 +179,68 @@ def _features(reps: DataFrame, side: str) -> DataFrame:
     return reps.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("odd").alias(f"o{side}"))
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity. Sets are built for the documents in pairs alone."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    rows = _text_rows(docs, id_col, text_col).join(wanted, "doc_id", "left_semi")
-    sets = materialize(full_sets(rows, words), "dup-sets")
+def _sets_of(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, shingles) of the wanted documents. Their number grows with the corpus: this is a shuffled join."""
+    rows = _text_rows(docs, id_col, text_col).hint("merge").join(wanted, "doc_id", "left_semi")
+    return materialize(full_sets(rows, words), "dup-sets")
+
+
+def _scored(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Adds to the pairs (a, b) the Jaccard distance of their full sets and whether they are linked."""
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(b, "b").join(a, "a").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    linked = 100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))
-    return materialize(both.where(linked).select("a", "b"), "dup-links")
+    both = both.withColumn("whole", F.size("sa") + F.size("sb") - F.col("common"))
+    linked = (100 * F.col("common") >= percent * F.col("whole")).alias("linked")
+    return both.select(*pairs.columns, (1 - F.col("common") / F.col("whole")).alias("dist"), linked)
+
+
+def _meet(percent: int):
+    """Links between outsiders and other documents of one tile."""
+    limit, reach = sketch_limit(percent / 100), 1 - percent / 100 + 1e-9
+
+    def run(outs: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(outs) and len(others):
+            sets = others["shingles"].to_numpy()
+            size = np.array([len(x) for x in sets])
+            odd = np.stack(others["odd"].to_numpy()).view(np.uint64)
+            ids, comp, dist = (others[c].to_numpy() for c in ("doc_id", "c", "dist"))
+            for o in outs.itertuples():
+                own = np.asarray(o.shingles)
+                near = (comp != o.c) & (dist >= o.dist - reach) & (100 * np.minimum(size, len(own)) >= percent * np.maximum(size, len(own)))
+                near &= np.bitwise_count(odd ^ np.asarray(o.odd).view(np.uint64)).sum(1) <= limit
+                at = np.flatnonzero(near)
+                for k in range(0, len(at), 64):
+                    part = at[k : k + 64]
+                    flat = np.concatenate([sets[i] for i in part])
+                    hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                    common = np.add.reduceat(hit, np.cumsum(size[part]) - size[part], dtype=np.int64)
+                    good = 100 * common >= percent * (size[part] + len(own) - common)
+                    found += [(o.doc_id, int(i)) for i in ids[part[good]]]
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return lambda outs, others: run(outs, others)
+
+
+def _outsider_links(stars: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of documents outside their hub's component with other documents of that hub."""
+    own = labels.select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
+    hub = labels.select(F.col("node").alias("hub"), F.col("component").alias("hc"))
+    named = stars.where("crowd").select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), "dist").join(own, "doc_id", "left").join(hub, "hub", "left")
+    named = named.select("hub", "doc_id", "dist", F.coalesce("c", "doc_id").alias("c"), (F.coalesce("c", "doc_id") != F.coalesce("hc", "hub")).alias("out"))
+    named = materialize(named, "dup-named")
+    counts = named.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("out").cast("int")).alias("outs")).where("outs > 0 and n > 1")
+    counts = counts.select("hub", F.ceil(F.col("outs") / OUTSIDERS).cast("int").alias("ot"), F.ceil(F.col("n") / TILE).cast("int").alias("mt"))
+    rows = named.join(counts, "hub").join(reps.select("doc_id", "odd"), "doc_id").join(sets.select("doc_id", F.sort_array("shingles").alias("shingles")), "doc_id")
+    place = lambda seed, tiles: F.pmod(F.xxhash64("doc_id", F.lit(seed)), tiles).cast("int")
+    every = lambda tiles: F.explode(F.sequence(F.lit(0), F.col(tiles) - 1))
+    fields = ["doc_id", "c", "dist", "odd", "shingles"]
+    outs = rows.where("out").withColumn("o", place(1, F.col("ot"))).withColumn("m", every("mt")).select("hub", "o", "m", *fields)
+    others = rows.withColumn("m", place(2, F.col("mt"))).withColumn("o", every("ot")).select("hub", "o", "m", *fields)
+    outs = outs.toDF(*outs.columns)  # new column identities: both sides stem from one table
+    keys = ["hub", "o", "m"]
+    return materialize(outs.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInPandas(_meet(percent), "a bigint, b bigint"), "dup-more")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,32 +262,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     rows = reps.select("doc_id", F.explode("bands").alias("key"))
     buckets = rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = materialize(rows.join(buckets, "key"), "dup-buckets")
-
-    stars = shared.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    stars = stars.join(_features(reps, "b"), "b").join(_features(reps, "a"), "a").where(_plausible(percent)).select("a", "b")
-    links = _confirm(docs, materialize(stars, "dup-stars"), words, percent, id_col, text_col)
-    edges = materialize(links.unionByName(copies), "dup-edges")
+    stars = rows.join(buckets, "key").where("doc_id <> hub").groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b")).agg(F.max(F.col("members") > 2).alias("crowd"))
+    # A pair that shares only buckets of two is settled by its sketches where they suffice.
+    stars = stars.join(_features(reps, "b"), "b").join(_features(reps, "a"), "a").where(F.col("crowd") | _plausible(percent)).select("a", "b", "crowd")
+    stars = materialize(stars, "dup-stars")
+    wanted = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
+    sets = _sets_of(docs, wanted, words, id_col, text_col)
+    stars = materialize(_scored(stars, sets, percent), "dup-scored")
+    edges = stars.where("linked").select("a", "b").unionByName(copies)
     labels = materialize(connected_components(edges), "dup-labels")
 
-    # Outsiders: members whose bucket's hub is in another component. They meet the rest of their bucket.
-    named = shared.join(labels.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
-    hubs = labels.select(F.col("node").alias("hub"), F.col("component").alias("hc"))
-    named = materialize(named.where("members > 2").join(hubs, "hub", "left").withColumn("hc", F.coalesce("hc", "hub")), "dup-named")
-    outsiders = named.where("c <> hc")
-    again = named.join(outsiders.select("key").distinct(), "key", "left_semi").where("doc_id <> hub")
-    tiles = F.ceil(F.col("members") / F.lit(TILE)).cast("int")
-    left = outsiders.withColumn("tile", F.pmod(F.xxhash64("doc_id"), tiles).cast("int")).join(_features(reps, "a"), F.col("doc_id") == F.col("a")).select("key", "tile", "a", "na", "oa", F.col("c").alias("ca"))
-    right = again.join(_features(reps, "b"), F.col("doc_id") == F.col("b")).withColumn("tile", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    right = right.select("key", "tile", "b", "nb", "ob", F.col("c").alias("cb"), (F.col("c") != F.col("hc")).alias("b_out"))
-    fresh = (F.col("ca") != F.col("cb")) & (~F.col("b_out") | (F.col("a") < F.col("b")))
-    rest = left.join(right, ["key", "tile"]).where(fresh & _plausible(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = materialize(rest, "dup-rest")
-    if not rest.isEmpty():
-        more = _confirm(docs, rest, words, percent, id_col, text_col)
-        if not more.isEmpty():
-            whole = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-            labels = materialize(connected_components(whole), "dup-labels")
+    more = _outsider_links(stars, labels, reps, sets, percent)
+    if not more.isEmpty():
+        whole = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+        labels = materialize(connected_components(whole), "dup-labels")
 
     out = sketched.select("doc_id", "n_shingles").join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
