@@ -1,11 +1,464 @@
-"""Every registered query of the retrieval engine with its SQL equivalent."""
+"""Every registered query of the retrieval engine with its SQL equivalent.
+
+``documents`` are the pages, ``benchmark`` passages the queries, and a document that holds a passage is relevant to
+it. ``embeddings`` serve as chunk vectors (five to a page) and, by id, as vectors of documents and passages.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hayrick.config import DEFAULT, Settings
+from hayrick.functions import headers as H
+from hayrick.functions import text as T
+from hayrick.operators import chunking, dense, metrics, numfilter, ranking, sparse
+from hayrick.plans import oracle as O
+from hayrick.plans import pipeline
+from hayrick.session import materialize, table
+from hayrick.sources import corpus
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
 
-def queries() -> dict:
-    return {}
+def _query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# --- tables in the engine's shape -----------------------------------------------------------------------------
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _pages(spark: SparkSession, sf: str, spaced: bool = True) -> DataFrame:
+    """Documents as pages; with ``spaced`` every line is a paragraph."""
+    content = F.regexp_replace(F.coalesce("text", F.lit("")), "\n", "\n\n") if spaced else F.coalesce("text", F.lit(""))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), F.concat("lang", F.lit(" "), "source").alias("title"), content.alias("content"), F.col("doc_id").alias("page_ord"))
+
+
+_SPACED = "regexp_replace(coalesce(text, ''), chr(10), chr(10) || chr(10), 'g')"
+
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _asked_with_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    return _asked(spark, sf).join(vectors, "query_id", "left")
+
+
+def _units(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document as a page of one chunk."""
+    return _docs(spark, sf).select(F.col("doc_id").alias("page_id"), F.lit(0).alias("chunk_id"), "text", F.col("doc_id").alias("page_ord"), T.numbers(F.col("text")).alias("numbers"))
+
+
+def _index(spark: SparkSession, sf: str, settings: Settings = DEFAULT) -> pipeline.Index:
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("page_id"), "embedding")
+    vectors = _docs(spark, sf).select(F.col("doc_id").alias("page_id")).join(vectors, "page_id").withColumn("page_ord", F.col("page_id"))
+    return pipeline.index_chunks(materialize(_units(spark, sf), "units"), settings, vectors=vectors)
+
+
+def _relevant(spark: SparkSession, sf: str) -> DataFrame:
+    """(query_id, page_id): documents that hold a passage. Candidates share the passage's first five terms."""
+    head = lambda t: F.array_join(F.slice(t, 1, 5), " ")
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), T.tokenize(F.col("text")).alias("t"))
+    asked = asked.select("query_id", "passage", head(F.col("t")).alias("head"))
+    docs = _docs(spark, sf).select(F.col("doc_id").alias("page_id"), "text", T.tokenize(F.col("text")).alias("t"))
+    heads = docs.select("page_id", F.explode(F.array_distinct(F.transform("t", lambda x, i: F.array_join(F.slice(F.col("t"), i + 1, F.lit(5)), " ")))).alias("head"))
+    near = heads.join(asked, "head").select("query_id", "passage", "page_id")
+    return near.join(_docs(spark, sf).withColumnRenamed("doc_id", "page_id"), "page_id").where(F.col("text").contains(F.col("passage"))).select("query_id", "page_id")
+
+
+def _top(ranked: DataFrame, k: int | None = None) -> DataFrame:
+    rows = ranked if k is None else ranked.where(F.col("rank") <= k)
+    return rows.select("query_id", "page_id", F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
+
+
+def _with(*parts: str, recursive: bool = False) -> str:
+    return f"WITH {'RECURSIVE ' if recursive else ''}" + ",".join(parts)
+
+
+_RANKED = "SELECT query_id, page_id, rank::INTEGER AS rank, round(score, 6) AS score FROM"
+
+# --- text and sparse index ------------------------------------------------------------------------------------
+
+
+@_query(f"SELECT doc_id, len(t)::INTEGER AS n_tokens, len(list_distinct(t))::INTEGER AS n_terms, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {O.tokens("coalesce(text, '')")} AS t FROM documents)")
+def tokenize_terms(spark, sf):
+    rows = _docs(spark, sf).select("doc_id", T.tokenize(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_terms"), F.md5(F.encode(F.array_join("t", " "), "UTF-8")).alias("digest"))
+
+
+@_query(_with(O.POSTINGS) + " SELECT doc_id, term, freq, dl FROM freqs")
+def doc_term_freq(spark, sf):
+    return sparse.term_counts(_docs(spark, sf), ["doc_id"]).select("doc_id", "term", "freq", "dl")
+
+
+@_query(_with(O.POSTINGS) + " SELECT term, df, round(idf, 6) AS idf FROM terms")
+def doc_freq_idf(spark, sf):
+    docs = _docs(spark, sf)
+    return sparse.vocabulary(sparse.term_counts(docs, ["doc_id"]), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@_query(_with(O.POSTINGS) + " SELECT n::BIGINT AS n, round(avgdl, 6) AS avgdl FROM stats")
+def doc_length_stats(spark, sf):
+    return sparse.length_stats(_docs(spark, sf)).select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@_query(_with(O.POSTINGS) + " SELECT term, doc_id, round(tf_weight, 6) AS tf_weight FROM postings")
+def bm25_weights(spark, sf):
+    _, postings = sparse.build(_docs(spark, sf), ["doc_id"])
+    return postings.select("term", "doc_id", F.round("tf_weight", 6).alias("tf_weight"))
+
+
+@_query(
+    _with(O.POSTINGS, f"\nasked AS (SELECT item_id AS query_id, unnest(list_distinct({O.tokens('text')})) AS term FROM benchmark), matched AS (SELECT query_id, doc_id AS page_id, round(sum(idf * tf_weight), 6) AS score FROM asked JOIN terms USING (term) JOIN postings USING (term) GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS rank FROM matched) ")
+    + _RANKED
+    + " ranked WHERE rank <= 10"
+)
+def bm25_topk(spark, sf):
+    docs = _docs(spark, sf).withColumnRenamed("doc_id", "page_id")
+    terms, postings = sparse.build(docs, ["page_id"])
+    scored = sparse.scores(_asked(spark, sf), terms, postings, ["page_id"])
+    scored = scored.withColumns({"score": F.round("score", 6), "page_ord": F.col("page_id")})
+    return _top(ranking.rank(scored, 10))
+
+
+@_query(_with(O.POSTINGS, O.SPARSE) + " " + _RANKED + " sparse")
+def page_rollup_sparse(spark, sf):
+    return _top(pipeline.sparse_leg(_index(spark, sf), _asked(spark, sf)))
+
+
+# --- numbers --------------------------------------------------------------------------------------------------
+
+
+@_query(f"SELECT doc_id, len(n)::INTEGER AS n_numbers, {O.in_order('n')} AS numbers FROM (SELECT doc_id, {O.numbers("coalesce(text, '')")} AS n FROM documents)")
+def numbers_per_doc(spark, sf):
+    rows = _docs(spark, sf).select("doc_id", T.numbers(F.col("text")).alias("n"))
+    return rows.select("doc_id", F.size("n").alias("n_numbers"), F.array_join("n", " ").alias("numbers"))
+
+
+@_query(f"SELECT doc_id, {O.in_order('n')} AS numbers FROM (SELECT doc_id, {O.query_numbers(_D := "regexp_replace(coalesce(text, ''), '([0-9]{3})[0-9]+', '\\1' || '0s', 'g')")} AS n FROM documents)")
+def query_numbers_decades(spark, sf):
+    """Every run of four or more digits turned to a decade, then expanded."""
+    text = F.regexp_replace(F.col("text"), r"([0-9]{3})[0-9]+", "$10s")
+    rows = _docs(spark, sf).select("doc_id", T.query_numbers(text).alias("n"))
+    ordered = F.transform(F.sort_array(F.transform("n", lambda w: F.struct(F.length(w).alias("k"), w.alias("w")))), lambda r: r["w"])
+    return rows.select("doc_id", F.array_join(ordered, " ").alias("numbers"))
+
+
+@_query(_with(O.ALLOWED) + " SELECT query_id, page_id FROM allowed")
+def number_allowed_pages(spark, sf):
+    numbered = numfilter.page_numbers(_units(spark, sf))
+    return numfilter.allowed_pages(_asked(spark, sf), numbered).select("query_id", "page_id")
+
+
+#: Each passage with one number in front, so that the number filter has work in every query.
+_NUMBERED = "benchmark AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'of 4 and 1' ELSE 'of 2 or 0' END || ' ' || text AS text FROM main.benchmark)"
+
+
+def _numbered(asked: DataFrame) -> DataFrame:
+    front = F.when(F.col("query_id") % 3 == 0, "of 4 and 1").otherwise("of 2 or 0")
+    return asked.withColumn("query", F.concat(front, F.lit(" "), F.col("query")))
+
+
+@_query(_with(_NUMBERED, O.POSTINGS, O.SPARSE, O.DENSE, O.FUSED, O.ALLOWED, O.PRUNED) + " " + _RANKED + " final WHERE rank <= 10")
+def number_filter_post(spark, sf):
+    return _top(pipeline.search(_index(spark, sf), _numbered(_asked_with_vectors(spark, sf))))
+
+
+_PRE = """
+limited AS (SELECT e.query_id, e.page_id, e.score FROM {src} e LEFT JOIN allowed a ON a.query_id = e.query_id AND a.page_id = e.page_id
+            WHERE a.page_id IS NOT NULL OR e.query_id NOT IN (SELECT query_id FROM allowed))"""
+
+
+@_query(
+    _with(_NUMBERED, O.POSTINGS, O.SPARSE, O.ALLOWED, _PRE.format(src="every"), "\nranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS rank FROM limited) ")
+    + _RANKED
+    + " ranked WHERE rank <= 60"
+)
+def number_filter_pre(spark, sf):
+    index = _index(spark, sf, Settings(filter_mode="pre"))
+    asked = _numbered(_asked(spark, sf))
+    return _top(pipeline.sparse_leg(index, asked, numfilter.allowed_pages(asked, index.numbers)))
+
+
+# --- sentences, sections, chunks ------------------------------------------------------------------------------
+
+
+@_query(f"SELECT doc_id, len(s)::INTEGER AS n_sentences, md5(array_to_string(s, chr(1))) AS digest FROM (SELECT doc_id, {O.sentence_list("coalesce(text, '')")} AS s FROM documents)")
+def sentence_split(spark, sf):
+    rows = _docs(spark, sf).select("doc_id", T.sentences(F.col("text")).alias("s"))
+    return rows.select("doc_id", F.size("s").alias("n_sentences"), F.md5(F.encode(F.array_join("s", "\x01"), "UTF-8")).alias("digest"))
+
+
+@_query(f"SELECT doc_id, i::INTEGER AS pos, len({O.words('s')})::INTEGER AS words FROM (SELECT doc_id, unnest(l) AS s, unnest(range(0, len(l))) AS i FROM (SELECT doc_id, {O.sentence_list("coalesce(text, '')")} AS l FROM documents))")
+def sentence_word_counts(spark, sf):
+    rows = _docs(spark, sf).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
+    return rows.select("doc_id", "pos", T.word_count(F.col("s")).alias("words"))
+
+
+@_query(_with(O.sentences(_SPACED)) + " SELECT doc_id, (p - 1)::INTEGER AS para, n_body::INTEGER AS n_body, n_heads::INTEGER AS n_heads, heads FROM peeled")
+def header_peel(spark, sf):
+    content = F.regexp_replace(F.col("text"), "\n", "\n\n")
+    parts = F.filter(F.transform(T.paragraphs(content), T.sentences), lambda p: F.size(p) > 0)
+    rows = _docs(spark, sf).select("doc_id", F.posexplode(parts).alias("para", "parts")).withColumn("n_body", H.body_size(F.col("parts")))
+    heads = F.transform(F.slice("parts", F.col("n_body") + 1, F.size("parts") - F.col("n_body")), H.header_text)
+    return rows.select("doc_id", "para", "n_body", F.size(heads).alias("n_heads"), F.array_join(heads, "|").alias("heads"))
+
+
+@_query(_with(O.sentences(_SPACED)) + " SELECT doc_id AS page_id, pos::INTEGER AS pos, wc::INTEGER AS wc, sec::INTEGER AS sec, section, forced FROM sents")
+def section_numbers(spark, sf):
+    rows = chunking.with_sentences(_pages(spark, sf)).select("page_id", "names", F.posexplode("sents").alias("pos", "s"))
+    return rows.select("page_id", "pos", "s.wc", "s.sec", F.get("names", F.col("s.sec")).alias("section"), "s.forced")
+
+
+@_query(_with(O.sentences(_SPACED), O.PACKED, recursive=True) + " SELECT doc_id AS page_id, seg::INTEGER AS seg, min(pos)::INTEGER AS first, (max(pos) + 1)::INTEGER AS last FROM packed GROUP BY doc_id, seg")
+def pack_segments(spark, sf):
+    rows = chunking.with_segments(_pages(spark, sf)).select("page_id", F.posexplode("segments").alias("seg", "s"))
+    return rows.select("page_id", "seg", F.col("s.start").alias("first"), F.col("s.end").alias("last"))
+
+
+@_query(
+    _with(O.sentences(_SPACED), O.PACKED, O.CHUNKS, recursive=True)
+    + f" SELECT page_id, chunk_id, section_number::INTEGER AS section_number, section, len({O.words('text')})::INTEGER AS word_count, {O.in_order(O.numbers('body'))} AS numbers, md5(text) AS digest FROM chunks"
+)
+def chunks_padded(spark, sf):
+    rows = chunking.chunk_pages(_pages(spark, sf))
+    return rows.select("page_id", "chunk_id", "section_number", "section", "word_count", F.array_join("numbers", " ").alias("numbers"), F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
+@_query(f"SELECT doc_id, i::INTEGER AS piece, md5(x) AS digest FROM (SELECT doc_id, unnest(l) AS x, unnest(range(0, len(l))) AS i FROM (SELECT doc_id, CASE WHEN len(w) > 120 THEN {O.sliding('w')} ELSE [text] END AS l FROM (SELECT doc_id, coalesce(text, '') AS text, {O.words("coalesce(text, '')")} AS w FROM documents)))")
+def sliding_split(spark, sf):
+    rows = _docs(spark, sf).select("doc_id", F.posexplode(T.sliding_split(F.col("text"))).alias("piece", "x"))
+    return rows.select("doc_id", "piece", F.md5(F.encode("x", "UTF-8")).alias("digest"))
+
+
+@_query(
+    _with(O.sentences(_SPACED), O.PACKED, O.CHUNKS, recursive=True)
+    + f" SELECT page_id, chunk_id, format('### chunk {{}}  ({{}} words)', chunk_id, len({O.words('text')})) || chr(10) || text AS value FROM chunks"
+)
+def chunk_dump(spark, sf):
+    return corpus.chunk_blocks(chunking.chunk_pages(_pages(spark, sf)))
+
+
+_CHUNK_SCORES = f"""
+cu AS (SELECT page_id, chunk_id, {O.tokens("text")} AS toks FROM chunks),
+cs AS (SELECT count(*)::DOUBLE AS n, avg(len(toks)) AS avgdl FROM cu),
+cf AS (SELECT page_id, chunk_id, dl, term, count(*) AS freq FROM (SELECT page_id, chunk_id, len(toks) AS dl, unnest(toks) AS term FROM cu) GROUP BY ALL),
+ct AS (SELECT term, ln((max(n) - count(*)::DOUBLE + 0.5::DOUBLE) / (count(*)::DOUBLE + 0.5::DOUBLE) + 1.0::DOUBLE) AS idf FROM cf, cs GROUP BY term),
+cq AS (SELECT item_id AS query_id, unnest(list_distinct({O.tokens("text")})) AS term FROM benchmark),
+ch AS (SELECT query_id, page_id, chunk_id, sum(idf * (freq::DOUBLE * 2.5::DOUBLE / (freq::DOUBLE + 1.5::DOUBLE * (0.5::DOUBLE + 0.5::DOUBLE * dl::DOUBLE / avgdl)))) AS score
+       FROM cq JOIN ct USING (term) JOIN cf USING (term), cs GROUP BY ALL),
+cn AS (SELECT page_id, count(*) AS n_chunks FROM chunks GROUP BY page_id),
+cr AS (SELECT *, row_number() OVER (PARTITION BY query_id, page_id ORDER BY score DESC) AS r FROM ch),
+cp AS (SELECT query_id, page_id, max(score) AS most, sum(score) AS total FROM cr WHERE r <= 30 GROUP BY ALL),
+ca AS (SELECT q.item_id AS query_id, n.page_id, round(0.25::DOUBLE * coalesce(most, 0) + 0.75::DOUBLE * (coalesce(total, 0) / least(30, n_chunks)::DOUBLE), 6) AS score
+       FROM benchmark q CROSS JOIN cn n LEFT JOIN cp ON cp.query_id = q.item_id AND cp.page_id = n.page_id),
+crank AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS rank FROM ca) """
+
+
+@_query(_with(O.sentences(_SPACED), O.PACKED, O.CHUNKS, _CHUNK_SCORES, recursive=True) + _RANKED + " crank WHERE rank <= 60")
+def chunk_bm25_pages(spark, sf):
+    """The sparse leg over real chunks: chunk scores rolled up to pages, zero-score pages filled in."""
+    return _top(pipeline.sparse_leg(pipeline.build_index(_pages(spark, sf)), _asked(spark, sf)))
+
+
+# --- dense ----------------------------------------------------------------------------------------------------
+
+_VECTORS = """
+q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0),
+c AS (SELECT vec_id // {per} AS page_id, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT query_id, page_id, list_dot_product(q.v, c.v) AS s FROM q CROSS JOIN c),
+p AS (SELECT query_id, page_id, round({roll}, 6) AS score FROM s GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS rank FROM p) """
+
+
+def _chunk_vectors(spark: SparkSession, sf: str, per: int) -> DataFrame:
+    page = F.floor(F.col("vec_id") / per).cast("bigint")
+    return table(spark, sf, "embeddings").select(page.alias("page_id"), page.alias("page_ord"), "embedding")
+
+
+def _vector_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@_query(_with(_VECTORS.format(per=1, roll="max(s)")) + _RANKED + " ranked WHERE rank <= 10")
+def dense_topk(spark, sf):
+    return _top(dense.rank_pages(_chunk_vectors(spark, sf, 1), _vector_queries(spark, sf), 10))
+
+
+@_query(_with(_VECTORS.format(per=5, roll="avg(s)")) + _RANKED + " ranked WHERE rank <= 100")
+def page_rollup_dense(spark, sf):
+    return _top(dense.rank_pages(_chunk_vectors(spark, sf, 5), _vector_queries(spark, sf), 100))
+
+
+@_query(_with(_VECTORS.format(per=5, roll="0.25::DOUBLE * max(s) + 0.75::DOUBLE * list_avg(list_reverse_sort(list(s))[1:3])")) + _RANKED + " ranked WHERE rank <= 100")
+def page_rollup_blend(spark, sf):
+    """Max and mean blended over each page's three best chunks."""
+    return _top(dense.rank_pages(_chunk_vectors(spark, sf, 5), _vector_queries(spark, sf), 100, alpha=0.25, topn=3))
+
+
+@_query("SELECT vec_id, round(list_dot_product(v, v), 5) AS norm2, round(v[1] / sqrt(list_dot_product(v, v)), 5) AS first FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 3) AS v FROM embeddings)")
+def l2_normalize(spark, sf):
+    rows = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 3).alias("v"))
+    rows = rows.withColumn("u", dense.l2_normalize(F.col("v")))
+    norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    return rows.select("vec_id", F.round(norm2, 5).alias("norm2"), F.round(F.get("u", F.lit(0)), 5).alias("first"))
+
+
+@_query(
+    "SELECT count(*) AS n_rows, count(*) FILTER (WHERE len(embedding) IS DISTINCT FROM 64) AS wrong_width, count(*) FILTER (WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0) AS non_finite, round(max(abs(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1)), 5) AS max_norm_error FROM embeddings"
+)
+def vector_validate(spark, sf):
+    return dense.validate(table(spark, sf, "embeddings"), "embedding", 64)
+
+
+@_query(
+    f"""WITH t AS (SELECT doc_id, unnest({O.tokens("coalesce(text, '')")}) AS term FROM documents),
+h AS (SELECT doc_id, ('0x' || substr(md5(term), 1, 7))::BIGINT % 64 AS p, CASE WHEN ('0x' || substr(md5(term), 32, 1))::BIGINT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s FROM t),
+x AS (SELECT doc_id, p, sum(s) AS x FROM h GROUP BY ALL),
+n AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM x GROUP BY doc_id)
+SELECT x.doc_id, p AS place, round(CASE WHEN norm > 0 THEN x / norm ELSE x END, 6) AS value FROM x JOIN n USING (doc_id) WHERE x <> 0"""
+)
+def feature_hash_embed(spark, sf):
+    rows = dense.hash_embed(_docs(spark, sf), ["doc_id"]).select("doc_id", F.posexplode("embedding").alias("place", "value"))
+    return rows.where("value <> 0").select("doc_id", F.col("place").cast("bigint").alias("place"), F.round("value", 6).alias("value"))
+
+
+# --- fusion, search, evaluation -------------------------------------------------------------------------------
+
+
+@_query(_with(O.POSTINGS, O.SPARSE, O.DENSE, O.FUSED) + " " + _RANKED + " fused")
+def rrf_fuse(spark, sf):
+    index, asked = _index(spark, sf), _asked_with_vectors(spark, sf)
+    return _top(ranking.fuse(pipeline.dense_leg(index, asked), pipeline.sparse_leg(index, asked)))
+
+
+_FINAL = _with(O.POSTINGS, O.SPARSE, O.DENSE, O.FUSED, O.ALLOWED, O.PRUNED)
+
+
+def _search(spark: SparkSession, sf: str, top_k: int = 10) -> DataFrame:
+    return pipeline.search(_index(spark, sf), _asked_with_vectors(spark, sf), top_k)
+
+
+@_query(_FINAL + " " + _RANKED + " final WHERE rank <= 10")
+def hybrid_search(spark, sf):
+    return _top(_search(spark, sf))
+
+
+@_query(_FINAL + ", top AS (SELECT * FROM final WHERE rank <= 10) SELECT item_id AS query_id, coalesce(string_agg(page_id::VARCHAR, ' ' ORDER BY rank), '') AS page_ids FROM benchmark LEFT JOIN top ON query_id = item_id GROUP BY item_id")
+def ranked_page_lists(spark, sf):
+    lists = pipeline.ranked_lists(_search(spark, sf), _asked(spark, sf))
+    return lists.select("query_id", F.array_join(F.transform("page_ids", lambda x: x.cast("string")), " ").alias("page_ids"))
+
+
+@_query("WITH" + O.RELEVANT + " SELECT query_id, page_id FROM relevant")
+def relevant_pages(spark, sf):
+    return _relevant(spark, sf)
+
+
+def _scores(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.per_query(_asked(spark, sf), materialize(_search(spark, sf, 100), "ranked"), materialize(_relevant(spark, sf), "relevant"))
+
+
+_EVAL = _FINAL + ", top AS (SELECT * FROM final WHERE rank <= 100)," + O.RELEVANT + "," + O.metrics("top")
+
+
+@_query(_EVAL + " SELECT query_id, n_relevant, ndcg FROM scores")
+def ndcg_eval(spark, sf):
+    return _scores(spark, sf).select("query_id", "n_relevant", "ndcg")
+
+
+@_query(_EVAL + " SELECT query_id, ndcg_standard FROM scores")
+def ndcg_standard(spark, sf):
+    return _scores(spark, sf).select("query_id", "ndcg_standard")
+
+
+@_query(_EVAL + " SELECT query_id, recall FROM scores")
+def recall_at_k(spark, sf):
+    return _scores(spark, sf).select("query_id", "recall")
+
+
+@_query(_EVAL + " SELECT query_id, first_relevant_rank FROM scores")
+def first_relevant_rank(spark, sf):
+    return _scores(spark, sf).select("query_id", "first_relevant_rank")
+
+
+@_query(_EVAL + " SELECT round(coalesce(avg(ndcg), 0), 6) AS mean_ndcg, round(coalesce(avg(ndcg_standard), 0), 6) AS mean_ndcg_standard, round(coalesce(avg(recall), 0), 6) AS mean_recall, count(*) AS n_queries FROM scores")
+def mean_metrics(spark, sf):
+    return metrics.means(_scores(spark, sf))
+
+
+@_query(
+    _EVAL
+    + """, r AS (SELECT query_id, string_agg(page_id::VARCHAR, ' ' ORDER BY page_id) AS ids FROM relevant GROUP BY query_id),
+t AS (SELECT query_id, string_agg(page_id::VARCHAR, ' ' ORDER BY rank) AS ids FROM top WHERE rank <= 10 GROUP BY query_id)
+SELECT s.query_id, b.text AS query, ndcg_standard AS ndcg_at_k, first_relevant_rank, coalesce(r.ids, '') AS relevant_page_ids, coalesce(t.ids, '') AS returned
+FROM scores s JOIN benchmark b ON b.item_id = s.query_id LEFT JOIN r USING (query_id) LEFT JOIN t USING (query_id)"""
+)
+def error_report(spark, sf):
+    return metrics.error_report(_asked(spark, sf), materialize(_search(spark, sf, 100), "ranked"), materialize(_relevant(spark, sf), "relevant"))
+
+
+@_query(_FINAL + ", top AS (SELECT * FROM final WHERE rank <= 10) SELECT item_id AS query_id, count(page_id) AS n, count(page_id) - count(DISTINCT page_id) AS repeated, 0::BIGINT AS missing_ids, count(page_id) >= 10 AS ok FROM benchmark LEFT JOIN top ON query_id = item_id GROUP BY item_id")
+def ranking_validate(spark, sf):
+    return pipeline.check_ranking(_search(spark, sf), _asked(spark, sf))
+
+
+# --- sets of pages and questions ------------------------------------------------------------------------------
+
+
+@_query("WITH" + O.RELEVANT + " SELECT doc_id AS page_id FROM documents LEFT JOIN (SELECT DISTINCT page_id, 1 AS g FROM relevant) ON page_id = doc_id ORDER BY g DESC NULLS LAST, doc_id LIMIT 100")
+def gt_subset(spark, sf):
+    """The 100-page subset for development: its size is the feature."""
+    pages = _docs(spark, sf).select(F.col("doc_id").alias("page_id"), F.col("doc_id").alias("page_ord"))
+    return pipeline.select_subset(pages, _relevant(spark, sf), 100).select("page_id")
+
+
+_CLEAN = "trim(regexp_replace(regexp_replace(lower(replace({x}, '_', ' ')), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
+
+
+@_query(f"SELECT doc_id, {_CLEAN.format(x='substr(text, 1, 80)')} AS title FROM documents WHERE text IS NOT NULL")
+def clean_title(spark, sf):
+    rows = table(spark, sf, "documents").where("text is not null")
+    return rows.select("doc_id", T.clean_title(F.substring("text", 1, 80)).alias("title"))
+
+
+@_query(
+    "WITH q AS (SELECT lang || '_' || source AS title, doc_id FROM documents), p AS (SELECT "
+    + _CLEAN.format(x="source || '-' || lang")
+    + " AS k, max(doc_id) AS page_id FROM (SELECT source, upper(lang) AS lang, doc_id FROM documents) GROUP BY 1) SELECT q.doc_id, p.page_id FROM q JOIN p ON p.k = "
+    + _CLEAN.format(x="split_part(q.title, '_', 2) || split_part(q.title, '_', 1)")
+)
+def title_match(spark, sf):
+    """Questions meet pages through cleaned titles; of several pages the last counts."""
+    docs = table(spark, sf, "documents")
+    asked = docs.select(F.concat("source", "lang").alias("title"), "doc_id")
+    pages = docs.select(F.concat("source", F.lit("-"), F.upper("lang")).alias("title"), F.col("doc_id").alias("page_id"), F.col("doc_id").alias("page_ord"))
+    return pipeline.match_titles(asked, pages).select("doc_id", "page_id")
+
+
+@_query("SELECT source, doc_id FROM (SELECT source, doc_id, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id::VARCHAR), doc_id) AS r FROM documents) WHERE n >= 7 AND r <= 7")
+def stratified_sample(spark, sf):
+    return pipeline.stratified_sample(table(spark, sf, "documents").select("source", "doc_id"), "source", "doc_id")
