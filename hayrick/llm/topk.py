@@ -28,7 +28,9 @@ from hayrick.session import materialize
 BLOCK, QUERY_BLOCK = 4096, 4096
 #: The pivots come from at most SAMPLE vectors, and there are at most PIVOTS of them.
 SAMPLE, PIVOTS = 8192, 256
-BASE, LEAF = 1.5, 32
+BASE, LEAF, SPREAD = 1.5, 32, 8
+#: Points of candidate leaves that are compared with a query leaf at a time.
+GATHER = 2048
 _SCHEMA = "query_id bigint, vec_id bigint, score bigint"
 
 
@@ -36,7 +38,8 @@ class CoverTree:
     """Nodes with a centre among their points and a covering radius; children of a node lie BASE times closer.
 
     Children are found by farthest-point traversal, which keeps them apart by the same distance that covers the
-    node's points. Nodes of at most LEAF points, and nodes of equal points, are leaves.
+    node's points. Nodes of at most LEAF points, and nodes of equal points, are leaves; so are nodes in which every
+    SPREAD-th point or more would found a child of its own, since there distances tell nothing apart.
     """
 
     def __init__(self, points: np.ndarray):
@@ -67,8 +70,8 @@ class CoverTree:
             members = self.order[low:high]
             near, owner = dist.copy(), np.zeros(len(members), np.int64)
             centres = [self.centre[node]]
-            goal = radius / BASE
-            while (top := int(near.argmax())) is not None and near[top] > goal:
+            goal, most = radius / BASE, max(LEAF, len(members) // SPREAD)
+            while near[top := int(near.argmax())] > goal and len(centres) <= most:
                 c = members[top]
                 d = np.sqrt(np.maximum(square[members] + square[c] - 2 * (points[members] @ points[c]), 0))
                 d[top] = 0
@@ -76,6 +79,8 @@ class CoverTree:
                 near[closer] = d[closer]
                 owner[closer] = len(centres)
                 centres.append(int(c))
+            if len(centres) > most:
+                continue
             place = np.argsort(owner, kind="stable")
             self.order[low:high] = members[place]
             near = near[place]
@@ -89,7 +94,7 @@ class CoverTree:
                     at += n
 
     def seal(self) -> CoverTree:
-        self.centre = np.array(self.centre)
+        self.centre, self.low, self.high = np.array(self.centre), np.array(self.low), np.array(self.high)
         # Distances come from rounded sums: a small margin keeps the bounds valid.
         self.radius = np.array(self.radius) * (1 + 1e-9) + 1e-3
         self.norm = np.sqrt((self.points[self.centre] ** 2).sum(1))
@@ -109,26 +114,31 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray,
     ``floor`` holds k-th scores already known for the queries; worse points may be left out.
     """
     q, r = CoverTree(queries).seal(), CoverTree(points).seal()
-    best_score = np.full((len(queries), k), np.iinfo(np.int64).min)
-    best_id = np.full((len(queries), k), np.iinfo(np.int64).max)
+    none, far = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    best_score, best_id = np.full((len(queries), k), none), np.full((len(queries), k), far)
     worst = floor.astype(np.float64).copy()
 
     def bounds(node: int, cand: np.ndarray) -> np.ndarray:
         dot = points[r.centre[cand]] @ queries[q.centre[node]]
         return dot + q.norm[node] * r.radius[cand] + q.radius[node] * (r.norm[cand] + r.radius[cand]) + 1e-3
 
-    def base_case(members: np.ndarray, node: int) -> None:
-        own = r.order[r.low[node] : r.high[node]]
+    def base_case(members: np.ndarray, own: np.ndarray) -> None:
         score = _products(queries[members], points[own])
-        score[query_ids[members][:, None] == ids[own][None, :]] = np.iinfo(np.int64).min
+        score[query_ids[members][:, None] == ids[own][None, :]] = none
         scores = np.concatenate([best_score[members], score], 1)
         labels = np.concatenate([best_id[members], np.broadcast_to(ids[own], score.shape)], 1)
-        labels = np.where(scores == np.iinfo(np.int64).min, np.iinfo(np.int64).max, labels)
-        top = np.lexsort((labels, -scores.astype(np.float64) if np.abs(scores[scores > np.iinfo(np.int64).min]).max(initial=0) < 2**52 else ~scores), axis=1)[:, :k]
-        row = np.arange(len(members))[:, None]
-        best_score[members], best_id[members] = scores[row, top], labels[row, top]
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+        row, col = np.nonzero((scores >= least[:, None]) & (scores > none))
+        s, i = scores[row, col], labels[row, col]
+        order = np.lexsort((i, -s, row))
+        row, s, i = row[order], s[order], i[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row, "left")
+        top = place < k
+        best_score[members], best_id[members] = none, far
+        best_score[members[row[top]], place[top]] = s[top]
+        best_id[members[row[top]], place[top]] = i[top]
         kth = best_score[members, k - 1]
-        worst[members] = np.maximum(worst[members], np.where(kth == np.iinfo(np.int64).min, -np.inf, kth.astype(np.float64)))
+        worst[members] = np.maximum(worst[members], np.where(kth == none, -np.inf, kth.astype(np.float64)))
 
     todo = [(0, np.array([0]))]
     while todo:
@@ -148,14 +158,17 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray,
             keep = bound >= worst[members].min()
             cand, bound = cand[keep], bound[keep]
             leaf = np.array([not r.children[x] for x in cand.tolist()], bool)
-            leaves = cand[leaf][np.argsort(-bound[leaf], kind="stable")]
-            for x, b in zip(leaves.tolist(), np.sort(bound[leaf])[::-1].tolist(), strict=True):
-                if b < worst[members].min():
-                    break
-                base_case(members, x)
+            place = np.argsort(-bound[leaf], kind="stable")
+            leaves, best = cand[leaf][place], bound[leaf][place]
+            size = np.cumsum(r.high[leaves] - r.low[leaves])
+            at = 0
+            while at < len(leaves) and best[at] >= worst[members].min():
+                end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + GATHER, "right")))
+                base_case(members, np.concatenate([r.order[r.low[x] : r.high[x]] for x in leaves[at:end]]))
+                at = end
             inner = cand[~leaf]
             cand = np.array([c for x in inner.tolist() for c in r.children[x]], np.int64)
-    row, col = np.nonzero(best_id != np.iinfo(np.int64).max)
+    row, col = np.nonzero(best_id != far)
     return row, best_id[row, col], best_score[row, col]
 
 
