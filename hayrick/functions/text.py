@@ -6,6 +6,8 @@ underscore; white space is the Unicode set with the four ASCII separators.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ PARAGRAPH = rf"\n{WS}*\n+"
 SENTENCE = rf"""(?<=[.!?]){WS}+(?=[A-Z"'(])"""
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once. Inside a lambda a plain column expression would run per element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{WS}+|{WS}+$", "")
 
@@ -72,11 +79,13 @@ def sentences(paragraph: Column) -> Column:
 
 def sliding_split(sentence: Column, width: int = 120, overlap: int = 40) -> Column:
     """Windows of ``width`` words over a longer sentence, the last one ending with it; else the sentence itself."""
-    w = words(sentence)
-    n = F.size(w)
-    starts = F.concat(F.sequence(F.lit(0), n - width - 1, F.lit(width - overlap)), F.array(n - width))
-    pieces = F.transform(starts, lambda s: F.array_join(F.slice(w, s + 1, F.lit(width)), " "))
-    return F.when(n > width, pieces).otherwise(F.array(sentence))
+
+    def split(w: Column) -> Column:
+        n = F.size(w)
+        starts = F.concat(F.sequence(F.lit(0), n - width - 1, F.lit(width - overlap)), F.array(n - width))
+        return F.when(n > width, F.transform(starts, lambda s: F.array_join(F.slice(w, s + 1, F.lit(width)), " "))).otherwise(F.array(sentence))
+
+    return let(words(sentence), split)
 
 
 def clean_title(title: Column) -> Column:

@@ -1,6 +1,6 @@
 """Pages to overlapping, section-aware chunks. Everything happens inside a page's row: nothing is shuffled.
 
-Stages are separate columns, so that each expression is computed once per page.
+Every intermediate array is bound with ``let``, so that it is computed once per page.
 """
 
 from __future__ import annotations
@@ -60,11 +60,18 @@ def pack(counts: Column, most: int = DEFAULT.max_words) -> Column:
 def with_segments(pages: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Adds ``segments``: (start, end) of every run of sentences packed together; pages without sentences go."""
     rows = with_sentences(pages).where(F.size("sents") > 0)
-    rows = rows.withColumn("_seg", pack(F.transform("sents", lambda s: s["wc"]), settings.max_words))
-    starts = F.filter(F.transform("_seg", lambda s, i: F.when((i == 0) | (s != F.get(F.col("_seg"), i - 1)), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("_starts", starts)
-    spans = F.transform("_starts", lambda a, i: F.struct(a.alias("start"), F.coalesce(F.get(F.col("_starts"), i + 1), F.size("sents")).alias("end")))
-    return rows.withColumn("segments", spans).drop("_seg", "_starts")
+
+    def spans(sents: Column) -> Column:
+        def ends(starts: Column) -> Column:
+            return F.transform(starts, lambda a, i: F.struct(a.alias("start"), F.coalesce(F.get(starts, i + 1), F.size(sents)).alias("end")))
+
+        def cut(seg: Column) -> Column:
+            first = F.transform(seg, lambda s, i: F.when((i == 0) | (s != F.get(seg, i - 1)), i))
+            return T.let(F.filter(first, lambda i: i.isNotNull()), ends)
+
+        return T.let(pack(F.transform(sents, lambda s: s["wc"]), settings.max_words), cut)
+
+    return rows.withColumn("segments", T.let(F.col("sents"), spans))
 
 
 def chunk_pages(pages: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -75,19 +82,20 @@ def chunk_pages(pages: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """
     most = settings.max_words
     rows = with_segments(pages.withColumn("title", F.coalesce("title", F.lit(""))), settings)
-    at = lambda i: F.get(F.col("sents"), i)
-
-    def bodies(seg: Column) -> Column:
-        first, end = at(seg["start"]), seg["end"]
-        before, after = at(seg["start"] - 1), at(end)
-        left = F.when((seg["start"] > 0) & ~first["forced"] & (before["wc"] <= most), F.array(before["text"])).otherwise(F.array().cast("array<string>"))
-        right = F.when((end < F.size("sents")) & ~after["forced"] & (after["wc"] <= most), F.array(after["text"])).otherwise(F.array().cast("array<string>"))
-        core = F.transform(F.slice(F.col("sents"), seg["start"] + 1, end - seg["start"]), lambda s: s["text"])
+    none = F.array().cast("array<string>")
+
+    def bodies(sents: Column, seg: Column) -> Column:
+        first, end = F.get(sents, seg["start"]), seg["end"]
+        before, after = F.get(sents, seg["start"] - 1), F.get(sents, end)
+        left = F.when((seg["start"] > 0) & ~first["forced"] & (before["wc"] <= most), F.array(before["text"])).otherwise(none)
+        right = F.when((end < F.size(sents)) & ~after["forced"] & (after["wc"] <= most), F.array(after["text"])).otherwise(none)
+        core = F.transform(F.slice(sents, seg["start"] + 1, end - seg["start"]), lambda s: s["text"])
         whole = F.array(F.array_join(F.concat(left, core, right), " "))
         made = F.when(first["wc"] > most, T.sliding_split(first["text"], most, settings.overlap_words)).otherwise(whole)
         return F.transform(made, lambda b: F.struct(T.strip(b).alias("body"), first["sec"].alias("sec")))
 
-    rows = rows.withColumn("_chunks", F.flatten(F.transform("segments", bodies)))
+    both = F.struct("sents", "segments")
+    rows = rows.withColumn("_chunks", T.let(both, lambda x: F.flatten(F.transform(x["segments"], lambda seg: bodies(x["sents"], seg)))))
     rows = rows.select("page_id", "title", "page_ord", "names", F.posexplode("_chunks").alias("chunk_id", "c")).where("c.body <> ''")
     text = F.concat(F.lit("["), F.col("title"), F.lit("] "), F.col("c.body"))
     return rows.select(

@@ -84,7 +84,7 @@ def _relevant(spark: SparkSession, sf: str) -> DataFrame:
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), T.tokenize(F.col("text")).alias("t"))
     asked = asked.select("query_id", "passage", head(F.col("t")).alias("head"))
     docs = _docs(spark, sf).select(F.col("doc_id").alias("page_id"), "text", T.tokenize(F.col("text")).alias("t"))
-    heads = docs.select("page_id", F.explode(F.array_distinct(F.transform("t", lambda x, i: F.array_join(F.slice(F.col("t"), i + 1, F.lit(5)), " ")))).alias("head"))
+    heads = docs.select("page_id", F.explode(T.let(F.col("t"), lambda t: F.array_distinct(F.transform(t, lambda x, i: F.array_join(F.slice(t, i + 1, F.lit(5)), " "))))).alias("head"))
     near = heads.join(asked, "head").select("query_id", "passage", "page_id")
     return near.join(_docs(spark, sf).withColumnRenamed("doc_id", "page_id"), "page_id").where(F.col("text").contains(F.col("passage"))).select("query_id", "page_id")
 
