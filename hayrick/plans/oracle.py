@@ -83,9 +83,9 @@ asked_numbers AS (SELECT item_id AS query_id, unnest({query_numbers("text")}) AS
 allowed AS (SELECT DISTINCT query_id, page_id FROM asked_numbers JOIN page_numbers USING (number))"""
 
 PRUNED = """
-marked AS (SELECT f.*, a.page_id IS NOT NULL AS ok, bool_or(a.page_id IS NOT NULL) OVER (PARTITION BY f.query_id) AS some
+marked AS (SELECT f.*, a.page_id IS NOT NULL AS ok, bool_or(a.page_id IS NOT NULL) OVER (PARTITION BY f.query_id) AS any_ok
            FROM fused f LEFT JOIN allowed a ON a.query_id = f.query_id AND a.page_id = f.page_id),
-final AS (SELECT query_id, page_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM marked WHERE ok OR NOT some)"""
+final AS (SELECT query_id, page_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM marked WHERE ok OR NOT any_ok)"""
 
 RELEVANT = """
 relevant AS (SELECT item_id AS query_id, doc_id AS page_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"""

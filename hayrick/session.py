@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, wherever they run; once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/hayrick", "zip", Path(__file__).parent.parent, "hayrick")
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables as a DataFrame (Spark opens the path, so any file system works)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
