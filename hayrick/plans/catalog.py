@@ -167,12 +167,6 @@ def query_numbers_decades(spark, sf):
     return rows.select("doc_id", F.array_join(ordered, " ").alias("numbers"))
 
 
-@_query(_with(O.ALLOWED) + " SELECT query_id, page_id FROM allowed")
-def number_allowed_pages(spark, sf):
-    numbered = numfilter.page_numbers(_units(spark, sf))
-    return numfilter.allowed_pages(_asked(spark, sf), numbered).select("query_id", "page_id")
-
-
 #: Each passage with one number in front, so that the number filter has work in every query.
 _NUMBERED = "benchmark AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'of 4 and 1' ELSE 'of 2 or 0' END || ' ' || text AS text FROM main.benchmark)"
 
@@ -182,6 +176,12 @@ def _numbered(asked: DataFrame) -> DataFrame:
     return asked.withColumn("query", F.concat(front, F.lit(" "), F.col("query")))
 
 
+@_query(_with(_NUMBERED, O.ALLOWED) + " SELECT query_id, page_id FROM allowed")
+def number_allowed_pages(spark, sf):
+    numbered = numfilter.page_numbers(_units(spark, sf))
+    return numfilter.allowed_pages(_numbered(_asked(spark, sf)), numbered).select("query_id", "page_id")
+
+
 @_query(_with(_NUMBERED, O.POSTINGS, O.SPARSE, O.DENSE, O.FUSED, O.ALLOWED, O.PRUNED) + " " + _RANKED + " final WHERE rank <= 10")
 def number_filter_post(spark, sf):
     return _top(pipeline.search(_index(spark, sf), _numbered(_asked_with_vectors(spark, sf))))
