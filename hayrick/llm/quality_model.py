@@ -121,7 +121,8 @@ def fit(pos: np.ndarray, unl: np.ndarray, steps: int = 400, decay: float = 1e-4)
     mean, scale = unl.mean(0), unl.std(0)
     scale = np.where(scale > 1e-9, scale, 1.0)
     one = lambda x: np.concatenate([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))], 1)
-    p, u = one(pos), one(unl)
+    mixed = np.random.default_rng(0)  # halves must not follow any pattern in the rows' order
+    p, u = one(pos[mixed.permutation(len(pos))]), one(unl[mixed.permutation(len(unl))])
     half = slice(0, None, 2), slice(1, None, 2)
 
     def tell(w: np.ndarray) -> np.ndarray:

@@ -37,9 +37,9 @@ def take_mix(docs: DataFrame) -> DataFrame:
     if not ids.isEmpty():  # the id does not tell rows apart
         key = "_row"
         rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "stage-rows")
-    mixed = mixing.mix(rows, id_col=key).where("copies > 0").select(F.col("doc_id").alias(key), "copies")
+    mixed = mixing.mix(rows, id_col=key).where("copies > 0").select(F.col("doc_id").alias(key), F.col("copies").alias("_copies"))
     taken = rows.join(mixed, key)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(*docs.columns)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(*docs.columns)
 
 
 def encode(docs: DataFrame, rank_file: str) -> DataFrame:
