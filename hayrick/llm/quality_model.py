@@ -144,8 +144,8 @@ def fit(pos: np.ndarray, unl: np.ndarray, steps: int = 400, decay: float = 1e-4)
     return Model(mean, scale, w[:-1], float(w[-1]), prior)
 
 
-def _feature_rows(rows: DataFrame) -> np.ndarray:
-    """Features of a bounded sample, on the driver."""
+def _feature_rows(rows: DataFrame, most: int) -> np.ndarray:
+    """Features of a bounded sample, on the driver: at most ``most`` rows of FEATURES numbers; texts stay where they are."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -155,7 +155,7 @@ def _feature_rows(rows: DataFrame) -> np.ndarray:
                 ends = pa.array(np.arange(0, x.size + 1, FEATURES), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], names=["x"])
 
-    table = rows.select("text").mapInArrow(run, "x array<double>").toArrow()
+    table = rows.select("text").mapInArrow(run, "x array<double>").limit(most).toArrow()
     return table.column("x").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES) if table.num_rows else np.zeros((0, FEATURES))
 
 
@@ -167,10 +167,10 @@ def train(docs: DataFrame, positives: DataFrame, id_col: str = "doc_id", text_co
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     trusted = positives.toDF("doc_id").distinct()
     unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") / float(1 << 53)
-    thin = lambda df, n: df.where(unit < min(1.0, sample / max(n, 1))).limit(2 * sample)
+    thin = lambda df, n: df.where(unit < min(1.0, sample / max(n, 1)))
     picked = thin(trusted, trusted.count())
     chosen = source.join(picked, "doc_id", "left_semi")
-    return fit(_feature_rows(chosen.limit(2 * sample)), _feature_rows(thin(source, source.count())))
+    return fit(_feature_rows(chosen, 2 * sample), _feature_rows(thin(source, source.count()), 2 * sample))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
