@@ -44,6 +44,7 @@ RULES = (
     Rule("repeated_lines", "n_dup_lines", "n_lines", None, 500),
     Rule("cut_lines", "n_cut_lines", "n_lines", None, 500),
 )
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_exclaims", "n_stop_words", "n_lines", "n_dup_lines", "n_cut_lines", "n_repeat_words")
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
 
 
@@ -104,14 +105,14 @@ def _counts(text: Column) -> Column:
     return bind(F.filter(F.split(text, GAP), lambda w: w != ""), of)
 
 
-def _breaks(rule: Rule) -> Column:
-    part, whole = F.col(rule.part), F.col(rule.whole)
+def _breaks(rule: Rule, c: Column) -> Column:
+    part, whole = c[rule.part], c[rule.whole]
     broken = F.lit(False)
     if rule.low is not None:
         broken = broken | (part * 1000 < whole * rule.low)
     if rule.high is not None:
         broken = broken | (part * 1000 > whole * rule.high)
-    return (F.col("n_words") >= rule.min_words) & broken
+    return (c["n_words"] >= rule.min_words) & broken
 
 
 def judge(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -121,12 +122,16 @@ def judge(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RUL
     and fails the base rule; every row is judged by itself, so ties and repeated rows get equal verdicts; texts of
     any length are read whole; an empty table gives an empty result.
     """
-    counted = docs.withColumn("_counts", _counts(F.coalesce(F.col(text_col), F.lit(""))))
-    names = ("n_words", "word_chars", "n_symbols", "n_exclaims", "n_stop_words", "n_lines", "n_dup_lines", "n_cut_lines", "n_repeat_words")
-    counted = counted.withColumns({n: F.col(f"_counts.{n}") for n in names}).drop("_counts")
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    broken = F.filter(F.array(*[F.when(_breaks(r), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
-    return counted.withColumns({"base_failed": base, "broken": broken}).withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
+
+    def verdict(c: Column) -> Column:
+        base = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
+        broken = F.filter(F.array(*[F.when(_breaks(r, c), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
+        counts = [c[n].alias(n) for n in COUNTS]
+        return bind(broken, lambda b: F.struct(*counts, base.alias("base_failed"), b.alias("broken"), (~base & (F.size(b) == 0)).alias("kept")))
+
+    # One expression makes counts and verdict, so a filter on the verdict, wherever it is pushed, computes them once.
+    judged = docs.withColumn("_judged", bind(_counts(F.coalesce(F.col(text_col), F.lit(""))), verdict))
+    return judged.withColumns({n: F.col(f"_judged.{n}") for n in (*COUNTS, "base_failed", "broken", "kept")}).drop("_judged")
 
 
 def oracle_sql() -> str:
