@@ -85,8 +85,21 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_cover_tree_topk": TOP_K_SQL, "op5_quality_rules": quality_rules.oracle_sql()}
-
+    return {"op1_cover_tree_topk": TOP_K_SQL, "op3_odd_sketch_dedup": NEAR_DUPLICATES_SQL, "op5_quality_rules": quality_rules.oracle_sql()}
+
+
+NEAR_DUPLICATES_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+g AS (SELECT doc_id, list_distinct(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 4 THEN [array_to_string(t, ' ')]
+        ELSE list_transform(range(1, len(t) - 2), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] || ' ' || t[i + 3]) END) AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT doc_id, doc_id AS root FROM g UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id)
+SELECT g.doc_id, len(g.s)::BIGINT AS n_shingles, min(r.root) AS component_id, g.doc_id = min(r.root) AS kept
+FROM g JOIN r USING (doc_id) GROUP BY g.doc_id, g.s
+"""
 
 TOP_K_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
