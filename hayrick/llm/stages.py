@@ -19,7 +19,8 @@ def keep_one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -
     """The document with the smallest id of each group of near-duplicates; rows that repeat an id become one."""
     found = materialize(neardup.near_duplicates(docs, words, percent), "stage-groups")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # The removed ids grow with the corpus, so they are never broadcast.
+    kept = docs.hint("merge").join(gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return kept if repeated.isEmpty() else kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
 
