@@ -72,7 +72,7 @@ def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
     """Each text's sorted set of shingles, as 64-bit hashes; a text of fewer words has its whole sequence as one."""
     h, counts = word_hashes([t or "" for t in texts])
     gram = np.zeros(len(h), np.uint64)
-    for k in range(words):
+    for k in range(min(words, len(h))):  # a slice may hold fewer words than a shingle
         gram[: len(h) - k] = (gram[: len(h) - k] ^ h[k:]) * _STEP + np.uint64(k + 1) if k else h * _STEP
     gram = _mix(gram)
     stop = np.cumsum(counts)

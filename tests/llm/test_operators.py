@@ -115,6 +115,17 @@ def test_near_duplicates_equal_brute_force(spark):
     assert neardup.near_duplicates(empty_docs(spark)).count() == 0
 
 
+def test_short_texts_alone(spark):
+    for k in (4, 5):
+        for n in range(k + 1):
+            text = " ".join(f"w{i}" for i in range(n))
+            assert [len(s) for s in neardup.shingle_sets([text], k)] == [min(n, 1)]
+            (alone,) = neardup.shingle_sets([text], k)
+            assert alone.tolist() == list(neardup.shingle_sets([text, "many other words stand beside it here"], k))[0].tolist()
+    docs = spark.createDataFrame([(3, "two words")], "doc_id bigint, text string")
+    assert [tuple(r) for r in neardup.near_duplicates(docs, 4, 80).collect()] == [(3, 1, 3)]
+
+
 def test_odd_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     shared = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
