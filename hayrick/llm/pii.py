@@ -1,11 +1,13 @@
 r"""Personal data and secrets: base entities by pattern, then bootstrapped contextual extraction.
 
 Base entities (e-mail, IP, card, phone) are found by expression in every text. They and values assigned to a few
-telling words (``password=...``) are the seeds. Every other identifier-like run of letters and digits is an instance
+telling words (``password=...``) are the seeds; such a value is whole, whatever its characters and length: up to white
+space, or up to its closing quote on the line. Every identifier-like run of letters and digits is an instance
 that shares lexical patterns with the seeds: the word before it where a = or : stands between them, its first letters with its length, and its
 class of random-looking strings. Patterns and instances form a bipartite graph that Spark scores in turns: a pattern
-by the share of its instances that are believed, an instance by its best pattern. Instances of patterns that end
-above the threshold are reported with kind ``secret``.
+by the share of its instances that are believed, an instance by its best pattern. Scores never fall from one turn to
+the next and are rounded to six places, so the turns end where none changes. Assigned values and instances of patterns
+that end above the threshold are reported with kind ``secret``.
 
 Only built-in expressions are used. Positions come from splitting a text at its matches: both see the same
 leftmost non-overlapping matches, so a match starts where the lengths of all gaps and matches before it end.
@@ -18,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hayrick.llm.common import small_table
 from hayrick.llm.quality_rules import bind
 from hayrick.session import materialize
 
@@ -30,10 +33,19 @@ EXPRESSIONS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: A run of at least six ASCII letters and digits with a digit among them.
-CANDIDATE = r"(?<![A-Za-z0-9])(?=[A-Za-z]{0,64}+[0-9])[A-Za-z0-9]{6,}+"
+CANDIDATE = r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{6,}+"
 #: Words that, with = or : after them, introduce a seed.
 SEED_WORDS = ("password", "passwd", "pwd", "passphrase", "token", "secret", "apikey", "api_key", "access_key", "ssn", "iban", "passport", "credential")
-ROUNDS, CONFIDENT, SUPPORT = 3, 0.6, 5
+#: A seed word (whole, or after _) with its sign, white space and opening quote, then the value without its closing quote.
+_SIGN = r"""["']?[\x20\x09]*+(?::=|=>|[=:])[\x20\x09]*+"""
+_OPEN = r"""(?:"{3}|'{3}|["'])"""
+_AFTER = r"[,;:.)\]}>]*+(?:\s|\z)"
+ASSIGNED = (
+    rf"""(?i)(?<![A-Za-z_])(?=[A-Za-z_]++["']?[\x20\x09]*+[=:])(?:[A-Za-z_]*_)?(?:{"|".join(SEED_WORDS)}){_SIGN}"""
+    r"""(?:(?:"{3}|"(?!"))[^\r\n]+?(?=(?<!\\)")|(?:'{3}|'(?!'))[^\r\n]+?(?=(?<!\\)')"""
+    rf"""|(?!(?:""|''){_AFTER}){_OPEN}?+\S+?(?=["']++{_AFTER}|\s|\z))"""
+)
+CONFIDENT, SUPPORT = 0.6, 5
 
 _SPANS = "array<struct<start:int,end:int,value:string,left:string>>"
 
@@ -85,6 +97,18 @@ def _overlaps(span: Column, others: Column) -> Column:
     return F.exists(others, lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]))
 
 
+def assigned_spans(text: Column) -> Column:
+    """All values assigned to seed words; left holds the word and the sign."""
+
+    def value_of(s: Column) -> Column:
+        front = F.regexp_extract(s["value"], rf"^[A-Za-z_]+{_SIGN}{_OPEN}?+", 0)
+        left = F.concat(F.regexp_extract(s["value"], "^[A-Za-z_]+", 0), F.regexp_extract(s["value"], "[=:]", 0))
+        value = F.substring(s["value"], F.length(front) + 1, F.length(s["value"]))
+        return F.struct((s["start"] + F.length(front)).alias("start"), s["end"].alias("end"), value.alias("value"), left.alias("left"))
+
+    return F.transform(located(text, ASSIGNED), value_of)
+
+
 def _sign(left: Column) -> Column:
     """The last word before a value with the sign between them, white space and quotes removed."""
     return F.lower(F.regexp_replace(F.regexp_extract(left, r"""([A-Za-z_]*[\x20\x09]*[=:]?[\x20\x09]*["']?)$""", 1), r"""[\x20\x09"']""", ""))
@@ -114,30 +138,41 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     every = F.concat(*[F.col(k) for k in KINDS])
     candidates = F.filter(located(F.col("text"), CANDIDATE), lambda s: ~_overlaps(s, every))
     rows = rows.withColumn("candidates", F.when(F.col("text").rlike("[0-9]"), candidates).otherwise(F.array().cast(_SPANS)))
+    within = lambda s: F.exists(every, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
+    assigned = F.filter(assigned_spans(F.col("text")), lambda s: ~within(s))
+    rows = rows.withColumn("assigned", F.when(F.col("text").rlike("[=:]"), assigned).otherwise(F.array().cast(_SPANS)))
     rows = materialize(rows.drop("text").withColumn("row", F.monotonically_increasing_id()), "pii-found")
 
     # Instances: distinct (value, pattern) pairs; base entities and assigned values are seeds.
-    seeds = rows.select(F.explode(every).alias("s")).select("s.value", "s.left", F.lit(True).alias("seed"))
+    seeds = rows.select(F.explode(F.concat(every, F.col("assigned"))).alias("s")).select("s.value", "s.left", F.lit(True).alias("seed"))
     words = "|".join(SEED_WORDS)
     others = rows.select(F.explode("candidates").alias("s")).select("s.value", "s.left", _sign(F.col("s.left")).rlike(f"^(.*_)?({words})[=:]$").alias("seed"))
     told = seeds.unionByName(others)
     graph = materialize(
         told.withColumn("pattern", F.explode(_patterns(F.col("value"), F.col("left")))).groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "pii-graph"
     )
-    seeded = graph.groupBy("value").agg(F.max("seed").alias("seed"))
-    belief = materialize(seeded.select("value", "seed", F.col("seed").cast("double").alias("belief")), "pii-belief")
-    trusted = None
-    for _ in range(ROUNDS):
-        score = F.sum("belief") / (F.count(F.lit(1)) + F.lit(1.0))
-        trusted = graph.join(belief.select("value", "belief"), "value").groupBy("pattern").agg(score.alias("score"), F.count(F.lit(1)).alias("support"))
-        trusted = materialize(trusted.where((F.col("support") >= SUPPORT) & (F.col("score") >= CONFIDENT)), "pii-patterns")
-        best = graph.join(trusted, "pattern").groupBy("value").agg(F.max("score").alias("best"))
-        belief = belief.select("value", "seed").join(best, "value", "left")
-        belief = materialize(belief.select("value", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("belief")), "pii-belief")
-
-    known = belief.where(F.col("seed") | (F.col("belief") >= CONFIDENT)).select("value")
-    spots = rows.where(F.size("candidates") > 0).select("row", F.explode("candidates").alias("s"))
+    seeded = materialize(told.groupBy("value").agg(F.max("seed").alias("seed")), "pii-seeds")
+    # Patterns with too few instances are never trusted; values with the same other patterns are scored as one kind.
+    common = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= SUPPORT).select("pattern")
+    sets = graph.join(common, "pattern").groupBy("value").agg(F.sort_array(F.collect_set("pattern")).alias("patterns")).join(seeded, "value")
+    kinds = materialize(sets.groupBy("patterns", "seed").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.monotonically_increasing_id()), "pii-kinds")
+    links = materialize(kinds.select("kind", "seed", "n", F.explode("patterns").alias("pattern")), "pii-links")
+    trusted, before = small_table(docs.sparkSession, [], "pattern string, score double"), None
+    while True:
+        best = links.join(trusted, "pattern").groupBy("kind").agg(F.max("score").alias("best"))
+        belief = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best", F.lit(0.0)))
+        score = F.round(F.sum(F.col("n") * belief) / (F.sum("n") + F.lit(1.0)), 6)
+        trusted = materialize(links.join(best, "kind", "left").groupBy("pattern").agg(score.alias("score")).where(F.col("score") >= CONFIDENT), "pii-patterns")
+        now = trusted.agg(F.count(F.lit(1)), F.sum(F.round(F.col("score") * 1_000_000).cast("bigint"))).first()
+        if now == before:  # no score fell, so none changed
+            break
+        before = now
+
+    known = seeded.where("seed").select("value").unionByName(graph.join(trusted, "pattern", "left_semi").select("value")).distinct()
+    free = F.filter("candidates", lambda s: ~_overlaps(s, F.col("assigned")))
+    spots = rows.where(F.size("candidates") > 0).select("row", F.explode(free).alias("s"))
     spots = spots.select("row", F.col("s.value").alias("value"), F.struct("s.start", "s.end").alias("span")).join(known, "value", "left_semi")
+    spots = spots.select("row", "span").unionByName(rows.select("row", F.explode("assigned").alias("s")).select("row", F.struct("s.start", "s.end").alias("span")))
     secret = spots.groupBy("row").agg(F.sort_array(F.collect_list("span")).alias("secret"))
     bare = {k: F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS}
     none = F.array().cast("array<struct<start:int,end:int>>")
@@ -157,10 +192,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """The same rows with every found span of the text replaced by its kind in brackets.
 
     Spans of different kinds may overlap; overlapping spans become one, named by the first.
-    Other columns are kept. Texts without a digit or @ hold nothing to find and pass by; the others are written
-    with a row number by which they meet their spans.
+    Other columns are kept. Texts without a digit, @ or assigned value hold nothing to find and pass by; the others
+    are written with a row number by which they meet their spans.
     """
-    may_hold = F.coalesce(F.col(text_col).rlike("[0-9@]"), F.lit(False))
+    may_hold = F.coalesce(F.col(text_col).rlike("[0-9@]") | F.col(text_col).rlike(ASSIGNED), F.lit(False))
     rows = materialize(docs.where(may_hold).withColumn("_row", F.monotonically_increasing_id()), "pii-rows")
     spans = find_spans(rows, "_row", text_col)
 

@@ -293,6 +293,41 @@ def test_personal_data(spark):
     assert pii.find_spans(empty_docs(spark)).count() == 0
 
 
+def test_assigned_values_are_whole(spark):
+    word = "k" * 70
+    values = {
+        "see password=CorrectHorse here": "CorrectHorse",
+        "pwd=abc1 x": "abc1",
+        "user password=ab-cdef12345 x": "ab-cdef12345",
+        f"x token: {word}7{word} y": f"{word}7{word}",
+        'a secret = "two words, é \\" 🙂 9" end': 'two words, é \\" 🙂 9',
+        "{'password': 'p!'}": "p!",
+        "🙂 db_password := hunter": "hunter",
+        'passwd="unclosed value': "unclosed",
+        "(token=abc.def)": "abc.def)",
+    }
+    none = ["password is CorrectHorse", "password= \n next", 'pwd="" user="x"', "mypassword=CorrectHorse", "secret=a@b.cc"]
+    docs = spark.createDataFrame(list(enumerate([*values, *none])), "doc_id bigint, text string")
+    found = {r["doc_id"]: [tuple(s) for s in r["secret"]] for r in pii.find_spans(docs).collect()}
+    for i, (text, value) in enumerate(values.items()):
+        at = text.rindex(value)
+        assert found[i] == [(at, at + len(value))], text
+    assert all(found[len(values) + i] == [] for i in range(len(none)))
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert clean[0] == "see password=[SECRET] here" and clean[len(values) + 4] == "secret=[EMAIL]"
+
+
+def test_patterns_are_trusted_until_none_is_new(spark):
+    sizes, texts = (240, 100, 40, 16, 6), []
+    for k, n in enumerate(sizes):  # the word of each step is trusted through the values it shares with the step before
+        front, after = f"{chr(96 + k) * 3}key=" if k else "password=", f"{chr(97 + k) * 3}key="
+        values = [f"{k}{i:03d}{hashlib.md5(f'{k} {i}'.encode()).hexdigest()[:5]}a" for i in range(n)]
+        texts += [word + v for v in values for word in (front, after)]
+    texts.append(f"{chr(96 + len(sizes)) * 3}key=9999lone")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert all(len(r["secret"]) == 1 for r in pii.find_spans(docs).collect())
+
+
 # --- op9, op10
 
 
