@@ -9,6 +9,14 @@ from hayrick.llm import bpe, mixing, neardup, pii, quality_rules
 from hayrick.session import materialize
 
 
+def _ids_tell_rows_apart(docs: DataFrame) -> bool:
+    return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty()
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "stage-rows")
+
+
 def keep_good(docs: DataFrame) -> DataFrame:
     """Documents that the quality rules keep."""
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))  # no name can clash
@@ -16,13 +24,22 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; rows that repeat an id become one."""
-    found = materialize(neardup.near_duplicates(docs, words, percent), "stage-groups")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    # The removed ids grow with the corpus, so they are never broadcast.
-    kept = docs.hint("merge").join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return kept if repeated.isEmpty() else kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """The document with the smallest id of each group of near-duplicates.
+
+    Where ids repeat or are null, rows are told apart by a number: each row is linked by its own text alone, and of a
+    group's rows that share the smallest id one stays; null ids come last.
+    """
+    if _ids_tell_rows_apart(docs):
+        found = materialize(neardup.near_duplicates(docs, words, percent), "stage-groups")
+        gone = found.where("doc_id <> component_id").select("doc_id")
+        # The removed ids grow with the corpus, so they are never broadcast.
+        return docs.hint("merge").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = _numbered(docs)
+    found = neardup.near_duplicates(rows, words, percent, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    ids = rows.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row").alias("first"))
+    first = ids.hint("merge").join(found, "_row").groupBy("component_id").agg(F.min("first").alias("first"))
+    stay = materialize(first.select(F.col("first._row").alias("_row")), "stage-groups")
+    return rows.hint("merge").join(stay, "_row", "left_semi").select(*docs.columns)
 
 
 def hide_private(docs: DataFrame) -> DataFrame:
@@ -32,12 +49,7 @@ def hide_private(docs: DataFrame) -> DataFrame:
 
 def take_mix(docs: DataFrame) -> DataFrame:
     """Each document as often as the mix takes it (0, 1 or 2 times); copies are equal rows."""
-    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
-    key = "doc_id"
-    rows = docs
-    if not ids.isEmpty():  # the id does not tell rows apart
-        key = "_row"
-        rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "stage-rows")
+    key, rows = ("doc_id", docs) if _ids_tell_rows_apart(docs) else ("_row", _numbered(docs))
     mixed = mixing.mix(rows, id_col=key).where("copies > 0").select(F.col("doc_id").alias(key), F.col("copies").alias("_copies"))
     taken = rows.join(mixed, key)
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(*docs.columns)

@@ -407,3 +407,14 @@ def test_every_stage_takes_edge_cases(spark):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, "").count() >= 0, name
         assert stage(spark, empty_docs(spark), "").count() == 0, name
+
+
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    rng = random.Random(12)
+    a, b, c, d = (" ".join(f"w{rng.randint(0, 9999)}" for _ in range(60)) for _ in range(4))
+    rows = [(7, a), (7, b), (7, a + " end"), (3, b), (9, a), (None, c), (None, c + " end"), (None, d), (5, d), (8, None), (8, ""), (1, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = [(r["doc_id"], r["text"]) for r in stages.keep_one_of_each_group(docs).collect()]
+    groups = {t: [i for i, x in kept if x is not None and x.removesuffix(" end") == t] for t in (a, b, c, d, "alone")}
+    assert groups == {a: [7], b: [3], c: [None], d: [5], "alone": [1]}
+    assert len(kept) == 7
