@@ -27,7 +27,11 @@ def distinct_ranks(ranked: DataFrame) -> DataFrame:
 
 
 def per_query(queries: DataFrame, ranked: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, n_relevant, ndcg, ndcg_standard, recall, first_relevant_rank); no relevant page scores 0."""
+    """(query_id, n_relevant, ndcg, ndcg_standard, recall, first_relevant_rank) of every query.
+
+    Defined cases: a query without relevant or without ranked pages scores 0, its first relevant rank is null; relevant
+    pairs that repeat count once; pages of queries that are not asked are ignored; no queries give no rows.
+    """
     rel = relevant.select("query_id", "page_id").distinct()
     total = rel.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_relevant"))
     hits = distinct_ranks(ranked).join(rel, ["query_id", "page_id"]).where(F.col("rank") <= k)
@@ -49,6 +53,17 @@ def per_query(queries: DataFrame, ranked: DataFrame, relevant: DataFrame, k: int
     )
 
 
+def recall_at(queries: DataFrame, ranked: DataFrame, relevant: DataFrame, depths: tuple[int, ...] = (10, 50, 100)) -> DataFrame:
+    """(query_id, k, recall) at several depths; a query without relevant pages has recall 0, repeated pages count once."""
+    rel = relevant.select("query_id", "page_id").distinct()
+    total = rel.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    found = distinct_ranks(ranked).join(rel, ["query_id", "page_id"]).groupBy("query_id").agg(*[F.count(F.when(F.col("rank") <= k, 1)).alias(f"at{k}") for k in depths])
+    rows = queries.select("query_id").join(total, "query_id", "left").join(found, "query_id", "left")
+    each = F.array(*[F.struct(F.lit(k).alias("k"), F.coalesce(f"at{k}", F.lit(0)).alias("hits")) for k in depths])
+    rows = rows.select("query_id", "n", F.explode(each).alias("d"))
+    return rows.select("query_id", "d.k", F.round(F.when(F.col("n") > 0, F.col("d.hits") / F.col("n")).otherwise(F.lit(0.0)), 6).alias("recall"))
+
+
 def means(scores: DataFrame) -> DataFrame:
     """One row of means; no queries give 0."""
     return scores.agg(*[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(f"mean_{c}") for c in ("ndcg", "ndcg_standard", "recall")], F.count(F.lit(1)).alias("n_queries"))

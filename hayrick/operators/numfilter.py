@@ -27,8 +27,12 @@ def keep_allowed(scored: DataFrame, allowed: DataFrame) -> DataFrame:
 
 
 def prune(fused: DataFrame, allowed: DataFrame) -> DataFrame:
-    """After fusion: allowed pages only, unless none is left for the query; ranks close up."""
-    flagged = fused.join(allowed.select("query_id", "page_id").withColumn("_a", F.lit(1)), ["query_id", "page_id"], "left")
+    """After fusion: allowed pages only, unless none is left for the query; ranks close up.
+
+    Defined cases: a query that ``allowed`` does not name keeps its list; allowed pages that repeat count once; an
+    empty list stays empty.
+    """
+    flagged = fused.join(allowed.select("query_id", "page_id").distinct().withColumn("_a", F.lit(1)), ["query_id", "page_id"], "left")
     some = F.max("_a").over(Window.partitionBy("query_id"))
     kept = flagged.withColumn("_some", some).where("_a = 1 or _some is null")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from hayrick.config import DEFAULT, Settings
 from hayrick.functions import text as T
+from hayrick.session import materialize
+
+#: Query terms (rows of query_id and term) up to this number are sent to the postings; a row takes about 100 bytes.
+BROADCAST_ROWS = 500_000
+SALTS = 32
 
 
 def term_counts(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -37,9 +42,13 @@ def weights(counts: DataFrame, avgdl: float, settings: Settings = DEFAULT) -> Da
 
 
 def build(units: DataFrame, keys: list[str], text: str = "text", settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(terms, postings): the sparse index. Write both before querying them more than once."""
-    counts, stats = term_counts(units, keys, text), length_stats(units, text).first()
-    return vocabulary(counts, stats["n"]), weights(counts, stats["avgdl"], settings).select("term", *keys, "tf_weight")
+    """(terms, postings): the sparse index. Texts are tokenised once; the counts are written and everything else,
+    the mean length included, comes from them. ``units`` is read once more for its number of rows alone."""
+    counts = materialize(term_counts(units, keys, text), "term-counts")
+    n = units.count()
+    tokens = counts.agg(F.sum("freq")).first()[0] or 0
+    avgdl = tokens / n if n else 1.0
+    return vocabulary(counts, n), weights(counts, avgdl, settings).select("term", *keys, "tf_weight")
 
 
 def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
@@ -47,8 +56,21 @@ def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(T.tokenize(F.coalesce(F.col(text), F.lit(""))))).alias("term"))
 
 
-def scores(queries: DataFrame, terms: DataFrame, postings: DataFrame, keys: list[str], text: str = "query") -> DataFrame:
-    """(query_id, keys, score) of every unit that shares a term with the query; unknown terms match nothing."""
-    asked = query_terms(queries, text).join(terms.select("term", "idf"), "term")
-    hits = postings.join(asked, "term")
+def scores(queries: DataFrame, terms: DataFrame, postings: DataFrame, keys: list[str], text: str = "query", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(query_id, keys, score) of every unit that shares a term with the query.
+
+    Query terms go to the postings where they are counted to be few; so the postings stay where they lie and their
+    hits are summed before the shuffle. More query terms than ``broadcast_rows`` are joined by term and salt, so that
+    a term that a third of all units hold is dealt to SALTS tasks.
+
+    Defined cases: a null or empty query, and terms that no unit has, match nothing; a term that a query repeats counts
+    once; rows that repeat a query_id add up; an empty index gives an empty result.
+    """
+    asked = materialize(query_terms(queries, text), "query-terms")
+    if asked.count() <= broadcast_rows:
+        known = materialize(terms.select("term", "idf").join(F.broadcast(asked), "term"), "query-idf")
+        hits = postings.join(F.broadcast(known), "term")
+    else:
+        known = terms.select("term", "idf").join(asked, "term").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = postings.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")).join(known, ["term", "_salt"])
     return hits.groupBy("query_id", *keys).agg(F.sum(F.col("idf") * F.col("tf_weight")).alias("score"))

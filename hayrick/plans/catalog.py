@@ -17,7 +17,7 @@ from hayrick.functions import text as T
 from hayrick.operators import chunking, dense, metrics, numfilter, ranking, sparse
 from hayrick.plans import oracle as O
 from hayrick.plans import pipeline
-from hayrick.session import materialize, table
+from hayrick.session import materialize, spread, table
 from hayrick.sources import corpus
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,13 +46,14 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return spread(table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
 def _pages(spark: SparkSession, sf: str, spaced: bool = True) -> DataFrame:
     """Documents as pages; with ``spaced`` every line is a paragraph."""
     content = F.regexp_replace(F.coalesce("text", F.lit("")), "\n", "\n\n") if spaced else F.coalesce("text", F.lit(""))
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), F.concat("lang", F.lit(" "), "source").alias("title"), content.alias("content"), F.col("doc_id").alias("page_ord"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "lang", "source", "text"))
+    return docs.select(F.col("doc_id").alias("page_id"), F.concat("lang", F.lit(" "), "source").alias("title"), content.alias("content"), F.col("doc_id").alias("page_ord"))
 
 
 _SPACED = "regexp_replace(coalesce(text, ''), chr(10), chr(10) || chr(10), 'g')"
@@ -79,14 +80,9 @@ def _index(spark: SparkSession, sf: str, settings: Settings = DEFAULT) -> pipeli
 
 
 def _relevant(spark: SparkSession, sf: str) -> DataFrame:
-    """(query_id, page_id): documents that hold a passage. Candidates share the passage's first five terms."""
-    head = lambda t: F.array_join(F.slice(t, 1, 5), " ")
-    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), T.tokenize(F.col("text")).alias("t"))
-    asked = asked.select("query_id", "passage", head(F.col("t")).alias("head"))
-    docs = _docs(spark, sf).select(F.col("doc_id").alias("page_id"), "text", T.tokenize(F.col("text")).alias("t"))
-    heads = docs.select("page_id", F.explode(T.let(F.col("t"), lambda t: F.array_distinct(F.transform(t, lambda x, i: F.array_join(F.slice(t, i + 1, F.lit(5)), " "))))).alias("head"))
-    near = heads.join(asked, "head").select("query_id", "passage", "page_id")
-    return near.join(_docs(spark, sf).withColumnRenamed("doc_id", "page_id"), "page_id").where(F.col("text").contains(F.col("passage"))).select("query_id", "page_id")
+    """(query_id, page_id): documents that hold a passage."""
+    pages = _docs(spark, sf).select(F.col("doc_id").alias("page_id"), "text")
+    return pipeline.pages_with_passages(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")), pages)
 
 
 def _top(ranked: DataFrame, k: int | None = None) -> DataFrame:
@@ -116,8 +112,7 @@ def doc_term_freq(spark, sf):
 
 @_query(_with(O.POSTINGS) + " SELECT term, df, round(idf, 6) AS idf FROM terms")
 def doc_freq_idf(spark, sf):
-    docs = _docs(spark, sf)
-    return sparse.vocabulary(sparse.term_counts(docs, ["doc_id"]), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
+    return sparse.build(_docs(spark, sf), ["doc_id"])[0].select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @_query(_with(O.POSTINGS) + " SELECT n::BIGINT AS n, round(avgdl, 6) AS avgdl FROM stats")
@@ -203,6 +198,18 @@ def number_filter_pre(spark, sf):
     return _top(pipeline.sparse_leg(index, asked, numfilter.allowed_pages(asked, index.numbers)))
 
 
+@_query(
+    _with(_NUMBERED, O.DENSE, O.ALLOWED, _PRE.format(src="dense_all"), "\nranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page_id) AS rank FROM limited) ")
+    + _RANKED
+    + " ranked WHERE rank <= 100"
+)
+def number_filter_pre_dense(spark, sf):
+    """The dense leg under the filter before ranking: filtered queries are scored against their allowed pages alone."""
+    index = _index(spark, sf, Settings(filter_mode="pre"))
+    asked = _numbered(_asked_with_vectors(spark, sf))
+    return _top(pipeline.dense_leg(index, asked, numfilter.allowed_pages(asked, index.numbers)))
+
+
 # --- sentences, sections, chunks ------------------------------------------------------------------------------
 
 
@@ -222,20 +229,20 @@ def sentence_word_counts(spark, sf):
 def header_peel(spark, sf):
     content = F.regexp_replace(F.col("text"), "\n", "\n\n")
     parts = F.filter(F.transform(T.paragraphs(content), T.sentences), lambda p: F.size(p) > 0)
-    rows = _docs(spark, sf).select("doc_id", F.posexplode(parts).alias("para", "parts")).withColumn("n_body", H.body_size(F.col("parts")))
+    rows = _docs(spark, sf).select("doc_id", F.posexplode_outer(parts).alias("para", "parts")).where("para is not null").withColumn("n_body", H.body_size(F.col("parts")))
     heads = F.transform(F.slice("parts", F.col("n_body") + 1, F.size("parts") - F.col("n_body")), H.header_text)
     return rows.select("doc_id", "para", "n_body", F.size(heads).alias("n_heads"), F.array_join(heads, "|").alias("heads"))
 
 
 @_query(_with(O.sentences(_SPACED)) + " SELECT doc_id AS page_id, pos::INTEGER AS pos, wc::INTEGER AS wc, sec::INTEGER AS sec, section, forced FROM sents")
 def section_numbers(spark, sf):
-    rows = chunking.with_sentences(_pages(spark, sf)).select("page_id", "names", F.posexplode("sents").alias("pos", "s"))
+    rows = chunking.with_sentences(_pages(spark, sf)).select("page_id", "names", F.posexplode_outer("sents").alias("pos", "s")).where("pos is not null")
     return rows.select("page_id", "pos", "s.wc", "s.sec", F.get("names", F.col("s.sec")).alias("section"), "s.forced")
 
 
 @_query(_with(O.sentences(_SPACED), O.PACKED, recursive=True) + " SELECT doc_id AS page_id, seg::INTEGER AS seg, min(pos)::INTEGER AS first, (max(pos) + 1)::INTEGER AS last FROM packed GROUP BY doc_id, seg")
 def pack_segments(spark, sf):
-    rows = chunking.with_segments(_pages(spark, sf)).select("page_id", F.posexplode("segments").alias("seg", "s"))
+    rows = chunking.with_segments(_pages(spark, sf)).select("page_id", F.posexplode_outer("segments").alias("seg", "s")).where("seg is not null")
     return rows.select("page_id", "seg", F.col("s.start").alias("first"), F.col("s.end").alias("last"))
 
 
@@ -319,6 +326,19 @@ def page_rollup_blend(spark, sf):
     return _top(dense.rank_pages(_chunk_vectors(spark, sf, 5), _vector_queries(spark, sf), 100, alpha=0.25, topn=3))
 
 
+@_query(
+    _with(_VECTORS.format(per=5, roll="avg(s)"))
+    + """, titles AS (SELECT doc_id // 5 AS page_id, arg_min(lang || ' ' || source, doc_id) AS title FROM documents GROUP BY 1)
+SELECT query_id, page_id, rank::INTEGER AS rank, round(score, 6) AS score, coalesce(title, '') AS title FROM ranked LEFT JOIN titles USING (page_id) WHERE rank <= 10"""
+)
+def dense_titles(spark, sf):
+    """Ad-hoc dense ranking with scores and each page's first title; five documents stand for the chunks of a page."""
+    chunks = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 5).cast("bigint").alias("page_id"), F.concat("lang", F.lit(" "), "source").alias("title"), F.col("doc_id").alias("page_ord"), F.lit(0).alias("chunk_id"))
+    ranked = dense.rank_pages(_chunk_vectors(spark, sf, 5), _vector_queries(spark, sf), 10)
+    rows = pipeline.with_titles(ranked, chunks)
+    return rows.select("query_id", "page_id", F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"), "title")
+
+
 @_query("SELECT vec_id, round(list_dot_product(v, v), 5) AS norm2, round(v[1] / sqrt(list_dot_product(v, v)), 5) AS first FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 3) AS v FROM embeddings)")
 def l2_normalize(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 3).alias("v"))
@@ -400,6 +420,23 @@ def recall_at_k(spark, sf):
     return _scores(spark, sf).select("query_id", "recall")
 
 
+_DEPTHS = (10, 50, 100)
+
+
+@_query(
+    _FINAL
+    + ", top AS (SELECT * FROM final WHERE rank <= 100),"
+    + O.RELEVANT
+    + f""", totals AS (SELECT query_id, count(*) AS n FROM relevant GROUP BY query_id), h AS (SELECT query_id, rank FROM top JOIN relevant USING (query_id, page_id)),
+depths AS (SELECT unnest({list(_DEPTHS)}) AS k)
+SELECT item_id AS query_id, k::INTEGER AS k, round(CASE WHEN max(n) > 0 THEN count(h.rank)::DOUBLE / max(n) ELSE 0 END, 6)::DOUBLE AS recall
+FROM benchmark CROSS JOIN depths LEFT JOIN totals ON totals.query_id = item_id LEFT JOIN h ON h.query_id = item_id AND h.rank <= k GROUP BY item_id, k"""
+)
+def recall_at_depths(spark, sf):
+    """Recall at the three published depths."""
+    return metrics.recall_at(_asked(spark, sf), materialize(_search(spark, sf, 100), "ranked"), materialize(_relevant(spark, sf), "relevant"), _DEPTHS)
+
+
 @_query(_EVAL + " SELECT query_id, first_relevant_rank FROM scores")
 def first_relevant_rank(spark, sf):
     return _scores(spark, sf).select("query_id", "first_relevant_rank")
@@ -410,17 +447,26 @@ def mean_metrics(spark, sf):
     return metrics.means(_scores(spark, sf))
 
 
-@_query(
+_REPORT = (
     _EVAL
     + """, r AS (SELECT query_id, string_agg(page_id::VARCHAR, ' ' ORDER BY page_id) AS ids FROM relevant GROUP BY query_id),
 t AS (SELECT query_id, string_agg(page_id::VARCHAR, ' ' ORDER BY rank) AS ids FROM top WHERE rank <= 10 GROUP BY query_id)
 SELECT s.query_id, b.text AS query, ndcg_standard AS ndcg_at_k, first_relevant_rank, coalesce(r.ids, '') AS relevant_page_ids, coalesce(t.ids, '') AS returned
 FROM scores s JOIN benchmark b ON b.item_id = s.query_id LEFT JOIN r USING (query_id) LEFT JOIN t USING (query_id)"""
 )
+
+
+@_query(_REPORT)
 def error_report(spark, sf):
     return metrics.error_report(_asked(spark, sf), materialize(_search(spark, sf, 100), "ranked"), materialize(_relevant(spark, sf), "relevant"))
 
 
+@_query(_REPORT + " ORDER BY ndcg_at_k, s.query_id LIMIT 10")
+def worst_queries(spark, sf):
+    """The ten worst queries of the error report: the limit is the feature."""
+    return error_report(spark, sf).limit(10)
+
+
 @_query(_FINAL + ", top AS (SELECT * FROM final WHERE rank <= 10) SELECT item_id AS query_id, count(page_id) AS n, count(page_id) - count(DISTINCT page_id) AS repeated, 0::BIGINT AS missing_ids, count(page_id) >= 10 AS ok FROM benchmark LEFT JOIN top ON query_id = item_id GROUP BY item_id")
 def ranking_validate(spark, sf):
     return pipeline.check_ranking(_search(spark, sf), _asked(spark, sf))
@@ -439,10 +485,9 @@ def gt_subset(spark, sf):
 _CLEAN = "trim(regexp_replace(regexp_replace(lower(replace({x}, '_', ' ')), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
 
 
-@_query(f"SELECT doc_id, {_CLEAN.format(x='substr(text, 1, 80)')} AS title FROM documents WHERE text IS NOT NULL")
+@_query(f"SELECT doc_id, {_CLEAN.format(x="coalesce(text, '')")} AS title FROM documents")
 def clean_title(spark, sf):
-    rows = table(spark, sf, "documents").where("text is not null")
-    return rows.select("doc_id", T.clean_title(F.substring("text", 1, 80)).alias("title"))
+    return _docs(spark, sf).select("doc_id", T.clean_title(F.col("text")).alias("title"))
 
 
 @_query(

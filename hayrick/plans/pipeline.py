@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hayrick.config import DEFAULT, Settings
 from hayrick.functions import text as T
 from hayrick.operators import chunking, dense, metrics, numfilter, ranking, sparse
-from hayrick.session import materialize
+from hayrick.session import materialize, size_in_bytes
 
 
 @dataclass
@@ -23,7 +23,7 @@ class Index:
     terms: DataFrame
     postings: DataFrame
     numbers: DataFrame
-    vectors: DataFrame | None
+    vectors: DataFrame | None  # packed by page, see dense.pack
     settings: Settings
 
     def save(self, path: str) -> None:
@@ -58,27 +58,27 @@ def index_chunks(chunks: DataFrame, settings: Settings = DEFAULT, encoder: dense
     terms = materialize(terms, "index-terms")
     sizes = chunks.groupBy("page_id").agg(F.min("page_ord").alias("page_ord"), F.count(F.lit(1)).alias("n_chunks"))
     if encoder is not None:
-        vectors = materialize(dense.embed(chunks.select(*keys, "page_ord", "text"), encoder).drop("text"), "index-vectors")
+        vectors = dense.embed(chunks.select(*keys, "page_ord", "text"), encoder)
+    if vectors is not None:
+        vectors = materialize(dense.pack(vectors), "index-vectors")
     return Index(chunks, materialize(sizes, "index-pages"), terms, postings, numfilter.page_numbers(chunks), vectors, settings)
 
 
 def sparse_leg(index: Index, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """The best pages by sparse scores; pages without a match join the roll-up as chunks of score 0."""
     s = index.settings
-    scored = sparse.scores(queries, index.terms, index.postings, ["page_id", "chunk_id"])
-    rolled = ranking.roll_up(scored, index.pages, s.sparse_alpha, s.sparse_topn)
+    scored = sparse.scores(queries, index.terms, index.postings, ["page_id", "chunk_id"]).drop("chunk_id")
+    zero = ranking.zero_pages(queries, index.pages, s.sparse_depth, allowed).select("query_id", "page_id", F.lit(0.0).alias("score"))
+    rolled = ranking.roll_up(scored.unionByName(zero), index.pages, s.sparse_alpha, s.sparse_topn)
     if allowed is not None:
         rolled = numfilter.keep_allowed(rolled, allowed)
-    return ranking.rank(ranking.fill_zero(rolled, queries, index.pages, s.sparse_depth, allowed), s.sparse_depth)
+    return ranking.rank(rolled, s.sparse_depth)
 
 
 def dense_leg(index: Index, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
-    """``queries`` carries ``embedding``. Under a filter before ranking, all pages are scored so that none is missed."""
+    """``queries`` carries ``embedding``. Under a filter before ranking, a filtered query meets its allowed pages alone."""
     s = index.settings
-    asked = queries.where(F.col("embedding").isNotNull())
-    if allowed is None:
-        return dense.rank_pages(index.vectors, asked, s.dense_depth, s.dense_alpha, s.dense_topn)
-    whole = dense.rank_pages(index.vectors, asked, index.pages.count(), s.dense_alpha, s.dense_topn).drop("rank")
-    return ranking.rank(numfilter.keep_allowed(whole, allowed), s.dense_depth)
+    return dense.rank_pages(index.vectors, queries, s.dense_depth, s.dense_alpha, s.dense_topn, allowed=allowed)
 
 
 def search(index: Index, queries: DataFrame, top_k: int | None = None) -> DataFrame:
@@ -112,6 +112,47 @@ def evaluate_run(queries: DataFrame, run: Callable[[DataFrame], DataFrame], k: i
     return metrics.means(metrics.per_query(queries, ranked, relevant_pairs(queries), k))
 
 
+#: Passages that are compared with every page at a time, and rows of passages that are sent to the pages.
+PASSAGES, FEW = 1000, 100_000
+
+
+def pages_with_passages(passages: DataFrame, pages: DataFrame) -> DataFrame:
+    """(query_id, page_id): pages (page_id, text) that hold a passage (query_id, passage) letter by letter.
+
+    A passage of seven terms or more has five that are whole terms in any text around it (its second to sixth), so its
+    pages share that run of terms. The few shorter passages are compared with every page, in blocks of the query set.
+
+    Defined cases: null passages and null texts match nothing; the empty passage is in every text; passages and pages
+    that repeat give a row each.
+    """
+    run = lambda t, i: F.array_join(F.slice(t, i, F.lit(5)), " ")
+    asked = passages.where(F.col("passage").isNotNull()).withColumn("_t", T.tokenize(F.col("passage")))
+    asked = materialize(asked.select("query_id", "passage", F.when(F.size("_t") >= 7, run(F.col("_t"), F.lit(2))).alias("run")), "passages")
+    runs = pages.select("page_id", "text", F.explode(T.let(T.tokenize(F.col("text")), lambda t: F.array_distinct(F.transform(t, lambda x, i: run(t, i + 1))))).alias("run"))
+    long = asked.where("run is not null")
+    few = long.count() <= FEW
+    pairs = runs.join(F.broadcast(long), "run") if few else runs.drop("text").join(long, "run").join(pages, "page_id")
+    found = pairs.where(F.col("text").contains(F.col("passage"))).select("query_id", "page_id")
+    short = asked.where("run is null").drop("run")
+    blocks = -(-short.count() // PASSAGES)
+    for k in range(blocks):
+        part = short.where(F.pmod(F.xxhash64("query_id", "passage"), F.lit(blocks)) == k)
+        found = found.unionByName(pages.join(F.broadcast(part), F.col("text").contains(F.col("passage"))).select("query_id", "page_id"))
+    return found
+
+
+def with_titles(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``ranked`` with each page's first title in chunk order; a page without one has the empty title."""
+    first = chunks.join(ranked.select("page_id").distinct(), "page_id", "left_semi").groupBy("page_id").agg(F.min_by("title", F.struct("page_ord", "chunk_id")).alias("title"))
+    return ranked.join(first, "page_id", "left").withColumn("title", F.coalesce("title", F.lit("")))
+
+
+def dense_query(index: Index, queries: DataFrame, top_k: int = 10) -> DataFrame:
+    """(query_id, page_id, page_ord, score, rank, title) by the dense leg alone, without number filter."""
+    s = index.settings
+    return with_titles(dense.rank_pages(index.vectors, queries, top_k, s.dense_alpha, s.dense_topn), index.chunks)
+
+
 def select_subset(pages: DataFrame, relevant: DataFrame, n: int) -> DataFrame:
     """``n`` pages for development, relevant ones first, else in page order (relevant pages alone if they fill it)."""
     wanted = relevant.select("page_id").distinct().withColumn("_gt", F.lit(1))
@@ -125,11 +166,16 @@ def match_titles(questions: DataFrame, pages: DataFrame) -> DataFrame:
     return questions.withColumn("_key", key).join(known, "_key").where(F.col("page_id").isNotNull()).drop("_key")
 
 
-def stratified_sample(rows: DataFrame, by: str, of: str, per_group: int = 7, seed: int = 42) -> DataFrame:
-    """``per_group`` rows of each group, chosen by an MD5 of seed and content; smaller groups are left out."""
+def stratified_sample(rows: DataFrame, by: str, of: str, per_group: int = 7, seed: int = 42, strict: bool = False) -> DataFrame:
+    """``per_group`` rows of each group, chosen by an MD5 of seed and content.
+
+    Smaller groups are left out or, with ``strict``, fail the query. Null groups and contents count like any other value.
+    """
     mark = F.md5(F.encode(F.concat_ws(":", F.lit(str(seed)), F.col(of).cast("string")), "UTF-8"))
     place = F.row_number().over(Window.partitionBy(by).orderBy(mark, of))
     sizes = F.count(F.lit(1)).over(Window.partitionBy(by))
+    if strict:
+        sizes = F.when(sizes >= per_group, sizes).otherwise(F.raise_error(F.concat(F.lit("too few rows in group "), F.coalesce(F.col(by).cast("string"), F.lit("null")))).cast("bigint"))
     return rows.withColumns({"_n": sizes, "_r": place}).where((F.col("_n") >= per_group) & (F.col("_r") <= per_group)).drop("_n", "_r")
 
 
@@ -139,3 +185,60 @@ def check_ranking(ranked: DataFrame, queries: DataFrame, least: int = 10) -> Dat
     rows = queries.select("query_id").join(facts, "query_id", "left").fillna(0, ["n", "d", "missing_ids"])
     repeated = F.col("n") - F.col("d") - F.col("missing_ids")
     return rows.select("query_id", "n", repeated.alias("repeated"), "missing_ids", ((F.col("n") >= least) & (repeated <= 0) & (F.col("missing_ids") == 0)).alias("ok"))
+
+
+def check_index(index: Index, width: int, vector_kind: str = "float", least_bytes: int = 500) -> list[str]:
+    """What is wrong with a saved index, as sentences; none if it can be submitted.
+
+    Vectors must be arrays of ``vector_kind``, all ``width`` wide, finite and at unit length, one per chunk; every
+    table's files must hold at least ``least_bytes``.
+    """
+    wrong = []
+    if index.vectors is None:
+        wrong.append("there are no vectors")
+    else:
+        kind = index.vectors.schema["v"].dataType.elementType.elementType.simpleString()
+        if kind != vector_kind:
+            wrong.append(f"vectors hold {kind}, not {vector_kind}")
+        facts = dense.validate(index.vectors.select(F.explode("v").alias("x")), "x", width).first()
+        wrong += [f"{facts[c]} vectors: {c}" for c in ("wrong_width", "non_finite") if facts[c]]
+        if facts["max_norm_error"] is not None and facts["max_norm_error"] > 1e-3:
+            wrong.append("vectors are not at unit length")
+        if facts["n_rows"] != index.chunks.count():
+            wrong.append(f"{facts['n_rows']} vectors for {index.chunks.count()} chunks")
+    for name in ("chunks", "pages", "terms", "postings", "vectors"):
+        found = getattr(index, name)
+        if found is not None and size_in_bytes(found) < least_bytes:
+            wrong.append(f"{name} hold less than {least_bytes} bytes")
+    return wrong
+
+
+def check_results(results: list[list[int]], n_queries: int, least: int = 10) -> list[str]:
+    """What is wrong with the lists that ``run`` returned for ``n_queries`` queries."""
+    wrong = [] if len(results) == n_queries else [f"{len(results)} lists for {n_queries} queries"]
+    for i, ids in enumerate(results):
+        if len(ids) < least:
+            wrong.append(f"list {i} has {len(ids)} ids, fewer than {least}")
+        if len(set(ids)) < len(ids):
+            wrong.append(f"list {i} repeats an id")
+        if not all(type(x) is int for x in ids):
+            wrong.append(f"list {i} holds what is no whole number")
+    return wrong
+
+
+def run(index: Index, queries: list[str], encoder: dense.Encoder | None = None, top_k: int | None = None) -> list[list[int]]:
+    """Page ids for each query text, best first, in the order of ``queries``: the plain entry point.
+
+    The queries are a small list; the ids that come back are at most ``top_k`` a query. Without an encoder the sparse
+    leg ranks alone. No queries give no lists.
+    """
+    if not queries:
+        return []
+    spark = index.chunks.sparkSession
+    asked = spark.createDataFrame(list(enumerate(queries)), "query_id bigint, query string")
+    if encoder is not None:
+        asked = dense.embed(asked, encoder, "query")
+    elif index.vectors is not None:
+        asked = asked.withColumn("embedding", F.lit(None).cast("array<float>"))
+    lists = ranked_lists(search(index, asked, top_k), asked.select("query_id")).collect()
+    return [r["page_ids"] for r in sorted(lists, key=lambda r: r["query_id"])]

@@ -5,12 +5,16 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 _shipped: set[str] = set()
+_cuts: list[str] = []
+#: A table with fewer bytes than this for each core is dealt out before work that is heavy per row.
+SPREAD_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -27,20 +31,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def size_in_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's size: file sizes under a scan, the default (huge) where nothing is known."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # noqa: SLF001
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt to all cores; a large one as it is.
+
+    A Parquet file of one row group is read by one task, however many cores wait. Large tables have row groups
+    enough and are never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size_in_bytes(df) < cores * SPREAD_BYTES else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a fresh temporary folder takes its place.
+    Only where that setting is absent on a local master (tests) a fresh temporary folder takes its place; on a
+    cluster its absence is an error, since executors would each write to their own disk.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, noted so that ``temporary_cuts`` can remove it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _cuts.append(path)
+    return path
+
+
+@contextmanager
+def temporary_cuts(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end every cut that was made inside it: use results within, or write them first."""
+    before = len(_cuts)
+    try:
+        yield
+    finally:
+        gone, _cuts[before:] = _cuts[before:], []
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
+        for path in gone:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
