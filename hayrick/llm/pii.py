@@ -1,13 +1,21 @@
 r"""Personal data and secrets: base entities by pattern, then bootstrapped contextual extraction.
 
-Base entities (e-mail, IP, card, phone) are found by expression in every text. They and values assigned to a few
-telling words (``password=...``) are the seeds; such a value is whole, whatever its characters and length: up to white
-space, or up to its closing quote on the line. Every identifier-like run of letters and digits is an instance
-that shares lexical patterns with the seeds: the word before it where a = or : stands between them, its first letters with its length, and its
-class of random-looking strings. Patterns and instances form a bipartite graph that Spark scores in turns: a pattern
-by the share of its instances that are believed, an instance by its best pattern. Scores never fall from one turn to
-the next and are rounded to six places, so the turns end where none changes. Assigned values and instances of patterns
-that end above the threshold are reported with kind ``secret``.
+Base entities (e-mail, IP, card, phone) are found by expression in every text. They, and values assigned to a few
+telling words (``password=...``), are the seeds; such a value is whole, whatever its characters and length: up to white
+space, or up to its closing quote on the line. Matches of a base expression that its check rejects (and that are not part of a longer instance) are known not to be
+identifiers: they count against a pattern and are never believed. Every other run of letters and digits, with single
+separators inside or an area code in brackets, is an instance.
+
+Each occurrence has lexical patterns: the word before it with a sign (``token=``) or without one, the word after it, its
+first letters with its length, its shape, and for unbroken mixtures of letters and digits their class. Patterns and
+instances form a bipartite graph that Spark scores in turns: a pattern by the share of believed instances among all
+places where it occurs (for a word: among all its occurrences in the corpus), an instance by its best pattern. Scores
+never fall from one turn to the next and are rounded to six places, so the turns end where none changes. Instances of
+patterns that end above the threshold are reported with kind ``secret``.
+
+A quarter of the assigned values (``HELD``, by a hash of the value) take no part in the graph. How many of them the
+trusted patterns find all the same measures the recall of the discovery on every run (``recovery``); as values of a
+telling word they are reported in any case.
 
 Only built-in expressions are used. Positions come from splitting a text at its matches: both see the same
 leftmost non-overlapping matches, so a match starts where the lengths of all gaps and matches before it end.
@@ -32,8 +40,13 @@ EXPRESSIONS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A run of at least six ASCII letters and digits with a digit among them.
-CANDIDATE = r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{6,}+"
+#: A number with its area code in brackets, or a chain of ASCII letter and digit runs with a digit among them.
+CANDIDATE = (
+    r"\([0-9]{2,5}\)[\x20-]?[0-9]{2,}+(?:[\x20.-][0-9]{2,}+)*+"
+    r"|(?<![A-Za-z0-9])(?<![A-Za-z0-9][._/:-])(?=[A-Za-z._/:-]*+[0-9])[A-Za-z0-9]++(?:[._/:-][A-Za-z0-9]++)*+"
+)
+#: Shorter instances are no identifiers.
+SHORTEST = 6
 #: Words that, with = or : after them, introduce a seed.
 SEED_WORDS = ("password", "passwd", "pwd", "passphrase", "token", "secret", "apikey", "api_key", "access_key", "ssn", "iban", "passport", "credential")
 #: A seed word (whole, or after _) with its sign, white space and opening quote, then the value without its closing quote.
@@ -45,13 +58,18 @@ ASSIGNED = (
     r"""(?:(?:"{3}|"(?!"))[^\r\n]+?(?=(?<!\\)")|(?:'{3}|'(?!'))[^\r\n]+?(?=(?<!\\)')"""
     rf"""|(?!(?:""|''){_AFTER}){_OPEN}?+\S+?(?=["']++{_AFTER}|\s|\z))"""
 )
-CONFIDENT, SUPPORT = 0.6, 5
+#: Score from which a pattern is trusted.
+CONFIDENT = 0.6
+#: One assigned value in this many is held back from the graph.
+HELD = 4
+#: Of the text around a match this many characters are kept; a longer word is known by its nearer end.
+AROUND = 64
 
-_SPANS = "array<struct<start:int,end:int,value:string,left:string>>"
+_SPANS = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
 
 
 def located(text: Column, expression: str) -> Column:
-    """All matches as an array of (start, end, value, left): code points, and the 40 characters before the match."""
+    """All matches as an array of (start, end, value, left, right): code points, and the characters around the match."""
 
     def place(matches: Column, gaps: Column) -> Column:
         def step(state: Column, value: Column) -> Column:
@@ -59,7 +77,8 @@ def located(text: Column, expression: str) -> Column:
             gap = F.get(gaps, at)
             start = state["at"] + F.length(gap)
             end = start + F.length(value)
-            one = F.struct(start.alias("start"), end.alias("end"), value.alias("value"), F.right(gap, F.lit(40)).alias("left"))
+            around = F.right(gap, F.lit(AROUND)).alias("left"), F.left(F.get(gaps, at + 1), F.lit(AROUND)).alias("right")
+            one = F.struct(start.alias("start"), end.alias("end"), value.alias("value"), *around)
             return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
         empty = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
@@ -83,14 +102,17 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _checked(kind: str, good: bool) -> Column:
+    return F.filter(kind, lambda s: _valid(kind, s["value"]) == good)
+
+
 _HINT = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    """Valid matches of one base kind."""
+def base_matches(text: Column, kind: str) -> Column:
+    """All matches of one base kind, before its check."""
     hint = text.contains("@") if kind == "email" else text.rlike(_HINT[kind])
-    found = F.filter(located(text, EXPRESSIONS[kind]), lambda s: _valid(kind, s["value"]))
-    return F.when(hint, found).otherwise(F.array().cast(_SPANS))
+    return F.when(hint, located(text, EXPRESSIONS[kind])).otherwise(F.array().cast(_SPANS))
 
 
 def _overlaps(span: Column, others: Column) -> Column:
@@ -104,7 +126,7 @@ def assigned_spans(text: Column) -> Column:
         front = F.regexp_extract(s["value"], rf"^[A-Za-z_]+{_SIGN}{_OPEN}?+", 0)
         left = F.concat(F.regexp_extract(s["value"], "^[A-Za-z_]+", 0), F.regexp_extract(s["value"], "[=:]", 0))
         value = F.substring(s["value"], F.length(front) + 1, F.length(s["value"]))
-        return F.struct((s["start"] + F.length(front)).alias("start"), s["end"].alias("end"), value.alias("value"), left.alias("left"))
+        return F.struct((s["start"] + F.length(front)).alias("start"), s["end"].alias("end"), value.alias("value"), left.alias("left"), s["right"].alias("right"))
 
     return F.transform(located(text, ASSIGNED), value_of)
 
@@ -114,69 +136,139 @@ def _sign(left: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_extract(left, r"""([A-Za-z_]*[\x20\x09]*[=:]?[\x20\x09]*["']?)$""", 1), r"""[\x20\x09"']""", ""))
 
 
-def _patterns(value: Column, left: Column) -> Column:
-    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+def _patterns(value: Column, left: Column, right: Column) -> Column:
+    """The patterns of one occurrence. Those that begin with ``word`` or ``next`` also occur beside ordinary words."""
+    run = value.rlike("^[A-Za-z0-9]*[0-9][A-Za-z0-9]*$")
+    mixed = run & value.rlike("[A-Za-z]")
+    signed = _sign(left).rlike("[a-z_][=:]$")
+    before = F.lower(F.regexp_extract(left, r"([\p{L}_]{2,})[^\p{L}_]*$", 1))
+    after = F.lower(F.regexp_extract(right, r"^[^\p{L}_]*([\p{L}_]{2,})", 1))
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[0-9]", "9"), "[a-z]", "a"), "[A-Z]", "A")
+    named = lambda kind, x: F.concat(F.lit(f"{kind} "), x)
     return F.filter(
         F.array(
-            F.when(_sign(left).rlike("[a-z_][=:]$"), F.concat(F.lit("left "), _sign(left))),
-            F.when(mixed, F.concat(F.lit("head "), F.substring(value, 1, 4), F.lit(" "), F.length(value).cast("string"))),
+            F.when(signed, named("left", _sign(left))),
+            F.when(~signed & (before != ""), named("word", before)),
+            F.when(after != "", named("next", after)),
+            F.when(mixed, named("head", F.concat(F.substring(value, 1, 4), F.lit(" "), F.length(value).cast("string")))),
             F.when(mixed & (F.length(value) >= 16), F.lit("mixed, long")),
+            F.when(~mixed, named("shape", shape)),
         ),
         lambda p: p.isNotNull(),
     )
 
 
+def score_patterns(graph: DataFrame, totals: DataFrame) -> DataFrame:
+    """(pattern, score) of the patterns that end above CONFIDENT.
+
+    ``graph`` has one row per (pattern, value) with ``belief``: 1 for a seed, 0 for a known counter-example, null for an
+    instance to be judged. ``totals`` (pattern, total) has the places where word patterns occur, if more than their
+    instances. A pattern's score is the sum of beliefs over its instances, divided by its places plus 1; an instance to be
+    judged is believed as far as its best trusted pattern. Starting from no trusted pattern, the turns end at the least
+    fixed point, to six places.
+
+    Patterns that could not reach the threshold were all their instances believed are left out, which changes no
+    result; values with equal patterns and belief are scored as one kind.
+    """
+    counts = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("belief") == 0, 1)).alias("against"))
+    counts = counts.join(totals, "pattern", "left").withColumn("places", F.greatest(F.col("n"), F.coalesce("total", F.lit(0))))
+    able = materialize(counts.where((F.col("n") - F.col("against")) / (F.col("places") + 1) >= CONFIDENT).select("pattern", "places"), "pii-able")
+    sets = graph.join(able.select("pattern"), "pattern").groupBy("value", "belief").agg(F.sort_array(F.collect_set("pattern")).alias("patterns"))
+    kinds = materialize(sets.groupBy("patterns", "belief").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.monotonically_increasing_id()), "pii-kinds")
+    links = materialize(kinds.select("kind", "belief", "n", F.explode("patterns").alias("pattern")).join(able, "pattern"), "pii-links")
+    trusted, before = small_table(graph.sparkSession, [], "pattern string, score double"), None
+    while True:
+        best = links.join(trusted, "pattern").groupBy("kind").agg(F.max("score").alias("best"))
+        belief = F.coalesce("belief", "best", F.lit(0.0))
+        score = F.round(F.sum(F.col("n") * belief) / (F.max("places") + F.lit(1.0)), 6)
+        trusted = materialize(links.join(best, "kind", "left").groupBy("pattern").agg(score.alias("score")).where(F.col("score") >= CONFIDENT), "pii-patterns")
+        now = trusted.agg(F.count(F.lit(1)), F.sum(F.round(F.col("score") * 1_000_000).cast("bigint"))).first()
+        if now == before:  # no score fell, so none changed
+            return trusted
+        before = now
+
+
+def _word_totals(texts: DataFrame) -> DataFrame:
+    """(pattern, total): how often each word stands in the corpus, as a pattern of either side."""
+    words = texts.select(F.explode(F.split(F.lower("text"), r"[^\p{L}_]+")).alias("w")).where(F.length("w") >= 2)
+    sums = words.groupBy("w").agg(F.count(F.lit(1)).alias("total"))
+    return sums.select(F.explode(F.array(F.concat(F.lit("word "), "w"), F.concat(F.lit("next "), "w"))).alias("pattern"), "total")
+
+
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, email, ip, card, phone, secret): arrays of (start, end) spans of every row.
+    """(row, doc_id, email, ip, card, phone, secret, discovered): arrays of (start, end) spans of every row.
+
+    ``discovered`` has those spans of ``secret`` that patterns found: their values are no seeds.
 
     Defined cases: null or empty text has no spans; every row is searched by itself, so repeated rows get equal
     spans; other columns are ignored; an empty table gives an empty result. ``row`` numbers the rows of this result.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    rows = rows.withColumns({k: base_spans(F.col("text"), k) for k in KINDS})
-    every = F.concat(*[F.col(k) for k in KINDS])
-    candidates = F.filter(located(F.col("text"), CANDIDATE), lambda s: ~_overlaps(s, every))
+    source = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    rows = source.withColumns({k: base_matches(F.col("text"), k) for k in KINDS})
+    candidates = F.filter(located(F.col("text"), CANDIDATE), lambda s: F.length(s["value"]) >= SHORTEST)
     rows = rows.withColumn("candidates", F.when(F.col("text").rlike("[0-9]"), candidates).otherwise(F.array().cast(_SPANS)))
-    within = lambda s: F.exists(every, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
-    assigned = F.filter(assigned_spans(F.col("text")), lambda s: ~within(s))
-    rows = rows.withColumn("assigned", F.when(F.col("text").rlike("[=:]"), assigned).otherwise(F.array().cast(_SPANS)))
+    rows = rows.withColumn("assigned", F.when(F.col("text").rlike("[=:]"), assigned_spans(F.col("text"))).otherwise(F.array().cast(_SPANS)))
     rows = materialize(rows.drop("text").withColumn("row", F.monotonically_increasing_id()), "pii-found")
-
-    # Instances: distinct (value, pattern) pairs; base entities and assigned values are seeds.
-    seeds = rows.select(F.explode(F.concat(every, F.col("assigned"))).alias("s")).select("s.value", "s.left", F.lit(True).alias("seed"))
-    words = "|".join(SEED_WORDS)
-    others = rows.select(F.explode("candidates").alias("s")).select("s.value", "s.left", _sign(F.col("s.left")).rlike(f"^(.*_)?({words})[=:]$").alias("seed"))
-    told = seeds.unionByName(others)
-    graph = materialize(
-        told.withColumn("pattern", F.explode(_patterns(F.col("value"), F.col("left")))).groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "pii-graph"
+    valid = {k: _checked(k, True) for k in KINDS}
+    refused = F.concat(*[_checked(k, False) for k in KINDS])
+    every = F.concat(*[F.col(k) for k in KINDS])
+    within = lambda s, others: F.exists(others, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
+    rows = rows.withColumns({**valid, "refused": refused})
+    rows = rows.withColumns(
+        {
+            "candidates": F.filter("candidates", lambda s: ~_overlaps(s, every) & ~within(s, F.col("refused"))),
+            "assigned": F.filter("assigned", lambda s: ~within(s, every)),
+        }
     )
-    seeded = materialize(told.groupBy("value").agg(F.max("seed").alias("seed")), "pii-seeds")
-    # Patterns with too few instances are never trusted; values with the same other patterns are scored as one kind.
-    common = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= SUPPORT).select("pattern")
-    sets = graph.join(common, "pattern").groupBy("value").agg(F.sort_array(F.collect_set("pattern")).alias("patterns")).join(seeded, "value")
-    kinds = materialize(sets.groupBy("patterns", "seed").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.monotonically_increasing_id()), "pii-kinds")
-    links = materialize(kinds.select("kind", "seed", "n", F.explode("patterns").alias("pattern")), "pii-links")
-    trusted, before = small_table(docs.sparkSession, [], "pattern string, score double"), None
-    while True:
-        best = links.join(trusted, "pattern").groupBy("kind").agg(F.max("score").alias("best"))
-        belief = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best", F.lit(0.0)))
-        score = F.round(F.sum(F.col("n") * belief) / (F.sum("n") + F.lit(1.0)), 6)
-        trusted = materialize(links.join(best, "kind", "left").groupBy("pattern").agg(score.alias("score")).where(F.col("score") >= CONFIDENT), "pii-patterns")
-        now = trusted.agg(F.count(F.lit(1)), F.sum(F.round(F.col("score") * 1_000_000).cast("bigint"))).first()
-        if now == before:  # no score fell, so none changed
-            break
-        before = now
+    # A refused match inside a longer instance is no counter-example, but a part of that.
+    rows = materialize(rows.withColumn("refused", F.filter("refused", lambda s: ~within(s, F.concat("candidates", "assigned")))), "pii-checked")
 
-    known = seeded.where("seed").select("value").unionByName(graph.join(trusted, "pattern", "left_semi").select("value")).distinct()
+    # One row per (pattern, value). A value is a seed if it is one anywhere; held-back values have no rows.
+    held = F.pmod(F.xxhash64("value"), F.lit(HELD)) == 0
+    words = "|".join(SEED_WORDS)
+    told = lambda spans, belief: rows.select(F.explode(spans).alias("s")).select("s.value", "s.left", "s.right", belief.cast("double").alias("belief"))
+    others = told(F.col("candidates"), F.lit(None))
+    others = others.withColumn("belief", F.when(_sign(F.col("left")).rlike(f"^(.*_)?({words})[=:]$"), 1.0))
+    seen = told(every, F.lit(2.0)).unionByName(told(F.col("assigned"), F.lit(1.0))).unionByName(told(F.col("refused"), F.lit(-1.0))).unionByName(others)
+    # belief here: 2 a base entity, 1 an assigned value, null an instance, -1 a refused match.
+    seen = materialize(seen.withColumn("pattern", F.explode(_patterns(F.col("value"), F.col("left"), F.col("right")))).groupBy("pattern", "value").agg(F.max("belief").alias("belief")), "pii-graph")
+    standing = seen.groupBy("value").agg(F.max("belief").alias("standing"))
+    graph = seen.select("pattern", "value").join(standing, "value")
+    away = F.coalesce((F.col("standing") == 1) & held, F.lit(False))
+    belief = F.when(F.col("standing") > 0, 1.0).when(F.col("standing") < 0, 0.0)
+    shown = graph.where(~away).select("pattern", "value", belief.alias("belief"))
+    trusted = materialize(score_patterns(shown, _word_totals(source)), "pii-trusted")
+
+    reached = graph.join(trusted, "pattern", "left_semi").select("value").distinct().withColumn("reached", F.lit(True))
+    known = standing.join(reached, "value", "left").where((F.col("standing") == 1) | ((F.col("standing").isNull()) & F.col("reached")))
+    by_pattern = F.coalesce("reached", F.lit(False)) & (F.col("standing").isNull() | held)
+    known = materialize(known.select("value", by_pattern.alias("found")), "pii-values")
     free = F.filter("candidates", lambda s: ~_overlaps(s, F.col("assigned")))
-    spots = rows.where(F.size("candidates") > 0).select("row", F.explode(free).alias("s"))
-    spots = spots.select("row", F.col("s.value").alias("value"), F.struct("s.start", "s.end").alias("span")).join(known, "value", "left_semi")
-    spots = spots.select("row", "span").unionByName(rows.select("row", F.explode("assigned").alias("s")).select("row", F.struct("s.start", "s.end").alias("span")))
-    secret = spots.groupBy("row").agg(F.sort_array(F.collect_list("span")).alias("secret"))
+    spots = rows.select("row", F.explode(F.concat(free, F.col("assigned"))).alias("s"))
+    spots = spots.select("row", F.col("s.value").alias("value"), F.struct("s.start", "s.end").alias("span")).join(known, "value")
+    secret = spots.groupBy("row").agg(F.sort_array(F.collect_list("span")).alias("secret"), F.sort_array(F.collect_list(F.when(F.col("found"), F.col("span")))).alias("discovered"))
     bare = {k: F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS}
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return rows.join(secret, "row", "left").select("row", "doc_id", *[bare[k].alias(k) for k in KINDS], F.coalesce("secret", none).alias("secret"))
+    lists = [F.coalesce(c, none).alias(c) for c in ("secret", "discovered")]
+    return rows.join(secret, "row", "left").select("row", "doc_id", *[bare[k].alias(k) for k in KINDS], *lists)
+
+
+def recovery(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of counts that tell how well patterns find what they were not shown: ``secrets``, ``shown`` (spans of seeds)
+    and ``discovered`` (the others, which patterns found), ``missed`` (spans of values held back that no pattern found)."""
+    found = find_spans(docs, id_col, text_col)
+    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    value = F.expr("substring(text, s.start + 1, s.end - s.start)")
+    spans = found.join(text, "doc_id").select("text", "discovered", F.explode("secret").alias("s"))
+    held = F.pmod(F.xxhash64(value), F.lit(HELD)) == 0
+    hit = F.array_contains("discovered", F.col("s"))
+    return spans.select(hit.alias("hit"), held.alias("held")).agg(
+        F.count(F.lit(1)).alias("secrets"),
+        F.count(F.when(~F.col("hit") & ~F.col("held"), 1)).alias("shown"),
+        F.count(F.when(F.col("hit"), 1)).alias("discovered"),
+        F.count(F.when(~F.col("hit") & F.col("held"), 1)).alias("missed"),
+    )
 
 
 def listed(kinds: tuple[str, ...]) -> Column:

@@ -51,7 +51,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf_dir, "documents"))
     counts = [F.size(k).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(F.encode(pii.listed(pii.KINDS), "UTF-8"), 256).alias("base_sha256"), pii.listed((*pii.KINDS, "secret")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(F.encode(pii.listed(pii.KINDS), "UTF-8"), 256).alias("base_sha256"), pii.listed((*pii.KINDS, "secret")).alias("spans"), F.size("discovered").cast("bigint").alias("n_discovered"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
