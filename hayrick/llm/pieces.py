@@ -8,6 +8,7 @@ their composition table gives the state before every character at once, and with
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections.abc import Callable
@@ -175,7 +176,8 @@ class PieceCache:
     """Ids of pieces by their bytes: an open-addressing table over 64-bit hashes, each hit compared byte by byte.
 
     ``encode_new`` gets unseen pieces (bytes) and returns (ids of all of them, number of ids of each). The table
-    starts afresh when it holds ``most`` pieces, so a worker's memory is bounded.
+    starts afresh when it would hold more than ``most`` pieces, so a worker's memory is bounded, and a text of more pieces
+    than that is looked up part by part. Slots are at least 2.4 times the pieces, so a free one is always found.
     """
 
     def __init__(self, encode_new: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 1_200_000):
@@ -230,6 +232,11 @@ class PieceCache:
         """(ids of all pieces in order, number of ids of each piece); pieces tile ``data`` from ``starts``."""
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if len(starts) > self.most:  # more pieces than the table may hold: part by part
+            edges = [*range(0, len(starts), self.most), len(starts)]
+            ends = np.append(starts, len(data))
+            parts = [self.lookup(data[starts[a] : ends[b]], starts[a:b] - starts[a]) for a, b in zip(edges, edges[1:])]
+            return tuple(np.concatenate(x) for x in zip(*parts))
         lengths = np.diff(starts, append=len(data))
         pos = np.arange(len(data)) - np.repeat(starts, lengths)
         h = self._hash(data, starts, lengths, pos)
@@ -289,6 +296,28 @@ def encode_texts(texts: list[str | None], cache: PieceCache) -> tuple[np.ndarray
     return ids, np.diff(upto[edge]), start, counts
 
 
+def encode_around(texts: list[str | None], cache: PieceCache, strings: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, ids per text) where each of ``strings`` inside a text stands for its one id; the longest string wins."""
+    if not strings or not any(x in t for t in texts if t for x in strings):
+        return encode_texts(texts, cache)[:2]
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(strings, key=len, reverse=True))) + ")")
+    parts = [cut.split(t or "") for t in texts]  # plain text at even places, strings at odd ones
+    ids, counts, _, _ = encode_texts([x for p in parts for x in p[::2]], cache)
+    stop = np.cumsum(counts)
+    out, per_text, k = [], [], 0
+    for p in parts:
+        own = []
+        for i, x in enumerate(p):
+            if i % 2:
+                own.append(np.array([strings[x]], np.uint32))
+            else:
+                own.append(ids[stop[k] - counts[k] : stop[k]])
+                k += 1
+        out += own
+        per_text.append(sum(map(len, own)))
+    return np.concatenate(out), np.array(per_text, np.int64)
+
+
 def batches(texts: list[str | None], most_chars: int = 1 << 18):
     """Slices [a, b) of a list of texts, each of about ``most_chars`` characters (a longer text stands alone)."""
     a = total = 0

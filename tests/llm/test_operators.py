@@ -418,3 +418,57 @@ def test_near_duplicates_with_repeated_and_null_ids(spark):
     groups = {t: [i for i, x in kept if x is not None and x.removesuffix(" end") == t] for t in (a, b, c, d, "alone")}
     assert groups == {a: [7], b: [3], c: [None], d: [5], "alone": [1]}
     assert len(kept) == 7
+
+
+# --- caches smaller than a text, special strings, indexes
+
+
+def test_a_text_of_more_pieces_than_the_cache_holds(spark, monkeypatch):
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    text = " ".join(f"w{rng.randint(0, 99999)}é" for _ in range(3000))
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    ids, counts, _, _ = pieces.encode_texts([text, "short", text], pieces.PieceCache(bpe.RankMerger(bpe.read_ranks(path)), most=100))
+    assert ids.tolist() == own.encode_ordinary(text) + own.encode_ordinary("short") + own.encode_ordinary(text)
+    assert counts.tolist() == [len(own.encode_ordinary(t)) for t in (text, "short", text)]
+    monkeypatch.setattr(records, "CACHED", 100)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    cache, _ = records._cache.__wrapped__(path, "text")  # noqa: SLF001
+    ids, _ = pieces.encode_around([text], cache, {})
+    assert ids.tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("specials", ["text", "ids"])
+def test_special_strings(spark, specials):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)  # as loaded, a special token's string is its id
+    plain.encode_special_tokens = specials == "text"
+    texts = ["<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>c", "<|endoftext|", "it's <|endoftext|>'s  \n", "", None, "none here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    rows = records.read_records(records.write_records(docs, path, end_id=2, specials=specials)).orderBy("start").collect()
+    assert [list(np.frombuffer(r["ids_le32"], "<u4")) for r in rows] == [[*plain.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_indexes_and_orphans(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 7)) for i in range(60)], "doc_id bigint, text string").repartition(3)
+    manifest = records.write_records(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, uri=f"file://{tmp_path}/set")
+    rows = {r["doc_id"]: (r["start"], bytes(r["ids_le32"])) for r in records.read_records(manifest).collect()}
+    assert {r["doc_id"]: (r["start"], bytes(r["ids_le32"])) for r in records.read_shuffled(manifest, seed=1, partitions=2).collect()} == rows
+    assert list(rows) == sorted(rows) or len(rows) == 60
+    (tmp_path / "set" / "part-00000-dead.rec").write_bytes(b"half")
+    assert records.remove_orphans(manifest) == 1
+    assert records.read_records(manifest).count() == 60
+    index = next((tmp_path / "set").glob("*.idx"))
+    good = index.read_bytes()
+    for bad in (good[:-8], good[:16] + bytes([good[16] ^ 1]) + good[17:], good[:24] + bytes([good[24] ^ 1]) + good[25:]):
+        index.write_bytes(bad)
+        with pytest.raises(Exception, match="index|damaged"):
+            records.read_records(manifest).collect()
+    index.unlink()
+    with pytest.raises(Exception, match=index.name):
+        records.read_records(manifest).collect()
