@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hayrick.session import materialize
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -50,6 +52,25 @@ def water_fill(df: DataFrame, total: Column, cap: Column, weight: Column, by: li
     )
 
 
+def ranks(values: DataFrame, col: str) -> DataFrame:
+    """(col, rank): the place of every distinct value in their order, from 0; null has none.
+
+    Values are dealt by range and sorted within their range; each range is shifted by the number of values before it,
+    so that no task sees them all.
+    """
+    placed = values.select(col).where(F.col(col).isNotNull()).distinct().repartitionByRange(col).sortWithinPartitions(col)
+    placed = materialize(placed.select(col, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("m")), "ranks")
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("low"))  # a row per range
+    before = F.sum("n").over(Window.orderBy("part")) - F.col("n")
+    return placed.join(F.broadcast(sizes.select("part", "low", before.alias("before"))), "part").select(col, (F.col("before") + F.col("m") - F.col("low")).cast("double").alias("rank"))
+
+
+def few(df: DataFrame, col: str, rows: int = 100_000, most_bytes: int = 16 << 20) -> bool:
+    """Whether a table of strings is small enough to be sent to every task."""
+    n, size = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(col))).first()
+    return n <= rows and (size or 0) <= most_bytes
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A few rows that the driver knows, as a DataFrame made inside the JVM (no Python worker is started)."""
     fields = T._parse_datatype_string(schema)

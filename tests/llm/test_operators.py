@@ -472,3 +472,39 @@ def test_indexes_and_orphans(spark, tmp_path):
     index.unlink()
     with pytest.raises(Exception, match=index.name):
         records.read_records(manifest).collect()
+
+
+# --- shards: groups and cuts
+
+
+def test_equal_texts_stay_together_where_a_shard_has_room(spark):
+    rng = random.Random(11)
+    texts = [f"text {rng.random()} " * rng.randint(1, 9) for _ in range(600)]
+    texts += ["heavy but whole " * 10] * 40 + ["half a shard " * 20] * 12 + ["more than a shard " * 8] * 90 + ["few copies"] * 5
+    rows = [(i, t, rng.choice(["english", "englisch", None]), rng.choice(["source of texts a", "source of texts b"])) for i, t in enumerate(texts)]
+    got = sharding.kd_shards(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), 8).collect()
+    share, total, shards = sum(r["size"] for r in got) / 8, [0] * 8, {}
+    for r in got:
+        total[r["shard"]] += r["size"]
+        shards.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+    for t, where in shards.items():
+        assert len(where) == 1 or texts.count(t) * (len(t) + 1) > share, t[:20]
+    assert len(shards["more than a shard " * 8]) > 1 and len(shards["few copies"]) == 1
+    assert max(total) - min(total) <= 0.02 * share + max(r["size"] for r in got)
+
+
+def test_cuts_follow_the_widest_dimension(spark):
+    rng = random.Random(12)
+    sizes = rng.sample(range(10, 4000), 500)
+    rows = [(i, "x" * n, "en", "s") for i, n in enumerate(sizes)]
+    got = sharding.kd_shards(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), 4).collect()
+    by = [sorted(r["size"] for r in got if r["shard"] == s) for s in range(4)]
+    assert all(a[-1] < b[0] for a, b in zip(by, by[1:]))  # intervals of one dimension, in order
+    order, upto = sorted(n + 1 for n in sizes), 0
+    for s in range(3):  # each cut is the weighted quantile, up to one row
+        upto += sum(by[s])
+        assert abs(upto - sum(order) * (s + 1) / 4) <= order[-1]
+    rows = [(i, f"{i:04d}", "en", f"one long common prefix {i % 40:02d}") for i in range(400)]
+    got = sharding.kd_shards(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), 4).collect()
+    names = [{rows[r["doc_id"]][3] for r in got if r["shard"] == s} for s in range(4)]
+    assert [len(x) for x in names] == [10, 10, 10, 10] and all(max(a) < min(b) for a, b in zip(names, names[1:]))
