@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hayrick.llm.textarrays import LETTER, LOWER, UPPER, Texts, classes
+from hayrick.llm.textarrays import LETTER, LOWER, UPPER, Texts, classes, letters
 from hayrick.llm.pieces import batches
 
 BUCKETS = 1 << 16
@@ -58,6 +58,12 @@ def words_of(texts: list[str | None]) -> tuple[Texts, Words]:
     cls = classes()[t.cp]
     letter = (cls == LOWER) | (cls == UPPER) | (cls == LETTER)
     start, end = t.runs(letter)
+    # Runs of combining marks alone are no words.
+    upto = np.concatenate([[0], np.cumsum(letters()[t.cp], dtype=np.int64)])
+    real = upto[end] > upto[start]
+    for a, b in zip(start[~real].tolist(), end[~real].tolist(), strict=True):
+        letter[a:b] = False
+    start, end = start[real], end[real]
     cp = t.cp.astype(np.uint64)
     before, after = np.roll(cp, 1), np.roll(cp, -1)
     before[start] = 0
@@ -80,7 +86,9 @@ class Model:
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Counts trigrams and scripts by language over all rows with a language.
 
-    Partitions add up their texts first, so at most (BUCKETS + scripts) * languages rows leave each of them.
+    Partitions add up their texts first, so at most (BUCKETS + scripts) * languages rows leave each of them. Defined
+    cases: rows with a null language, and null or empty texts, teach nothing; repeated rows count each; ids are not
+    used; an empty table gives a model without languages; more than MOST_LANGUAGES languages fail.
     """
     source = docs.where(F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
 
@@ -161,7 +169,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """(doc_id, lang_pred, score, spans) of every row; spans are (start, end, lang) in code points.
 
     score is the share of letters in spans of the predicted language. Defined cases: null text, or text without a
-    letter, is ``und`` with score 0 and no spans; equal shares go to the first language by name; a word whose
+    letter (combining marks alone are none), is ``und`` with score 0 and no spans; equal shares go to the first language by name; a word whose
     script no language uses fits all alike; with no languages learned everything is ``und``; other columns are
     ignored; an empty table gives an empty result.
     """
@@ -171,44 +179,41 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     packed = spark.sparkContext.broadcast(pickle.dumps((model.languages, model.score, model.candidate)))
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
 
+    def label(ids: pa.Array, texts: list[str | None], languages: list[str], table: np.ndarray, candidate: np.ndarray) -> pa.RecordBatch:
+        many, names = len(languages), ["doc_id", "lang_pred", "score", "spans"]
+        t, w = words_of(texts)
+        if not many or not len(w.start):
+            none = pa.array([[]] * len(texts), pa.list_(span))
+            return pa.RecordBatch.from_arrays([ids, pa.array(["und"] * len(texts)), pa.array([0.0] * len(texts)), none], names=names)
+        length = w.end - w.start
+        first = np.cumsum(length) - length
+        points = np.empty((len(w.start), many), np.float32)
+        for j in range(many):
+            points[:, j] = np.add.reduceat(table[:, j][w.gram], first)
+        fits = candidate[w.script]
+        fits = fits | ~fits.any(1, keepdims=True)
+        points = np.where(fits, points, np.float32(-1e6))
+        shift = np.repeat(t.begin, w.per_text)
+        start, end = w.start - shift, w.end - shift
+        best = viterbi(points, w.per_text, switch)
+        doc = np.repeat(np.arange(len(texts)), w.per_text)
+        share = np.bincount(doc * many + best, weights=length, minlength=len(texts) * many).reshape(len(texts), many)
+        total = share.sum(1)
+        pred = share.argmax(1)
+        score = share[np.arange(len(texts)), pred] / np.maximum(total, 1)
+        cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (best[1:] != best[:-1])]))
+        stop = np.append(cut[1:], len(doc))
+        flat = pa.StructArray.from_arrays([pa.array(start[cut].astype(np.int32)), pa.array(end[stop - 1].astype(np.int32)), pa.array(languages).take(pa.array(best[cut].astype(np.int32)))], fields=list(span))
+        edges = np.concatenate([[0], np.cumsum(np.bincount(doc[cut], minlength=len(texts)))]).astype(np.int32)
+        guess = [languages[p] if n else "und" for p, n in zip(pred.tolist(), total.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([ids, pa.array(guess, pa.string()), pa.array(score), pa.ListArray.from_arrays(pa.array(edges), flat)], names=names)
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, table, candidate = pickle.loads(packed.value)
-        many = len(languages)
         for batch in it:
             texts = batch.column(1).to_pylist()
-            if not many:
-                none = pa.array([[]] * len(texts), pa.list_(span))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(["und"] * len(texts)), pa.array([0.0] * len(texts)), none], names=["doc_id", "lang_pred", "score", "spans"])
-                continue
-            parts = []
-            for a, b in batches(texts):
-                t, w = words_of(texts[a:b])
-                if len(w.start):
-                    length = w.end - w.start
-                    first = np.cumsum(length) - length
-                    points = np.empty((len(w.start), many), np.float32)
-                    for j in range(many):
-                        points[:, j] = np.add.reduceat(table[:, j][w.gram], first)
-                    fits = candidate[w.script]
-                    fits = fits | ~fits.any(1, keepdims=True)
-                    points = np.where(fits, points, np.float32(-1e6))
-                else:
-                    points = np.zeros((0, many), np.float32)
-                parts.append((points, w.per_text, w.start - np.repeat(t.begin, w.per_text), w.end - np.repeat(t.begin, w.per_text)))
-            points, per_text, start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
-            label = viterbi(points, per_text, switch)
-            doc = np.repeat(np.arange(len(texts)), per_text)
-            letters = np.bincount(doc * many + label, weights=end - start, minlength=len(texts) * many).reshape(len(texts), many)
-            total = letters.sum(1)
-            pred = letters.argmax(1)
-            share = letters[np.arange(len(texts)), pred] / np.maximum(total, 1)
-            cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (label[1:] != label[:-1])])) if len(doc) else np.zeros(0, np.int64)
-            stop = np.append(cut[1:], len(doc))
-            names = pa.array(languages)
-            flat = pa.StructArray.from_arrays([pa.array(start[cut].astype(np.int32)), pa.array(end[stop - 1].astype(np.int32) if len(cut) else np.zeros(0, np.int32)), names.take(pa.array(label[cut].astype(np.int32)))], fields=list(span))
-            edges = np.concatenate([[0], np.cumsum(np.bincount(doc[cut], minlength=len(texts)))]).astype(np.int32)
-            guess = [languages[p] if n else "und" for p, n in zip(pred.tolist(), total.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(guess, pa.string()), pa.array(share), pa.ListArray.from_arrays(pa.array(edges), flat)], names=["doc_id", "lang_pred", "score", "spans"])
+            for a, b in batches(texts):  # a slice at a time: its words times the languages are in memory
+                yield label(batch.column(0).slice(a, b - a), texts[a:b], languages, table, candidate)
 
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")

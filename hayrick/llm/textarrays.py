@@ -41,6 +41,12 @@ def classes() -> np.ndarray:
     return np.fromiter(map(_class_of, range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
 
 
+@lru_cache(1)
+def letters() -> np.ndarray:
+    """Whether a code point is a letter proper, not a combining mark."""
+    return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
 @dataclass
 class Texts:
     cp: np.ndarray  # code points of all texts

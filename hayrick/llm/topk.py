@@ -27,7 +27,7 @@ from hayrick.session import materialize
 #: Vectors of one candidate block and of one query block.
 BLOCK, QUERY_BLOCK = 4096, 4096
 #: The pivots come from at most SAMPLE vectors, and there are at most PIVOTS of them.
-SAMPLE, PIVOTS = 8192, 256
+SAMPLE, PIVOTS = 16384, 512
 BASE, LEAF, SPREAD = 1.5, 32, 8
 #: Points of candidate leaves that are compared with a query leaf at a time.
 GATHER = 2048
@@ -229,31 +229,80 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) ->
     return rows.where(F.coalesce(fine, F.lit(False))).select("vec_id", F.transform("x", lambda x: F.floor(F.lit(scale) * x).cast("bigint")).alias("v"))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _tour(points: np.ndarray) -> list[int]:
+    """The rows of ``points`` in an order in which neighbours lie near: always on to the nearest one left."""
+    left, at = list(range(1, len(points))), [0] if len(points) else []
+    while left:
+        near = ((points[left] - points[at[-1]]) ** 2).sum(1).argmin()
+        at.append(left.pop(int(near)))
+    return at
+
+
+def query_blocks(cells: list[tuple[int, int]], size: int) -> dict[int, tuple[int, int]]:
+    """(first block, number of blocks) of every query cell, given cells in order with their numbers of queries.
+
+    A cell of more than ``size`` queries has blocks of its own; smaller ones share a block up to ``size``.
+    """
+    out, block, fill = {}, -1, size
+    for cell, n in cells:
+        if n > size:
+            out[cell] = (block + 1, -(-n // size))
+            block, fill = block + out[cell][1], size
+        else:
+            if fill + n > size:
+                block, fill = block + 1, 0
+            fill += n
+            out[cell] = (block, 1)
+    return out
+
+
+def open_cells(pivots: np.ndarray, cells: np.ndarray, radius: np.ndarray, asking: np.ndarray, reach: np.ndarray, worst: np.ndarray) -> np.ndarray:
+    """(len(asking), len(cells)) of bool: whether a candidate of the cell can reach the query cell's worst k-th score.
+
+    ``radius`` are the covering radii of the candidates of ``cells``, ``reach`` those of the queries of ``asking``.
+    """
+    norm = np.sqrt((pivots * pivots).sum(1))
+    bound = pivots[asking] @ pivots[cells].T + norm[asking][:, None] * radius + reach[:, None] * (norm[cells] + radius) + 1e-3
+    return bound >= worst[:, None]
+
+
+def top_k(
+    vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding",
+    block: int = BLOCK, query_block: int = QUERY_BLOCK, most_pivots: int = PIVOTS, seen: dict | None = None,
+) -> DataFrame:
     """Each query's k best other vectors by integer inner product: query_id, rank (from 1), vec_id, score.
 
-    ``is_query`` is a condition on vec_id. Defined cases: vectors that are null or hold null or non-finite
-    components take no part; shorter vectors are padded with zeros; ties go to the smaller vec_id; rows that repeat
-    a vec_id count once, with the best of their scores (a query: one of its rows); a query without others has no
-    rows; other columns are ignored; an empty table gives an empty result.
+    ``is_query`` is a condition on vec_id. Blocks hold about ``block`` candidates and ``query_block`` queries; there is a
+    pivot for every ``block`` vectors, up to ``most_pivots``. ``seen``, if given, takes the numbers of pivots, of query
+    blocks and of (query, candidate) pairs in all and in the tiles that were left open.
+
+    Defined cases: vectors that are null or hold null or non-finite components take no part; shorter vectors are padded
+    with zeros; ties go to the smaller vec_id; rows that repeat a vec_id count once, with the best of their scores (a
+    query: one of its rows); a query without others has no rows; other columns are ignored; an empty table gives an
+    empty result.
     """
     spark = vectors.sparkSession
     rows = quantised(vectors, id_col, vector_col, scale).withColumn("is_query", is_query)
     rows = materialize(rows, "topk-vectors")
-    shape = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("is_query"), 1)), F.max(F.size("v"))).first()
-    total, asked, width = shape[0], shape[1], shape[2] or 0
-    count = max(1, min(PIVOTS, total // BLOCK))
+    total, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    width = max(width or 0, 1)
     unit = F.shiftrightunsigned(F.xxhash64("vec_id", F.lit(3)), 11).cast("double") / float(1 << 53)
     sample = rows.where(unit < min(1.0, SAMPLE / max(total, 1))).select("v").limit(2 * SAMPLE).toPandas()
-    pivots = _pivots(_matrix(sample["v"], max(width, 1)), count) if len(sample) else np.zeros((1, max(width, 1)))
+    pivots = _pivots(_matrix(sample["v"], width), max(1, min(most_pivots, total // block))) if len(sample) else np.zeros((1, width))
 
     rows = materialize(_assign(rows, pivots), "topk-cells")
-    by_cell = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("r"), F.max(F.when(F.col("is_query"), F.col("dist"))).alias("rq")).collect()
-    cells = small_table(spark, [(c["cell"], -(-c["n"] // BLOCK)) for c in by_cell], "cell int, blocks int")
-    query_blocks = max(1, -(-asked // QUERY_BLOCK))
-    points = rows.join(F.broadcast(cells), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    asks = F.col("is_query")
+    by_cell = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("r"), F.count(F.when(asks, 1)).alias("nq"), F.max(F.when(asks, F.col("dist"))).alias("rq")).toPandas()  # a row per pivot
+    cells, sizes = by_cell["cell"].to_numpy(), by_cell["n"].to_numpy()
+    blocks = -(-sizes // block)
+    asking = np.flatnonzero(by_cell["nq"].to_numpy() > 0)
+    asking = asking[_tour(pivots[cells[asking]])]
+    dealt = query_blocks([(int(cells[i]), int(by_cell["nq"][i])) for i in asking], query_block)
+    shape = small_table(spark, [(int(c), int(b)) for c, b in zip(cells, blocks, strict=True)], "cell int, blocks int")
+    points = rows.join(F.broadcast(shape), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     points = points.select("vec_id", "v", "cell", "block")
-    queries = rows.where("is_query").withColumn("qblock", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int"))
+    own = small_table(spark, [(c, a, n) for c, (a, n) in dealt.items()], "cell int, first int, parts int")
+    queries = rows.where("is_query").join(F.broadcast(own), "cell").withColumn("qblock", (F.col("first") + F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("parts"))).cast("int"))
 
     def search(asked_for: DataFrame, among: DataFrame) -> DataFrame:
         keys = ["cell", "block", "qblock"]
@@ -263,25 +312,28 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
         order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
         return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    spread = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
+    def copied(some: DataFrame, to: list[tuple[int, int, int]]) -> DataFrame:
+        """Candidates of a cell once for every query block of the ranges (cell, first, parts); at most PIVOTS^2 ranges."""
+        table = spark.createDataFrame(pd.DataFrame(to, columns=["cell", "first", "parts"]).astype("int32"), "cell int, first int, parts int")
+        spread = F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1))
+        return some.join(F.broadcast(table), "cell").select("vec_id", "v", "cell", "block", spread.alias("qblock"))
+
     # First pass: each query against block 0 of its own cell gives k-th scores to start from.
     near = queries.select("vec_id", "v", "cell", F.lit(0).alias("block"), "qblock", F.lit(-math.inf).alias("floor"))
-    first = search(near, points.where("block = 0").withColumn("qblock", spread))
+    first = search(near, copied(points.where("block = 0"), [(c, a, n) for c, (a, n) in dealt.items()]))
     kth = materialize(first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("floor")), "topk-floor")
     queries = queries.join(kth.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-math.inf)))
     queries = materialize(queries.dropDuplicates(["vec_id"]), "topk-queries")
 
-    # Cell pairs that a query cell's worst k-th score leaves open; at most PIVOTS * PIVOTS of them.
+    # Cells that a query cell's worst k-th score leaves open.
     worst = {r["cell"]: r["w"] for r in queries.groupBy("cell").agg(F.min("floor").alias("w")).collect()}
-    dots, norm = pivots @ pivots.T, np.sqrt((pivots * pivots).sum(1))
-    pairs = []
-    for a in by_cell:
-        if a["cell"] in worst:
-            for b in by_cell:
-                reach = dots[a["cell"], b["cell"]] + norm[a["cell"]] * b["r"] + a["rq"] * (norm[b["cell"]] + b["r"]) + 1e-3
-                if reach >= worst[a["cell"]]:
-                    pairs.append((a["cell"], b["cell"], -(-b["n"] // BLOCK)))
-    open_pairs = small_table(spark, pairs, "cell int, other int, blocks int")
-    wide = queries.join(F.broadcast(open_pairs), "cell").select("vec_id", "v", F.col("other").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "qblock", "floor")
-    out = search(wide, points.withColumn("qblock", spread))
+    is_open = open_cells(pivots, cells, by_cell["r"].to_numpy(), cells[asking], by_cell["rq"].to_numpy()[asking], np.array([worst[int(c)] for c in cells[asking]]))
+    if seen is not None:
+        pairs = by_cell["nq"].to_numpy()[asking][:, None] * sizes
+        seen |= {"pivots": len(pivots), "query_blocks": sum(n for _, n in set(dealt.values())), "pairs": int(pairs.sum()), "open_pairs": int(pairs[is_open].sum())}
+    a, b = np.nonzero(is_open)
+    pairs = spark.createDataFrame(pd.DataFrame({"cell": cells[asking[a]], "other": cells[b], "blocks": blocks[b]}).astype("int32"), "cell int, other int, blocks int")
+    ranges = {(int(cells[y]), *dealt[int(cells[asking[x]])]) for x, y in zip(a, b, strict=True)}
+    wide = queries.join(F.broadcast(pairs), "cell").select("vec_id", "v", F.col("other").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "qblock", "floor")
+    out = search(wide, copied(points, sorted(ranges)))
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -508,3 +508,42 @@ def test_cuts_follow_the_widest_dimension(spark):
     got = sharding.kd_shards(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), 4).collect()
     names = [{rows[r["doc_id"]][3] for r in got if r["shard"] == s} for s in range(4)]
     assert [len(x) for x in names] == [10, 10, 10, 10] and all(max(a) < min(b) for a, b in zip(names, names[1:]))
+
+
+# --- top-k over many cells and blocks
+
+
+@pytest.mark.parametrize("spread", [0.05, 1.0])
+def test_top_k_over_many_cells(spark, spread):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(9, 8))
+    own = np.concatenate([rng.integers(0, 9, 700), np.zeros(500, np.int64)])  # one cell with many blocks
+    vectors = centres[own] * 4 + spread * rng.normal(size=(1200, 8))
+    df = spark.createDataFrame([(i, [float(x) for x in v], i, "clash") for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>, cell int, block string")
+    seen = {}
+    got = {}
+    for r in topk.top_k(df, F.col("vec_id") % 5 == 0, block=64, query_block=8, most_pivots=12, seen=seen).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    whole = np.floor(256 * vectors).astype(np.int64)
+    scores = whole @ whole.T
+    for q in range(0, 1200, 5):
+        order = [i for i in sorted(range(1200), key=lambda i: (-scores[q, i], i)) if i != q][:5]
+        assert got[q] == [(i, scores[q, i]) for i in order]
+    assert (seen["pivots"], seen["pairs"]) == (12, 240 * 1200) and seen["query_blocks"] > 12
+    if spread < 1:
+        assert seen["open_pairs"] < 0.5 * seen["pairs"]
+
+
+def test_query_blocks():
+    assert topk.query_blocks([(3, 5), (1, 4), (0, 30), (2, 2), (7, 8), (5, 10)], 10) == {3: (0, 1), 1: (0, 1), 0: (1, 3), 2: (4, 1), 7: (4, 1), 5: (5, 1)}
+
+
+# --- language: no letters
+
+
+def test_marks_alone_are_no_letters(spark):
+    train = spark.createDataFrame([("kamitore", "aa"), ("dulsevip", "bb")], "text string, lang string")
+    docs = spark.createDataFrame([(1, "́́ 12 ́"), (2, "é kami ́́ tore")], "doc_id bigint, text string")
+    rows = {r["doc_id"]: r for r in langid.identify(docs, langid.train(train)).collect()}
+    assert (rows[1]["lang_pred"], rows[1]["score"], rows[1]["spans"]) == ("und", 0.0, [])
+    assert rows[2]["lang_pred"] == "aa"
