@@ -5,23 +5,28 @@ length class; the whole part of that number is certain, and the fractional part
 in a Pareto order sample: documents are ranked by random odds over inclusion odds and a prefix is taken. The
 prefix ends where the words taken come closest to the target, so the sample's size is fixed in words.
 
-Nothing needs a source's rows in one place: prefix sums are taken over rank buckets first, and only the one
-bucket in which a source's target falls is ordered row by row.
+Nothing needs a source's rows in one place: words are summed over ranges of ranks, the range in which a source's target
+falls is divided again until it holds at most EDGE documents, and only those are ordered row by row.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hayrick.llm.common import key_of, uniform, water_fill, word_count
+from hayrick.llm.common import key_of, small_table, uniform, water_fill, word_count
 from hayrick.session import materialize
 
 #: Source weights, repeated in the order of the source names.
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_COPIES = 2
-BUCKETS = 4096
+#: Ranks are whole numbers of RANK_BITS bits, divided into 2^BIN_BITS ranges at a time.
+RANK_BITS, BIN_BITS = 53, 11
+#: Documents of a source that are ordered row by row around its target.
+EDGE = 1000
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
@@ -38,6 +43,44 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     ).drop("_all", "weight")
 
 
+def _rank(u: Column, odds: Column) -> Column:
+    """The Pareto order as a whole number: random odds over inclusion odds, by their logarithm, which spreads odds of any
+    size over the range."""
+    logit = F.log(u / (F.lit(1.0) - u)) - F.log(odds)
+    return F.floor((F.greatest(F.lit(-99.0), F.least(F.lit(99.0), logit)) + F.lit(100.0)) * F.lit(float(1 << 45))).cast("bigint")
+
+
+def find_edges(ranked: DataFrame, edge: int = EDGE) -> DataFrame:
+    """(skey, low, high, words_in): ranks below ``low`` are in, from ``high`` on out, and words_in words lie below ``low``.
+
+    ``ranked`` has skey, rank, size > 0 and the source's residual target. The range between the two holds at most ``edge``
+    documents, unless they share one rank. All sources are refined together; nothing but their number goes to the driver.
+    """
+    todo = ranked.groupBy("skey").agg(F.max("residual").alias("residual"))
+    todo = materialize(todo.select("skey", "residual", F.lit(0).cast("bigint").alias("base"), F.lit(RANK_BITS - BIN_BITS).alias("shift"), F.lit(0).cast("bigint").alias("before")), "mix-open")
+    done = []
+    while not todo.isEmpty():
+        bins = ranked.drop("residual").join(todo, "skey").withColumn("bin", F.expr("shiftright(rank - base, shift)")).where((F.col("bin") >= 0) & (F.col("bin") < 1 << BIN_BITS))
+        bins = bins.groupBy("skey", "residual", "base", "shift", "before", "bin").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
+        upto = F.col("before") + F.sum("words").over(Window.partitionBy("skey").orderBy("bin"))
+        bins = bins.withColumn("upto", upto)
+        over = F.when(F.col("upto") > F.col("residual"), F.struct("bin", "n", "upto", "words"))
+        hit = bins.groupBy("skey", "residual", "base", "shift").agg(F.min(over).alias("hit"), F.max("upto").alias("all"))
+        low = F.col("base") + F.expr("shiftleft(hit.bin, shift)")
+        high = low + F.expr("shiftleft(1L, shift)")
+        start = F.col("hit.upto") - F.col("hit.words")
+        found = hit.select(
+            "skey", "residual", "shift",
+            F.coalesce(low, F.lit(1 << 62)).alias("low"), F.coalesce(high, F.lit(1 << 62)).alias("high"), F.coalesce(start, "all").alias("words_in"),
+            (F.col("hit").isNull() | (F.col("hit.n") <= edge) | (F.col("shift") == 0)).alias("done"),
+        )
+        found = materialize(found, "mix-edges")
+        done.append(found.where("done").select("skey", "low", "high", "words_in"))
+        todo = found.where("not done").select("skey", "residual", F.col("low").alias("base"), F.greatest(F.lit(0), F.col("shift") - BIN_BITS).alias("shift"), F.col("words_in").alias("before"))
+    none = small_table(ranked.sparkSession, [], "skey string, low bigint, high bigint, words_in bigint")
+    return functools.reduce(DataFrame.unionByName, done, none)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, seed: int = 17, weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
     """How many copies of each document the mix takes.
 
@@ -72,32 +115,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     residual = F.greatest(F.lit(0.0), F.col("target") - F.sum(F.col("whole") * F.col("words")).over(Window.partitionBy("skey")))
     classes = materialize(classes.withColumn("residual", residual).select("skey", "len_class", "source_size", "target", "whole", "odds", "residual"), "mix-odds")
 
-    ranked = rows.join(classes, ["skey", "len_class"])
-    pareto = F.col("u") / (F.lit(1.0) - F.col("u")) / F.col("odds")
-    ranked = ranked.withColumn("rank_key", pareto / (F.lit(1.0) + pareto)).withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor(F.col("rank_key") * BUCKETS)).cast("int"))
-
-    # Words before each rank bucket, then the buckets of each source in which the residual target falls.
-    sums = ranked.where(F.col("bucket").isNotNull()).groupBy("skey", "bucket", "residual").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.partitionBy("skey").orderBy("bucket"))
-    sums = sums.withColumn("upto", upto).withColumn("start", F.col("upto") - F.col("words"))
-    edges = sums.groupBy("skey").agg(
-        F.max(F.when(F.col("upto") <= F.col("residual"), F.col("bucket"))).alias("last_in"),
-        F.min(F.when(F.col("start") > F.col("residual"), F.col("bucket"))).alias("first_out"),
-        F.max(F.when(F.col("upto") <= F.col("residual"), F.col("upto"))).alias("words_in"),
-    )
-    edges = materialize(edges, "mix-edges")
-    ranked = ranked.join(edges, "skey", "left").withColumn(
-        "zone",
-        F.when(F.col("bucket").isNull(), "out")
-        .when(F.col("bucket") <= F.col("last_in"), "in")
-        .when(F.col("bucket") >= F.col("first_out"), "out")
-        .otherwise("edge"),
-    )
+    ranked = rows.join(classes, ["skey", "len_class"]).withColumn("rank", F.when(F.col("size") > 0, _rank(F.col("u"), F.col("odds"))))
     result = ["doc_id", "size", "source_size", "target", "whole"]
-    settled = ranked.where("zone <> 'edge'").select(*result, (F.col("zone") == "in").cast("bigint").alias("extra"))
-    order = Window.partitionBy("skey").orderBy("rank_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.coalesce(F.sum("size").over(order), F.lit(0)) + F.coalesce(F.col("words_in"), F.lit(0))
-    edge = ranked.where("zone = 'edge'").withColumn("extra", (earlier + F.col("size") / 2 <= F.col("residual")).cast("bigint")).select(*result, "extra")
+    ranked = materialize(ranked.select("skey", "rank", "residual", *result), "mix-ranked")
+    edges = materialize(find_edges(ranked.where("rank is not null").select("skey", "rank", "residual", "size")), "mix-edge")
+    ranked = ranked.join(edges, "skey", "left")
+    between = F.coalesce((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")), F.lit(False))
+    settled = ranked.where(~between).select(*result, F.coalesce(F.col("rank") < F.col("low"), F.lit(False)).cast("bigint").alias("extra"))
+    order = Window.partitionBy("skey").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("words_in")
+    edge = ranked.where(between).withColumn("extra", (earlier + F.col("size") / 2 <= F.col("residual")).cast("bigint")).select(*result, "extra")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(F.lit(0)).cast("bigint")
     return (
         settled.unionByName(edge)

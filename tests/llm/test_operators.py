@@ -547,3 +547,19 @@ def test_marks_alone_are_no_letters(spark):
     rows = {r["doc_id"]: r for r in langid.identify(docs, langid.train(train)).collect()}
     assert (rows[1]["lang_pred"], rows[1]["score"], rows[1]["spans"]) == ("und", 0.0, [])
     assert rows[2]["lang_pred"] == "aa"
+
+
+# --- mixing: refined edges
+
+
+def test_edges_are_refined_to_few_documents(spark):
+    rng = random.Random(3)
+    rows = [("a", int(rng.betavariate(0.02, 5) * 2**52), 700.0, 1 + rng.randint(0, 9)) for _ in range(900)]  # ranks crowd near 0
+    rows += [("b", 77, 55.0, 2) for _ in range(100)] + [("c", rng.randint(0, 2**52), 1e9, 3) for _ in range(20)]
+    edges = {r["skey"]: r for r in mixing.find_edges(spark.createDataFrame(rows, "skey string, rank bigint, residual double, size bigint"), edge=5).collect()}
+    for key, residual in (("a", 700), ("b", 55), ("c", 1e9)):
+        own, e = sorted((r, n) for k, r, _, n in rows if k == key), edges[key]
+        assert e["words_in"] == sum(n for r, n in own if r < e["low"]) <= residual
+        inside = [n for r, n in own if e["low"] <= r < e["high"]]
+        assert len(inside) <= 5 or len({r for r, _ in own if e["low"] <= r < e["high"]}) == 1
+        assert key == "c" or e["words_in"] + sum(inside) > residual
