@@ -113,6 +113,20 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     return float(np.clip(u[at] / p[at], 0.01, 0.99))
 
 
+def pu_risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float]:
+    """(risk of trusted positives, estimated risk of negatives): the second falls below 0 where a model overfits."""
+    good = prior * float(np.logaddexp(0, -(p @ w)).mean())
+    return good, float(np.logaddexp(0, u @ w).mean() - prior * np.logaddexp(0, p @ w).mean())
+
+
+def pu_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """Gradient of the non-negative unbiased risk; where the negatives' part is below 0, a step that raises it again."""
+    fp, fu = _sigmoid(p @ w), _sigmoid(u @ w)
+    good = -prior * ((1 - fp)[:, None] * p).mean(0)
+    bad = (fu[:, None] * u).mean(0) - prior * (fp[:, None] * p).mean(0)
+    return good + bad if pu_risk(w, p, u, prior)[1] >= 0 else -bad
+
+
 def fit(pos: np.ndarray, unl: np.ndarray, steps: int = 400, decay: float = 1e-4) -> Model:
     """The model from features of positives and of unlabelled texts. Without either, every score is one half."""
     width = pos.shape[1]
@@ -133,14 +147,7 @@ def fit(pos: np.ndarray, unl: np.ndarray, steps: int = 400, decay: float = 1e-4)
     check = (p[half[1]], u[half[1]]) if len(p) > 1 and len(u) > 1 else (p, u)
     prior = estimate_prior(check[0] @ w, check[1] @ w)
 
-    def risk(w: np.ndarray) -> np.ndarray:
-        fp, fu = _sigmoid(p @ w), _sigmoid(u @ w)
-        good = -prior * ((1 - fp)[:, None] * p).mean(0)
-        excess = np.logaddexp(0, u @ w).mean() - prior * np.logaddexp(0, p @ w).mean()
-        bad = (fu[:, None] * u).mean(0) - prior * (fp[:, None] * p).mean(0)
-        return (good + bad if excess >= 0 else -bad) + decay * w
-
-    w = _descend(risk, width + 1, steps)
+    w = _descend(lambda w: pu_gradient(w, p, u, prior) + decay * w, width + 1, steps)
     return Model(mean, scale, w[:-1], float(w[-1]), prior)
 
 
@@ -163,6 +170,9 @@ def train(docs: DataFrame, positives: DataFrame, id_col: str = "doc_id", text_co
     """Fits the model to rows of ``docs`` whose id is in ``positives`` (one column of ids), and to rows of ``docs`` at large.
 
     Both samples are thinned by a hash of the id to ``sample`` rows on average, before any text is moved.
+
+    Defined cases: null ids match no positive and belong to the rows at large; rows that repeat an id are in or out of a
+    sample together; null and empty texts have all features 0; without positives or without rows every score is one half.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     trusted = positives.toDF("doc_id").distinct()

@@ -12,35 +12,42 @@ from hayrick.session import table
 
 
 def op1_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 50 against all others: query_id, rank, vec_id, score."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
 
 
 def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of near equal bytes: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     out = sharding.kd_shards(table(spark, sf_dir, "documents"), 8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op3_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document by 80 % of its four-word shingles: doc_id, n_shingles, component_id, kept."""
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def op4_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as records, written and read back through the offset index: doc_id, start, n_tokens, ids_crc32."""
     manifest = records.write_records(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     read = records.read_records(manifest)
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids_le32").alias("ids_crc32"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document."""
     judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op6_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that the mix takes: doc_id, size, source_size, target, taken."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text and the bytes they decode to, as digests: doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks).withColumn("n_bytes", F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("bigint"))
     decoded = bpe.decode(encoded, ranks, keep=("doc_id", "ids", "n_bytes"))
@@ -49,12 +56,14 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data and secrets of every document; n_discovered of them were found by induced patterns."""
     found = pii.find_spans(table(spark, sf_dir, "documents"))
     counts = [F.size(k).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(F.encode(pii.listed(pii.KINDS), "UTF-8"), 256).alias("base_sha256"), pii.listed((*pii.KINDS, "secret")).alias("spans"), F.size("discovered").cast("bigint").alias("n_discovered"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a model of two thirds of them: doc_id, held_out, lang_pred, score, n_spans."""
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(~held_out(F.col("doc_id"))))
     found = langid.identify(docs, model)
@@ -62,6 +71,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by a model of the labels of two thirds of them: doc_id, held_out, score, predicted."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")) & (F.col("quality") == 1))
     model = quality_model.train(docs.where(~held_out(F.col("doc_id"))), labels.select("doc_id"))

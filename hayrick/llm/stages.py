@@ -18,7 +18,11 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    Defined cases: null and empty texts go; repeated rows are kept or go alike; other columns, whatever their names, pass
+    through with their nulls; an empty table stays empty.
+    """
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))  # no name can clash
     return quality_rules.judge(packed, "_text").where("kept").select("_row.*")
 
@@ -27,7 +31,8 @@ def keep_one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -
     """The document with the smallest id of each group of near-duplicates.
 
     Where ids repeat or are null, rows are told apart by a number: each row is linked by its own text alone, and of a
-    group's rows that share the smallest id one stays; null ids come last.
+    group's rows that share the smallest id one stays; null ids come last. Null, empty and blank texts are linked with
+    nothing and stay; an empty table stays empty.
     """
     if _ids_tell_rows_apart(docs):
         found = materialize(neardup.near_duplicates(docs, words, percent), "stage-groups")
@@ -43,12 +48,20 @@ def keep_one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -
 
 
 def hide_private(docs: DataFrame) -> DataFrame:
-    """All documents, personal data and secrets in their texts replaced by the kind in brackets."""
+    """All documents, personal data and secrets in their texts replaced by the kind in brackets.
+
+    Defined cases: null and empty texts stay as they are; repeated rows are changed alike; other columns pass through, so
+    n_chars still tells the length before; an empty table stays empty.
+    """
     return pii.redact(docs)
 
 
 def take_mix(docs: DataFrame) -> DataFrame:
-    """Each document as often as the mix takes it (0, 1 or 2 times); copies are equal rows."""
+    """Each document as often as the mix takes it (0, 1 or 2 times); copies are equal rows.
+
+    Defined cases: null and empty texts have no words and are never taken; a null source is a source of its own; rows that
+    repeat an id or have none are told apart by a number; an empty table stays empty.
+    """
     key, rows = ("doc_id", docs) if _ids_tell_rows_apart(docs) else ("_row", _numbered(docs))
     mixed = mixing.mix(rows, id_col=key).where("copies > 0").select(F.col("doc_id").alias(key), F.col("copies").alias("_copies"))
     taken = rows.join(mixed, key)
@@ -56,5 +69,9 @@ def take_mix(docs: DataFrame) -> DataFrame:
 
 
 def encode(docs: DataFrame, rank_file: str) -> DataFrame:
-    """(doc_id, ids, ends): token ids of each text with the byte at which each token ends."""
+    """(doc_id, ids, ends): token ids of each text with the byte at which each token ends.
+
+    Defined cases: null and empty texts have no tokens; repeated rows are encoded each; null ids stay null; an empty table
+    stays empty.
+    """
     return bpe.encode(docs, rank_file)

@@ -2,9 +2,11 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -405,8 +407,53 @@ def test_every_stage_takes_edge_cases(spark):
     mixed = stages.take_mix(one)
     assert mixed.columns == docs.columns == one.columns == kept.columns
     for name, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs, "").count() >= 0, name
         assert stage(spark, empty_docs(spark), "").count() == 0, name
+    told = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    text = {r["doc_id"]: r["text"] for r in told.collect()}
+    stage = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted(r["doc_id"] for r in df.collect())
+    assert ids(stage["quality rules"](spark, told, "")) == sorted(i for i, t in text.items() if kept_by_force(t))
+    assert ids(stage["near-duplicates"](spark, told, "")) == sorted(i for i, (_, c) in components_by_force(text, 5).items() if i == c)
+    hidden = {r["doc_id"]: r["text"] for r in stage["personal data"](spark, told, "").collect()}
+    assert hidden == {i: hidden_by_force(t) for i, t in text.items()}
+    mixed = [r["doc_id"] for r in stage["mixing"](spark, told, "").collect()]
+    assert {i: mixed.count(i) for i in text} == {r["doc_id"]: r["copies"] for r in mixing.mix(told).collect()}
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    assert {r["doc_id"]: r["ids"] for r in stage["byte-level BPE"](spark, told, "").collect()} == {i: own.encode_ordinary(t or "") for i, t in text.items()}
+
+
+def kept_by_force(text):
+    """The quality rules by plain counting."""
+    text = text or ""
+    w, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    grams = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    often = {g for g, n in Counter(grams).items() if n > 1}
+    stops = {f for x in quality_rules.STOP_WORDS.split() for f in (x, x.capitalize())}
+    n = {
+        "n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text)), "n_exclaims": text.count("!"), "n_stop_words": sum(x in stops for x in w),
+        "n_lines": len(lines), "n_dup_lines": len(lines) - len(set(lines)), "n_cut_lines": sum(bool(re.search(r"(\.\.\.|…)[\x20\x09-\x0D]*$", x)) for x in lines),
+    }
+    if len(w) < 10 or 100 * len({k + j for k, g in enumerate(grams) if g in often for j in range(5)}) > 20 * len(w):
+        return False
+    for r in quality_rules.RULES:
+        part, whole = 1000 * n[r.part], n[r.whole]
+        if len(w) >= r.min_words and ((r.low is not None and part < whole * r.low) or (r.high is not None and part > whole * r.high)):
+            return False
+    return True
+
+
+def hidden_by_force(text):
+    """A text without assigned values, its base entities replaced; overlapping ones become one, named by the first."""
+    spans = sorted((a, b, f"[{k.upper()}]") for k, found in base_by_force(text or "").items() for a, b in found)
+    out, at = [], 0
+    for a, b, tag in spans:
+        if a >= at:
+            out += [text[at:a], tag]
+        at = max(at, b)
+    return text if not spans else "".join(out) + text[at:]
 
 
 def test_near_duplicates_with_repeated_and_null_ids(spark):
@@ -563,3 +610,156 @@ def test_edges_are_refined_to_few_documents(spark):
         inside = [n for r, n in own if e["low"] <= r < e["high"]]
         assert len(inside) <= 5 or len({r for r, _ in own if e["low"] <= r < e["high"]}) == 1
         assert key == "c" or e["words_in"] + sum(inside) > residual
+
+
+# --- the pattern graph and the risk by plain computation
+
+
+def test_pattern_scores_equal_plain_iteration(spark):
+    rng = random.Random(5)
+    values = {f"v{i}": rng.choice([1.0, 1.0, None, None, 0.0]) for i in range(60)}
+    rows = [(p, v, b) for v, b in values.items() for p in rng.sample([f"p{i}" for i in range(14)], rng.randint(1, 3)) if b != 0.0 or rng.random() < 0.3]
+    totals = {"p3": 40, "p5": 9, "nowhere": 5}
+    got = {
+        r["pattern"]: r["score"]
+        for r in pii.score_patterns(spark.createDataFrame(rows, "pattern string, value string, belief double"), spark.createDataFrame(list(totals.items()), "pattern string, total bigint")).collect()
+    }
+    trusted = {}
+    for _ in range(200):
+        belief = {v: b if b is not None else max((trusted.get(p, 0.0) for p, x, _ in rows if x == v), default=0.0) for v, b in values.items()}
+        score = {}
+        for p in {p for p, _, _ in rows}:
+            own = [v for q, v, _ in rows if q == p]
+            score[p] = round(sum(belief[v] for v in own) / (max(len(own), totals.get(p, 0)) + 1), 6)
+        trusted = {p: x for p, x in score.items() if x >= pii.CONFIDENT}
+    assert got == pytest.approx(trusted, abs=2e-6) and got
+
+
+def test_patterns_find_what_they_were_not_shown(spark):
+    rng = random.Random(6)
+    key = lambda: "".join(rng.choice("abcdefghjkmnp23456789") for _ in range(11)) + "7q"
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(3, 8)))
+    texts = [f"{word()} secret: {key()} {word()}" for _ in range(60)]
+    texts += [f"{word()} badge {rng.randint(100, 999)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)} {word()}" for _ in range(30)]  # no seed shares their form
+    texts += [f"{word()} reach (0{rng.randint(10, 99)}) 555-{rng.randint(1000, 9999)} {word()}" for _ in range(5)]
+    texts += [f"{word()} {word()} 4000-{i}-77 is a part" for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    counts = pii.recovery(docs).first().asDict()
+    assert counts["secrets"] == 60 and counts["missed"] == 0 and 5 <= counts["discovered"] <= 30 and counts["shown"] == 60 - counts["discovered"]
+    rows = {r["doc_id"]: r for r in pii.find_spans(docs).collect()}
+    assert all(rows[i]["secret"] == [] for i in range(60, len(texts)))
+
+
+def test_risk_gradient_equals_differences():
+    rng = np.random.default_rng(4)
+    p, u = rng.normal(1, 1, (40, 5)), rng.normal(0, 1, (90, 5))
+    for scale, prior in ((0.1, 0.3), (3.0, 0.9)):
+        w = rng.normal(size=5) * scale
+        good, bad = quality_model.pu_risk(w, p, u, prior)
+        target = lambda x: sum(quality_model.pu_risk(x, p, u, prior)) if bad >= 0 else -quality_model.pu_risk(x, p, u, prior)[1]  # noqa: B023, E731
+        steps = np.eye(5) * 1e-6
+        assert quality_model.pu_gradient(w, p, u, prior) == pytest.approx(np.array([(target(w + s) - target(w - s)) / 2e-6 for s in steps]), abs=1e-4)
+    scores, prior = np.concatenate([rng.normal(3, 1, 3000), rng.normal(-3, 1, 7000)]), 0.3
+    assert quality_model.estimate_prior(rng.normal(3, 1, 3000), scores) == pytest.approx(prior, abs=0.03)
+
+
+# --- the registered queries against their contracts
+
+SF = "/root/testdata/sf0.001"
+has_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+
+
+def registered(spark, name):
+    from hayrick.llm import registry
+
+    df = registry.queries()[name](spark, SF)
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    return dict(df.dtypes), {r["doc_id"]: r for r in df.collect()}, docs
+
+
+def leaves_one(i):
+    return zlib.crc32(str(i).encode()) % 3 == 1
+
+
+@has_tables
+def test_registered_sharding(spark):
+    kinds, rows, docs = registered(spark, "op2_kd_sharding")
+    assert kinds == {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"}
+    assert rows.keys() == docs.keys()
+    for i, r in rows.items():
+        raw = (docs[i]["text"] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
+    for s in range(8):
+        assert sorted(r["slot"] for r in rows.values() if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows.values())))
+    total = Counter()
+    for r in rows.values():
+        total[r["shard"]] += r["size"]
+    assert max(total.values()) - min(total.values()) <= 2 * max(r["size"] for r in rows.values())
+
+
+@has_tables
+def test_registered_records(spark):
+    from tokenizers import Tokenizer
+
+    kinds, rows, docs = registered(spark, "op4_binary_records")
+    assert kinds == {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"}
+    tokenizer, start = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0
+    for i in sorted(docs):
+        ids = [*tokenizer.encode(docs[i]["text"] or "", add_special_tokens=False).ids, 2]
+        assert tuple(rows[i]) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+@has_tables
+def test_registered_mixing(spark):
+    kinds, rows, docs = registered(spark, "op6_pareto_mixing")
+    assert kinds == {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"}
+    assert all(r["size"] == len(WORD.findall(docs[i]["text"] or "")) and 0 <= r["taken"] <= 2 * r["size"] for i, r in rows.items())
+    by = {}
+    for i, r in rows.items():
+        by.setdefault(docs[i]["source"], []).append(r)
+    assert sum(x[0]["target"] for x in by.values()) == pytest.approx(1.5 * sum(r["size"] for r in rows.values()))
+    for x in by.values():
+        assert x[0]["source_size"] == sum(r["size"] for r in x) and abs(sum(r["taken"] for r in x) - x[0]["target"]) <= max(r["size"] for r in x)
+
+
+@has_tables
+def test_registered_bpe(spark):
+    import tiktoken
+
+    kinds, rows, docs = registered(spark, "op7_byte_bpe")
+    assert {c: kinds[c] for c in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")} == {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    digest = lambda raw: hashlib.sha256(raw).hexdigest()
+    for i, d in docs.items():
+        ids = own.encode_ordinary(d["text"] or "")
+        assert tuple(rows[i])[1:4] == (len(ids), digest(",".join(map(str, ids)).encode()), digest((d["text"] or "").encode()))
+
+
+@has_tables
+def test_registered_personal_data(spark):
+    kinds, rows, docs = registered(spark, "op8_pii")
+    assert {c: kinds[c] for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")} == {**dict.fromkeys(("n_email", "n_ip", "n_card", "n_phone"), "bigint"), "base_sha256": "string", "spans": "string"}
+    for i, d in docs.items():
+        found = base_by_force(d["text"] or "")
+        listed = [f"{k}:{a}:{b}" for k in BASE for a, b in found[k]]
+        assert [rows[i][f"n_{k}"] for k in BASE] == [len(found[k]) for k in BASE]
+        assert rows[i]["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert rows[i]["spans"].split(",")[: len(listed)] == (listed or rows[i]["spans"].split(",")[:0])
+
+
+@has_tables
+def test_registered_models(spark):
+    kinds, rows, docs = registered(spark, "op9_language_id")
+    assert {c: kinds[c] for c in ("doc_id", "held_out", "lang_pred", "score")} == {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"}
+    assert all(r["held_out"] == leaves_one(i) and 0 <= r["score"] <= 1 for i, r in rows.items())
+    judged = [r["lang_pred"] == docs[i]["lang"] for i, r in rows.items() if r["held_out"] and docs[i]["lang"] and docs[i]["text"]]
+    assert sum(judged) >= 0.9 * len(judged) > 0
+    kinds, rows, docs = registered(spark, "op10_quality_model")
+    assert {c: kinds[c] for c in ("doc_id", "held_out", "score", "predicted")} == {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"}
+    assert rows.keys() == docs.keys()
+    assert all(r["held_out"] == leaves_one(i) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for i, r in rows.items())
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    judged = [rows[i]["predicted"] == q for i, q in labels.items() if i in rows and rows[i]["held_out"] and q is not None]
+    assert sum(judged) >= 0.8 * len(judged) > 0
