@@ -76,9 +76,8 @@ class _Best:
 
     def add(self, score: np.ndarray, order: np.ndarray, page: np.ndarray) -> None:
         """``score`` is (queries, pages); -inf where a page is not to be listed for a query."""
-        wide = lambda x: np.broadcast_to(x, score.shape)
-        score = np.concatenate([self.score, score], 1)
-        order, page = np.concatenate([self.order, wide(order)], 1), np.concatenate([self.page, wide(page)], 1)
+        order, page = np.broadcast_to(order, score.shape), np.broadcast_to(page, score.shape)
+        score, order, page = (np.concatenate([old, new], 1) for old, new in ((self.score, score), (self.order, order), (self.page, page)))
         place = np.lexsort((order, -score), axis=1)[:, : self.depth]
         self.score, self.order, self.page = (np.take_along_axis(x, place, 1) for x in (score, order, page))
 
