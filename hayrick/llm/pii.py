@@ -195,9 +195,10 @@ def _word_totals(texts: DataFrame) -> DataFrame:
     return sums.select(F.explode(F.array(F.concat(F.lit("word "), "w"), F.concat(F.lit("next "), "w"))).alias("pattern"), "total")
 
 
-def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", corpus: DataFrame | None = None) -> DataFrame:
     """(row, doc_id, email, ip, card, phone, secret, discovered): arrays of (start, end) spans of every row.
 
+    Words are counted over ``corpus`` (with the same text column), where ``docs`` are only some of its rows.
     ``discovered`` has those spans of ``secret`` that patterns found: their values are no seeds.
 
     Defined cases: null or empty text has no spans; every row is searched by itself, so repeated rows get equal
@@ -238,7 +239,8 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     away = F.coalesce((F.col("standing") == 1) & held, F.lit(False))
     belief = F.when(F.col("standing") > 0, 1.0).when(F.col("standing") < 0, 0.0)
     shown = graph.where(~away).select("pattern", "value", belief.alias("belief"))
-    trusted = materialize(score_patterns(shown, _word_totals(source)), "pii-trusted")
+    everything = source if corpus is None else corpus.select(F.col(text_col).cast("string").alias("text"))
+    trusted = materialize(score_patterns(shown, _word_totals(everything)), "pii-trusted")
 
     reached = graph.join(trusted, "pattern", "left_semi").select("value").distinct().withColumn("reached", F.lit(True))
     known = standing.join(reached, "value", "left").where((F.col("standing") == 1) | ((F.col("standing").isNull()) & F.col("reached")))
@@ -289,7 +291,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     may_hold = F.coalesce(F.col(text_col).rlike("[0-9@]") | F.col(text_col).rlike(ASSIGNED), F.lit(False))
     rows = materialize(docs.where(may_hold).withColumn("_row", F.monotonically_increasing_id()), "pii-rows")
-    spans = find_spans(rows, "_row", text_col)
+    spans = find_spans(rows, "_row", text_col, corpus=docs)
 
     def tag(kind: str) -> Column:
         return F.transform(F.col(kind), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("tag")))
