@@ -22,6 +22,8 @@ from hayrick.llm.pieces import batches
 BUCKETS = 1 << 16
 #: A model holds BUCKETS * languages numbers; more languages than this are refused.
 MOST_LANGUAGES = 512
+#: Words times languages that are in memory at a time, but for a longer text, which is walked whole.
+CELLS = 1 << 23
 SWITCH = 9.0
 SMOOTH = 0.5
 #: A language is a candidate for a script that holds at least this part of its letters.
@@ -179,41 +181,51 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     packed = spark.sparkContext.broadcast(pickle.dumps((model.languages, model.score, model.candidate)))
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
 
-    def label(ids: pa.Array, texts: list[str | None], languages: list[str], table: np.ndarray, candidate: np.ndarray) -> pa.RecordBatch:
-        many, names = len(languages), ["doc_id", "lang_pred", "score", "spans"]
+    def measure(texts: list[str | None], table: np.ndarray, candidate: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(points of every word in every language, words of each text, where words start and end in their text)."""
         t, w = words_of(texts)
-        if not many or not len(w.start):
-            none = pa.array([[]] * len(texts), pa.list_(span))
-            return pa.RecordBatch.from_arrays([ids, pa.array(["und"] * len(texts)), pa.array([0.0] * len(texts)), none], names=names)
-        length = w.end - w.start
-        first = np.cumsum(length) - length
-        points = np.empty((len(w.start), many), np.float32)
-        for j in range(many):
-            points[:, j] = np.add.reduceat(table[:, j][w.gram], first)
-        fits = candidate[w.script]
-        fits = fits | ~fits.any(1, keepdims=True)
-        points = np.where(fits, points, np.float32(-1e6))
+        many = table.shape[1]
+        points = np.zeros((len(w.start), many), np.float32)
+        if points.size:
+            length = w.end - w.start
+            first = np.cumsum(length) - length
+            for j in range(many):
+                points[:, j] = np.add.reduceat(table[:, j][w.gram], first)
+            fits = candidate[w.script]
+            points[~(fits | ~fits.any(1, keepdims=True))] = -1e6
         shift = np.repeat(t.begin, w.per_text)
-        start, end = w.start - shift, w.end - shift
-        best = viterbi(points, w.per_text, switch)
-        doc = np.repeat(np.arange(len(texts)), w.per_text)
-        share = np.bincount(doc * many + best, weights=length, minlength=len(texts) * many).reshape(len(texts), many)
+        return points, w.per_text, w.start - shift, w.end - shift
+
+    def label(ids: pa.Array, parts: list[tuple[np.ndarray, ...]], languages: list[str]) -> pa.RecordBatch:
+        points, per_text, start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+        many, n, names = len(languages), len(ids), ["doc_id", "lang_pred", "score", "spans"]
+        if not points.size:
+            none = pa.array([[]] * n, pa.list_(span))
+            return pa.RecordBatch.from_arrays([ids, pa.array(["und"] * n), pa.array([0.0] * n), none], names=names)
+        best = viterbi(points, per_text, switch)
+        doc = np.repeat(np.arange(n), per_text)
+        share = np.bincount(doc * many + best, weights=end - start, minlength=n * many).reshape(n, many)
         total = share.sum(1)
         pred = share.argmax(1)
-        score = share[np.arange(len(texts)), pred] / np.maximum(total, 1)
+        score = share[np.arange(n), pred] / np.maximum(total, 1)
         cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (best[1:] != best[:-1])]))
         stop = np.append(cut[1:], len(doc))
         flat = pa.StructArray.from_arrays([pa.array(start[cut].astype(np.int32)), pa.array(end[stop - 1].astype(np.int32)), pa.array(languages).take(pa.array(best[cut].astype(np.int32)))], fields=list(span))
-        edges = np.concatenate([[0], np.cumsum(np.bincount(doc[cut], minlength=len(texts)))]).astype(np.int32)
-        guess = [languages[p] if n else "und" for p, n in zip(pred.tolist(), total.tolist(), strict=True)]
+        edges = np.concatenate([[0], np.cumsum(np.bincount(doc[cut], minlength=n))]).astype(np.int32)
+        guess = [languages[p] if letters_of else "und" for p, letters_of in zip(pred.tolist(), total.tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([ids, pa.array(guess, pa.string()), pa.array(score), pa.ListArray.from_arrays(pa.array(edges), flat)], names=names)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, table, candidate = pickle.loads(packed.value)
         for batch in it:
             texts = batch.column(1).to_pylist()
-            for a, b in batches(texts):  # a slice at a time: its words times the languages are in memory
-                yield label(batch.column(0).slice(a, b - a), texts[a:b], languages, table, candidate)
+            low, parts, cells = 0, [], 0
+            for a, b in batches(texts):
+                parts.append(measure(texts[a:b], table, candidate))
+                cells += parts[-1][0].size
+                if cells > CELLS or b == len(texts):  # texts are walked side by side, as many as memory allows
+                    yield label(batch.column(0).slice(low, b - low), parts, languages)
+                    low, parts, cells = b, [], 0
 
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
