@@ -56,10 +56,13 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of personal data and secrets of every document; n_discovered of them were found by induced patterns."""
+    """Spans of personal data and secrets of every document, n_private in all; n_discovered of them were found by induced patterns."""
     found = pii.find_spans(table(spark, sf_dir, "documents"))
     counts = [F.size(k).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(F.encode(pii.listed(pii.KINDS), "UTF-8"), 256).alias("base_sha256"), pii.listed((*pii.KINDS, "secret")).alias("spans"), F.size("discovered").cast("bigint").alias("n_discovered"))
+    base, spans = pii.listed(pii.KINDS), pii.listed((*pii.KINDS, "secret"))
+    more = [F.size("secret").cast("bigint").alias("n_secret"), F.size("discovered").cast("bigint").alias("n_discovered")]
+    total = sum((F.size(k).cast("bigint") for k in (*pii.KINDS, "secret")), F.lit(0).cast("bigint")).alias("n_private")
+    return found.select("doc_id", *counts, F.sha2(F.encode(base, "UTF-8"), 256).alias("base_sha256"), spans.alias("spans"), *more, total)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

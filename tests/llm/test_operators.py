@@ -747,6 +747,8 @@ def test_registered_personal_data(spark):
         assert [rows[i][f"n_{k}"] for k in BASE] == [len(found[k]) for k in BASE]
         assert rows[i]["base_sha256"] == hashlib.sha256(",".join(listed).encode()).hexdigest()
         assert rows[i]["spans"].split(",")[: len(listed)] == (listed or rows[i]["spans"].split(",")[:0])
+        spans = [s for s in rows[i]["spans"].split(",") if s]
+        assert (rows[i]["n_private"], rows[i]["n_secret"]) == (len(spans), len(spans) - len(listed))
 
 
 @has_tables
