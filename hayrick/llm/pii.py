@@ -62,8 +62,12 @@ ASSIGNED = (
 CONFIDENT = 0.6
 #: One assigned value in this many is held back from the graph.
 HELD = 4
+#: Turns of the scoring between two cuts of the lineage and tests for the end; the end is the same for every number.
+TURNS = 3
 #: Of the text around a match this many characters are kept; a longer word is known by its nearer end.
 AROUND = 64
+#: Code points of a block, when a text is cut at many places.
+BLOCK = 1024
 
 _SPANS = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
 
@@ -178,10 +182,12 @@ def score_patterns(graph: DataFrame, totals: DataFrame) -> DataFrame:
     links = materialize(kinds.select("kind", "belief", "n", F.explode("patterns").alias("pattern")).join(able, "pattern"), "pii-links")
     trusted, before = small_table(graph.sparkSession, [], "pattern string, score double"), None
     while True:
-        best = links.join(trusted, "pattern").groupBy("kind").agg(F.max("score").alias("best"))
-        belief = F.coalesce("belief", "best", F.lit(0.0))
-        score = F.round(F.sum(F.col("n") * belief) / (F.max("places") + F.lit(1.0)), 6)
-        trusted = materialize(links.join(best, "kind", "left").groupBy("pattern").agg(score.alias("score")).where(F.col("score") >= CONFIDENT), "pii-patterns")
+        for _ in range(TURNS):
+            best = links.join(trusted, "pattern").groupBy("kind").agg(F.max("score").alias("best"))
+            belief = F.coalesce("belief", "best", F.lit(0.0))
+            score = F.round(F.sum(F.col("n") * belief) / (F.max("places") + F.lit(1.0)), 6)
+            trusted = links.join(best, "kind", "left").groupBy("pattern").agg(score.alias("score")).where(F.col("score") >= CONFIDENT)
+        trusted = materialize(trusted, "pii-patterns")
         now = trusted.agg(F.count(F.lit(1)), F.sum(F.round(F.col("score") * 1_000_000).cast("bigint"))).first()
         if now == before:  # no score fell, so none changed
             return trusted
@@ -282,6 +288,32 @@ def listed(kinds: tuple[str, ...]) -> Column:
     return F.concat_ws(",", F.concat(*[of(k) for k in kinds]))
 
 
+def blocks_of(text: Column) -> Column:
+    """The text in blocks of BLOCK code points, the last one shorter."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def part_of(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` (exclusive): only the blocks in which they lie are read, so cutting a text into
+    many parts takes time by its length and not by its length for each part."""
+    first = F.floor(start / BLOCK).cast("int")
+    last = F.floor((end - 1) / BLOCK).cast("int")
+    near = F.concat_ws("", F.slice(blocks, first + 1, last - first + 1))
+    return F.when(end > start, F.substring(near, start - first * BLOCK + 1, end - start)).otherwise(F.lit(""))
+
+
+def _without(blocks: Column, length: Column, spans: Column) -> Column:
+    """The text of these blocks with a tag in place of each group of overlapping spans; spans are in order."""
+
+    def step(state: Column, s: Column) -> Column:
+        fresh = s["start"] >= state["at"]
+        more = F.concat(state["out"], F.array(part_of(blocks, state["at"], s["start"]), s["tag"]))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, more).otherwise(state["out"]).alias("out"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(spans, begin, step, lambda s: F.concat(F.concat_ws("", s["out"]), part_of(blocks, s["at"], length)))
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The same rows with every found span of the text replaced by its kind in brackets.
 
@@ -289,7 +321,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Other columns are kept. Texts without a digit, @ or assigned value hold nothing to find and pass by; the others
     are written with a row number by which they meet their spans.
     """
-    may_hold = F.coalesce(F.col(text_col).rlike("[0-9@]") | F.col(text_col).rlike(ASSIGNED), F.lit(False))
+    told = F.col(text_col).rlike("[=:]") & F.col(text_col).rlike(ASSIGNED)  # most texts without a sign end at the first
+    may_hold = F.coalesce(F.col(text_col).rlike("[0-9@]") | told, F.lit(False))
     rows = materialize(docs.where(may_hold).withColumn("_row", F.monotonically_increasing_id()), "pii-rows")
     spans = find_spans(rows, "_row", text_col, corpus=docs)
 
@@ -299,16 +332,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     tagged = F.sort_array(F.concat(*[tag(k) for k in (*KINDS, "secret")]))
     found = spans.select(F.col("doc_id").alias("_row"), tagged.alias("_spans")).where(F.size("_spans") > 0)
     text = F.col(text_col)
-
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        fresh = s["start"] >= state["at"]
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(state["out"], F.array(gap, s["tag"]))).otherwise(state["out"]).alias("out"),
-        )
-
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate(F.col("_spans"), begin, step, lambda s: F.concat(F.concat_ws("", s["out"]), F.substring(text, s["at"] + 1, F.length(text))))
+    clean = bind(blocks_of(text), lambda b: _without(b, F.length(text), F.col("_spans")))
     joined = rows.join(found, "_row", "left").withColumn(text_col, F.when(F.col("_spans").isNotNull(), clean).otherwise(text))
     return joined.select(*docs.columns).unionByName(docs.where(~may_hold))

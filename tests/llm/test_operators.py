@@ -295,6 +295,25 @@ def test_personal_data(spark):
     assert pii.find_spans(empty_docs(spark)).count() == 0
 
 
+def test_redaction_of_texts_of_many_blocks(spark):
+    rng = random.Random(9)
+    texts = []
+    for size in (0, 1, pii.BLOCK - 1, pii.BLOCK, pii.BLOCK + 1, 5 * pii.BLOCK):
+        noise = "".join(rng.choice("a é🙂\nb") for _ in range(size))
+        for gap in (0, 1, 700):
+            texts.append(noise + " a@b.cc" + " " * gap + "+123456789012 " + noise)
+            texts.append(" x@y.zz " * (gap // 7) + noise)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    spans = {r["doc_id"]: sorted((s["start"], s["end"], k) for k in (*pii.KINDS, "secret") for s in r[k]) for r in pii.find_spans(docs).collect()}
+    for r in pii.redact(docs).collect():
+        text, out, at = texts[r["doc_id"]], [], 0
+        for start, end, kind in spans[r["doc_id"]]:
+            if start >= at:
+                out += [text[at:start], f"[{kind.upper()}]"]
+            at = max(at, end)
+        assert r["text"] == "".join(out) + text[at:]
+
+
 def test_assigned_values_are_whole(spark):
     word = "k" * 70
     values = {
