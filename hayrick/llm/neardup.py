@@ -6,9 +6,9 @@ population count of two sketches' XOR estimates how many samples differ. Pairs t
 are confirmed on the full sets.
 
 Buckets are never expanded into all their pairs. Each bucket tests its members against its smallest one, the hub.
-Members that stay outside the hub's component meet the other documents of that hub in tiles of bounded size, where
-the triangle inequality of the Jaccard distance, set sizes and sketches rule most pairs out and the rest are decided
-on the sets; only links leave a tile.
+Members that stay outside the hub's component meet the other documents of that hub in tiles of bounded size (see
+``tiles``), where the triangle inequality of the Jaccard distance, set sizes and sketches rule most pairs out, and the
+documents that have a pair left are decided on their sets; only links leave a tile.
 """
 
 from __future__ import annotations
@@ -17,20 +17,18 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hayrick.llm.components import connected_components
 from hayrick.llm.pieces import batches
+from hayrick.llm.tiles import outsider_links, sketches_within
 from hayrick.session import materialize
 
 BANDS, ROWS = 32, 5
 SAMPLES = BANDS * ROWS
 BITS = 512
-#: Outsiders and other documents of a hub that meet in one tile.
-OUTSIDERS, TILE = 256, 512
 
 _RNG = np.random.default_rng(41)
 _MARK = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -125,7 +123,7 @@ def sketch_limit(similarity: float, sigmas: float = 5.8) -> int:
     return math.ceil(mean + sigmas * math.hypot(from_samples, math.sqrt(mean * (1 - mean / BITS))))
 
 
-def _text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -150,7 +148,28 @@ def sketch(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str =
                     names=["doc_id", "n_shingles", "fp1", "fp2", "bands", "odd"],
                 )
 
-    return _text_rows(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n_shingles bigint, fp1 bigint, fp2 bigint, bands array<bigint>, odd array<bigint>")
+    return text_rows(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n_shingles bigint, fp1 bigint, fp2 bigint, bands array<bigint>, odd array<bigint>")
+
+
+def prints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, two fingerprints of the whole set) of every row."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            texts = batch.column(1).to_pylist()
+            for a, b in batches(texts):
+                found = [(len(s), _mix(s).sum().view(np.int64), _mix(s ^ _STEP).sum().view(np.int64)) for s in shingle_sets(texts[a:b], words)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(x, pa.int64()) for x in zip(*found, strict=True))], names=["doc_id", "n_shingles", "fp1", "fp2"])
+
+    return text_rows(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n_shingles bigint, fp1 bigint, fp2 bigint")
+
+
+def equal_sets(printed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The smallest document of each set (doc_id), and the links (a, b) of all others to it."""
+    able = printed.where("n_shingles > 0 and doc_id is not null")
+    classes = materialize(able.groupBy("n_shingles", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "dup-classes")
+    copies = able.join(classes.where("n > 1"), ["n_shingles", "fp1", "fp2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    return classes.select(F.col("rep").alias("doc_id")), copies
 
 
 def full_sets(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,7 +184,7 @@ def full_sets(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str
                 flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["doc_id", "shingles"])
 
-    return _text_rows(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+    return text_rows(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, shingles array<bigint>")
 
 
 def _plausible(percent: int) -> F.Column:
@@ -179,13 +198,13 @@ def _features(reps: DataFrame, side: str) -> DataFrame:
     return reps.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("odd").alias(f"o{side}"))
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, shingles) of the wanted documents. Their number grows with the corpus: this is a shuffled join."""
-    rows = _text_rows(docs, id_col, text_col).hint("merge").join(wanted, "doc_id", "left_semi")
+    rows = text_rows(docs, id_col, text_col).hint("merge").join(wanted, "doc_id", "left_semi")
     return materialize(full_sets(rows, words), "dup-sets")
 
 
-def _scored(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def pair_distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Adds to the pairs (a, b) the Jaccard distance of their full sets and whether they are linked."""
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
@@ -195,54 +214,6 @@ def _scored(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select(*pairs.columns, (1 - F.col("common") / F.col("whole")).alias("dist"), linked)
 
 
-def _meet(percent: int):
-    """Links between outsiders and other documents of one tile."""
-    limit, reach = sketch_limit(percent / 100), 1 - percent / 100 + 1e-9
-
-    def run(outs: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(outs) and len(others):
-            sets = others["shingles"].to_numpy()
-            size = np.array([len(x) for x in sets])
-            odd = np.stack(others["odd"].to_numpy()).view(np.uint64)
-            ids, comp, dist = (others[c].to_numpy() for c in ("doc_id", "c", "dist"))
-            for o in outs.itertuples():
-                own = np.asarray(o.shingles)
-                near = (comp != o.c) & (dist >= o.dist - reach) & (100 * np.minimum(size, len(own)) >= percent * np.maximum(size, len(own)))
-                near &= np.bitwise_count(odd ^ np.asarray(o.odd).view(np.uint64)).sum(1) <= limit
-                at = np.flatnonzero(near)
-                for k in range(0, len(at), 64):
-                    part = at[k : k + 64]
-                    flat = np.concatenate([sets[i] for i in part])
-                    hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
-                    common = np.add.reduceat(hit, np.cumsum(size[part]) - size[part], dtype=np.int64)
-                    good = 100 * common >= percent * (size[part] + len(own) - common)
-                    found += [(o.doc_id, int(i)) for i in ids[part[good]]]
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-    return lambda outs, others: run(outs, others)
-
-
-def _outsider_links(stars: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of documents outside their hub's component with other documents of that hub."""
-    own = labels.select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
-    hub = labels.select(F.col("node").alias("hub"), F.col("component").alias("hc"))
-    named = stars.where("crowd").select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), "dist").join(own, "doc_id", "left").join(hub, "hub", "left")
-    named = named.select("hub", "doc_id", "dist", F.coalesce("c", "doc_id").alias("c"), (F.coalesce("c", "doc_id") != F.coalesce("hc", "hub")).alias("out"))
-    named = materialize(named, "dup-named")
-    counts = named.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("out").cast("int")).alias("outs")).where("outs > 0 and n > 1")
-    counts = counts.select("hub", F.ceil(F.col("outs") / OUTSIDERS).cast("int").alias("ot"), F.ceil(F.col("n") / TILE).cast("int").alias("mt"))
-    rows = named.join(counts, "hub").join(reps.select("doc_id", "odd"), "doc_id").join(sets.select("doc_id", F.sort_array("shingles").alias("shingles")), "doc_id")
-    place = lambda seed, tiles: F.pmod(F.xxhash64("doc_id", F.lit(seed)), tiles).cast("int")
-    every = lambda tiles: F.explode(F.sequence(F.lit(0), F.col(tiles) - 1))
-    fields = ["doc_id", "c", "dist", "odd", "shingles"]
-    outs = rows.where("out").withColumn("o", place(1, F.col("ot"))).withColumn("m", every("mt")).select("hub", "o", "m", *fields)
-    others = rows.withColumn("m", place(2, F.col("mt"))).withColumn("o", every("ot")).select("hub", "o", "m", *fields)
-    outs = outs.toDF(*outs.columns)  # new column identities: both sides stem from one table
-    keys = ["hub", "o", "m"]
-    return materialize(outs.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInPandas(_meet(percent), "a bigint, b bigint"), "dup-more")
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; documents are linked at ``percent`` % similarity or more.
 
@@ -254,11 +225,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     are ignored; an empty table gives an empty result.
     """
     sketched = materialize(sketch(docs, words, id_col, text_col), "dup-sketches")
-    able = sketched.where("n_shingles > 0 and doc_id is not null")
     # Equal sets first: one representative of each set goes on, linked to the others.
-    classes = materialize(able.groupBy("n_shingles", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "dup-classes")
-    copies = able.join(classes.where("n > 1"), ["n_shingles", "fp1", "fp2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    reps = materialize(able.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "bands", "odd"), "dup-reps")
+    first, copies = equal_sets(sketched)
+    able = sketched.where("n_shingles > 0 and doc_id is not null")
+    reps = materialize(able.join(first, "doc_id", "left_semi").select("doc_id", "n_shingles", "bands", "odd"), "dup-reps")
 
     rows = reps.select("doc_id", F.explode("bands").alias("key"))
     buckets = rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -267,12 +237,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     stars = stars.join(_features(reps, "b"), "b").join(_features(reps, "a"), "a").where(F.col("crowd") | _plausible(percent)).select("a", "b", "crowd")
     stars = materialize(stars, "dup-stars")
     wanted = stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct()
-    sets = _sets_of(docs, wanted, words, id_col, text_col)
-    stars = materialize(_scored(stars, sets, percent), "dup-scored")
+    sets = sets_of(docs, wanted, words, id_col, text_col)
+    stars = materialize(pair_distances(stars, sets, percent), "dup-scored")
     edges = stars.where("linked").select("a", "b").unionByName(copies)
     labels = materialize(connected_components(edges), "dup-labels")
 
-    more = _outsider_links(stars, labels, reps, sets, percent)
+    marks = reps.select("doc_id", F.col("n_shingles").alias("n"), F.col("odd").alias("mark"), F.lit(0).alias("need"))
+    crowds = stars.where("crowd").select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), "dist")
+    more = outsider_links(crowds, labels, marks, sets, sketches_within(sketch_limit(percent / 100)), percent)
     if not more.isEmpty():
         whole = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
         labels = materialize(connected_components(whole), "dup-labels")
