@@ -151,17 +151,10 @@ def sketch(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str =
     return text_rows(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n_shingles bigint, fp1 bigint, fp2 bigint, bands array<bigint>, odd array<bigint>")
 
 
-def prints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, two fingerprints of the whole set) of every row."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            texts = batch.column(1).to_pylist()
-            for a, b in batches(texts):
-                found = [(len(s), _mix(s).sum().view(np.int64), _mix(s ^ _STEP).sum().view(np.int64)) for s in shingle_sets(texts[a:b], words)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(x, pa.int64()) for x in zip(*found, strict=True))], names=["doc_id", "n_shingles", "fp1", "fp2"])
-
-    return text_rows(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n_shingles bigint, fp1 bigint, fp2 bigint")
+def fingerprints(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Size and two fingerprints of each set."""
+    found = [(len(s), _mix(s).sum().view(np.int64), _mix(s ^ _STEP).sum().view(np.int64)) for s in sets]
+    return [pa.array(x, pa.int64()) for x in zip(*found, strict=True)]
 
 
 def equal_sets(printed: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 Members of a hub that are outside its component meet the hub's other members in tiles of bounded size, twice. First
 with their marks alone (a few numbers a document), which tell who has any partner left; then those documents alone,
 with their full sets. Only links that join two components leave a tile, so it gives fewer links than it has documents.
+Hubs of few members share a tile, in which the members of different hubs do not meet.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from hayrick.session import materialize
 
 #: Outsiders and other documents of a hub that meet in one tile.
 OUTSIDERS, TILE = 256, 512
-KEYS = ["hub", "o", "m"]
+KEYS = ["crowd", "o", "m"]
 
 #: Takes the marks and needs of a tile's other documents; the result tells, for one mark and need, whom it may link to.
 Near = Callable[[list[np.ndarray], np.ndarray], Callable[[np.ndarray, int], np.ndarray]]
@@ -52,13 +53,13 @@ def prefixes_share() -> Near:
 
 
 def _partners(outs: pd.DataFrame, others: pd.DataFrame, near: Near, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(number of the outsider, numbers of the others that it may link to): of another component, and neither size, nor
+    """(number of the outsider, numbers of the others that it may link to): of the same hub and another component, and neither size, nor
     the distances to the hub (by the triangle inequality, where both are known), nor the marks rule it out."""
-    size, dist, comp = (others[c].to_numpy() for c in ("n", "dist", "c"))
+    size, dist, comp, hub = (others[c].to_numpy() for c in ("n", "dist", "c", "hub"))
     able = near([np.asarray(m) for m in others["mark"]], others["need"].to_numpy())
     reach = 1 - percent / 100 + 1e-9
     for i, o in enumerate(outs.itertuples()):
-        open_ = (comp != o.c) & (100 * np.minimum(size, o.n) >= percent * np.maximum(size, o.n)) & ~(np.abs(dist - o.dist) > reach)
+        open_ = (hub == o.hub) & (comp != o.c) & (100 * np.minimum(size, o.n) >= percent * np.maximum(size, o.n)) & ~(np.abs(dist - o.dist) > reach)
         if open_.any():
             yield i, np.flatnonzero(open_ & able(np.asarray(o.mark), o.need))
 
@@ -71,10 +72,8 @@ def _who(near: Near, percent: int):
                 if len(at):
                     left.append(i)
                     right[at] = True
-        some, more = outs.iloc[left], others[right] if len(others) else others
-        keys = (outs if len(outs) else others)[KEYS].iloc[:1]
-        found = pd.DataFrame({"doc_id": [*some["doc_id"], *more["doc_id"]], "out": [True] * len(some) + [False] * len(more)})
-        return found.assign(**{k: keys[k].iloc[0] for k in KEYS}).astype({"doc_id": "int64", "out": "bool"})[[*KEYS, "doc_id", "out"]]
+        some, more = outs.iloc[left].assign(out=True), others[right].assign(out=False)
+        return pd.concat([some, more])[[*KEYS, "hub", "doc_id", "out"]]
 
     return lambda outs, others: run(outs, others)
 
@@ -121,17 +120,20 @@ def outsider_links(stars: DataFrame, labels: DataFrame, marks: DataFrame, sets:
     named = named.select("hub", "doc_id", "dist", F.coalesce("c", "doc_id").alias("c"), (F.coalesce("c", "doc_id") != F.coalesce("hc", "hub")).alias("out"))
     named = materialize(named, "tile-named")
     counts = named.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("out").cast("int")).alias("outs")).where("outs > 0 and n > 1")
-    counts = counts.select("hub", F.ceil(F.col("outs") / OUTSIDERS).cast("int").alias("ot"), F.ceil(F.col("n") / TILE).cast("int").alias("mt"))
+    counts = counts.select("hub", "n", F.ceil(F.col("outs") / OUTSIDERS).cast("int").alias("ot"), F.ceil(F.col("n") / TILE).cast("int").alias("mt"))
+    small = (F.col("ot") == 1) & (F.col("mt") == 1)
+    together = -(-(counts.where(small).agg(F.sum("n")).first()[0] or 0) // TILE) or 1
+    counts = counts.select("hub", "ot", "mt", F.when(small, F.pmod(F.xxhash64("hub"), F.lit(together)) - together).otherwise(F.xxhash64("hub")).alias("crowd"))
     rows = materialize(named.join(counts, "hub").join(marks.select("doc_id", "n", "mark", "need"), "doc_id"), "tile-rows")
     place = lambda seed, tiles: F.pmod(F.xxhash64("doc_id", F.lit(seed)), tiles).cast("int")
     every = lambda tiles: F.explode(F.sequence(F.lit(0), F.col(tiles) - 1))
-    fields = ["doc_id", "c", "dist", "n", "mark", "need"]
+    fields = ["hub", "doc_id", "c", "dist", "n", "mark", "need"]
     outs = rows.where("out").withColumn("o", place(1, F.col("ot"))).withColumn("m", every("mt")).select(*KEYS, *fields)
     others = rows.withColumn("m", place(2, F.col("mt"))).withColumn("o", every("ot")).select(*KEYS, *fields)
     outs = outs.toDF(*outs.columns)  # new column identities: both sides stem from one table
-    kind = "hub bigint, o int, m int, doc_id bigint, out boolean"
+    kind = "crowd bigint, o int, m int, hub bigint, doc_id bigint, out boolean"
     who = materialize(outs.groupBy(*KEYS).cogroup(others.groupBy(*KEYS)).applyInPandas(_who(near, percent), kind), "tile-who")
-    asked = who.join(rows.select("hub", *fields), ["hub", "doc_id"]).join(sets, "doc_id").select(*KEYS, "out", *fields, F.sort_array("shingles").alias("shingles"))
+    asked = who.join(rows.select(*fields), ["hub", "doc_id"]).join(sets, "doc_id").select(*KEYS, "out", *fields, F.sort_array("shingles").alias("shingles"))
     left, right = asked.where("out").drop("out"), asked.where("not out").drop("out")
     left = left.toDF(*left.columns)
     return materialize(left.groupBy(*KEYS).cogroup(right.groupBy(*KEYS)).applyInPandas(_meet(near, percent), "a bigint, b bigint"), "tile-links")

@@ -207,7 +207,7 @@ def test_prefixes_share_what_they_ask_for():
         a, b = base[: len(base) - d // 2], base[d - d // 2 :]
         if not len(a) or not len(b) or 100 * len(np.intersect1d(a, b)) < 85 * len(np.union1d(a, b)):
             continue
-        (x, p), (y, q) = (jaccard_join.prefix_of(np.sort(s), counts, excess, 85) for s in (a, b))
+        (x, _, p), (y, _, q) = (jaccard_join.prefix_of(np.sort(s), counts, excess, 85) for s in (a, b))
         needs |= {x, y}
         assert len(np.intersect1d(p, q)) >= min(x, y)
     assert len(needs) > 2
