@@ -29,6 +29,8 @@ from hayrick.session import materialize
 BANDS, ROWS = 32, 5
 SAMPLES = BANDS * ROWS
 BITS = 512
+#: Ids that are sent to every task at most: 16 bytes each.
+FEW_IDS = 250_000
 
 _RNG = np.random.default_rng(41)
 _MARK = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -192,8 +194,12 @@ def _features(reps: DataFrame, side: str) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, shingles) of the wanted documents. Their number grows with the corpus: this is a shuffled join."""
-    rows = text_rows(docs, id_col, text_col).hint("merge").join(wanted, "doc_id", "left_semi")
+    """(doc_id, shingles) of the wanted documents. They are sent to the texts if they are counted to be few; their number
+    grows with the corpus, so beyond that texts and ids are shuffled."""
+    wanted = materialize(wanted, "dup-wanted")
+    few = wanted.count() <= FEW_IDS
+    rows = text_rows(docs, id_col, text_col)
+    rows = rows.join(F.broadcast(wanted), "doc_id", "left_semi") if few else rows.hint("merge").join(wanted, "doc_id", "left_semi")
     return materialize(full_sets(rows, words), "dup-sets")
 
 
@@ -237,7 +243,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     marks = reps.select("doc_id", F.col("n_shingles").alias("n"), F.col("odd").alias("mark"), F.lit(0).alias("need"))
     crowds = stars.where("crowd").select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), "dist")
-    more = outsider_links(crowds, labels, marks, sets, sketches_within(sketch_limit(percent / 100)), percent)
+    more = outsider_links(crowds, labels, marks, lambda some: sets.join(some, "doc_id", "left_semi"), sketches_within(sketch_limit(percent / 100)), percent)
     if not more.isEmpty():
         whole = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
         labels = materialize(connected_components(whole), "dup-labels")

@@ -21,31 +21,31 @@ from hayrick.session import materialize
 OUTSIDERS, TILE = 256, 512
 KEYS = ["crowd", "o", "m"]
 
-#: Takes the marks and needs of a tile's other documents; the result tells, for one mark and need, whom it may link to.
-Near = Callable[[list[np.ndarray], np.ndarray], Callable[[np.ndarray, int], np.ndarray]]
+#: Takes marks, needs and set sizes of a tile's other documents; the result tells, for those of one, whom it may link to.
+Near = Callable[[list[np.ndarray], np.ndarray, np.ndarray], Callable[[np.ndarray, int, int], np.ndarray]]
 
 
 def sketches_within(limit: int) -> Near:
     """Marks are odd sketches, which differ in at most ``limit`` bits."""
 
-    def of(marks: list[np.ndarray], needs: np.ndarray) -> Callable[[np.ndarray, int], np.ndarray]:
+    def of(marks: list[np.ndarray], needs: np.ndarray, sizes: np.ndarray) -> Callable[[np.ndarray, int, int], np.ndarray]:
         bits = np.stack(marks).view(np.uint64)
-        return lambda own, need: np.bitwise_count(bits ^ own.view(np.uint64)).sum(1) <= limit
+        return lambda own, need, n: np.bitwise_count(bits ^ own.view(np.uint64)).sum(1) <= limit
 
     return of
 
 
-def prefixes_share() -> Near:
-    """Marks are prefix tokens, of which two documents share as many as the one with the smaller need asks for."""
+def prefixes_share(percent: int) -> Near:
+    """Marks are prefix tokens, of which two documents share the smaller need more than the overlap of similar sets."""
 
-    def of(marks: list[np.ndarray], needs: np.ndarray) -> Callable[[np.ndarray, int], np.ndarray]:
+    def of(marks: list[np.ndarray], needs: np.ndarray, sizes: np.ndarray) -> Callable[[np.ndarray, int, int], np.ndarray]:
         size = np.array([len(m) for m in marks])
         flat, begin = np.concatenate(marks), np.cumsum(size) - size
 
-        def one(own: np.ndarray, need: int) -> np.ndarray:
+        def one(own: np.ndarray, need: int, n: int) -> np.ndarray:
             own = np.sort(own)
             hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
-            return np.add.reduceat(hit, begin, dtype=np.int64) >= np.minimum(needs, need)
+            return np.add.reduceat(hit, begin, dtype=np.int64) >= np.minimum(needs, need) - (-percent * (sizes + n) // (100 + percent))
 
         return one
 
@@ -56,12 +56,12 @@ def _partners(outs: pd.DataFrame, others: pd.DataFrame, near: Near, percent: int
     """(number of the outsider, numbers of the others that it may link to): of the same hub and another component, and neither size, nor
     the distances to the hub (by the triangle inequality, where both are known), nor the marks rule it out."""
     size, dist, comp, hub = (others[c].to_numpy() for c in ("n", "dist", "c", "hub"))
-    able = near([np.asarray(m) for m in others["mark"]], others["need"].to_numpy())
+    able = near([np.asarray(m) for m in others["mark"]], others["need"].to_numpy(np.int64), size)
     reach = 1 - percent / 100 + 1e-9
     for i, o in enumerate(outs.itertuples()):
         open_ = (hub == o.hub) & (comp != o.c) & (100 * np.minimum(size, o.n) >= percent * np.maximum(size, o.n)) & ~(np.abs(dist - o.dist) > reach)
         if open_.any():
-            yield i, np.flatnonzero(open_ & able(np.asarray(o.mark), o.need))
+            yield i, np.flatnonzero(open_ & able(np.asarray(o.mark), o.need, o.n))
 
 
 def _who(near: Near, percent: int):
@@ -106,11 +106,11 @@ def _meet(near: Near, percent: int):
     return lambda outs, others: run(outs, others)
 
 
-def outsider_links(stars: DataFrame, labels: DataFrame, marks: DataFrame, sets: DataFrame, near: Near, percent: int) -> DataFrame:
+def outsider_links(stars: DataFrame, labels: DataFrame, marks: DataFrame, sets_of: Callable[[DataFrame], DataFrame], near: Near, percent: int) -> DataFrame:
     """(a, b): links that, with those in ``labels``, connect what is linked among the members of each hub.
 
     ``stars`` has (hub, doc_id, dist), dist being null where it is not known; ``labels`` (node, component); ``marks``
-    (doc_id, n, mark, need) and ``sets`` (doc_id, sorted shingles) of all members.
+    (doc_id, n, mark, need) of all members; ``sets_of`` gives (doc_id, shingles) of some.
     """
     own = labels.select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
     hub = labels.select(F.col("node").alias("hub"), F.col("component").alias("hc"))
@@ -133,7 +133,9 @@ def outsider_links(stars: DataFrame, labels: DataFrame, marks: DataFrame, sets:
     outs = outs.toDF(*outs.columns)  # new column identities: both sides stem from one table
     kind = "crowd bigint, o int, m int, hub bigint, doc_id bigint, out boolean"
     who = materialize(outs.groupBy(*KEYS).cogroup(others.groupBy(*KEYS)).applyInPandas(_who(near, percent), kind), "tile-who")
-    asked = who.join(rows.select(*fields), ["hub", "doc_id"]).join(sets, "doc_id").select(*KEYS, "out", *fields, F.sort_array("shingles").alias("shingles"))
+    if who.isEmpty():
+        return who.select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+    asked = who.join(rows.select(*fields), ["hub", "doc_id"]).join(sets_of(who.select("doc_id").distinct()), "doc_id").select(*KEYS, "out", *fields, F.sort_array("shingles").alias("shingles"))
     left, right = asked.where("out").drop("out"), asked.where("not out").drop("out")
     left = left.toDF(*left.columns)
     return materialize(left.groupBy(*KEYS).cogroup(right.groupBy(*KEYS)).applyInPandas(_meet(near, percent), "a bigint, b bigint"), "tile-links")
