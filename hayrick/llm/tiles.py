@@ -19,6 +19,8 @@ from hayrick.session import materialize
 
 #: Outsiders and other documents of a hub that meet in one tile.
 OUTSIDERS, TILE = 256, 512
+#: Members of crowds (of about 100 bytes) that are sent to the marks at most; more are joined by a shuffle.
+FEW = 100_000
 KEYS = ["crowd", "o", "m"]
 
 #: Takes marks, needs and set sizes of a tile's other documents; the result tells, for those of one, whom it may link to.
@@ -53,19 +55,31 @@ def prefixes_share(percent: int) -> Near:
 
 
 def _partners(outs: pd.DataFrame, others: pd.DataFrame, near: Near, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(number of the outsider, numbers of the others that it may link to): of the same hub and another component, and neither size, nor
-    the distances to the hub (by the triangle inequality, where both are known), nor the marks rule it out."""
-    size, dist, comp, hub = (others[c].to_numpy() for c in ("n", "dist", "c", "hub"))
-    able = near([np.asarray(m) for m in others["mark"]], others["need"].to_numpy(np.int64), size)
+    """(number of the outsider, numbers of the others that it may link to): of the same hub and another component, and
+    neither size, nor the distances to the hub (by the triangle inequality, where both are known), nor the marks rule it
+    out."""
     reach = 1 - percent / 100 + 1e-9
-    for i, o in enumerate(outs.itertuples()):
-        open_ = (hub == o.hub) & (comp != o.c) & (100 * np.minimum(size, o.n) >= percent * np.maximum(size, o.n)) & ~(np.abs(dist - o.dist) > reach)
-        if open_.any():
-            yield i, np.flatnonzero(open_ & able(np.asarray(o.mark), o.need, o.n))
+    own = outs.groupby("hub", sort=False).indices
+    for hub, at in others.groupby("hub", sort=False).indices.items():
+        if hub not in own:
+            continue
+        some = others.iloc[at]
+        size, dist, comp = (some[c].to_numpy() for c in ("n", "dist", "c"))
+        able = near([np.asarray(m) for m in some["mark"]], some["need"].to_numpy(np.int64), size)
+        for i, o in zip(own[hub].tolist(), outs.iloc[own[hub]].itertuples(), strict=True):
+            open_ = (comp != o.c) & (100 * np.minimum(size, o.n) >= percent * np.maximum(size, o.n)) & ~(np.abs(dist - o.dist) > reach)
+            if open_.any():
+                yield i, at[open_ & able(np.asarray(o.mark), o.need, o.n)]
+
+
+def _alone(outs: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+    """The outsiders of a tile: of a crowd of one tile they are sent once, among the others."""
+    return outs if len(outs) else others[others["out"].astype(bool)]
 
 
 def _who(near: Near, percent: int):
     def run(outs: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        outs = _alone(outs, others)
         left, right = [], np.zeros(len(others), bool)
         if len(outs) and len(others):
             for i, at in _partners(outs, others, near, percent):
@@ -80,7 +94,7 @@ def _who(near: Near, percent: int):
 
 def _meet(near: Near, percent: int):
     def run(outs: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        found, outs = [], _alone(outs, others)
         if len(outs) and len(others):
             sets, ids = [np.asarray(x) for x in others["shingles"]], others["doc_id"].to_numpy()
             size = np.array([len(x) for x in sets])
@@ -119,23 +133,25 @@ def outsider_links(stars: DataFrame, labels: DataFrame, marks: DataFrame, sets_o
     named = once.join(own, "doc_id", "left").join(hub, "hub", "left")
     named = named.select("hub", "doc_id", "dist", F.coalesce("c", "doc_id").alias("c"), (F.coalesce("c", "doc_id") != F.coalesce("hc", "hub")).alias("out"))
     named = materialize(named, "tile-named")
+    few = named.count() <= FEW
     counts = named.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("out").cast("int")).alias("outs")).where("outs > 0 and n > 1")
     counts = counts.select("hub", "n", F.ceil(F.col("outs") / OUTSIDERS).cast("int").alias("ot"), F.ceil(F.col("n") / TILE).cast("int").alias("mt"))
     small = (F.col("ot") == 1) & (F.col("mt") == 1)
     together = -(-(counts.where(small).agg(F.sum("n")).first()[0] or 0) // TILE) or 1
     counts = counts.select("hub", "ot", "mt", F.when(small, F.pmod(F.xxhash64("hub"), F.lit(together)) - together).otherwise(F.xxhash64("hub")).alias("crowd"))
-    rows = materialize(named.join(counts, "hub").join(marks.select("doc_id", "n", "mark", "need"), "doc_id"), "tile-rows")
+    named = named.join(counts, "hub")
+    rows = materialize((F.broadcast(named) if few else named).join(marks.select("doc_id", "n", "mark", "need"), "doc_id"), "tile-rows")
     place = lambda seed, tiles: F.pmod(F.xxhash64("doc_id", F.lit(seed)), tiles).cast("int")
     every = lambda tiles: F.explode(F.sequence(F.lit(0), F.col(tiles) - 1))
-    fields = ["hub", "doc_id", "c", "dist", "n", "mark", "need"]
-    outs = rows.where("out").withColumn("o", place(1, F.col("ot"))).withColumn("m", every("mt")).select(*KEYS, *fields)
+    fields = ["hub", "doc_id", "out", "c", "dist", "n", "mark", "need"]
+    outs = rows.where("out and (ot > 1 or mt > 1)").withColumn("o", place(1, F.col("ot"))).withColumn("m", every("mt")).select(*KEYS, *fields)
     others = rows.withColumn("m", place(2, F.col("mt"))).withColumn("o", every("ot")).select(*KEYS, *fields)
     outs = outs.toDF(*outs.columns)  # new column identities: both sides stem from one table
     kind = "crowd bigint, o int, m int, hub bigint, doc_id bigint, out boolean"
     who = materialize(outs.groupBy(*KEYS).cogroup(others.groupBy(*KEYS)).applyInPandas(_who(near, percent), kind), "tile-who")
     if who.isEmpty():
         return who.select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
-    asked = who.join(rows.select(*fields), ["hub", "doc_id"]).join(sets_of(who.select("doc_id").distinct()), "doc_id").select(*KEYS, "out", *fields, F.sort_array("shingles").alias("shingles"))
-    left, right = asked.where("out").drop("out"), asked.where("not out").drop("out")
+    asked = who.join(rows.select(*fields).drop("out"), ["hub", "doc_id"]).join(sets_of(who.select("doc_id").distinct()), "doc_id").select(*KEYS, *fields, F.sort_array("shingles").alias("shingles"))
+    left, right = asked.where("out"), asked.where("not out")
     left = left.toDF(*left.columns)
     return materialize(left.groupBy(*KEYS).cogroup(right.groupBy(*KEYS)).applyInPandas(_meet(near, percent), "a bigint, b bigint"), "tile-links")
