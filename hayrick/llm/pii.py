@@ -25,11 +25,14 @@ follows a match), which accept the same matches without rescanning long runs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hayrick.llm.common import small_table
 from hayrick.llm.quality_rules import bind
+from hayrick.operators.chunking import scan
 from hayrick.session import materialize
 
 # The base kinds in their order of report, and their expressions.
@@ -76,17 +79,14 @@ def located(text: Column, expression: str) -> Column:
     """All matches as an array of (start, end, value, left, right): code points, and the characters around the match."""
 
     def place(matches: Column, gaps: Column) -> Column:
-        def step(state: Column, value: Column) -> Column:
-            at = F.size(state["out"])
-            gap = F.get(gaps, at)
-            start = state["at"] + F.length(gap)
-            end = start + F.length(value)
-            around = F.right(gap, F.lit(AROUND)).alias("left"), F.left(F.get(gaps, at + 1), F.lit(AROUND)).alias("right")
-            one = F.struct(start.alias("start"), end.alias("end"), value.alias("value"), *around)
-            return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
-
-        empty = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
-        return F.aggregate(matches, empty, step, lambda s: s["out"])
+        def step(at: Column, x: Column) -> tuple[Column, Column]:
+            start = at + F.length(x["gap"])
+            end = start + F.length(x["value"])
+            around = F.right(x["gap"], F.lit(AROUND)).alias("left"), F.left(x["next"], F.lit(AROUND)).alias("right")
+            return end, F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), *around)
+
+        parts = F.transform(matches, lambda m, i: F.struct(m.alias("value"), F.get(gaps, i).alias("gap"), F.get(gaps, i + 1).alias("next")))
+        return bind(parts, lambda p: scan(p, F.lit(0), step, _SPANS.removeprefix("array<").removesuffix(">")))
 
     matches = F.regexp_extract_all(text, F.lit(expression), F.lit(0))
     return bind(matches, lambda m: F.when(F.size(m) > 0, bind(F.split(text, expression, -1), lambda g: place(m, g))).otherwise(F.array().cast(_SPANS)))
@@ -119,8 +119,39 @@ def base_matches(text: Column, kind: str) -> Column:
     return F.when(hint, located(text, EXPRESSIONS[kind])).otherwise(F.array().cast(_SPANS))
 
 
-def _overlaps(span: Column, others: Column) -> Column:
-    return F.exists(others, lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]))
+def _beside(spans: Column, others: Column, keep: Callable[[Column, Column, Column], Column]) -> Column:
+    """The spans, in order, for which ``keep(span, reach, next)`` holds: how far the others that begin no later than the
+    span reach at most (-1: none begins), and where the first one that begins later begins.
+
+    Both are sorted together and read once from either side, so a text of many matches takes time by their number.
+    """
+    none = 2**31 - 1
+    point = lambda kind: lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("own"), s["end"].alias("end"))
+
+    def ends(at: Column, x: Column) -> tuple[Column, Column]:
+        now = F.when(x["own"] == 0, F.greatest(at, x["end"])).otherwise(at)
+        return now, F.when(x["own"] == 1, now)
+
+    def starts(at: Column, x: Column) -> tuple[Column, Column]:
+        return F.when(x["own"] == 0, x["start"]).otherwise(at), F.when(x["own"] == 1, at)
+
+    def judge(mine: Column) -> Column:
+        both = F.sort_array(F.concat(F.transform(others, point(0)), F.transform(mine, point(1))))
+        reach = bind(both, lambda u: F.array_compact(scan(u, F.lit(-1), ends, "int")))
+        following = bind(F.reverse(both), lambda u: F.reverse(F.array_compact(scan(u, F.lit(none), starts, "int"))))
+        near = F.arrays_zip(reach.alias("reach"), following.alias("next"))
+        return bind(near, lambda n: F.filter(mine, lambda s, i: bind(F.get(n, i), lambda x: keep(s, x["reach"], x["next"]))))
+
+    return F.when((F.size(spans) > 0) & (F.size(others) > 0), bind(F.sort_array(spans), judge)).otherwise(spans)
+
+
+def _apart(span: Column, reach: Column, following: Column) -> Column:
+    """Whether the span overlaps none."""
+    return (reach <= span["start"]) & (following >= span["end"])
+
+
+def _not_within(span: Column, reach: Column, following: Column) -> Column:
+    return reach < span["end"]
 
 
 def assigned_spans(text: Column) -> Column:
@@ -220,16 +251,11 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     valid = {k: _checked(k, True) for k in KINDS}
     refused = F.concat(*[_checked(k, False) for k in KINDS])
     every = F.concat(*[F.col(k) for k in KINDS])
-    within = lambda s, others: F.exists(others, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
     rows = rows.withColumns({**valid, "refused": refused})
-    rows = rows.withColumns(
-        {
-            "candidates": F.filter("candidates", lambda s: ~_overlaps(s, every) & ~within(s, F.col("refused"))),
-            "assigned": F.filter("assigned", lambda s: ~within(s, every)),
-        }
-    )
+    free = bind(_beside(F.col("candidates"), every, _apart), lambda c: _beside(c, F.col("refused"), _not_within))
+    rows = rows.withColumns({"candidates": free, "assigned": _beside(F.col("assigned"), every, _not_within)})
     # A refused match inside a longer instance is no counter-example, but a part of that.
-    rows = materialize(rows.withColumn("refused", F.filter("refused", lambda s: ~within(s, F.concat("candidates", "assigned")))), "pii-checked")
+    rows = materialize(rows.withColumn("refused", _beside(F.col("refused"), F.concat("candidates", "assigned"), _not_within)), "pii-checked")
 
     # One row per (pattern, value). A value is a seed if it is one anywhere; held-back values have no rows.
     held = F.pmod(F.xxhash64("value"), F.lit(HELD)) == 0
@@ -252,7 +278,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = standing.join(reached, "value", "left").where((F.col("standing") == 1) | ((F.col("standing").isNull()) & F.col("reached")))
     by_pattern = F.coalesce("reached", F.lit(False)) & (F.col("standing").isNull() | held)
     known = materialize(known.select("value", by_pattern.alias("found")), "pii-values")
-    free = F.filter("candidates", lambda s: ~_overlaps(s, F.col("assigned")))
+    free = _beside(F.col("candidates"), F.col("assigned"), _apart)
     spots = rows.select("row", F.explode(F.concat(free, F.col("assigned"))).alias("s"))
     spots = spots.select("row", F.col("s.value").alias("value"), F.struct("s.start", "s.end").alias("span")).join(known, "value")
     secret = spots.groupBy("row").agg(F.sort_array(F.collect_list("span")).alias("secret"), F.sort_array(F.collect_list(F.when(F.col("found"), F.col("span")))).alias("discovered"))
@@ -264,11 +290,14 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def recovery(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of counts that tell how well patterns find what they were not shown: ``secrets``, ``shown`` (spans of seeds)
-    and ``discovered`` (the others, which patterns found), ``missed`` (spans of values held back that no pattern found)."""
-    found = find_spans(docs, id_col, text_col)
-    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    and ``discovered`` (the others, which patterns found), ``missed`` (spans of values held back that no pattern found).
+
+    Defined cases: ids play no part, so they may repeat or be null; null and empty texts hold nothing; repeated rows count
+    each; an empty table has counts of 0."""
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("n"), F.col(text_col).alias("text")), "pii-recovery")
+    found = find_spans(rows, "n").withColumnRenamed("doc_id", "n")
     value = F.expr("substring(text, s.start + 1, s.end - s.start)")
-    spans = found.join(text, "doc_id").select("text", "discovered", F.explode("secret").alias("s"))
+    spans = found.join(rows, "n").select("text", "discovered", F.explode("secret").alias("s"))
     held = F.pmod(F.xxhash64(value), F.lit(HELD)) == 0
     hit = F.array_contains("discovered", F.col("s"))
     return spans.select(hit.alias("hit"), held.alias("held")).agg(
@@ -305,33 +334,35 @@ def part_of(blocks: Column, start: Column, end: Column) -> Column:
 def _without(blocks: Column, length: Column, spans: Column) -> Column:
     """The text of these blocks with a tag in place of each group of overlapping spans; spans are in order."""
 
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        more = F.concat(state["out"], F.array(part_of(blocks, state["at"], s["start"]), s["tag"]))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, more).otherwise(state["out"]).alias("out"))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        piece = F.when(s["start"] >= at, F.concat(part_of(blocks, at, s["start"]), s["tag"])).otherwise(F.lit(""))
+        return F.greatest(at, s["end"]), piece
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(spans, begin, step, lambda s: F.concat(F.concat_ws("", s["out"]), part_of(blocks, s["at"], length)))
+    end = F.array_max(F.transform(spans, lambda s: s["end"]))
+    return F.concat(F.concat_ws("", scan(spans, F.lit(0), step, "string")), part_of(blocks, end, length))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The same rows with every found span of the text replaced by its kind in brackets.
 
     Spans of different kinds may overlap; overlapping spans become one, named by the first.
-    Other columns are kept. Texts without a digit, @ or assigned value hold nothing to find and pass by; the others
+    Other columns are kept, whatever their names. Null and empty texts stay as they are, ids play no part (so they may
+    repeat or be null), repeated rows are changed alike, an empty table stays empty. Texts without a digit, @ or assigned value hold nothing to find and pass by; the others
     are written with a row number by which they meet their spans.
     """
-    told = F.col(text_col).rlike("[=:]") & F.col(text_col).rlike(ASSIGNED)  # most texts without a sign end at the first
-    may_hold = F.coalesce(F.col(text_col).rlike("[0-9@]") | told, F.lit(False))
-    rows = materialize(docs.where(may_hold).withColumn("_row", F.monotonically_increasing_id()), "pii-rows")
-    spans = find_spans(rows, "_row", text_col, corpus=docs)
+    text = F.col(text_col)
+    told = text.rlike("[=:]") & text.rlike(ASSIGNED)  # most texts without a sign end at the first
+    may_hold = F.coalesce(text.rlike("[0-9@]") | told, F.lit(False))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # so that no column can clash
+    rows = materialize(docs.where(may_hold).select(F.monotonically_increasing_id().alias("n"), text.cast("string").alias("text"), whole), "pii-rows")
+    spans = find_spans(rows, "n", "text", corpus=docs.select(text.alias("text")))
 
     def tag(kind: str) -> Column:
         return F.transform(F.col(kind), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("tag")))
 
     tagged = F.sort_array(F.concat(*[tag(k) for k in (*KINDS, "secret")]))
-    found = spans.select(F.col("doc_id").alias("_row"), tagged.alias("_spans")).where(F.size("_spans") > 0)
-    text = F.col(text_col)
-    clean = bind(blocks_of(text), lambda b: _without(b, F.length(text), F.col("_spans")))
-    joined = rows.join(found, "_row", "left").withColumn(text_col, F.when(F.col("_spans").isNotNull(), clean).otherwise(text))
-    return joined.select(*docs.columns).unionByName(docs.where(~may_hold))
+    found = spans.select(F.col("doc_id").alias("n"), tagged.alias("spans")).where(F.size("spans") > 0)
+    clean = bind(blocks_of(F.col("text")), lambda b: _without(b, F.length("text"), F.col("spans")))
+    joined = rows.join(found, "n", "left").withColumn("text", F.when(F.col("spans").isNotNull(), clean).otherwise(F.col("text")))
+    kept = joined.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
+    return kept.unionByName(docs.where(~may_hold))

@@ -13,8 +13,10 @@ def _ids_tell_rows_apart(docs: DataFrame) -> bool:
     return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty()
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "stage-rows")
+def _packed(docs: DataFrame) -> DataFrame:
+    """(n, doc_id, text, source, row): a number for every row and the row itself, so that no other column can clash."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return materialize(docs.select(F.monotonically_increasing_id().alias("n"), "doc_id", "text", "source", whole), "stage-rows")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -39,12 +41,12 @@ def keep_one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -
         gone = found.where("doc_id <> component_id").select("doc_id")
         # The removed ids grow with the corpus, so they are never broadcast.
         return docs.hint("merge").join(gone, "doc_id", "left_anti").select(*docs.columns)
-    rows = _numbered(docs)
-    found = neardup.near_duplicates(rows, words, percent, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
-    ids = rows.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row").alias("first"))
-    first = ids.hint("merge").join(found, "_row").groupBy("component_id").agg(F.min("first").alias("first"))
-    stay = materialize(first.select(F.col("first._row").alias("_row")), "stage-groups")
-    return rows.hint("merge").join(stay, "_row", "left_semi").select(*docs.columns)
+    rows = _packed(docs)
+    found = neardup.near_duplicates(rows, words, percent, id_col="n").select(F.col("doc_id").alias("n"), "component_id")
+    ids = rows.select("n", F.struct(F.col("doc_id").isNull(), "doc_id", "n").alias("first"))
+    first = ids.hint("merge").join(found, "n").groupBy("component_id").agg(F.min("first").alias("first"))
+    stay = materialize(first.select(F.col("first.n").alias("n")), "stage-groups")
+    return rows.hint("merge").join(stay, "n", "left_semi").select("row.*")
 
 
 def hide_private(docs: DataFrame) -> DataFrame:
@@ -62,10 +64,14 @@ def take_mix(docs: DataFrame) -> DataFrame:
     Defined cases: null and empty texts have no words and are never taken; a null source is a source of its own; rows that
     repeat an id or have none are told apart by a number; an empty table stays empty.
     """
-    key, rows = ("doc_id", docs) if _ids_tell_rows_apart(docs) else ("_row", _numbered(docs))
-    mixed = mixing.mix(rows, id_col=key).where("copies > 0").select(F.col("doc_id").alias(key), F.col("copies").alias("_copies"))
-    taken = rows.join(mixed, key)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(*docs.columns)
+    if _ids_tell_rows_apart(docs):
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+        rows, key = docs.select(F.col("doc_id").alias("n"), "text", "source", whole), "n"
+    else:
+        rows, key = _packed(docs), "n"
+    mixed = mixing.mix(rows, id_col=key).where("copies > 0").select(F.col("doc_id").alias("n"), "copies")
+    taken = rows.join(mixed, "n")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("row.*")
 
 
 def encode(docs: DataFrame, rank_file: str) -> DataFrame:
