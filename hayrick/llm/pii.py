@@ -80,13 +80,16 @@ def located(text: Column, expression: str) -> Column:
 
     def place(matches: Column, gaps: Column) -> Column:
         def step(at: Column, x: Column) -> tuple[Column, Column]:
-            start = at + F.length(x["gap"])
-            end = start + F.length(x["value"])
-            around = F.right(x["gap"], F.lit(AROUND)).alias("left"), F.left(x["next"], F.lit(AROUND)).alias("right")
-            return end, F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), *around)
+            return at + x["gap"] + x["value"], at + x["gap"]
 
-        parts = F.transform(matches, lambda m, i: F.struct(m.alias("value"), F.get(gaps, i).alias("gap"), F.get(gaps, i + 1).alias("next")))
-        return bind(parts, lambda p: scan(p, F.lit(0), step, _SPANS.removeprefix("array<").removesuffix(">")))
+        def span(value: Column, start: Column, before: Column, after: Column) -> Column:
+            around = F.right(before, F.lit(AROUND)).alias("left"), F.left(after, F.lit(AROUND)).alias("right")
+            return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), *around)
+
+        # Only numbers go through the scan: what it holds is copied at every step.
+        lengths = F.transform(matches, lambda m, i: F.struct(F.length(m).alias("value"), F.length(F.get(gaps, i)).alias("gap")))
+        starts = bind(lengths, lambda p: scan(p, F.lit(0), step, "int"))
+        return bind(starts, lambda at: F.transform(matches, lambda m, i: span(m, F.get(at, i), F.get(gaps, i), F.get(gaps, i + 1))))
 
     matches = F.regexp_extract_all(text, F.lit(expression), F.lit(0))
     return bind(matches, lambda m: F.when(F.size(m) > 0, bind(F.split(text, expression, -1), lambda g: place(m, g))).otherwise(F.array().cast(_SPANS)))
@@ -176,7 +179,7 @@ def _patterns(value: Column, left: Column, right: Column) -> Column:
     run = value.rlike("^[A-Za-z0-9]*[0-9][A-Za-z0-9]*$")
     mixed = run & value.rlike("[A-Za-z]")
     signed = _sign(left).rlike("[a-z_][=:]$")
-    before = F.lower(F.regexp_extract(left, r"([\p{L}_]{2,})[^\p{L}_]*$", 1))
+    before = F.lower(F.regexp_extract(left, r"(?<![\p{L}_])([\p{L}_]{2,}+)[^\p{L}_]*+$", 1))
     after = F.lower(F.regexp_extract(right, r"^[^\p{L}_]*([\p{L}_]{2,})", 1))
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[0-9]", "9"), "[a-z]", "a"), "[A-Z]", "A")
     named = lambda kind, x: F.concat(F.lit(f"{kind} "), x)
@@ -335,11 +338,14 @@ def _without(blocks: Column, length: Column, spans: Column) -> Column:
     """The text of these blocks with a tag in place of each group of overlapping spans; spans are in order."""
 
     def step(at: Column, s: Column) -> tuple[Column, Column]:
-        piece = F.when(s["start"] >= at, F.concat(part_of(blocks, at, s["start"]), s["tag"])).otherwise(F.lit(""))
-        return F.greatest(at, s["end"]), piece
+        return F.greatest(at, s["end"]), at
+
+    def piece(s: Column, at: Column) -> Column:
+        return F.when(s["start"] >= at, F.concat(part_of(blocks, at, s["start"]), s["tag"])).otherwise(F.lit(""))
 
-    end = F.array_max(F.transform(spans, lambda s: s["end"]))
-    return F.concat(F.concat_ws("", scan(spans, F.lit(0), step, "string")), part_of(blocks, end, length))
+    ends = F.transform(spans, lambda s: F.struct(s["end"].alias("end")))
+    pieces = bind(bind(ends, lambda e: scan(e, F.lit(0), step, "int")), lambda at: F.transform(spans, lambda s, i: piece(s, F.get(at, i))))
+    return F.concat(F.concat_ws("", pieces), part_of(blocks, F.array_max(F.transform(spans, lambda s: s["end"])), length))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -35,7 +35,7 @@ def test_time_follows_the_number_of_matches(spark, piece, kind):
         return time.time() - began
 
     run(50)
-    few, many = run(5_000), run(50_000)
+    few, many = run(2_000), run(20_000)
     assert many < 20 * few + 20
 
 
