@@ -19,6 +19,17 @@ def allowed_pages(queries: DataFrame, numbered: DataFrame, text: str = "query")
     return asked.join(numbered, "number").select("query_id", "page_id", "page_ord").distinct()
 
 
+def allowed_of(listed: DataFrame, queries: DataFrame, numbered: DataFrame, text: str = "query") -> DataFrame:
+    """(query_id, page_id): of the listed pages (query_id, page_id) those that carry one of their query's numbers.
+
+    For pruning after fusion this is enough: a query whose numbers no page carries and one whose numbers no listed page
+    carries both keep their lists. So the pages of a number are never listed, however many carry it.
+    """
+    asked = queries.select("query_id", F.explode(T.query_numbers(F.coalesce(F.col(text), F.lit("")))).alias("number"))
+    pairs = listed.select("query_id", "page_id").join(asked, "query_id")
+    return pairs.join(numbered.select("page_id", "number"), ["page_id", "number"], "left_semi").select("query_id", "page_id").distinct()
+
+
 def keep_allowed(scored: DataFrame, allowed: DataFrame) -> DataFrame:
     """Before ranking: rows of filtered queries go unless their page is allowed."""
     filtered = allowed.select("query_id").distinct().withColumn("_f", F.lit(True))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hayrick.config import DEFAULT, Settings
@@ -11,7 +11,13 @@ from hayrick.session import materialize
 
 #: Query terms (rows of query_id and term) up to this number are sent to the postings; a row takes about 100 bytes.
 BROADCAST_ROWS = 500_000
+#: And their terms together up to so many bytes.
+BROADCAST_BYTES = 64 << 20
 SALTS = 32
+#: Folders of a saved table of terms, by the term's hash.
+BUCKETS = 64
+#: Distinct query terms up to this number are named in the filter of a saved table, so that other folders are not read.
+LITERALS = 10_000
 
 
 def term_counts(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -51,6 +57,32 @@ def build(units: DataFrame, keys: list[str], text: str = "text", settings: Setti
     return vocabulary(counts, n), weights(counts, avgdl, settings).select("term", *keys, "tf_weight")
 
 
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def save_by_term(rows: DataFrame, path: str) -> None:
+    """Writes rows with a term in a folder for each bucket, sorted by term.
+
+    Rows are dealt by ranges of bucket, term and all other columns, so a term that many units hold is cut into several
+    files, and a task writes few of them.
+    """
+    rest = [c for c in rows.columns if c != "term"]
+    placed = rows.withColumn("bucket", bucket_of(F.col("term")))
+    placed.repartitionByRange("bucket", "term", *rest).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def of_terms(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of a table of terms that can match ``asked`` (term): of a saved table only the folders of those terms are
+    read, and in them the row groups that can hold one. More than LITERALS distinct terms touch most of it anyway."""
+    if "bucket" not in rows.columns:
+        return rows
+    found = asked.select("term", bucket_of(F.col("term")).alias("bucket")).distinct().limit(LITERALS + 1).collect()
+    if len(found) <= LITERALS:
+        rows = rows.where(F.col("bucket").isin(sorted({r["bucket"] for r in found})) & F.col("term").isin([r["term"] for r in found]))
+    return rows.drop("bucket")
+
+
 def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
     """(query_id, term): each query's terms, once each."""
     return queries.select("query_id", F.explode(F.array_distinct(T.tokenize(F.coalesce(F.col(text), F.lit(""))))).alias("term"))
@@ -59,7 +91,8 @@ def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
 def scores(queries: DataFrame, terms: DataFrame, postings: DataFrame, keys: list[str], text: str = "query", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(query_id, keys, score) of every unit that shares a term with the query.
 
-    Query terms go to the postings where they are counted to be few; so the postings stay where they lie and their
+    Tables that ``save_by_term`` wrote are read for the terms of the queries alone. Query terms go to the postings where
+    they are counted to be few (in rows and bytes); so the postings stay where they lie and their
     hits are summed before the shuffle. More query terms than ``broadcast_rows`` are joined by term and salt, so that
     a term that a third of all units hold is dealt to SALTS tasks.
 
@@ -67,7 +100,9 @@ def scores(queries: DataFrame, terms: DataFrame, postings: DataFrame, keys: list
     once; rows that repeat a query_id add up; an empty index gives an empty result.
     """
     asked = materialize(query_terms(queries, text), "query-terms")
-    if asked.count() <= broadcast_rows:
+    n, size = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    terms, postings = of_terms(terms, asked), of_terms(postings, asked)
+    if n <= broadcast_rows and size <= BROADCAST_BYTES:
         known = materialize(terms.select("term", "idf").join(F.broadcast(asked), "term"), "query-idf")
         hits = postings.join(F.broadcast(known), "term")
     else:

@@ -17,7 +17,7 @@ from hayrick.functions import text as T
 from hayrick.operators import chunking, dense, metrics, numfilter, ranking, sparse
 from hayrick.plans import oracle as O
 from hayrick.plans import pipeline
-from hayrick.session import materialize, spread, table
+from hayrick.session import fresh_path, materialize, spread, table
 from hayrick.sources import corpus
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -387,6 +387,14 @@ def hybrid_search(spark, sf):
     return _top(_search(spark, sf))
 
 
+@_query(_FINAL + " " + _RANKED + " final WHERE rank <= 10")
+def saved_index_search(spark, sf):
+    """The hybrid search on an index that was saved and read back: terms and postings of the queries' terms alone."""
+    path = fresh_path(spark, "saved-index")
+    _index(spark, sf).save(path)
+    return _top(pipeline.search(pipeline.Index.load(spark, path), _asked_with_vectors(spark, sf)))
+
+
 @_query(_FINAL + ", top AS (SELECT * FROM final WHERE rank <= 10) SELECT item_id AS query_id, coalesce(string_agg(page_id::VARCHAR, ' ' ORDER BY rank), '') AS page_ids FROM benchmark LEFT JOIN top ON query_id = item_id GROUP BY item_id")
 def ranked_page_lists(spark, sf):
     lists = pipeline.ranked_lists(_search(spark, sf), _asked(spark, sf))
@@ -447,6 +455,17 @@ def mean_metrics(spark, sf):
     return metrics.means(_scores(spark, sf))
 
 
+@_query(_EVAL + " SELECT round(coalesce(avg(ndcg), 0), 6) AS mean_ndcg, round(coalesce(avg(ndcg_standard), 0), 6) AS mean_ndcg_standard, round(coalesce(avg(recall), 0), 6) AS mean_recall, count(*) AS n_queries FROM scores")
+def evaluate_saved_index(spark, sf):
+    """The same means by ``evaluate_run`` on an index that was saved and read back."""
+    path = fresh_path(spark, "saved-index")
+    _index(spark, sf).save(path)
+    index = pipeline.Index.load(spark, path)
+    relevant = _relevant(spark, sf).groupBy("query_id").agg(F.collect_set("page_id").alias("relevant_page_ids"))
+    asked = _asked_with_vectors(spark, sf).join(relevant, "query_id", "left").withColumn("relevant_page_ids", F.coalesce("relevant_page_ids", F.array().cast("array<bigint>")))
+    return pipeline.evaluate_run(materialize(asked, "asked"), lambda q: materialize(pipeline.search(index, q, 100), "ranked"))
+
+
 _REPORT = (
     _EVAL
     + """, r AS (SELECT query_id, string_agg(page_id::VARCHAR, ' ' ORDER BY page_id) AS ids FROM relevant GROUP BY query_id),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hayrick.config import DEFAULT, Settings
@@ -27,11 +27,11 @@ class Index:
     settings: Settings
 
     def save(self, path: str) -> None:
-        """Parquet tables; postings are laid out by term, so that a query's terms touch few row groups."""
+        """Parquet tables; terms and postings lie by term, so that a search reads the folders of its terms alone."""
         self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
         self.pages.write.mode("overwrite").parquet(f"{path}/pages")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        sparse.save_by_term(self.terms, f"{path}/terms")
+        sparse.save_by_term(self.postings, f"{path}/postings")
         self.numbers.write.mode("overwrite").parquet(f"{path}/numbers")
         if self.vectors is not None:
             self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
@@ -84,13 +84,15 @@ def dense_leg(index: Index, queries: DataFrame, allowed: DataFrame | None = None
 def search(index: Index, queries: DataFrame, top_k: int | None = None) -> DataFrame:
     """(query_id, page_id, score, rank): the hybrid ranking of each query (query_id, query[, embedding])."""
     s = index.settings
-    allowed = materialize(numfilter.allowed_pages(queries, index.numbers), "search-allowed") if s.number_filter else None
-    before = allowed if s.filter_mode == "pre" else None
+    before = None
+    if s.number_filter and s.filter_mode == "pre":
+        before = materialize(numfilter.allowed_pages(queries, index.numbers), "search-allowed")
     first = dense_leg(index, queries, before) if s.include_dense and index.vectors is not None else None
     second = sparse_leg(index, queries, before) if s.include_sparse else None
     fused = ranking.fuse(first, second, s)
-    if s.filter_mode == "post" and allowed is not None:
-        fused = numfilter.prune(fused, allowed)
+    if s.number_filter and s.filter_mode == "post":
+        fused = materialize(fused, "search-fused")  # at most the depths of both legs a query
+        fused = numfilter.prune(fused, numfilter.allowed_of(fused, queries, index.numbers))
     return fused.where(F.col("rank") <= (s.top_k if top_k is None else top_k))
 
 
@@ -114,6 +116,8 @@ def evaluate_run(queries: DataFrame, run: Callable[[DataFrame], DataFrame], k: i
 
 #: Passages that are compared with every page at a time, and rows of passages that are sent to the pages.
 PASSAGES, FEW = 1000, 100_000
+#: And all of those passages together in bytes.
+FEW_BYTES = 64 << 20
 
 
 def pages_with_passages(passages: DataFrame, pages: DataFrame) -> DataFrame:
@@ -130,7 +134,8 @@ def pages_with_passages(passages: DataFrame, pages: DataFrame) -> DataFrame:
     asked = materialize(asked.select("query_id", "passage", F.when(F.size("_t") >= 7, run(F.col("_t"), F.lit(2))).alias("run")), "passages")
     runs = pages.select("page_id", "text", F.explode(T.let(T.tokenize(F.col("text")), lambda t: F.array_distinct(F.transform(t, lambda x, i: run(t, i + 1))))).alias("run"))
     long = asked.where("run is not null")
-    few = long.count() <= FEW
+    n, size = long.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("passage")), F.lit(0))).first()
+    few = n <= FEW and size <= FEW_BYTES
     pairs = runs.join(F.broadcast(long), "run") if few else runs.drop("text").join(long, "run").join(pages, "page_id")
     found = pairs.where(F.col("text").contains(F.col("passage"))).select("query_id", "page_id")
     short = asked.where("run is null").drop("run")
@@ -155,15 +160,22 @@ def dense_query(index: Index, queries: DataFrame, top_k: int = 10) -> DataFrame:
 
 def select_subset(pages: DataFrame, relevant: DataFrame, n: int) -> DataFrame:
     """``n`` pages for development, relevant ones first, else in page order (relevant pages alone if they fill it)."""
-    wanted = relevant.select("page_id").distinct().withColumn("_gt", F.lit(1))
-    return pages.join(wanted, "page_id", "left").orderBy(F.col("_gt").desc_nulls_last(), "page_ord").limit(n).drop("_gt")
+    wanted = relevant.select("page_id").distinct().withColumn("wanted", F.lit(1))
+    rows = pages.select("page_id", "page_ord", _whole(pages))
+    return rows.join(wanted, "page_id", "left").orderBy(F.col("wanted").desc_nulls_last(), "page_ord").limit(n).select("row.*")
+
+
+def _whole(rows: DataFrame) -> Column:
+    """A row as one column, so that no helper can clash with its columns."""
+    return F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row")
 
 
 def match_titles(questions: DataFrame, pages: DataFrame) -> DataFrame:
     """(title, question) with the page of the same cleaned title; of several, the last in page order."""
     key = T.clean_title(F.col("title"))
-    known = pages.groupBy(key.alias("_key")).agg(F.max_by("page_id", "page_ord").alias("page_id"))
-    return questions.withColumn("_key", key).join(known, "_key").where(F.col("page_id").isNotNull()).drop("_key")
+    known = pages.groupBy(key.alias("key")).agg(F.max_by("page_id", "page_ord").alias("page_id"))
+    asked = questions.select(key.alias("key"), _whole(questions))
+    return asked.join(known, "key").where(F.col("page_id").isNotNull()).select("row.*", "page_id")
 
 
 def stratified_sample(rows: DataFrame, by: str, of: str, per_group: int = 7, seed: int = 42, strict: bool = False) -> DataFrame:
@@ -171,12 +183,16 @@ def stratified_sample(rows: DataFrame, by: str, of: str, per_group: int = 7, see
 
     Smaller groups are left out or, with ``strict``, fail the query. Null groups and contents count like any other value.
     """
-    mark = F.md5(F.encode(F.concat_ws(":", F.lit(str(seed)), F.col(of).cast("string")), "UTF-8"))
-    place = F.row_number().over(Window.partitionBy(by).orderBy(mark, of))
-    sizes = F.count(F.lit(1)).over(Window.partitionBy(by))
+    packed = rows.select(F.col(by).alias("group"), F.col(of).alias("content"), _whole(rows))
+    mark = F.md5(F.encode(F.concat_ws(":", F.lit(str(seed)), F.col("content").cast("string")), "UTF-8"))
+    # Only a group's first rows of every task are shuffled: the count is another aggregation, not a window over all rows.
+    first = packed.withColumn("place", F.row_number().over(Window.partitionBy("group").orderBy(mark, "content"))).where(F.col("place") <= per_group)
+    sizes = packed.groupBy(F.col("group").alias("g")).agg(F.count(F.lit(1)).alias("n"))
     if strict:
-        sizes = F.when(sizes >= per_group, sizes).otherwise(F.raise_error(F.concat(F.lit("too few rows in group "), F.coalesce(F.col(by).cast("string"), F.lit("null")))).cast("bigint"))
-    return rows.withColumns({"_n": sizes, "_r": place}).where((F.col("_n") >= per_group) & (F.col("_r") <= per_group)).drop("_n", "_r")
+        short = F.raise_error(F.concat(F.lit("too few rows in group "), F.coalesce(F.col("g").cast("string"), F.lit("null")))).cast("boolean")
+        sizes = sizes.where(F.when(F.col("n") >= per_group, True).otherwise(short))
+    large = sizes.where(F.col("n") >= per_group).select("g")
+    return first.join(large, F.col("group").eqNullSafe(F.col("g")), "left_semi").select("row.*")
 
 
 def check_ranking(ranked: DataFrame, queries: DataFrame, least: int = 10) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from hayrick import cli, session
-from hayrick.operators import chunking, dense, metrics, ranking, sparse
+from hayrick.operators import chunking, dense, metrics, numfilter, ranking, sparse
 from hayrick.plans import pipeline
 from hayrick.sources import corpus
 
@@ -219,3 +219,57 @@ def test_small_tables_are_dealt_out(spark, tmp_path):
     table = spark.read.parquet(str(tmp_path / "t"))
     assert session.spread(table).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert session.size_in_bytes(table) < 10_000
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
+
+
+def test_a_saved_index_is_read_for_the_terms_of_the_queries(spark, tmp_path):
+    rows = [(i, f"word{i} common other{i % 7}") for i in range(300)]
+    units = spark.createDataFrame(rows, "page_id bigint, text string").withColumn("chunk_id", F.lit(0))
+    terms, postings = sparse.build(units, ["page_id", "chunk_id"])
+    for name, part in (("terms", terms), ("postings", postings)):
+        sparse.save_by_term(part, f"file://{tmp_path}/{name}")
+    saved = [spark.read.parquet(f"file://{tmp_path}/{name}") for name in ("terms", "postings")]
+    queries = spark.createDataFrame([(1, "word5 word6"), (2, "other3 nowhere"), (3, None)], "query_id int, query string")
+    asked = sparse.query_terms(queries)
+    pruned = sparse.of_terms(saved[1], asked)
+    plan = plan_of(pruned)
+    assert "PartitionFilters: [bucket" in plan and "PushedFilters: [" in plan and "In(term" in plan
+    assert pruned.count() == 2 + sum(i % 7 == 3 for i in range(300))  # the postings of the four terms, and of none else
+    assert len(pruned.inputFiles()) <= len(saved[1].inputFiles())
+    keys = ["page_id", "chunk_id"]
+    got = [sorted((r["query_id"], r["page_id"], round(r["score"], 9)) for r in sparse.scores(queries, *x, keys).collect()) for x in ((terms, postings), saved)]
+    assert got[0] == got[1] and len(got[0]) == pruned.count()
+    many = sparse.scores(queries, *saved, keys, broadcast_rows=0)
+    assert sorted((r["query_id"], r["page_id"], round(r["score"], 9)) for r in many.collect()) == got[0]
+    everything = spark.range(sparse.LITERALS + 1).select(F.col("id").cast("string").alias("term"))
+    assert "In(term" not in plan_of(sparse.of_terms(saved[1], everything)) and sparse.of_terms(saved[1], everything).count() == postings.count()
+
+
+def test_pruning_listed_pages_equals_pruning_by_all_allowed_pages(spark):
+    numbered = spark.createDataFrame([(p, p, n) for p, n in [(2, "1987"), (9, "1850"), (3, "1987"), (3, "5"), (7, "5")]], "page_id bigint, page_ord bigint, number string")
+    queries = spark.createDataFrame([(1, "in 1987"), (2, "in 1850"), (3, "in 1700"), (4, "no number"), (5, "5 of 1987"), (6, None)], "query_id int, query string")
+    fused = spark.createDataFrame([(q, p, 1.0 / r, r) for q in range(1, 7) for r, p in enumerate([1, 2, 3, 7], 1)], "query_id int, page_id bigint, score double, rank int")
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["page_id"]) for r in df.collect())
+    late = numfilter.prune(fused, numfilter.allowed_of(fused, queries, numbered))
+    assert rows(late) == rows(numfilter.prune(fused, numfilter.allowed_pages(queries, numbered)))
+    assert [p for q, _, p in rows(late) if q == 1] == [2, 3] and [p for q, _, p in rows(late) if q == 2] == [1, 2, 3, 7]
+
+
+def test_a_sample_shuffles_the_first_rows_of_each_task_alone(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), F.col("id").alias("q"), F.lit(5).alias("_n"), F.lit(6).alias("_r"), F.lit(7).alias("place"))
+    sample = pipeline.stratified_sample(rows, "g", "q")
+    plan = plan_of(sample)
+    assert plan.index("WindowGroupLimit", plan.index("Final")) < plan.index("Exchange", plan.index("WindowGroupLimit")) < plan.rindex("WindowGroupLimit")
+    got = sample.collect()
+    assert len(got) == 21 and {(r["_n"], r["_r"], r["place"]) for r in got} == {(5, 6, 7)} and {r["g"] for r in got} == {None, 1, 2}
+
+
+def test_helpers_do_not_clash_with_columns(spark):
+    rows = pages(spark).withColumns({"_gt": F.lit(3), "wanted": F.lit(4), "row": F.lit(5), "key": F.lit(6), "_key": F.lit(7)})
+    subset = pipeline.select_subset(rows, spark.createDataFrame([(3,)], "page_id bigint"), 2)
+    assert [(r["page_id"], r["_gt"], r["wanted"], r["row"]) for r in subset.collect()] == [(3, 3, 4, 5), (1, 3, 4, 5)]
+    asked = spark.createDataFrame([("Cats", "who?", 1, 2, 3)], "title string, question string, _key int, key int, row int")
+    assert [tuple(r) for r in pipeline.match_titles(asked, rows).collect()] == [("Cats", "who?", 1, 2, 3, 1)]
