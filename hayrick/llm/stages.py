@@ -13,10 +13,10 @@ def _ids_tell_rows_apart(docs: DataFrame) -> bool:
     return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty()
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """(n, doc_id, text, source, row): a number for every row and the row itself, so that no other column can clash."""
+def _packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """(n, the columns, row): a number for every row and the row itself, so that no other column can clash."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    return materialize(docs.select(F.monotonically_increasing_id().alias("n"), "doc_id", "text", "source", whole), "stage-rows")
+    return materialize(docs.select(F.monotonically_increasing_id().alias("n"), *columns, whole), "stage-rows")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def keep_one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -
         gone = found.where("doc_id <> component_id").select("doc_id")
         # The removed ids grow with the corpus, so they are never broadcast.
         return docs.hint("merge").join(gone, "doc_id", "left_anti").select(*docs.columns)
-    rows = _packed(docs)
+    rows = _packed(docs, "doc_id", "text")
     found = neardup.near_duplicates(rows, words, percent, id_col="n").select(F.col("doc_id").alias("n"), "component_id")
     ids = rows.select("n", F.struct(F.col("doc_id").isNull(), "doc_id", "n").alias("first"))
     first = ids.hint("merge").join(found, "n").groupBy("component_id").agg(F.min("first").alias("first"))
@@ -66,10 +66,10 @@ def take_mix(docs: DataFrame) -> DataFrame:
     """
     if _ids_tell_rows_apart(docs):
         whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-        rows, key = docs.select(F.col("doc_id").alias("n"), "text", "source", whole), "n"
+        rows = docs.select(F.col("doc_id").alias("n"), "text", "source", whole)
     else:
-        rows, key = _packed(docs), "n"
-    mixed = mixing.mix(rows, id_col=key).where("copies > 0").select(F.col("doc_id").alias("n"), "copies")
+        rows = _packed(docs, "text", "source")
+    mixed = mixing.mix(rows, id_col="n").where("copies > 0").select(F.col("doc_id").alias("n"), "copies")
     taken = rows.join(mixed, "n")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("row.*")
 
