@@ -35,7 +35,11 @@ def length_stats(units: DataFrame, text: str = "text") -> DataFrame:
 
 def vocabulary(counts: DataFrame, n: int) -> DataFrame:
     """(term, df, idf) for a collection of ``n`` units."""
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return with_idf(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n)
+
+
+def with_idf(df: DataFrame, n: int) -> DataFrame:
+    """Terms with ``df``, the number of units that have them, and their ``idf`` among ``n`` units."""
     d = F.col("df").cast("double")
     return df.withColumn("idf", F.log((F.lit(float(n)) - d + F.lit(0.5)) / (d + F.lit(0.5)) + F.lit(1.0)))
 

@@ -16,7 +16,7 @@ from hayrick.functions import headers as H
 from hayrick.functions import text as T
 from hayrick.operators import chunking, dense, metrics, numfilter, ranking, sparse
 from hayrick.plans import oracle as O
-from hayrick.plans import pipeline
+from hayrick.plans import increments, pipeline
 from hayrick.session import fresh_path, materialize, spread, table
 from hayrick.sources import corpus
 
@@ -73,10 +73,13 @@ def _units(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select(F.col("doc_id").alias("page_id"), F.lit(0).alias("chunk_id"), "text", F.col("doc_id").alias("page_ord"), T.numbers(F.col("text")).alias("numbers"))
 
 
-def _index(spark: SparkSession, sf: str, settings: Settings = DEFAULT) -> pipeline.Index:
+def _unit_vectors(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("page_id"), "embedding")
-    vectors = _docs(spark, sf).select(F.col("doc_id").alias("page_id")).join(vectors, "page_id").withColumn("page_ord", F.col("page_id"))
-    return pipeline.index_chunks(materialize(_units(spark, sf), "units"), settings, vectors=vectors)
+    return _docs(spark, sf).select(F.col("doc_id").alias("page_id")).join(vectors, "page_id").withColumn("page_ord", F.col("page_id"))
+
+
+def _index(spark: SparkSession, sf: str, settings: Settings = DEFAULT) -> pipeline.Index:
+    return pipeline.index_chunks(materialize(_units(spark, sf), "units"), settings, vectors=_unit_vectors(spark, sf))
 
 
 def _relevant(spark: SparkSession, sf: str) -> DataFrame:
@@ -401,6 +404,17 @@ def ranked_page_lists(spark, sf):
     return lists.select("query_id", F.array_join(F.transform("page_ids", lambda x: x.cast("string")), " ").alias("page_ids"))
 
 
+@_query(_FINAL + " " + _RANKED + " final WHERE rank <= 10")
+def grown_index_search(spark, sf):
+    """The hybrid search on an index that got all documents in three batches, one of them twice."""
+    path = fresh_path(spark, "grown-index")
+    units, vectors = materialize(_units(spark, sf), "units"), _unit_vectors(spark, sf)
+    of = lambda rows, batch: rows.where(F.pmod(F.xxhash64("page_id"), F.lit(3)) == batch)
+    for batch in (0, 1, 1, 2):
+        increments.add_chunks(of(units, batch), path, batch, vectors=of(vectors, batch))
+    return _top(pipeline.search(increments.load(spark, path), _asked_with_vectors(spark, sf)))
+
+
 @_query("WITH" + O.RELEVANT + " SELECT query_id, page_id FROM relevant")
 def relevant_pages(spark, sf):
     return _relevant(spark, sf)

@@ -83,6 +83,12 @@ def temporary_cuts(spark: SparkSession) -> Iterator[None]:
             where.getFileSystem(conf).delete(where, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any file system that Spark can open."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)  # noqa: SLF001
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
