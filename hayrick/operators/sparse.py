@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,24 +94,46 @@ def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(T.tokenize(F.coalesce(F.col(text), F.lit(""))))).alias("term"))
 
 
-def scores(queries: DataFrame, terms: DataFrame, postings: DataFrame, keys: list[str], text: str = "query", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(query_id, keys, score) of every unit that shares a term with the query.
+@dataclass
+class Asked:
+    """The terms of a batch of queries: ``terms`` (query_id, term), ``known`` those of them that the index has, with idf,
+    and whether they are few enough to be sent to the postings."""
 
-    Tables that ``save_by_term`` wrote are read for the terms of the queries alone. Query terms go to the postings where
-    they are counted to be few (in rows and bytes); so the postings stay where they lie and their
-    hits are summed before the shuffle. More query terms than ``broadcast_rows`` are joined by term and salt, so that
-    a term that a third of all units hold is dealt to SALTS tasks.
+    terms: DataFrame
+    known: DataFrame
+    few: bool
 
-    Defined cases: a null or empty query, and terms that no unit has, match nothing; a term that a query repeats counts
-    once; rows that repeat a query_id add up; an empty index gives an empty result.
-    """
+
+def ask(queries: DataFrame, terms: DataFrame, text: str = "query", broadcast_rows: int = BROADCAST_ROWS) -> Asked:
+    """Query terms with their IDF, written once. They count as few by rows (``broadcast_rows``) and by bytes."""
     asked = materialize(query_terms(queries, text), "query-terms")
     n, size = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
-    terms, postings = of_terms(terms, asked), of_terms(postings, asked)
-    if n <= broadcast_rows and size <= BROADCAST_BYTES:
-        known = materialize(terms.select("term", "idf").join(F.broadcast(asked), "term"), "query-idf")
-        hits = postings.join(F.broadcast(known), "term")
+    few = n <= broadcast_rows and size <= BROADCAST_BYTES
+    known = of_terms(terms, asked).select("term", "idf").join(F.broadcast(asked) if few else asked, "term")
+    return Asked(asked, materialize(known, "query-idf"), few)
+
+
+def hits(asked: Asked, postings: DataFrame, keys: list[str]) -> DataFrame:
+    """(query_id, keys, part): what each posting (term, keys, tf_weight) of a query's term adds to its score.
+
+    Tables that ``save_by_term`` wrote are read for the terms of the queries alone. Few query terms go to the postings,
+    which stay where they lie; more are joined by term and salt, so that a term that a third of all units hold is dealt
+    to SALTS tasks.
+    """
+    postings = of_terms(postings, asked.terms)
+    if asked.few:
+        found = postings.join(F.broadcast(asked.known), "term")
     else:
-        known = terms.select("term", "idf").join(asked, "term").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hits = postings.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")).join(known, ["term", "_salt"])
-    return hits.groupBy("query_id", *keys).agg(F.sum(F.col("idf") * F.col("tf_weight")).alias("score"))
+        known = asked.known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = postings.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")).join(known, ["term", "_salt"])
+    return found.select("query_id", *keys, (F.col("idf") * F.col("tf_weight")).alias("part"))
+
+
+def scores(queries: DataFrame, terms: DataFrame, postings: DataFrame, keys: list[str], text: str = "query", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(query_id, keys, score) of every unit that shares a term with the query: the sums of its ``hits``.
+
+    Defined cases: a null or empty query, and terms that no unit has, match nothing; a term that a query repeats counts
+    once; rows that repeat a query_id add up; an empty index gives an empty result.
+    """
+    found = hits(ask(queries, terms, text, broadcast_rows), postings, keys)
+    return found.groupBy("query_id", *keys).agg(F.sum("part").alias("score"))

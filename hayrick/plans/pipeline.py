@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from hayrick.config import DEFAULT, Settings
 from hayrick.functions import text as T
-from hayrick.operators import chunking, dense, metrics, numfilter, ranking, sparse
-from hayrick.session import materialize, size_in_bytes
+from hayrick.operators import bounded, chunking, dense, metrics, numfilter, ranking, sparse
+from hayrick.session import materialize, path_exists, size_in_bytes
 
 
 @dataclass
@@ -25,6 +25,7 @@ class Index:
     numbers: DataFrame
     vectors: DataFrame | None  # packed by page, see dense.pack
     settings: Settings
+    peaks: DataFrame | None = None  # block maxima of the postings; a saved index has them
 
     def save(self, path: str) -> None:
         """Parquet tables; terms and postings lie by term, so that a search reads the folders of its terms alone."""
@@ -32,6 +33,7 @@ class Index:
         self.pages.write.mode("overwrite").parquet(f"{path}/pages")
         sparse.save_by_term(self.terms, f"{path}/terms")
         sparse.save_by_term(self.postings, f"{path}/postings")
+        sparse.save_by_term(self.peaks if self.peaks is not None else bounded.block_peaks(self.postings), f"{path}/peaks")
         self.numbers.write.mode("overwrite").parquet(f"{path}/numbers")
         if self.vectors is not None:
             self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
@@ -39,7 +41,8 @@ class Index:
     @classmethod
     def load(cls, spark: SparkSession, path: str, settings: Settings = DEFAULT, with_vectors: bool = True) -> Index:
         read = lambda name: spark.read.parquet(f"{path}/{name}")
-        return cls(read("chunks"), read("pages"), read("terms"), read("postings"), read("numbers"), read("vectors") if with_vectors else None, settings)
+        peaks = read("peaks") if path_exists(spark, f"{path}/peaks") else None
+        return cls(read("chunks"), read("pages"), read("terms"), read("postings"), read("numbers"), read("vectors") if with_vectors else None, settings, peaks)
 
 
 def build_index(pages: DataFrame, settings: Settings = DEFAULT, encoder: dense.Encoder | None = None, vectors: DataFrame | None = None) -> Index:
@@ -65,8 +68,14 @@ def index_chunks(chunks: DataFrame, settings: Settings = DEFAULT, encoder: dense
 
 
 def sparse_leg(index: Index, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
-    """The best pages by sparse scores; pages without a match join the roll-up as chunks of score 0."""
+    """The best pages by sparse scores; pages without a match join the roll-up as chunks of score 0.
+
+    An index with block maxima leaves out the postings that cannot reach a list, unless a filter comes before ranking.
+    """
     s = index.settings
+    if index.peaks is not None and allowed is None and 0.0 <= s.sparse_alpha <= 1.0:
+        best = bounded.best_pages(queries, index.terms, index.postings, index.peaks, index.pages, s.sparse_depth, s.sparse_alpha, s.sparse_topn)
+        return ranking.rank(ranking.fill_zero(best, queries, index.pages, s.sparse_depth), s.sparse_depth)
     scored = sparse.scores(queries, index.terms, index.postings, ["page_id", "chunk_id"]).drop("chunk_id")
     zero = ranking.zero_pages(queries, index.pages, s.sparse_depth, allowed).select("query_id", "page_id", F.lit(0.0).alias("score"))
     rolled = ranking.roll_up(scored.unionByName(zero), index.pages, s.sparse_alpha, s.sparse_topn)
