@@ -1,4 +1,4 @@
-"""Sparse ranking of pages by block maxima: postings that cannot change a list are never summed, and the list is exact."""
+"""Sparse ranking of pages by bounds: hits that cannot change a list are never summed, and the list is exact."""
 
 from __future__ import annotations
 
@@ -9,69 +9,74 @@ from hayrick.operators import ranking, sparse
 from hayrick.session import materialize
 
 KEYS = ["page_id", "chunk_id"]
-#: A block holds the pages whose ids agree but for this many low bits.
-BLOCK_BITS = 2
 #: Bounds may fall short of a rounded score by half of its last place, and by the rounding of a sum.
 SLACK = 2e-6
-#: Pairs of query and block up to this number, with query ids up to so many bytes in all, are sent to the postings; with
+#: Pairs of query and page up to this number, with query ids up to so many bytes in all, are sent to the postings; with
 #: more, nothing is left out.
 SEND = 1_000_000
 SEND_BYTES = 64 << 20
 
 
-def block_of(page_id: Column, bits: int = BLOCK_BITS) -> Column:
-    return F.shiftright(page_id.cast("bigint"), bits)
+def page_peaks(postings: DataFrame, pages: DataFrame) -> DataFrame:
+    """(term, page_id, n_chunks, peak, total): the greatest weight of a term in any chunk of a page, and their sum.
+
+    ``postings`` is (term, page_id, chunk_id, tf_weight), ``pages`` gives n_chunks; pages it does not know are left out, as
+    a roll-up does. Rows that repeat a term and chunk add up, as they do in a score.
+    """
+    own = postings.groupBy("term", *KEYS).agg(F.sum("tf_weight").alias("w"))
+    peaks = own.groupBy("term", "page_id").agg(F.max("w").alias("peak"), F.sum("w").alias("total"))
+    return peaks.join(pages.select("page_id", "n_chunks"), "page_id").select("term", "page_id", "n_chunks", "peak", "total")
 
 
-def block_peaks(postings: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
-    """(term, block, peak): the greatest weight that a term has in any chunk of a block of pages.
+def page_bounds(asked: sparse.Asked, peaks: DataFrame, alpha: float, topn: int) -> DataFrame:
+    """(query_id, page_id, bound): what no page score exceeds.
 
-    ``postings`` is (term, page_id, chunk_id, tf_weight) with whole numbers as page ids; rows that repeat a term and
-    chunk add up, as they do in a score. Null page ids, which no list can hold, are left out.
+    A page's best chunk has at most the sum of its terms' idf * peak. The mean of its best chunks is at most that, and at
+    most the sum of idf * total by the number of chunks in the mean: for pages of up to ``topn`` chunks it is just that.
     """
-    own = postings.where(F.col("page_id").isNotNull()).groupBy("term", *KEYS).agg(F.sum("tf_weight").alias("w"))
-    return own.groupBy("term", block_of(F.col("page_id"), bits).alias("block")).agg(F.max("w").alias("peak"))
+    found = sparse.hits(asked, peaks, ["page_id", "n_chunks", "total"], "peak")
+    sums = found.groupBy("query_id", "page_id", "n_chunks").agg(F.sum("part").alias("most"), F.sum(F.col("idf") * F.col("total")).alias("all"))
+    mean = F.least(F.col("most"), F.col("all") / F.least(F.lit(topn), F.col("n_chunks")).cast("double"))
+    return sums.select("query_id", "page_id", (F.lit(float(alpha)) * F.col("most") + F.lit(1.0 - alpha) * mean).alias("bound"))
 
 
-def best_pages(queries: DataFrame, terms: DataFrame, postings: DataFrame, peaks: DataFrame, pages: DataFrame, depth: int, alpha: float, topn: int, bits: int = BLOCK_BITS, send: int = SEND) -> DataFrame:
+def best_pages(queries: DataFrame, terms: DataFrame, postings: DataFrame, peaks: DataFrame, pages: DataFrame, depth: int, alpha: float, topn: int, send: int = SEND) -> DataFrame:
     """(query_id, page_id, page_ord, score): page scores that hold each query's best ``depth`` pages, ties included.
 
-    No chunk of a block scores more than the sum of its terms' idf * peak, and no page more than its best chunk (``alpha``
-    lies between 0 and 1). So first the ``depth`` blocks of the greatest bounds are scored; the score at place ``depth``
-    is what a page must reach, and of the other blocks only those whose bound does are scored. The hits of all others are
-    dropped where the postings are read, before the shuffle.
+    First the ``depth`` pages of the greatest bounds are scored; the least of these scores is what another page must
+    reach, and of the others only those whose bound does are scored. Hits of all other pages are dropped where
+    the postings are read, before the shuffle; what is shuffled in their place is a row for each term and page.
 
-    Defined cases are those of ``sparse.scores`` and ``ranking.roll_up``. A query with fewer than ``depth`` pages so far has
-    no such score, and all its blocks count. Where pairs of query and block are more than ``send``, all hits are scored.
+    Defined cases are those of ``sparse.scores`` and ``ranking.roll_up``; ``alpha`` lies between 0 and 1. A query with fewer
+    than ``depth`` pages keeps all of them. Where pairs of query and page are more than ``send``, all hits are scored.
     """
     if not 0.0 <= alpha <= 1.0:
         raise ValueError("bounds need an alpha between 0 and 1")
     asked = sparse.ask(queries, terms)
-    bounds = sparse.hits(asked, peaks.withColumnRenamed("peak", "tf_weight"), ["block"])
-    bounds = materialize(bounds.groupBy("query_id", "block").agg(F.sum("part").alias("bound")), "block-bounds")
+    bounds = materialize(page_bounds(asked, peaks, alpha, topn), "page-bounds")
 
     def scored(chosen: DataFrame | None) -> DataFrame:
         found = sparse.hits(asked, postings, KEYS)
         if chosen is not None:
-            found = found.withColumn("block", block_of(F.col("page_id"), bits)).alias("h").join(F.broadcast(chosen).alias("c"), _same("h", "c"), "left_semi")
+            found = found.alias("h").join(F.broadcast(chosen).alias("c"), _same("h", "c"), "left_semi")
         return ranking.roll_up(found.groupBy("query_id", *KEYS).agg(F.sum("part").alias("score")), pages, alpha, topn)
 
-    order = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "block")
-    first = bounds.withColumn("place", F.row_number().over(order)).where(F.col("place") <= depth).select("query_id", "block")
-    first = materialize(first, "first-blocks")
+    order = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "page_id")
+    first = bounds.withColumn("place", F.row_number().over(order)).where(F.col("place") <= depth).select("query_id", "page_id")
+    first = materialize(first, "first-pairs")
     if not _few(first, send):
         return scored(None)
     early = materialize(scored(first), "first-pages")
     least = ranking.rank(early, depth).where(F.col("rank") == depth).select(F.col("query_id").alias("q"), F.col("score").alias("least"))
     others = bounds.alias("h").join(F.broadcast(first).alias("c"), _same("h", "c"), "left_anti").join(F.broadcast(least), F.col("query_id").eqNullSafe(F.col("q")), "left")
-    others = others.where(F.col("least").isNull() | (F.col("bound") + F.lit(SLACK) >= F.col("least"))).select("query_id", "block")
-    others = materialize(others, "open-blocks")
+    others = others.where(F.col("least").isNull() | (F.col("bound") + F.lit(SLACK) >= F.col("least"))).select("query_id", "page_id")
+    others = materialize(others, "open-pairs")
     return early.unionByName(scored(others)) if _few(others, send) else scored(None)
 
 
 def _same(a: str, b: str) -> Column:
-    """The same query, the one without an id too, and the same block."""
-    return F.col(f"{a}.query_id").eqNullSafe(F.col(f"{b}.query_id")) & (F.col(f"{a}.block") == F.col(f"{b}.block"))
+    """The same query, the one without an id too, and the same page."""
+    return F.col(f"{a}.query_id").eqNullSafe(F.col(f"{b}.query_id")) & (F.col(f"{a}.page_id") == F.col(f"{b}.page_id"))
 
 
 def _few(pairs: DataFrame, send: int) -> bool:

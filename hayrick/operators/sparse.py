@@ -113,8 +113,8 @@ def ask(queries: DataFrame, terms: DataFrame, text: str = "query", broadcast_row
     return Asked(asked, materialize(known, "query-idf"), few)
 
 
-def hits(asked: Asked, postings: DataFrame, keys: list[str]) -> DataFrame:
-    """(query_id, keys, part): what each posting (term, keys, tf_weight) of a query's term adds to its score.
+def hits(asked: Asked, postings: DataFrame, keys: list[str], weight: str = "tf_weight") -> DataFrame:
+    """(query_id, keys, idf, part): what each posting (term, keys, weight) of a query's term adds to its score.
 
     Tables that ``save_by_term`` wrote are read for the terms of the queries alone. Few query terms go to the postings,
     which stay where they lie; more are joined by term and salt, so that a term that a third of all units hold is dealt
@@ -126,7 +126,7 @@ def hits(asked: Asked, postings: DataFrame, keys: list[str]) -> DataFrame:
     else:
         known = asked.known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         found = postings.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")).join(known, ["term", "_salt"])
-    return found.select("query_id", *keys, (F.col("idf") * F.col("tf_weight")).alias("part"))
+    return found.select("query_id", *keys, "idf", (F.col("idf") * F.col(weight)).alias("part"))
 
 
 def scores(queries: DataFrame, terms: DataFrame, postings: DataFrame, keys: list[str], text: str = "query", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

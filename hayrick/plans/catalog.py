@@ -295,11 +295,11 @@ def chunk_bm25_pages(spark, sf):
 
 
 @_query(_with(O.sentences(_SPACED), O.PACKED, O.CHUNKS, _CHUNK_SCORES, recursive=True) + _RANKED + " crank WHERE rank <= 60")
-def block_max_pages(spark, sf):
-    """The same lists on a saved index, by block maxima: postings that cannot reach a list are left out."""
+def bounded_pages(spark, sf):
+    """The same lists on a saved index, by bounds of terms in pages: postings that cannot reach a list are left out."""
     path = fresh_path(spark, "saved-index")
-    pipeline.build_index(_pages(spark, sf)).save(path)
-    return _top(pipeline.sparse_leg(pipeline.Index.load(spark, path, with_vectors=False), _asked(spark, sf)))
+    pipeline.build_index(_pages(spark, sf)).save(path, with_bounds=True)
+    return _top(pipeline.sparse_leg(pipeline.Index.load(spark, path, with_vectors=False, with_bounds=True), _asked(spark, sf)))
 
 
 # --- dense ----------------------------------------------------------------------------------------------------

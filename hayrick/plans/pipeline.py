@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hayrick.config import DEFAULT, Settings
 from hayrick.functions import text as T
 from hayrick.operators import bounded, chunking, dense, metrics, numfilter, ranking, sparse
-from hayrick.session import materialize, path_exists, size_in_bytes
+from hayrick.session import materialize, size_in_bytes
 
 
 @dataclass
@@ -25,23 +25,28 @@ class Index:
     numbers: DataFrame
     vectors: DataFrame | None  # packed by page, see dense.pack
     settings: Settings
-    peaks: DataFrame | None = None  # block maxima of the postings; a saved index has them
+    peaks: DataFrame | None = None  # bounds of terms in pages; a saved index has them
 
-    def save(self, path: str) -> None:
-        """Parquet tables; terms and postings lie by term, so that a search reads the folders of its terms alone."""
+    def save(self, path: str, with_bounds: bool = False) -> None:
+        """Parquet tables; terms and postings lie by term, so that a search reads the folders of its terms alone.
+
+        ``with_bounds`` adds the table that ``load(with_bounds=True)`` needs.
+        """
         self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
         self.pages.write.mode("overwrite").parquet(f"{path}/pages")
         sparse.save_by_term(self.terms, f"{path}/terms")
         sparse.save_by_term(self.postings, f"{path}/postings")
-        sparse.save_by_term(self.peaks if self.peaks is not None else bounded.block_peaks(self.postings), f"{path}/peaks")
+        if with_bounds:
+            sparse.save_by_term(bounded.page_peaks(self.postings, self.pages), f"{path}/peaks")
         self.numbers.write.mode("overwrite").parquet(f"{path}/numbers")
         if self.vectors is not None:
             self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, settings: Settings = DEFAULT, with_vectors: bool = True) -> Index:
+    def load(cls, spark: SparkSession, path: str, settings: Settings = DEFAULT, with_vectors: bool = True, with_bounds: bool = False) -> Index:
+        """The saved tables. ``with_bounds`` ranks the sparse leg by bounds, which pays for short queries (see README)."""
         read = lambda name: spark.read.parquet(f"{path}/{name}")
-        peaks = read("peaks") if path_exists(spark, f"{path}/peaks") else None
+        peaks = read("peaks") if with_bounds else None
         return cls(read("chunks"), read("pages"), read("terms"), read("postings"), read("numbers"), read("vectors") if with_vectors else None, settings, peaks)
 
 
@@ -70,7 +75,7 @@ def index_chunks(chunks: DataFrame, settings: Settings = DEFAULT, encoder: dense
 def sparse_leg(index: Index, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """The best pages by sparse scores; pages without a match join the roll-up as chunks of score 0.
 
-    An index with block maxima leaves out the postings that cannot reach a list, unless a filter comes before ranking.
+    An index with bounds leaves out the postings that cannot reach a list, unless a filter comes before ranking.
     """
     s = index.settings
     if index.peaks is not None and allowed is None and 0.0 <= s.sparse_alpha <= 1.0:

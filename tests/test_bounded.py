@@ -1,4 +1,4 @@
-"""Sparse lists by block maxima against the plain way, and what they leave out."""
+"""Sparse lists by bounds against the plain way, and what they leave out."""
 
 import dataclasses
 import random
@@ -40,31 +40,31 @@ def lists(index, queries):
 def test_lists_equal_the_plain_way(spark, tmp_path, depth, alpha):
     settings = Settings(sparse_depth=depth, sparse_alpha=alpha, sparse_topn=2)
     index = pipeline.index_chunks(made(spark), settings)
-    index.save(str(tmp_path / "index"))
-    loaded = pipeline.Index.load(spark, str(tmp_path / "index"), settings, with_vectors=False)
+    index.save(str(tmp_path / "index"), with_bounds=True)
+    loaded = pipeline.Index.load(spark, str(tmp_path / "index"), settings, with_vectors=False, with_bounds=True)
     assert loaded.peaks is not None
     assert lists(loaded, asked(spark)) == lists(index, asked(spark))
 
 
 def test_hits_are_left_out_before_they_are_summed(spark, monkeypatch):
-    """Of all hits of a batch, those in the first and in the open blocks alone reach the roll-up."""
+    """Of all hits of a batch, those of the first and of the open pages alone reach the roll-up."""
     index = pipeline.index_chunks(made(spark, 600), Settings(sparse_depth=5))
     queries = asked(spark).where("query_id in (1, 2, 3, 22)")
-    peaks = bounded.block_peaks(index.postings)
+    peaks = bounded.page_peaks(index.postings, index.pages)
     cuts = {}
     real = bounded.materialize
     monkeypatch.setattr(bounded, "materialize", lambda df, name: cuts.setdefault(name, real(df, name)))
     bounded.best_pages(queries, index.terms, index.postings, peaks, index.pages, 5, 0.25, 30)
-    pairs = cuts["first-blocks"].unionByName(cuts["open-blocks"])
+    pairs = cuts["first-pairs"].unionByName(cuts["open-pairs"])
     assert pairs.count() == pairs.distinct().count()
-    found = sparse.hits(sparse.ask(queries, index.terms), index.postings, KEYS).withColumn("block", bounded.block_of(F.col("page_id")))
-    assert found.join(pairs, ["query_id", "block"], "left_semi").count() < found.count() * 0.7
+    found = sparse.hits(sparse.ask(queries, index.terms), index.postings, KEYS)
+    assert found.join(pairs, ["query_id", "page_id"], "left_semi").count() < found.count() * 0.3
 
 
 def test_too_many_pairs_to_send_score_all_hits(spark):
     settings = Settings(sparse_depth=4)
     index = pipeline.index_chunks(made(spark), settings)
-    peaks = bounded.block_peaks(index.postings)
+    peaks = bounded.page_peaks(index.postings, index.pages)
     best = bounded.best_pages(asked(spark), index.terms, index.postings, peaks, index.pages, 4, 0.25, 30, send=2)
     plain = sparse.scores(asked(spark), index.terms, index.postings, KEYS)
     assert best.count() == plain.select("query_id", "page_id").distinct().count()
@@ -75,11 +75,11 @@ def test_chunks_that_repeat_and_empty_tables(spark):
     twice = rows.unionByName(rows.withColumn("text", F.concat("text", F.lit(" w9 w10"))))
     for chunks in (twice, rows.limit(0)):
         plain = pipeline.index_chunks(chunks, Settings(sparse_depth=3))
-        bound = dataclasses.replace(plain, peaks=bounded.block_peaks(plain.postings))
+        bound = dataclasses.replace(plain, peaks=bounded.page_peaks(plain.postings, plain.pages))
         assert lists(bound, asked(spark)) == lists(plain, asked(spark))
 
 
 def test_alpha_must_allow_bounds(spark):
     index = pipeline.index_chunks(made(spark, 10))
     with pytest.raises(ValueError, match="alpha"):
-        bounded.best_pages(asked(spark), index.terms, index.postings, bounded.block_peaks(index.postings), index.pages, 3, 1.5, 30)
+        bounded.best_pages(asked(spark), index.terms, index.postings, bounded.page_peaks(index.postings, index.pages), index.pages, 3, 1.5, 30)
