@@ -42,7 +42,7 @@ def word_count(text: Column) -> Column:
 
 def raw_tokens(text: Column) -> Column:
     """Runs of word characters, in their own case."""
-    return not_empty(F.split(F.regexp_replace(text, NOT_WORD, " "), " "))
+    return not_empty(F.split(text, NOT_WORD))
 
 
 def tokenize(text: Column) -> Column:
@@ -56,10 +56,11 @@ def _canonical(digits: Column) -> Column:
 
 
 def numbers(text: Column) -> Column:
-    """Distinct all-digit tokens as digit strings without leading zeros, in numeric order (any length)."""
+    """Distinct all-digit tokens as digit strings without leading zeros, in numeric order (any length). A text without a
+    digit is not cut into tokens."""
     found = F.array_distinct(F.transform(F.filter(raw_tokens(text), lambda t: t.rlike(r"^\p{Nd}+$")), _canonical))
     sized = F.sort_array(F.transform(found, lambda n: F.struct(F.length(n).alias("size"), n.alias("n"))))
-    return F.transform(sized, lambda s: s["n"])
+    return F.when(~text.rlike(r"\p{Nd}"), F.array().cast("array<string>")).otherwise(F.transform(sized, lambda s: s["n"]))
 
 
 def query_numbers(text: Column) -> Column:

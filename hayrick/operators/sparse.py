@@ -22,11 +22,29 @@ BUCKETS = 64
 LITERALS = 10_000
 
 
+def _runs(tokens: Column) -> Column:
+    """Structs of each distinct token and how often it occurs, by sorting the array."""
+
+    def cut(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        count = lambda at, a, j: (F.coalesce(F.get(at, j + 1), F.size(s)) - a).cast("bigint")
+        return T.let(starts, lambda at: F.transform(at, lambda a, j: F.struct(F.get(s, a).alias("term"), count(at, a, j).alias("freq"))))
+
+    return T.let(F.sort_array(tokens), cut)
+
+
 def term_counts(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, dl, term, freq): the terms of every unit. A unit without terms has no rows."""
-    rows = units.select(*keys, T.tokenize(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    rows = rows.select(*keys, F.size("_t").cast("bigint").alias("dl"), F.explode("_t").alias("term"))
-    return rows.groupBy(*keys, "dl", "term").agg(F.count(F.lit(1)).alias("freq"))
+    """(keys, dl, term, freq): the terms of every unit. A unit without terms has no rows.
+
+    Terms are counted inside the unit's row, without a shuffle. Only where keys repeat (which is looked up first, in the keys
+    alone) rows of the same keys and length are added up.
+    """
+    counted = T.let(T.tokenize(F.coalesce(F.col(text), F.lit(""))), lambda t: F.transform(_runs(t), lambda r: F.struct(F.size(t).cast("bigint").alias("dl"), r["term"].alias("term"), r["freq"].alias("freq"))))
+    # explode_outer: the plain one would have its input tested for emptiness before, by a second evaluation.
+    rows = units.select(*keys, F.explode_outer(counted).alias("_r")).where("_r is not null").select(*keys, "_r.dl", "_r.term", "_r.freq")
+    if units.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").limit(1).count():
+        rows = rows.groupBy(*keys, "dl", "term").agg(F.sum("freq").alias("freq"))
+    return rows
 
 
 def length_stats(units: DataFrame, text: str = "text") -> DataFrame:
@@ -96,8 +114,8 @@ def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
 
 @dataclass
 class Asked:
-    """The terms of a batch of queries: ``terms`` (query_id, term), ``known`` those of them that the index has, with idf,
-    and whether they are few enough to be sent to the postings."""
+    """The terms of a batch of queries: ``terms`` (query_id, term), ``known`` those of them that the index has, with idf and
+    df, and whether they are few enough to be sent to the postings."""
 
     terms: DataFrame
     known: DataFrame
@@ -109,7 +127,7 @@ def ask(queries: DataFrame, terms: DataFrame, text: str = "query", broadcast_row
     asked = materialize(query_terms(queries, text), "query-terms")
     n, size = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
     few = n <= broadcast_rows and size <= BROADCAST_BYTES
-    known = of_terms(terms, asked).select("term", "idf").join(F.broadcast(asked) if few else asked, "term")
+    known = of_terms(terms, asked).select("term", "idf", "df").join(F.broadcast(asked) if few else asked, "term")
     return Asked(asked, materialize(known, "query-idf"), few)
 
 
@@ -135,5 +153,10 @@ def scores(queries: DataFrame, terms: DataFrame, postings: DataFrame, keys: list
     Defined cases: a null or empty query, and terms that no unit has, match nothing; a term that a query repeats counts
     once; rows that repeat a query_id add up; an empty index gives an empty result.
     """
-    found = hits(ask(queries, terms, text, broadcast_rows), postings, keys)
+    return score(ask(queries, terms, text, broadcast_rows), postings, keys)
+
+
+def score(asked: Asked, postings: DataFrame, keys: list[str]) -> DataFrame:
+    """(query_id, keys, score): the sums of the ``hits`` of a batch."""
+    found = hits(asked, postings, keys)
     return found.groupBy("query_id", *keys).agg(F.sum("part").alias("score"))

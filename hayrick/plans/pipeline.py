@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hayrick.config import DEFAULT, Settings
 from hayrick.functions import text as T
-from hayrick.operators import bounded, chunking, dense, metrics, numfilter, ranking, sparse
+from hayrick.operators import blocks, bounded, chunking, dense, metrics, numfilter, ranking, sparse
 from hayrick.session import materialize, size_in_bytes
 
 
@@ -62,7 +62,6 @@ def build_index(pages: DataFrame, settings: Settings = DEFAULT, encoder: dense.E
 def index_chunks(chunks: DataFrame, settings: Settings = DEFAULT, encoder: dense.Encoder | None = None, vectors: DataFrame | None = None) -> Index:
     keys = ["page_id", "chunk_id"]
     terms, postings = sparse.build(chunks, keys, settings=settings)
-    postings = materialize(postings, "index-postings")
     terms = materialize(terms, "index-terms")
     sizes = chunks.groupBy("page_id").agg(F.min("page_ord").alias("page_ord"), F.count(F.lit(1)).alias("n_chunks"))
     if encoder is not None:
@@ -75,13 +74,19 @@ def index_chunks(chunks: DataFrame, settings: Settings = DEFAULT, encoder: dense
 def sparse_leg(index: Index, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """The best pages by sparse scores; pages without a match join the roll-up as chunks of score 0.
 
-    An index with bounds leaves out the postings that cannot reach a list, unless a filter comes before ranking.
+    Few queries are summed in blocks of pages (``operators/blocks.py``); hits of more are shuffled. An index with bounds
+    leaves out the postings that cannot reach a list, unless a filter comes before ranking.
     """
     s = index.settings
     if index.peaks is not None and allowed is None and 0.0 <= s.sparse_alpha <= 1.0:
         best = bounded.best_pages(queries, index.terms, index.postings, index.peaks, index.pages, s.sparse_depth, s.sparse_alpha, s.sparse_topn)
         return ranking.rank(ranking.fill_zero(best, queries, index.pages, s.sparse_depth), s.sparse_depth)
-    scored = sparse.scores(queries, index.terms, index.postings, ["page_id", "chunk_id"]).drop("chunk_id")
+    asked = sparse.ask(queries, index.terms)
+    batch = blocks.batch(asked) if 0.0 <= s.sparse_alpha <= 1.0 else None
+    if batch is not None:
+        best = blocks.best_pages(batch, index.postings, index.pages, s.sparse_depth, s.sparse_alpha, s.sparse_topn, allowed)
+        return ranking.rank(ranking.fill_zero(best, queries, index.pages, s.sparse_depth, allowed), s.sparse_depth)
+    scored = sparse.score(asked, index.postings, ["page_id", "chunk_id"]).drop("chunk_id")
     zero = ranking.zero_pages(queries, index.pages, s.sparse_depth, allowed).select("query_id", "page_id", F.lit(0.0).alias("score"))
     rolled = ranking.roll_up(scored.unionByName(zero), index.pages, s.sparse_alpha, s.sparse_topn)
     if allowed is not None:
@@ -89,6 +94,16 @@ def sparse_leg(index: Index, queries: DataFrame, allowed: DataFrame | None = Non
     return ranking.rank(rolled, s.sparse_depth)
 
 
+def best_units(queries: DataFrame, terms: DataFrame, postings: DataFrame, pages: DataFrame, depth: int) -> DataFrame:
+    """(query_id, page_id, page_ord, score, rank): the best matching pages where each page is one unit of ``postings``."""
+    asked = sparse.ask(queries, terms)
+    batch = blocks.batch(asked)
+    if batch is not None:
+        return ranking.rank(blocks.best_pages(batch, postings, pages, depth, 1.0, 1), depth)
+    scored = sparse.score(asked, postings, ["page_id"]).withColumn("score", F.round("score", 6))
+    return ranking.rank(scored.join(pages.select("page_id", "page_ord"), "page_id"), depth)
+
+
 def dense_leg(index: Index, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """``queries`` carries ``embedding``. Under a filter before ranking, a filtered query meets its allowed pages alone."""
     s = index.settings
