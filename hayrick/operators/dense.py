@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
+from hayrick.functions import text as T
 from hayrick.operators.sparse import term_counts
 
 #: Queries that are sent to the executors at a time; more are handled block by block.
@@ -20,13 +21,15 @@ QUERY_BLOCK = 8192
 QUERIES, CHUNKS = 512, 2048
 #: Chunk vectors of one row of the packed table.
 PAGE_ROWS = 4096
+#: Hashed vectors up to this width are summed as so many columns.
+SUMS = 128
 
 
 def l2_normalize(vector: Column) -> Column:
     """The vector at unit length; a zero vector stays as it is."""
     wide = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(wide, lambda x: x / norm)).otherwise(wide)
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return T.let(wide, lambda v: T.let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)))
 
 
 def validate(vectors: DataFrame, vector: str, width: int) -> DataFrame:
@@ -230,7 +233,13 @@ def hash_embed(rows: DataFrame, keys: list[str], width: int = 64, text: str = "t
     terms = term_counts(rows, keys, text).select(*keys, digest.alias("d"), F.col("freq").cast("double").alias("f"))
     place = F.conv(F.substring("d", 1, 7), 16, 10).cast("bigint") % width
     sign = F.when(F.conv(F.substring("d", 32, 1), 16, 10).cast("int") % 2 == 0, F.col("f")).otherwise(-F.col("f"))
-    cells = terms.select(*keys, place.alias("p"), sign.alias("s")).groupBy(*keys, "p").agg(F.sum("s").alias("x"))
+    cells = terms.select(*keys, place.alias("p"), sign.alias("s"))
+    if width <= SUMS:
+        # A text's terms lie together, so each task shuffles one row of sums for it.
+        sums = cells.groupBy(*keys).agg(*[F.sum(F.when(F.col("p") == i, F.col("s"))).alias(f"_x{i}") for i in range(width)])
+        dense = F.array(*[F.coalesce(f"_x{i}", F.lit(0.0)) for i in range(width)])
+        return sums.select(*keys, dense.alias("_x")).select(*keys, l2_normalize(F.col("_x")).alias("embedding"))
+    cells = cells.groupBy(*keys, "p").agg(F.sum("s").alias("x"))
     spread = F.map_from_entries(F.collect_list(F.struct("p", "x")))
     dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i.cast("bigint")), F.lit(0.0)))
     return cells.groupBy(*keys).agg(spread.alias("m")).select(*keys, l2_normalize(dense).alias("embedding"))
