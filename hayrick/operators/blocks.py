@@ -152,19 +152,20 @@ def _kinds(batch: Batch, pages: DataFrame) -> tuple[str, str, str]:
     return batch.asked.known.schema["query_id"].dataType.simpleString(), *(pages.schema[c].dataType.simpleString() for c in ("page_id", "page_ord"))
 
 
-def best_pages(batch: Batch, postings: DataFrame, pages: DataFrame, depth: int, alpha: float, topn: int, allowed: DataFrame | None = None) -> DataFrame:
+def best_pages(batch: Batch, postings: DataFrame, pages: DataFrame, depth: int, alpha: float, topn: int, allowed: DataFrame | None = None, every: bool = False) -> DataFrame:
     """(query_id, page_id, page_ord, score): page scores that hold each query's best ``depth`` pages with a match.
 
     ``postings`` is (term, page_id, chunk_id, tf_weight), without chunk_id where a page is one chunk; ``pages`` gives page_ord and
     n_chunks of each page once. Scores are those of ``sparse.scores`` and ``ranking.roll_up``, rounded to six places. Queries that
-    ``allowed`` (query_id, page_id) names list those pages alone.
+    ``allowed`` (query_id, page_id) names list those pages alone, and with ``every`` all queries do, the one without an id too.
     """
     query_kind, page_kind, order_kind = _kinds(batch, pages)
     chunk = F.col("chunk_id") if "chunk_id" in postings.columns else F.lit(0)
     columns, filtered = ["page_id", "page_ord", "n_chunks"], None
     if allowed is not None:
-        filtered = pa.array([r["query_id"] for r in allowed.select("query_id").distinct().collect()], batch.ids.type)
-        pages = pages.join(allowed.groupBy("page_id").agg(F.collect_set("query_id").alias("only")), "page_id", "left")
+        allowed = allowed if every else allowed.where(F.col("query_id").isNotNull())
+        filtered = batch.ids if every else pa.array([r["query_id"] for r in allowed.select("query_id").distinct().collect()], batch.ids.type)
+        pages = pages.join(allowed.groupBy("page_id").agg(F.collect_set(F.struct("query_id")).alias("only")), "page_id", "left")
         columns.append("only")
     sent = batch.send(filtered=filtered)
 
@@ -183,7 +184,7 @@ def _mask(own: pa.Table, sent: dict) -> Callable[[np.ndarray, np.ndarray], np.nd
     """Scores of pages with those left out that a filtered query may not list."""
     ids, lists = sent["ids"], own["only"].combine_chunks()
     free = ~pc.is_in(ids, value_set=sent["filtered"]).to_numpy(zero_copy_only=False)
-    query = pc.index_in(lists.flatten(), value_set=ids)
+    query = pc.index_in(lists.flatten().field(0), value_set=ids)
     known = query.is_valid().to_numpy(zero_copy_only=False)
     page = pc.list_parent_indices(lists).to_numpy().astype(np.int64)[known]
     query = query.drop_null().to_numpy()
@@ -197,3 +198,46 @@ def _mask(own: pa.Table, sent: dict) -> Callable[[np.ndarray, np.ndarray], np.nd
         return np.where(open_, score, -np.inf)
 
     return only
+
+
+def _bounds(found: pa.Table, own: pa.Table, sent: dict, alpha: float, topn: int):
+    """(pages, bounds) by blocks, as ``bounded.page_bounds`` defines them."""
+    size = np.minimum(own["n_chunks"].to_numpy(), topn)
+    for page, most, total in _pages_of(found, own, sent, ["peak", "total"]):
+        mean = np.minimum(most, total / size[page][:, None])
+        yield page, np.where(most > 0, alpha * most + (1.0 - alpha) * mean, -np.inf)
+
+
+def first_pairs(batch: Batch, peaks: DataFrame, pages: DataFrame, depth: int, alpha: float, topn: int) -> DataFrame:
+    """(query_id, page_id, bound) that hold the ``depth`` pages of each query's greatest bounds, ties by page_id."""
+    query_kind, page_kind, _ = _kinds(batch, pages)
+    sent = batch.send()
+
+    def run(found: pa.Table, own: pa.Table) -> pa.Table:
+        sent_ = pickle.loads(sent.value)
+        bound, page, query = _top(_bounds(found, own, sent_, alpha, topn), _ranks(own["page_id"]), depth)
+        return pa.table({"query_id": sent_["ids"].take(pa.array(query)), "page_id": own["page_id"].take(pa.array(page)), "bound": pa.array(bound)})
+
+    slices = _slices(batch, peaks, [F.lit(0).alias("chunk_id")], ["peak", "total"], pages.select("page_id", "n_chunks"))
+    return slices.applyInArrow(run, f"query_id {query_kind}, page_id {page_kind}, bound double")
+
+
+def open_pairs(batch: Batch, peaks: DataFrame, pages: DataFrame, least: DataFrame, alpha: float, topn: int, count: bool) -> DataFrame:
+    """(query_id, page_id) whose bound reaches ``least`` (q, least) of their query, or how many they are, slice by slice (n)."""
+    query_kind, page_kind, _ = _kinds(batch, pages)
+    rows = least.toArrow()
+    sent = batch.send(q=rows["q"].combine_chunks(), least=rows["least"].to_numpy())
+
+    def run(found: pa.Table, own: pa.Table) -> pa.Table:
+        sent_ = pickle.loads(sent.value)
+        at = pc.index_in(sent_["ids"], value_set=sent_["q"])
+        known, floor = at.is_valid().to_numpy(zero_copy_only=False), np.full(len(at), -np.inf)
+        floor[known] = sent_["least"][at.drop_null().to_numpy()]
+        parts = [(page, np.nonzero((bound >= floor) & (bound > -np.inf))) for page, bound in _bounds(found, own, sent_, alpha, topn)]
+        if count:
+            return pa.table({"n": pa.array([sum(len(row) for _, (row, _) in parts)], pa.int64())})
+        page, query = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([p[row] for p, (row, _) in parts], [col for _, (_, col) in parts]))
+        return pa.table({"query_id": sent_["ids"].take(pa.array(query)), "page_id": own["page_id"].take(pa.array(page))})
+
+    slices = _slices(batch, peaks, [F.lit(0).alias("chunk_id")], ["peak", "total"], pages.select("page_id", "n_chunks"))
+    return slices.applyInArrow(run, "n bigint" if count else f"query_id {query_kind}, page_id {page_kind}")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hayrick.operators import ranking, sparse
+from hayrick.operators import blocks, ranking, sparse
 from hayrick.session import materialize
 
 KEYS = ["page_id", "chunk_id"]
@@ -23,7 +25,8 @@ def page_peaks(postings: DataFrame, pages: DataFrame) -> DataFrame:
     ``postings`` is (term, page_id, chunk_id, tf_weight), ``pages`` gives n_chunks; pages it does not know are left out, as
     a roll-up does. Rows that repeat a term and chunk add up, as they do in a score.
     """
-    own = postings.groupBy("term", *KEYS).agg(F.sum("tf_weight").alias("w"))
+    # Dealt by page once: no grouping or join below shuffles again.
+    own = postings.repartition("page_id").groupBy("term", *KEYS).agg(F.sum("tf_weight").alias("w"))
     peaks = own.groupBy("term", "page_id").agg(F.max("w").alias("peak"), F.sum("w").alias("total"))
     return peaks.join(pages.select("page_id", "n_chunks"), "page_id").select("term", "page_id", "n_chunks", "peak", "total")
 
@@ -40,7 +43,7 @@ def page_bounds(asked: sparse.Asked, peaks: DataFrame, alpha: float, topn: int)
     return sums.select("query_id", "page_id", (F.lit(float(alpha)) * F.col("most") + F.lit(1.0 - alpha) * mean).alias("bound"))
 
 
-def best_pages(queries: DataFrame, terms: DataFrame, postings: DataFrame, peaks: DataFrame, pages: DataFrame, depth: int, alpha: float, topn: int, send: int = SEND) -> DataFrame:
+def best_pages(queries: DataFrame, terms: DataFrame, postings: DataFrame, peaks: DataFrame, pages: DataFrame, depth: int, alpha: float, topn: int, send: int = SEND, rest: Callable[[], DataFrame] | None = None) -> DataFrame:
     """(query_id, page_id, page_ord, score): page scores that hold each query's best ``depth`` pages, ties included.
 
     First the ``depth`` pages of the greatest bounds are scored; the least of these scores is what another page must
@@ -48,30 +51,45 @@ def best_pages(queries: DataFrame, terms: DataFrame, postings: DataFrame, peaks:
     the postings are read, before the shuffle; what is shuffled in their place is a row for each term and page.
 
     Defined cases are those of ``sparse.scores`` and ``ranking.roll_up``; ``alpha`` lies between 0 and 1. A query with fewer
-    than ``depth`` pages keeps all of them. Where pairs of query and page are more than ``send``, all hits are scored.
+    than ``depth`` pages keeps all of them. Where pairs of query and page are more than ``send``, all hits are scored,
+    or ``rest`` gives the scores. Few queries (see ``blocks.batch``) are bounded and scored in blocks of pages.
     """
     if not 0.0 <= alpha <= 1.0:
         raise ValueError("bounds need an alpha between 0 and 1")
     asked = sparse.ask(queries, terms)
-    bounds = materialize(page_bounds(asked, peaks, alpha, topn), "page-bounds")
+    batch = blocks.batch(asked)
+    rest = rest or (lambda: scored(None))
 
     def scored(chosen: DataFrame | None) -> DataFrame:
+        if chosen is not None and batch is not None:
+            few = postings.join(F.broadcast(chosen.select("page_id").distinct()), "page_id", "left_semi")
+            return blocks.best_pages(batch, few, pages, depth, alpha, topn, chosen, every=True)
         found = sparse.hits(asked, postings, KEYS)
         if chosen is not None:
             found = found.alias("h").join(F.broadcast(chosen).alias("c"), _same("h", "c"), "left_semi")
         return ranking.roll_up(found.groupBy("query_id", *KEYS).agg(F.sum("part").alias("score")), pages, alpha, topn)
 
+    if batch is None:
+        bounds = materialize(page_bounds(asked, peaks, alpha, topn), "page-bounds")
+    else:
+        bounds = blocks.first_pairs(batch, peaks, pages, depth, alpha, topn)
     order = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "page_id")
     first = bounds.withColumn("place", F.row_number().over(order)).where(F.col("place") <= depth).select("query_id", "page_id")
     first = materialize(first, "first-pairs")
     if not _few(first, send):
-        return scored(None)
+        return rest()
     early = materialize(scored(first), "first-pages")
-    least = ranking.rank(early, depth).where(F.col("rank") == depth).select(F.col("query_id").alias("q"), F.col("score").alias("least"))
-    others = bounds.alias("h").join(F.broadcast(first).alias("c"), _same("h", "c"), "left_anti").join(F.broadcast(least), F.col("query_id").eqNullSafe(F.col("q")), "left")
-    others = others.where(F.col("least").isNull() | (F.col("bound") + F.lit(SLACK) >= F.col("least"))).select("query_id", "page_id")
+    least = ranking.rank(early, depth).where(F.col("rank") == depth).select(F.col("query_id").alias("q"), (F.col("score") - F.lit(SLACK)).alias("least"))
+    if batch is None:
+        others = bounds.join(F.broadcast(least), F.col("query_id").eqNullSafe(F.col("q")), "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
+    else:
+        n = blocks.open_pairs(batch, peaks, pages, least, alpha, topn, count=True).agg(F.sum("n")).first()[0] or 0
+        if n - first.count() > send:
+            return rest()
+        others = blocks.open_pairs(batch, peaks, pages, least, alpha, topn, count=False)
+    others = others.alias("h").join(F.broadcast(first).alias("c"), _same("h", "c"), "left_anti").select("query_id", "page_id")
     others = materialize(others, "open-pairs")
-    return early.unionByName(scored(others)) if _few(others, send) else scored(None)
+    return early.unionByName(scored(others)) if _few(others, send) else rest()
 
 
 def _same(a: str, b: str) -> Column:

@@ -37,7 +37,7 @@ class Index:
         sparse.save_by_term(self.terms, f"{path}/terms")
         sparse.save_by_term(self.postings, f"{path}/postings")
         if with_bounds:
-            sparse.save_by_term(bounded.page_peaks(self.postings, self.pages), f"{path}/peaks")
+            sparse.save_by_term(materialize(bounded.page_peaks(self.postings, self.pages), "index-peaks"), f"{path}/peaks")
         self.numbers.write.mode("overwrite").parquet(f"{path}/numbers")
         if self.vectors is not None:
             self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
@@ -78,13 +78,15 @@ def sparse_leg(index: Index, queries: DataFrame, allowed: DataFrame | None = Non
     leaves out the postings that cannot reach a list, unless a filter comes before ranking.
     """
     s = index.settings
-    if index.peaks is not None and allowed is None and 0.0 <= s.sparse_alpha <= 1.0:
-        best = bounded.best_pages(queries, index.terms, index.postings, index.peaks, index.pages, s.sparse_depth, s.sparse_alpha, s.sparse_topn)
-        return ranking.rank(ranking.fill_zero(best, queries, index.pages, s.sparse_depth), s.sparse_depth)
     asked = sparse.ask(queries, index.terms)
     batch = blocks.batch(asked) if 0.0 <= s.sparse_alpha <= 1.0 else None
-    if batch is not None:
-        best = blocks.best_pages(batch, index.postings, index.pages, s.sparse_depth, s.sparse_alpha, s.sparse_topn, allowed)
+    plain = lambda: blocks.best_pages(batch, index.postings, index.pages, s.sparse_depth, s.sparse_alpha, s.sparse_topn, allowed)
+    best = None
+    if index.peaks is not None and allowed is None and 0.0 <= s.sparse_alpha <= 1.0:
+        best = bounded.best_pages(queries, index.terms, index.postings, index.peaks, index.pages, s.sparse_depth, s.sparse_alpha, s.sparse_topn, rest=plain if batch is not None else None)
+    elif batch is not None:
+        best = plain()
+    if best is not None:
         return ranking.rank(ranking.fill_zero(best, queries, index.pages, s.sparse_depth, allowed), s.sparse_depth)
     scored = sparse.score(asked, index.postings, ["page_id", "chunk_id"]).drop("chunk_id")
     zero = ranking.zero_pages(queries, index.pages, s.sparse_depth, allowed).select("query_id", "page_id", F.lit(0.0).alias("score"))

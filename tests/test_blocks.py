@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hayrick.config import Settings
-from hayrick.operators import blocks, numfilter, ranking, sparse
+from hayrick.operators import blocks, bounded, numfilter, ranking, sparse
 from hayrick.plans import pipeline
 from hayrick.session import materialize
 
@@ -82,3 +82,16 @@ def test_terms_are_counted_without_a_shuffle_and_repeated_keys_add_up(spark):
     assert sorted(map(tuple, counts.collect())) == want
     twice = one.unionByName(one.where("k = 1")).unionByName(spark.createDataFrame([(1, "a")], "k int, text string"))
     assert sorted(map(tuple, sparse.term_counts(twice, ["k"]).collect())) == [(1, 1, "a", 1), (1, 3, "a", 4), (1, 3, "b", 2), *want[2:]]
+
+
+def test_bounds_are_summed_in_blocks_too(spark, monkeypatch):
+    settings = Settings(sparse_depth=3, sparse_topn=3)
+    index = pipeline.index_chunks(made(spark, 40), settings)
+    want = rows(pipeline.sparse_leg(index, asked(spark)))
+
+    def no_hits(*_):
+        raise AssertionError("hits are shuffled")
+
+    monkeypatch.setattr(sparse, "hits", no_hits)
+    index.peaks = bounded.page_peaks(index.postings, index.pages)
+    assert rows(pipeline.sparse_leg(index, asked(spark))) == want
