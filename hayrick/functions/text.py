@@ -50,6 +50,11 @@ def tokenize(text: Column) -> Column:
     return raw_tokens(F.lower(text))
 
 
+def spaced_tokens(text: Column) -> Column:
+    """The terms of ``tokenize`` in one string, with white space between them."""
+    return F.regexp_replace(F.lower(text), NOT_WORD, " ")
+
+
 def _canonical(digits: Column) -> Column:
     bare = F.ltrim(digits, F.lit("0"))
     return F.when(bare == "", "0").otherwise(bare)

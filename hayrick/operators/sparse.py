@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from array import array
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
 from hayrick.config import DEFAULT, Settings
 from hayrick.functions import text as T
@@ -16,21 +21,39 @@ BROADCAST_ROWS = 500_000
 #: And their terms together up to so many bytes.
 BROADCAST_BYTES = 64 << 20
 SALTS = 32
+#: Distinct terms that a task counts units of before it hands them over.
+ROWS = 200_000
 #: Folders of a saved table of terms, by the term's hash.
 BUCKETS = 64
 #: Distinct query terms up to this number are named in the filter of a saved table, so that other folders are not read.
 LITERALS = 10_000
 
 
-def _runs(tokens: Column) -> Column:
-    """Structs of each distinct token and how often it occurs, by sorting the array."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (keys, _t), the text's terms with spaces between, to rows (keys, dl, tokens, terms, freqs); texts without terms go."""
+    for batch in batches:
+        keys = batch.select([c for c in batch.schema.names if c != "_t"])
+        rows, sizes, terms, upto, freqs = [], [], [], [0], array("i")
+        for i, text in enumerate(batch.column("_t")):
+            own = Counter(text.as_py().split())
+            if own:
+                rows.append(i)
+                sizes.append(own.total())
+                terms.append(" ".join(own))
+                freqs.extend(own.values())
+                upto.append(len(freqs))
+        columns = [pa.array(sizes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(terms, pa.string()), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(freqs, pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*keys.take(pa.array(rows, pa.int64())).columns, *columns], [*keys.schema.names, "dl", "tokens", "terms", "freqs"])
 
-    def cut(s: Column) -> Column:
-        starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
-        count = lambda at, a, j: (F.coalesce(F.get(at, j + 1), F.size(s)) - a).cast("bigint")
-        return T.let(starts, lambda at: F.transform(at, lambda a, j: F.struct(F.get(s, a).alias("term"), count(at, a, j).alias("freq"))))
 
-    return T.let(F.sort_array(tokens), cut)
+def _rows(units: DataFrame, keys: list[str], text: str) -> DataFrame:
+    spaced = units.select(*keys, T.spaced_tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    own = t.StructType().add("dl", "long").add("tokens", "long").add("terms", "string").add("freqs", t.ArrayType(t.IntegerType()))
+    return spaced.mapInArrow(_packed, t.StructType([*units.select(*keys).schema, *own]))
+
+
+def _repeat(units: DataFrame, keys: list[str]) -> bool:
+    return units.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").limit(1).count() > 0
 
 
 def term_counts(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -39,12 +62,42 @@ def term_counts(units: DataFrame, keys: list[str], text: str = "text") -> DataFr
     Terms are counted inside the unit's row, without a shuffle. Only where keys repeat (which is looked up first, in the keys
     alone) rows of the same keys and length are added up.
     """
-    counted = T.let(T.tokenize(F.coalesce(F.col(text), F.lit(""))), lambda t: F.transform(_runs(t), lambda r: F.struct(F.size(t).cast("bigint").alias("dl"), r["term"].alias("term"), r["freq"].alias("freq"))))
-    # explode_outer: the plain one would have its input tested for emptiness before, by a second evaluation.
-    rows = units.select(*keys, F.explode_outer(counted).alias("_r")).where("_r is not null").select(*keys, "_r.dl", "_r.term", "_r.freq")
-    if units.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").limit(1).count():
-        rows = rows.groupBy(*keys, "dl", "term").agg(F.sum("freq").alias("freq"))
-    return rows
+    rows = unpack(_rows(units, keys, text), keys)
+    return rows.groupBy(*keys, "dl", "term").agg(F.sum("freq").alias("freq")) if _repeat(units, keys) else rows
+
+
+def packed_counts(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, dl, tokens, terms, freqs): ``term_counts`` with the terms of a unit in one row, with spaces between, and how often
+    each occurs. ``tokens`` is the sum of the latter."""
+    if not _repeat(units, keys):
+        return _rows(units, keys, text)
+    own = F.collect_list(F.struct("term", F.col("freq").cast("int").alias("freq"))).alias("_r")
+    rows = term_counts(units, keys, text).groupBy(*keys, "dl").agg(F.sum("freq").alias("tokens"), own)
+    return rows.select(*keys, "dl", "tokens", F.array_join("_r.term", " ").alias("terms"), F.col("_r.freq").alias("freqs"))
+
+
+def unpack(packed: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, dl, term, freq): a row for each term of ``packed_counts``."""
+    rows = packed.select(*keys, "dl", "freqs", F.posexplode(F.split("terms", " ")).alias("_i", "term"))
+    return rows.select(*keys, "dl", "term", F.get("freqs", "_i").cast("bigint").alias("freq"))
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (terms) to rows (term, df) that add up to the number of units with each term."""
+    pack = lambda own: pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], ["term", "df"])
+    own = Counter()
+    for batch in batches:
+        for terms in batch.column(0):
+            own.update(terms.as_py().split(" "))
+            if len(own) >= ROWS:
+                yield pack(own)
+                own.clear()
+    yield pack(own)
+
+
+def frequencies(packed: DataFrame) -> DataFrame:
+    """(term, df): how many units of ``packed_counts`` have each term."""
+    return packed.select("terms").mapInArrow(_summed, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def length_stats(units: DataFrame, text: str = "text") -> DataFrame:
@@ -53,11 +106,6 @@ def length_stats(units: DataFrame, text: str = "text") -> DataFrame:
     return units.select(dl.alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
 
 
-def vocabulary(counts: DataFrame, n: int) -> DataFrame:
-    """(term, df, idf) for a collection of ``n`` units."""
-    return with_idf(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n)
-
-
 def with_idf(df: DataFrame, n: int) -> DataFrame:
     """Terms with ``df``, the number of units that have them, and their ``idf`` among ``n`` units."""
     d = F.col("df").cast("double")
@@ -72,13 +120,13 @@ def weights(counts: DataFrame, avgdl: float, settings: Settings = DEFAULT) -> Da
 
 
 def build(units: DataFrame, keys: list[str], text: str = "text", settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(terms, postings): the sparse index. Texts are tokenised once; the counts are written and everything else,
-    the mean length included, comes from them. ``units`` is read once more for its number of rows alone."""
-    counts = materialize(term_counts(units, keys, text), "term-counts")
+    """(terms, postings): the sparse index. Texts are tokenised once; the counts are written, a row for each unit, and everything
+    else, the mean length included, comes from them. ``units`` is read once more for its number of rows alone."""
+    packed = materialize(packed_counts(units, keys, text), "term-counts")
     n = units.count()
-    tokens = counts.agg(F.sum("freq")).first()[0] or 0
+    tokens = packed.agg(F.sum("tokens")).first()[0] or 0
     avgdl = tokens / n if n else 1.0
-    return vocabulary(counts, n), weights(counts, avgdl, settings).select("term", *keys, "tf_weight")
+    return with_idf(frequencies(packed), n), weights(unpack(packed, keys), avgdl, settings).select("term", *keys, "tf_weight")
 
 
 def bucket_of(term: Column) -> Column:

@@ -57,16 +57,16 @@ def add_chunks(chunks: DataFrame, path: str, batch: int, encoder: dense.Encoder
     to = lambda name: f"{path}/{name}/batch={batch}"
     chunks.write.mode("overwrite").parquet(to("chunks"))
     chunks = spark.read.schema(chunks.schema).parquet(to("chunks"))
-    counts = materialize(sparse.term_counts(chunks, KEYS), "batch-counts")
-    sparse.save_by_term(counts, to("postings"))
-    sparse.save_by_term(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), to("terms"))
+    counts = materialize(sparse.packed_counts(chunks, KEYS), "batch-counts")
+    sparse.save_by_term(sparse.unpack(counts, KEYS), to("postings"))
+    sparse.save_by_term(materialize(sparse.frequencies(counts), "batch-terms"), to("terms"))
     chunks.groupBy("page_id").agg(F.min("page_ord").alias("page_ord"), F.count(F.lit(1)).alias("n_chunks")).write.mode("overwrite").parquet(to("pages"))
     numfilter.page_numbers(chunks).write.mode("overwrite").parquet(to("numbers"))
     if encoder is not None:
         vectors = dense.embed(chunks.select(*KEYS, "page_ord", "text"), encoder)
     if vectors is not None:
         dense.pack(vectors).write.mode("overwrite").parquet(to("vectors"))
-    tokens = counts.agg(F.sum("freq")).first()[0] or 0
+    tokens = counts.agg(F.sum("tokens")).first()[0] or 0
     spark.range(0, 1, 1, 1).select(F.lit(chunks.count()).cast("bigint").alias("n"), F.lit(tokens).cast("bigint").alias("tokens")).write.mode("overwrite").parquet(to("totals"))
 
 
