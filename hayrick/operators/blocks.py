@@ -7,7 +7,7 @@ of every slice of pages.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from hayrick.operators import sparse
 
@@ -22,6 +23,8 @@ from hayrick.operators import sparse
 QUERIES = 4096
 #: Postings in a slice of pages, on average; a slice is in memory at once.
 SLICE = 500_000
+#: Postings that a task packs by slice at a time, before they are shuffled.
+PACK = 1_000_000
 #: Inside a slice, so many pairs of chunk and query, and so many hits, are handled at a time.
 CELLS, HITS = 1 << 21, 1 << 21
 
@@ -61,6 +64,7 @@ def _pages_of(found: pa.Table, pages: pa.Table, sent: dict, weights: list[str]):
     """(pages, chunk scores, ...) by blocks in page order: one matrix of chunks and queries for each of ``weights``, the rows of a
     block belong to ``pages`` (ascending numbers into the slice's pages). A page may go on in the next block."""
     first, query, idf, nq = sent["first"], sent["query"], sent["idf"], len(sent["ids"])
+    found = pa.table({c: pc.list_flatten(found[c]) for c in ("page_id", "chunk_id", "t", *weights)})
     page = pc.index_in(found["page_id"], value_set=pages["page_id"].combine_chunks())
     found, page = found.filter(page.is_valid()), page.drop_null().to_numpy().astype(np.int64)
     if not len(page):
@@ -140,12 +144,39 @@ def _ranks(column: pa.ChunkedArray) -> np.ndarray:
     return pc.rank(column, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
 
 
+def _by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a slice to rows of a slice and lists of all other columns, from about PACK rows at a time."""
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        of = rows["slice"].to_numpy()
+        order = np.argsort(of, kind="stable")
+        start = np.flatnonzero(np.append(True, np.diff(of[order]) != 0))
+        rows = rows.take(pa.array(order)).combine_chunks()
+        upto = pa.array(np.append(start, len(of)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(upto, rows[c].combine_chunks()) for c in rows.column_names if c != "slice"]
+        return pa.RecordBatch.from_arrays([rows["slice"].combine_chunks().take(pa.array(start)), *lists], ["slice", *[c for c in rows.column_names if c != "slice"]])
+
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= PACK:
+            yield pack(held)
+            held, n = [], 0
+    if held:
+        yield pack(held)
+
+
 def _slices(batch: Batch, rows: DataFrame, keys: list, weights: list[str], pages: DataFrame):
-    """Rows of the batch's terms and ``pages``, both grouped by slices of pages."""
+    """Rows of the batch's terms and ``pages``, both grouped by slices of pages. Rows of a slice are packed before they are
+    shuffled, so that neither the shuffle nor its sort handles single postings."""
     own = sparse.of_terms(rows, batch.asked.terms).join(F.broadcast(batch.terms), "term").where(F.col("page_id").isNotNull())
     of = F.pmod(F.xxhash64("page_id"), F.lit(batch.slices)).cast("int").alias("slice")
     found = own.select(of, "page_id", *keys, "t", *weights)
-    return found.groupBy("slice").cogroup(pages.where(F.col("page_id").isNotNull()).select(of, *pages.columns).groupBy("slice"))
+    kinds = StructType([StructField(f.name, f.dataType if f.name == "slice" else ArrayType(f.dataType)) for f in found.schema])
+    return found.mapInArrow(_by_slice, kinds).groupBy("slice").cogroup(pages.where(F.col("page_id").isNotNull()).select(of, *pages.columns).groupBy("slice"))
 
 
 def _kinds(batch: Batch, pages: DataFrame) -> tuple[str, str, str]:
