@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -147,10 +148,33 @@ def evaluate_run(queries: DataFrame, run: Callable[[DataFrame], DataFrame], k: i
 
 #: Passages that are compared with every page at a time, and rows of passages that are sent to the pages.
 PASSAGES, FEW = 1000, 100_000
+#: Terms of a passage that are looked up in pages.
+RUN = 5
 #: And all of those passages together in bytes.
 FEW_BYTES = 64 << 20
 
 
+def _with_runs(pages: DataFrame, runs: DataFrame) -> DataFrame:
+    """(page_id, text, run): pages (page_id, text) with each of few ``runs`` of RUN terms that they have, once each."""
+    known = {r["run"] for r in runs.collect()}
+    sent = pages.sparkSession.sparkContext.broadcast((known, {r.partition(" ")[0] for r in known}))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, heads = sent.value
+        for batch in batches:
+            at, found = [], []
+            for i, text in enumerate(batch.column("_t")):
+                terms = (text.as_py() or "").split()
+                own = {" ".join(terms[j : j + RUN]) for j, x in enumerate(terms) if x in heads} & known
+                at += [i] * len(own)
+                found += own
+            rows = batch.select(["page_id", "text"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found, pa.string())], ["page_id", "text", "run"])
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return pages.select("page_id", "text", T.spaced_tokens(F.col("text")).alias("_t")).mapInArrow(find, f"page_id {kind}, text string, run string")
+
+
 def pages_with_passages(passages: DataFrame, pages: DataFrame) -> DataFrame:
     """(query_id, page_id): pages (page_id, text) that hold a passage (query_id, passage) letter by letter.
 
@@ -160,14 +184,16 @@ def pages_with_passages(passages: DataFrame, pages: DataFrame) -> DataFrame:
     Defined cases: null passages and null texts match nothing; the empty passage is in every text; passages and pages
     that repeat give a row each.
     """
-    run = lambda t, i: F.array_join(F.slice(t, i, F.lit(5)), " ")
+    run = lambda t, i: F.array_join(F.slice(t, i, F.lit(RUN)), " ")
     asked = passages.where(F.col("passage").isNotNull()).withColumn("_t", T.tokenize(F.col("passage")))
     asked = materialize(asked.select("query_id", "passage", F.when(F.size("_t") >= 7, run(F.col("_t"), F.lit(2))).alias("run")), "passages")
-    runs = pages.select("page_id", "text", F.explode(T.let(T.tokenize(F.col("text")), lambda t: F.array_distinct(F.transform(t, lambda x, i: run(t, i + 1))))).alias("run"))
     long = asked.where("run is not null")
     n, size = long.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("passage")), F.lit(0))).first()
-    few = n <= FEW and size <= FEW_BYTES
-    pairs = runs.join(F.broadcast(long), "run") if few else runs.drop("text").join(long, "run").join(pages, "page_id")
+    if n <= FEW and size <= FEW_BYTES:
+        pairs = _with_runs(pages, long.select("run").distinct()).join(F.broadcast(long), "run")
+    else:
+        runs = pages.select("page_id", F.explode(T.let(T.tokenize(F.col("text")), lambda t: F.array_distinct(F.transform(t, lambda x, i: run(t, i + 1))))).alias("run"))
+        pairs = runs.join(long, "run").join(pages, "page_id")
     found = pairs.where(F.col("text").contains(F.col("passage"))).select("query_id", "page_id")
     short = asked.where("run is null").drop("run")
     blocks = -(-short.count() // PASSAGES)
