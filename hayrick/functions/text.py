@@ -50,9 +50,18 @@ def tokenize(text: Column) -> Column:
     return raw_tokens(F.lower(text))
 
 
+#: What ``tokenize`` makes of ASCII characters.
+_PLAIN = str.maketrans({c: c.lower() if c.isalnum() or c == "_" else " " for c in map(chr, range(128))})
+
+
 def spaced_tokens(text: Column) -> Column:
-    """The terms of ``tokenize`` in one string, with white space between them."""
-    return F.regexp_replace(F.lower(text), NOT_WORD, " ")
+    """A text for ``spaced_terms``: the terms of ``tokenize`` with white space between, or the text itself if it is ASCII."""
+    return F.when(text.rlike(r"[^\x00-\x7f]"), F.regexp_replace(F.lower(text), NOT_WORD, " ")).otherwise(text)
+
+
+def spaced_terms(text: str) -> list[str]:
+    """The terms of ``tokenize`` from a value of ``spaced_tokens``, in a Python task."""
+    return (text.translate(_PLAIN) if text.isascii() else text).split()
 
 
 def _canonical(digits: Column) -> Column:

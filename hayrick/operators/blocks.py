@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from hayrick.operators import sparse
 
@@ -41,6 +41,9 @@ class Batch:
     asked: sparse.Asked
     slices: int
 
+    def numbers(self) -> dict[str, int]:
+        return {r["term"]: r["t"] for r in self.terms.collect()}
+
     def send(self, **more) -> object:
         return self.terms.sparkSession.sparkContext.broadcast(pickle.dumps({"ids": self.ids, "first": self.first, "query": self.query, "idf": self.idf} | more))
 
@@ -169,29 +172,41 @@ def _by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pack(held)
 
 
-def _slices(batch: Batch, rows: DataFrame, keys: list, weights: list[str], pages: DataFrame):
+def _slices(batch: Batch, rows: DataFrame | sparse.Packed, keys: list, weights: list[str], pages: DataFrame):
     """Rows of the batch's terms and ``pages``, both grouped by slices of pages. Rows of a slice are packed before they are
     shuffled, so that neither the shuffle nor its sort handles single postings."""
-    own = sparse.of_terms(rows, batch.asked.terms).join(F.broadcast(batch.terms), "term").where(F.col("page_id").isNotNull())
     of = F.pmod(F.xxhash64("page_id"), F.lit(batch.slices)).cast("int").alias("slice")
-    found = own.select(of, "page_id", *keys, "t", *weights)
-    kinds = StructType([StructField(f.name, f.dataType if f.name == "slice" else ArrayType(f.dataType)) for f in found.schema])
-    return found.mapInArrow(_by_slice, kinds).groupBy("slice").cogroup(pages.where(F.col("page_id").isNotNull()).select(of, *pages.columns).groupBy("slice"))
+    pages = pages.where(F.col("page_id").isNotNull()).select(of, *pages.columns)
+    if isinstance(rows, sparse.Packed):
+        sent = batch.terms.sparkSession.sparkContext.broadcast(batch.numbers())
+        found, numbered = rows.of_numbers(lambda: sent.value, [of, F.col("page_id"), *keys])
+        found = found.where(F.col("page_id").isNotNull())
+        own = [f for f in found.schema if f.name not in ("dl", "terms", "freqs")] + [StructField("t", IntegerType()), StructField("tf_weight", DoubleType())]
+        packed = found.mapInArrow(lambda it: _by_slice(numbered(it)), _lists(own))
+    else:
+        own = sparse.of_terms(rows, batch.asked.terms).join(F.broadcast(batch.terms), "term").where(F.col("page_id").isNotNull())
+        found = own.select(of, "page_id", *keys, "t", *weights)
+        packed = found.mapInArrow(_by_slice, _lists(found.schema))
+    return packed.groupBy("slice").cogroup(pages.groupBy("slice"))
+
+
+def _lists(fields) -> StructType:
+    return StructType([StructField(f.name, f.dataType if f.name == "slice" else ArrayType(f.dataType)) for f in fields])
 
 
 def _kinds(batch: Batch, pages: DataFrame) -> tuple[str, str, str]:
     return batch.asked.known.schema["query_id"].dataType.simpleString(), *(pages.schema[c].dataType.simpleString() for c in ("page_id", "page_ord"))
 
 
-def best_pages(batch: Batch, postings: DataFrame, pages: DataFrame, depth: int, alpha: float, topn: int, allowed: DataFrame | None = None, every: bool = False) -> DataFrame:
+def best_pages(batch: Batch, postings: DataFrame | sparse.Packed, pages: DataFrame, depth: int, alpha: float, topn: int, allowed: DataFrame | None = None, every: bool = False) -> DataFrame:
     """(query_id, page_id, page_ord, score): page scores that hold each query's best ``depth`` pages with a match.
 
-    ``postings`` is (term, page_id, chunk_id, tf_weight), without chunk_id where a page is one chunk; ``pages`` gives page_ord and
-    n_chunks of each page once. Scores are those of ``sparse.scores`` and ``ranking.roll_up``, rounded to six places. Queries that
+    ``postings`` is (term, page_id, chunk_id, tf_weight), without chunk_id where a page is one chunk, or the packed counts of the
+    same keys; ``pages`` gives page_ord and n_chunks of each page once. Scores are those of ``sparse.scores`` and ``ranking.roll_up``, rounded to six places. Queries that
     ``allowed`` (query_id, page_id) names list those pages alone, and with ``every`` all queries do, the one without an id too.
     """
     query_kind, page_kind, order_kind = _kinds(batch, pages)
-    chunk = F.col("chunk_id") if "chunk_id" in postings.columns else F.lit(0)
+    chunk = F.col("chunk_id") if "chunk_id" in (postings.keys if isinstance(postings, sparse.Packed) else postings.columns) else F.lit(0)
     columns, filtered = ["page_id", "page_ord", "n_chunks"], None
     if allowed is not None:
         allowed = allowed if every else allowed.where(F.col("query_id").isNotNull())

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,12 +32,12 @@ LITERALS = 10_000
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (keys, _t), the text's terms with spaces between, to rows (keys, dl, tokens, terms, freqs); texts without terms go."""
+    """Rows (keys, _t), texts for ``spaced_terms``, to rows (keys, dl, tokens, terms, freqs); texts without terms go."""
     for batch in batches:
         keys = batch.select([c for c in batch.schema.names if c != "_t"])
         rows, sizes, terms, upto, freqs = [], [], [], [0], array("i")
         for i, text in enumerate(batch.column("_t")):
-            own = Counter(text.as_py().split())
+            own = Counter(T.spaced_terms(text.as_py()))
             if own:
                 rows.append(i)
                 sizes.append(own.total())
@@ -119,14 +121,52 @@ def weights(counts: DataFrame, avgdl: float, settings: Settings = DEFAULT) -> Da
     return counts.withColumn("tf_weight", f * F.lit(settings.k1 + 1.0) / (f + norm))
 
 
-def build(units: DataFrame, keys: list[str], text: str = "text", settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(terms, postings): the sparse index. Texts are tokenised once; the counts are written, a row for each unit, and everything
+@dataclass
+class Packed:
+    """Written ``packed_counts`` of all units and what their weights take."""
+
+    counts: DataFrame
+    keys: list[str]
+    avgdl: float
+    settings: Settings
+
+    def postings(self) -> DataFrame:
+        return weights(unpack(self.counts, self.keys), self.avgdl, self.settings).select("term", *self.keys, "tf_weight")
+
+    def of_numbers(self, number: Callable[[], dict[str, int]], first: list[Column]) -> tuple[DataFrame, Callable]:
+        """Columns ``first`` with the counts of each unit, and a function of their Arrow batches: rows of ``first`` with t, the
+        number of a term, and its tf_weight, for the terms that ``number`` knows."""
+        k1, b, avgdl = self.settings.k1, self.settings.b, self.avgdl
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            get = number().get
+            for batch in batches:
+                own = [np.fromiter(map(get, terms.as_py().split(" "), repeat(-1)), np.int32) for terms in batch.column("terms")]
+                ts = np.concatenate([np.zeros(0, np.int32), *own])
+                row = np.repeat(np.arange(len(own)), [len(x) for x in own])
+                known = ts >= 0
+                ts, row, f = ts[known], row[known], batch.column("freqs").flatten().to_numpy()[known].astype(np.float64)
+                norm = k1 * ((1.0 - b) + b * batch.column("dl").to_numpy().astype(np.float64) / avgdl)
+                kept = batch.select([c for c in batch.schema.names if c not in ("dl", "terms", "freqs")])
+                kept = kept.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(ts), pa.array(f * (k1 + 1.0) / (f + norm[row]))], [*kept.schema.names, "t", "tf_weight"])
+
+        return self.counts.select(*first, "dl", "terms", "freqs"), run
+
+
+def build_packed(units: DataFrame, keys: list[str], text: str = "text", settings: Settings = DEFAULT) -> tuple[DataFrame, Packed]:
+    """(terms, packed): the sparse index. Texts are tokenised once; the counts are written, a row for each unit, and everything
     else, the mean length included, comes from them. ``units`` is read once more for its number of rows alone."""
-    packed = materialize(packed_counts(units, keys, text), "term-counts")
+    counts = materialize(packed_counts(units, keys, text), "term-counts")
     n = units.count()
-    tokens = packed.agg(F.sum("tokens")).first()[0] or 0
-    avgdl = tokens / n if n else 1.0
-    return with_idf(frequencies(packed), n), weights(unpack(packed, keys), avgdl, settings).select("term", *keys, "tf_weight")
+    tokens = counts.agg(F.sum("tokens")).first()[0] or 0
+    return with_idf(frequencies(counts), n), Packed(counts, keys, tokens / n if n else 1.0, settings)
+
+
+def build(units: DataFrame, keys: list[str], text: str = "text", settings: Settings = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(terms, postings): the index of ``build_packed`` with a row for each posting."""
+    terms, packed = build_packed(units, keys, text, settings)
+    return terms, packed.postings()
 
 
 def bucket_of(term: Column) -> Column:

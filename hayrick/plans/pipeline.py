@@ -27,6 +27,7 @@ class Index:
     vectors: DataFrame | None  # packed by page, see dense.pack
     settings: Settings
     peaks: DataFrame | None = None  # bounds of terms in pages; a saved index has them
+    packed: sparse.Packed | None = None  # the postings as counts by chunk; an index that was built here has them
 
     def save(self, path: str, with_bounds: bool = False) -> None:
         """Parquet tables; terms and postings lie by term, so that a search reads the folders of its terms alone.
@@ -62,14 +63,14 @@ def build_index(pages: DataFrame, settings: Settings = DEFAULT, encoder: dense.E
 
 def index_chunks(chunks: DataFrame, settings: Settings = DEFAULT, encoder: dense.Encoder | None = None, vectors: DataFrame | None = None) -> Index:
     keys = ["page_id", "chunk_id"]
-    terms, postings = sparse.build(chunks, keys, settings=settings)
+    terms, packed = sparse.build_packed(chunks, keys, settings=settings)
     terms = materialize(terms, "index-terms")
     sizes = chunks.groupBy("page_id").agg(F.min("page_ord").alias("page_ord"), F.count(F.lit(1)).alias("n_chunks"))
     if encoder is not None:
         vectors = dense.embed(chunks.select(*keys, "page_ord", "text"), encoder)
     if vectors is not None:
         vectors = materialize(dense.pack(vectors), "index-vectors")
-    return Index(chunks, materialize(sizes, "index-pages"), terms, postings, numfilter.page_numbers(chunks), vectors, settings)
+    return Index(chunks, materialize(sizes, "index-pages"), terms, packed.postings(), numfilter.page_numbers(chunks), vectors, settings, packed=packed)
 
 
 def sparse_leg(index: Index, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
@@ -81,7 +82,7 @@ def sparse_leg(index: Index, queries: DataFrame, allowed: DataFrame | None = Non
     s = index.settings
     asked = sparse.ask(queries, index.terms)
     batch = blocks.batch(asked) if 0.0 <= s.sparse_alpha <= 1.0 else None
-    plain = lambda: blocks.best_pages(batch, index.postings, index.pages, s.sparse_depth, s.sparse_alpha, s.sparse_topn, allowed)
+    plain = lambda: blocks.best_pages(batch, index.packed or index.postings, index.pages, s.sparse_depth, s.sparse_alpha, s.sparse_topn, allowed)
     best = None
     if index.peaks is not None and allowed is None and 0.0 <= s.sparse_alpha <= 1.0:
         best = bounded.best_pages(queries, index.terms, index.postings, index.peaks, index.pages, s.sparse_depth, s.sparse_alpha, s.sparse_topn, rest=plain if batch is not None else None)
@@ -164,7 +165,7 @@ def _with_runs(pages: DataFrame, runs: DataFrame) -> DataFrame:
         for batch in batches:
             at, found = [], []
             for i, text in enumerate(batch.column("_t")):
-                terms = (text.as_py() or "").split()
+                terms = T.spaced_terms(text.as_py() or "")
                 own = {" ".join(terms[j : j + RUN]) for j, x in enumerate(terms) if x in heads} & known
                 at += [i] * len(own)
                 found += own

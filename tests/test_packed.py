@@ -35,3 +35,16 @@ def test_runs_of_few_passages_are_looked_up_in_the_pages_rows(spark):
     found = pipeline._with_runs(pages, runs)
     assert sorted((r["page_id"], r["run"]) for r in found.collect()) == [(1, "a b c d e"), (4, "é y z z z")]
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_packed_counts_rank_as_their_postings_do(spark):
+    """ASCII texts take a shorter way to the same terms, and counts are scored without a row for each posting."""
+    texts = [(i, c) for i, c in enumerate(["A_b-C 12\x1c\x7f d", "É_b-C 12  d", "ÀÉ i̇ İ x", "", "?!", "one"])]
+    units = spark.createDataFrame(texts, "page_id bigint, text string")
+    want = {r["page_id"]: r["t"] for r in units.select("page_id", T.tokenize(F.col("text")).alias("t")).collect()}
+    assert {r["page_id"]: T.spaced_terms(r["t"]) for r in units.select("page_id", T.spaced_tokens(F.col("text")).alias("t")).collect()} == want
+    index = pipeline.index_chunks(made(spark, 40))
+    batch = blocks.batch(sparse.ask(asked(spark), index.terms))
+    packed = blocks.best_pages(batch, index.packed, index.pages, 5, 0.25, 3)
+    assert "Generate" not in packed._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(ranking.rank(packed, 5)) == rows(ranking.rank(blocks.best_pages(batch, index.postings, index.pages, 5, 0.25, 3), 5))
