@@ -50,18 +50,22 @@ def tokenize(text: Column) -> Column:
     return raw_tokens(F.lower(text))
 
 
-#: What ``tokenize`` makes of ASCII characters.
-_PLAIN = str.maketrans({c: c.lower() if c.isalnum() or c == "_" else " " for c in map(chr, range(128))})
+#: What ``tokenize`` makes of Latin-1 characters, byte by byte.
+_PLAIN = "".join(c.lower() if c.isalnum() or c == "_" else " " for c in map(chr, range(256))).encode("latin-1")
 
 
 def spaced_tokens(text: Column) -> Column:
-    """A text for ``spaced_terms``: the terms of ``tokenize`` with white space between, or the text itself if it is ASCII."""
-    return F.when(text.rlike(r"[^\x00-\x7f]"), F.regexp_replace(F.lower(text), NOT_WORD, " ")).otherwise(text)
+    """A text for ``spaced_terms``: the terms of ``tokenize`` with white space between, or the text itself if it is Latin-1."""
+    return F.when(text.rlike(r"[^\x00-\xff]"), F.regexp_replace(F.lower(text), NOT_WORD, " ")).otherwise(text)
 
 
 def spaced_terms(text: str) -> list[str]:
-    """The terms of ``tokenize`` from a value of ``spaced_tokens``, in a Python task."""
-    return (text.translate(_PLAIN) if text.isascii() else text).split()
+    """The terms of ``tokenize`` from a value of ``spaced_tokens``, in a Python task. A value whose terms are Latin-1 already
+    stays as it is under the table."""
+    try:
+        return text.encode("latin-1").translate(_PLAIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return text.split()
 
 
 def _canonical(digits: Column) -> Column:

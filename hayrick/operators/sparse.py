@@ -6,10 +6,10 @@ from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
@@ -84,17 +84,27 @@ def unpack(packed: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "dl", "term", F.get("freqs", "_i").cast("bigint").alias("freq"))
 
 
+def _flat(terms: pa.Array) -> pa.Array:
+    """The terms of all units of ``packed_counts``, one after another."""
+    return pc.list_flatten(pc.split_pattern(terms, " "))
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (terms) to rows (term, df) that add up to the number of units with each term."""
-    pack = lambda own: pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], ["term", "df"])
-    own = Counter()
+    held, n = [], 0
+
+    def pack() -> list[pa.RecordBatch]:
+        return pa.concat_tables(held).group_by("term").aggregate([("df", "sum")]).select(["term", "df_sum"]).rename_columns(["term", "df"]).to_batches()
+
     for batch in batches:
-        for terms in batch.column(0):
-            own.update(terms.as_py().split(" "))
-            if len(own) >= ROWS:
-                yield pack(own)
-                own.clear()
-    yield pack(own)
+        own = pc.value_counts(_flat(batch.column(0)))
+        held.append(pa.table({"term": own.field(0), "df": own.field(1)}))
+        n += len(own)
+        if n >= ROWS:
+            yield from pack()
+            held, n = [], 0
+    if held:
+        yield from pack()
 
 
 def frequencies(packed: DataFrame) -> DataFrame:
@@ -139,13 +149,14 @@ class Packed:
         k1, b, avgdl = self.settings.k1, self.settings.b, self.avgdl
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            get = number().get
+            numbers = number()
+            terms, of = pa.array(list(numbers), pa.string()), np.fromiter(numbers.values(), np.int32, len(numbers))
             for batch in batches:
-                own = [np.fromiter(map(get, terms.as_py().split(" "), repeat(-1)), np.int32) for terms in batch.column("terms")]
-                ts = np.concatenate([np.zeros(0, np.int32), *own])
-                row = np.repeat(np.arange(len(own)), [len(x) for x in own])
-                known = ts >= 0
-                ts, row, f = ts[known], row[known], batch.column("freqs").flatten().to_numpy()[known].astype(np.float64)
+                flat = _flat(batch.column("terms"))
+                at = pc.index_in(flat, value_set=terms.cast(flat.type))
+                known = at.is_valid().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(batch.num_rows), batch.column("freqs").value_lengths().to_numpy())[known]
+                ts, f = of[at.drop_null().to_numpy()], batch.column("freqs").flatten().to_numpy()[known].astype(np.float64)
                 norm = k1 * ((1.0 - b) + b * batch.column("dl").to_numpy().astype(np.float64) / avgdl)
                 kept = batch.select([c for c in batch.schema.names if c not in ("dl", "terms", "freqs")])
                 kept = kept.take(pa.array(row))
