@@ -9,8 +9,9 @@ from hayrick.functions import text as T
 
 
 def page_numbers(rows: DataFrame, numbers: str = "numbers") -> DataFrame:
-    """(page_id, page_ord, number): the numbers of each page, once each."""
-    return rows.select("page_id", "page_ord", F.explode(numbers).alias("number")).distinct()
+    """(page_id, page_ord, number): the numbers of each page, once each. An inner explode would have Spark look in the scan for rows
+    that have numbers, before ``of_listed`` leaves rows out."""
+    return rows.select("page_id", "page_ord", F.explode_outer(numbers).alias("number")).where(F.col("number").isNotNull()).distinct()
 
 
 def allowed_pages(queries: DataFrame, numbered: DataFrame, text: str = "query") -> DataFrame:
@@ -30,6 +31,13 @@ def allowed_of(listed: DataFrame, queries: DataFrame, numbered: DataFrame, text:
     return pairs.join(numbered.select("page_id", "number"), ["page_id", "number"], "left_semi").select("query_id", "page_id").distinct()
 
 
+def of_listed(rows: DataFrame, listed: DataFrame, broadcast_rows: int) -> DataFrame:
+    """``rows`` of listed pages alone where these are at most ``broadcast_rows``, else all: no text of another page is searched for
+    numbers, and none of its numbers is shuffled. ``listed`` is counted first, so it should lie written."""
+    pages = listed.select("page_id").distinct()
+    return rows.join(F.broadcast(pages), "page_id", "left_semi") if pages.count() <= broadcast_rows else rows
+
+
 def keep_allowed(scored: DataFrame, allowed: DataFrame) -> DataFrame:
     """Before ranking: rows of filtered queries go unless their page is allowed."""
     filtered = allowed.select("query_id").distinct().withColumn("_f", F.lit(True))

@@ -125,7 +125,9 @@ def search(index: Index, queries: DataFrame, top_k: int | None = None) -> DataFr
     fused = ranking.fuse(first, second, s)
     if s.number_filter and s.filter_mode == "post":
         fused = materialize(fused, "search-fused")  # at most the depths of both legs a query
-        fused = numfilter.prune(fused, numfilter.allowed_of(fused, queries, index.numbers))
+        few = lambda rows: numfilter.of_listed(rows, fused, sparse.BROADCAST_ROWS)
+        numbers = few(index.numbers) if index.packed is None else numfilter.page_numbers(few(index.chunks))
+        fused = numfilter.prune(fused, numfilter.allowed_of(fused, queries, numbers))
     return fused.where(F.col("rank") <= (s.top_k if top_k is None else top_k))
 
 
