@@ -55,8 +55,17 @@ _PLAIN = "".join(c.lower() if c.isalnum() or c == "_" else " " for c in map(chr,
 
 
 def spaced_tokens(text: Column) -> Column:
-    """A text for ``spaced_terms``: the terms of ``tokenize`` with white space between, or the text itself if it is Latin-1."""
-    return F.when(text.rlike(r"[^\x00-\xff]"), F.regexp_replace(F.lower(text), NOT_WORD, " ")).otherwise(text)
+    """A text for ``spaced_terms``: the terms of ``tokenize`` with white space between, or the text itself if it is Latin-1. ASCII
+    texts, which have as many bytes as characters, are not searched."""
+    return F.when((F.octet_length(text) != F.length(text)) & text.rlike(r"[^\x00-\xff]"), F.regexp_replace(F.lower(text), NOT_WORD, " ")).otherwise(text)
+
+
+def spaced_bytes(text: str) -> bytes:
+    """The terms of ``spaced_terms`` in UTF-8, with spaces and nothing else around them."""
+    try:
+        return text.encode("latin-1").translate(_PLAIN).decode("latin-1").encode()
+    except UnicodeEncodeError:
+        return text.encode()
 
 
 def spaced_terms(text: str) -> list[str]:

@@ -9,15 +9,20 @@ from hayrick.functions import text as T
 
 
 def page_numbers(rows: DataFrame, numbers: str = "numbers") -> DataFrame:
-    """(page_id, page_ord, number): the numbers of each page, once each. An inner explode would have Spark look in the scan for rows
-    that have numbers, before ``of_listed`` leaves rows out."""
-    return rows.select("page_id", "page_ord", F.explode_outer(numbers).alias("number")).where(F.col("number").isNotNull()).distinct()
+    """(page_id, page_ord, number): the numbers of each page, once each; of rows without that column those of their text. An inner
+    explode would have Spark look in the scan for rows that have numbers, before ``of_listed`` leaves rows out."""
+    own = F.col(numbers) if numbers in rows.columns else T.numbers(F.col("text"))
+    return rows.select("page_id", "page_ord", F.explode_outer(own).alias("number")).where(F.col("number").isNotNull()).distinct()
+
+
+def asked_numbers(queries: DataFrame, text: str = "query") -> DataFrame:
+    """(query_id, number): the numbers that queries name."""
+    return queries.select("query_id", F.explode(T.query_numbers(F.coalesce(F.col(text), F.lit("")))).alias("number"))
 
 
 def allowed_pages(queries: DataFrame, numbered: DataFrame, text: str = "query") -> DataFrame:
     """(query_id, page_id, page_ord) for queries whose numbers some page carries; other queries are not filtered."""
-    asked = queries.select("query_id", F.explode(T.query_numbers(F.coalesce(F.col(text), F.lit("")))).alias("number"))
-    return asked.join(numbered, "number").select("query_id", "page_id", "page_ord").distinct()
+    return asked_numbers(queries, text).join(numbered, "number").select("query_id", "page_id", "page_ord").distinct()
 
 
 def allowed_of(listed: DataFrame, queries: DataFrame, numbered: DataFrame, text: str = "query") -> DataFrame:
@@ -26,8 +31,7 @@ def allowed_of(listed: DataFrame, queries: DataFrame, numbered: DataFrame, text:
     For pruning after fusion this is enough: a query whose numbers no page carries and one whose numbers no listed page
     carries both keep their lists. So the pages of a number are never listed, however many carry it.
     """
-    asked = queries.select("query_id", F.explode(T.query_numbers(F.coalesce(F.col(text), F.lit("")))).alias("number"))
-    pairs = listed.select("query_id", "page_id").join(asked, "query_id")
+    pairs = listed.select("query_id", "page_id").join(asked_numbers(queries, text), "query_id")
     return pairs.join(numbered.select("page_id", "number"), ["page_id", "number"], "left_semi").select("query_id", "page_id").distinct()
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from array import array
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -25,33 +23,67 @@ BROADCAST_BYTES = 64 << 20
 SALTS = 32
 #: Distinct terms that a task counts units of before it hands them over.
 ROWS = 200_000
+#: Bytes of the texts that are cut into terms together.
+CUT = 1 << 20
 #: Folders of a saved table of terms, by the term's hash.
 BUCKETS = 64
 #: Distinct query terms up to this number are named in the filter of a saved table, so that other folders are not read.
 LITERALS = 10_000
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (keys, _t), texts for ``spaced_terms``, to rows (keys, dl, tokens, terms, freqs); texts without terms go."""
+def _terms_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The terms of texts of ``spaced_bytes``, one after another, and how many each text has."""
+    data = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
+    word = data != 32
+    edges = np.flatnonzero(word[1:] != word[:-1]) + 1
+    start, upto = edges[::2], np.zeros(len(edges) // 2 + 1, np.int32)
+    np.cumsum(edges[1::2] - start, out=upto[1:])
+    sizes = np.diff(np.searchsorted(start, np.cumsum([0, *[len(x) + 1 for x in texts]])))
+    return pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(upto), pa.py_buffer(data[word])]), sizes
+
+
+def _counted(keys: pa.RecordBatch, texts: list[bytes], known: pa.Array | None) -> pa.RecordBatch:
+    flat, sizes = _terms_of(texts)
+    row = np.repeat(np.arange(len(texts)), sizes)
+    if known is None:
+        coded = flat.dictionary_encode()
+        terms, code = coded.dictionary, coded.indices.to_numpy()
+    else:
+        at = pc.index_in(flat, value_set=known)
+        terms, code, row = known, at.drop_null().to_numpy(), row[at.is_valid().to_numpy(zero_copy_only=False)]
+    pair = np.sort(row * max(1, len(terms)) + code)
+    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[: len(pair)])
+    freqs = pa.array(np.diff(first, append=len(pair)).astype(np.int32))
+    row, code = np.divmod(pair[first], max(1, len(terms)))
+    upto = pa.array(np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32))
+    own = pc.binary_join(pa.ListArray.from_arrays(upto, terms.take(pa.array(code))), " ")
+    columns = [pa.array(sizes), pa.array(sizes), pc.if_else(pc.not_equal(own, ""), own, pa.scalar(None, pa.string())), pa.ListArray.from_arrays(upto, freqs)]
+    every = pa.RecordBatch.from_arrays([*keys.columns, *columns], [*keys.schema.names, "dl", "tokens", "terms", "freqs"])
+    return every.filter(pa.array(sizes > 0))
+
+
+def _packed(batches: Iterator[pa.RecordBatch], known: pa.Array | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows (keys, _t), texts for ``spaced_bytes``, to rows (keys, dl, tokens, terms, freqs); texts without terms go. With ``known``
+    other terms count for the length alone, and a text that has none of these has null terms. Some texts are cut at a time."""
     for batch in batches:
         keys = batch.select([c for c in batch.schema.names if c != "_t"])
-        rows, sizes, terms, upto, freqs = [], [], [], [0], array("i")
+        held, size = [], 0
         for i, text in enumerate(batch.column("_t")):
-            own = Counter(T.spaced_terms(text.as_py()))
-            if own:
-                rows.append(i)
-                sizes.append(own.total())
-                terms.append(" ".join(own))
-                freqs.extend(own.values())
-                upto.append(len(freqs))
-        columns = [pa.array(sizes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(terms, pa.string()), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(freqs, pa.int32()))]
-        yield pa.RecordBatch.from_arrays([*keys.take(pa.array(rows, pa.int64())).columns, *columns], [*keys.schema.names, "dl", "tokens", "terms", "freqs"])
-
-
-def _rows(units: DataFrame, keys: list[str], text: str) -> DataFrame:
+            held.append(T.spaced_bytes(text.as_py()))
+            size += len(held[-1])
+            if size >= CUT or i + 1 == batch.num_rows:
+                yield _counted(keys.slice(i + 1 - len(held), len(held)), held, known)
+                held, size = [], 0
+
+
+def _rows(units: DataFrame, keys: list[str], text: str, known: DataFrame | None = None) -> DataFrame:
     spaced = units.select(*keys, T.spaced_tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
     own = t.StructType().add("dl", "long").add("tokens", "long").add("terms", "string").add("freqs", t.ArrayType(t.IntegerType()))
-    return spaced.mapInArrow(_packed, t.StructType([*units.select(*keys).schema, *own]))
+    run = _packed
+    if known is not None:
+        sent = units.sparkSession.sparkContext.broadcast(known.select("term").toArrow()["term"].combine_chunks().cast(pa.string()))
+        run = lambda batches: _packed(batches, sent.value)
+    return spaced.mapInArrow(run, t.StructType([*units.select(*keys).schema, *own]))
 
 
 def _repeat(units: DataFrame, keys: list[str]) -> bool:
@@ -68,11 +100,15 @@ def term_counts(units: DataFrame, keys: list[str], text: str = "text") -> DataFr
     return rows.groupBy(*keys, "dl", "term").agg(F.sum("freq").alias("freq")) if _repeat(units, keys) else rows
 
 
-def packed_counts(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+def packed_counts(units: DataFrame, keys: list[str], text: str = "text", known: DataFrame | None = None) -> DataFrame:
     """(keys, dl, tokens, terms, freqs): ``term_counts`` with the terms of a unit in one row, with spaces between, and how often
-    each occurs. ``tokens`` is the sum of the latter."""
+    each occurs. ``tokens`` is the sum of the latter.
+
+    ``known`` (term), few rows, are the terms that anything is asked about: others may be left out of ``terms`` (null where none
+    is left) and ``freqs``, and count in ``dl`` and ``tokens`` all the same. Where keys repeat all terms stay.
+    """
     if not _repeat(units, keys):
-        return _rows(units, keys, text)
+        return _rows(units, keys, text, known)
     own = F.collect_list(F.struct("term", F.col("freq").cast("int").alias("freq"))).alias("_r")
     rows = term_counts(units, keys, text).groupBy(*keys, "dl").agg(F.sum("freq").alias("tokens"), own)
     return rows.select(*keys, "dl", "tokens", F.array_join("_r.term", " ").alias("terms"), F.col("_r.freq").alias("freqs"))
@@ -165,10 +201,11 @@ class Packed:
         return self.counts.select(*first, "dl", "terms", "freqs"), run
 
 
-def build_packed(units: DataFrame, keys: list[str], text: str = "text", settings: Settings = DEFAULT) -> tuple[DataFrame, Packed]:
+def build_packed(units: DataFrame, keys: list[str], text: str = "text", settings: Settings = DEFAULT, known: DataFrame | None = None) -> tuple[DataFrame, Packed]:
     """(terms, packed): the sparse index. Texts are tokenised once; the counts are written, a row for each unit, and everything
-    else, the mean length included, comes from them. ``units`` is read once more for its number of rows alone."""
-    counts = materialize(packed_counts(units, keys, text), "term-counts")
+    else, the mean length included, comes from them. ``units`` is read once more for its number of rows alone. ``known`` is that
+    of ``packed_counts``: df, idf and weights of these terms are those of the whole index."""
+    counts = materialize(packed_counts(units, keys, text, known), "term-counts")
     n = units.count()
     tokens = counts.agg(F.sum("tokens")).first()[0] or 0
     return with_idf(frequencies(counts), n), Packed(counts, keys, tokens / n if n else 1.0, settings)
@@ -211,6 +248,13 @@ def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(T.tokenize(F.coalesce(F.col(text), F.lit(""))))).alias("term"))
 
 
+def few_terms(queries: DataFrame, text: str = "query") -> DataFrame | None:
+    """(term): the distinct terms of queries, written once, or none where they are too many to be sent to the texts."""
+    terms = materialize(query_terms(queries, text).select("term").distinct(), "asked-terms")
+    n, size = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    return terms if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else None
+
+
 @dataclass
 class Asked:
     """The terms of a batch of queries: ``terms`` (query_id, term), ``known`` those of them that the index has, with idf and

@@ -28,12 +28,15 @@ class Index:
     settings: Settings
     peaks: DataFrame | None = None  # bounds of terms in pages; a saved index has them
     packed: sparse.Packed | None = None  # the postings as counts by chunk; an index that was built here has them
+    only: DataFrame | None = None  # the terms (term) of the only queries that it can answer
 
     def save(self, path: str, with_bounds: bool = False) -> None:
         """Parquet tables; terms and postings lie by term, so that a search reads the folders of its terms alone.
 
         ``with_bounds`` adds the table that ``load(with_bounds=True)`` needs.
         """
+        if self.only is not None:
+            raise ValueError("an index for one batch of queries is not saved")
         self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
         self.pages.write.mode("overwrite").parquet(f"{path}/pages")
         sparse.save_by_term(self.terms, f"{path}/terms")
@@ -61,16 +64,23 @@ def build_index(pages: DataFrame, settings: Settings = DEFAULT, encoder: dense.E
     return index_chunks(chunks, settings, encoder, vectors)
 
 
-def index_chunks(chunks: DataFrame, settings: Settings = DEFAULT, encoder: dense.Encoder | None = None, vectors: DataFrame | None = None) -> Index:
+def index_chunks(chunks: DataFrame, settings: Settings = DEFAULT, encoder: dense.Encoder | None = None, vectors: DataFrame | None = None, only: DataFrame | None = None) -> Index:
+    """The index of chunks (page_id, chunk_id, text, page_ord, numbers; without the last, the numbers of the text count).
+
+    ``only`` (query_id, query) makes an index for this one batch of queries: every text is read and counts, but postings of terms
+    that no query has, which could not meet any, are neither written nor counted by term. More terms than can be sent to
+    the texts give the whole index.
+    """
     keys = ["page_id", "chunk_id"]
-    terms, packed = sparse.build_packed(chunks, keys, settings=settings)
+    known = None if only is None else sparse.few_terms(only)
+    terms, packed = sparse.build_packed(chunks, keys, settings=settings, known=known)
     terms = materialize(terms, "index-terms")
     sizes = chunks.groupBy("page_id").agg(F.min("page_ord").alias("page_ord"), F.count(F.lit(1)).alias("n_chunks"))
     if encoder is not None:
         vectors = dense.embed(chunks.select(*keys, "page_ord", "text"), encoder)
     if vectors is not None:
         vectors = materialize(dense.pack(vectors), "index-vectors")
-    return Index(chunks, materialize(sizes, "index-pages"), terms, packed.postings(), numfilter.page_numbers(chunks), vectors, settings, packed=packed)
+    return Index(chunks, materialize(sizes, "index-pages"), terms, packed.postings(), numfilter.page_numbers(chunks), vectors, settings, packed=packed, only=known)
 
 
 def sparse_leg(index: Index, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
@@ -81,6 +91,8 @@ def sparse_leg(index: Index, queries: DataFrame, allowed: DataFrame | None = Non
     """
     s = index.settings
     asked = sparse.ask(queries, index.terms)
+    if index.only is not None and asked.terms.join(index.only, "term", "left_anti").limit(1).count():
+        raise ValueError("the index was made for other queries")
     batch = blocks.batch(asked) if 0.0 <= s.sparse_alpha <= 1.0 else None
     plain = lambda: blocks.best_pages(batch, index.packed or index.postings, index.pages, s.sparse_depth, s.sparse_alpha, s.sparse_topn, allowed)
     best = None
@@ -125,7 +137,8 @@ def search(index: Index, queries: DataFrame, top_k: int | None = None) -> DataFr
     fused = ranking.fuse(first, second, s)
     if s.number_filter and s.filter_mode == "post":
         fused = materialize(fused, "search-fused")  # at most the depths of both legs a query
-        few = lambda rows: numfilter.of_listed(rows, fused, sparse.BROADCAST_ROWS)
+        filtered = fused.join(numfilter.asked_numbers(queries).select("query_id").distinct(), "query_id", "left_semi")
+        few = lambda rows: numfilter.of_listed(rows, filtered, sparse.BROADCAST_ROWS)
         numbers = few(index.numbers) if index.packed is None else numfilter.page_numbers(few(index.chunks))
         fused = numfilter.prune(fused, numfilter.allowed_of(fused, queries, numbers))
     return fused.where(F.col("rank") <= (s.top_k if top_k is None else top_k))
