@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from hayrick import session
 from hayrick.llm import filter_audit, importance, jaccard_join, neardup, tiles
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -195,6 +196,36 @@ def test_join_in_small_tiles_with_shared_and_changed_ids(spark, monkeypatch):
     assert Counter(tuple(x) for x in jaccard_join.jaccard_components(docs, 4, 85).collect()) == components(rows, 4, 85)
 
 
+def test_ids_by_bitmap(spark, monkeypatch):
+    """More ids than are sent: a bitmap settles most rows, the others are joined."""
+    docs = spark.range(-500, 2000).withColumnRenamed("id", "doc_id").unionByName(spark.createDataFrame([(None,)], "doc_id bigint"))
+    ids = docs.where("doc_id % 7 = 0")
+    monkeypatch.setattr(neardup, "BIT_SLOTS", 1)
+    for few in (10_000, 3):
+        monkeypatch.setattr(neardup, "FEW_IDS", few)
+        assert neardup.among(docs, ids).count() == ids.count()
+        assert neardup.among(docs, ids, some=False).where("doc_id is null or doc_id % 7 <> 0").count() == 2501 - ids.count()
+        assert neardup.among(docs, ids, some=False).count() == 2501 - ids.count()
+    rows = crowded(7)
+    assert Counter(tuple(x) for x in jaccard_join.jaccard_components(spark.createDataFrame(rows, KIND), 4, 85).collect()) == components(rows, 4, 85)
+
+
+def test_sets_are_moved_once_and_cuts_leave_the_disk(spark, monkeypatch):
+    """However many hubs two documents meet by, each is in one group; what is not read again leaves the shared folder."""
+    cuts = {}
+    real = tiles.materialize
+    monkeypatch.setattr(tiles, "materialize", lambda df, name: cuts.setdefault(name, real(df, name)))
+    monkeypatch.setattr(tiles, "discard", lambda *cuts: None)
+    before = set(session._cuts)
+    rows = crowded(2)
+    docs = spark.createDataFrame(rows, KIND)
+    assert Counter(tuple(x) for x in jaccard_join.jaccard_components(docs, 2, 60).collect()) == components(rows, 2, 60)
+    members = cuts["tile-members"]
+    assert members.count() == members.select("doc_id").distinct().count() > 5
+    left = [x.rpartition("/")[2] for x in session._cuts if x not in before]
+    assert not [x for x in left if x.startswith(("join-shared", "join-ties", "join-tested", "join-marks"))]
+
+
 def test_prefixes_share_what_they_ask_for():
     """Two sets that are similar enough share as many prefix shingles as the smaller need, whatever each one took."""
     rng = np.random.default_rng(4)
