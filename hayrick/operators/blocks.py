@@ -177,11 +177,11 @@ def _slices(batch: Batch, rows: DataFrame | sparse.Packed, keys: list, weights:
     shuffled, so that neither the shuffle nor its sort handles single postings."""
     of = F.pmod(F.xxhash64("page_id"), F.lit(batch.slices)).cast("int").alias("slice")
     pages = pages.where(F.col("page_id").isNotNull()).select(of, *pages.columns)
-    if isinstance(rows, sparse.Packed):
+    if not isinstance(rows, DataFrame):  # packed counts, or packed peaks
         sent = batch.terms.sparkSession.sparkContext.broadcast(batch.numbers())
         found, numbered = rows.of_numbers(lambda: sent.value, [of, F.col("page_id"), *keys])
         found = found.where(F.col("page_id").isNotNull())
-        own = [f for f in found.schema if f.name not in ("dl", "terms", "freqs")] + [StructField("t", IntegerType()), StructField("tf_weight", DoubleType())]
+        own = [f for f in found.schema if f.name not in rows.reads] + [StructField("t", IntegerType()), *(StructField(c, DoubleType()) for c in rows.gives)]
         packed = found.mapInArrow(lambda it: _by_slice(numbered(it)), _lists(own))
     else:
         own = sparse.of_terms(rows, batch.asked.terms).join(F.broadcast(batch.terms), "term").where(F.col("page_id").isNotNull())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ from pyspark.sql import types as t
 
 from hayrick.config import DEFAULT, Settings
 from hayrick.functions import text as T
-from hayrick.session import materialize
+from hayrick.session import materialize, write
 
 #: Query terms (rows of query_id and term) up to this number are sent to the postings; a row takes about 100 bytes.
 BROADCAST_ROWS = 500_000
@@ -27,6 +28,12 @@ ROWS = 200_000
 CUT = 1 << 20
 #: Folders of a saved table of terms, by the term's hash.
 BUCKETS = 64
+#: Groups of shards that are shuffled together.
+GROUPS = 16
+#: Postings that a task sorts by term, on average, and the longest list of a term that is written in one row.
+PART, RUN = 2_000_000, 10_000
+#: Postings that are shuffled at a time when an index is saved.
+PASS = 1_000_000_000
 #: Distinct query terms up to this number are named in the filter of a saved table, so that other folders are not read.
 LITERALS = 10_000
 
@@ -120,7 +127,7 @@ def unpack(packed: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "dl", "term", F.get("freqs", "_i").cast("bigint").alias("freq"))
 
 
-def _flat(terms: pa.Array) -> pa.Array:
+def flat_terms(terms: pa.Array) -> pa.Array:
     """The terms of all units of ``packed_counts``, one after another."""
     return pc.list_flatten(pc.split_pattern(terms, " "))
 
@@ -133,7 +140,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.concat_tables(held).group_by("term").aggregate([("df", "sum")]).select(["term", "df_sum"]).rename_columns(["term", "df"]).to_batches()
 
     for batch in batches:
-        own = pc.value_counts(_flat(batch.column(0)))
+        own = pc.value_counts(flat_terms(batch.column(0)))
         held.append(pa.table({"term": own.field(0), "df": own.field(1)}))
         n += len(own)
         if n >= ROWS:
@@ -167,6 +174,11 @@ def weights(counts: DataFrame, avgdl: float, settings: Settings = DEFAULT) -> Da
     return counts.withColumn("tf_weight", f * F.lit(settings.k1 + 1.0) / (f + norm))
 
 
+def _shards(terms: pa.Array) -> np.ndarray:
+    """``shard_of`` distinct terms."""
+    return np.fromiter((zlib.crc32(x.as_buffer()) % BUCKETS for x in terms), np.int64, len(terms))
+
+
 @dataclass
 class Packed:
     """Written ``packed_counts`` of all units and what their weights take."""
@@ -188,7 +200,7 @@ class Packed:
             numbers = number()
             terms, of = pa.array(list(numbers), pa.string()), np.fromiter(numbers.values(), np.int32, len(numbers))
             for batch in batches:
-                flat = _flat(batch.column("terms"))
+                flat = flat_terms(batch.column("terms"))
                 at = pc.index_in(flat, value_set=terms.cast(flat.type))
                 known = at.is_valid().to_numpy(zero_copy_only=False)
                 row = np.repeat(np.arange(batch.num_rows), batch.column("freqs").value_lengths().to_numpy())[known]
@@ -200,6 +212,71 @@ class Packed:
 
         return self.counts.select(*first, "dl", "terms", "freqs"), run
 
+    #: What ``of_numbers`` reads besides the columns ``first``, and what it gives for it besides t.
+    reads, gives = ("dl", "terms", "freqs"), ("tf_weight",)
+
+    def by_shard(self, parts: int, passes: int, k: int) -> DataFrame:
+        """(cell, terms, at, keys, tf_weight): the postings of a group of shards and a part of the units, those of some thousand
+        units in a row, in their order: repeated keys and weights stand side by side and take little when they are shuffled.
+        ``at`` counts into ``terms``. Of ``passes`` passes over the groups this is number ``k``."""
+        k1, b, avgdl, keys = self.settings.k1, self.settings.b, self.avgdl, self.keys
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                coded = flat_terms(batch.column("terms")).dictionary_encode()
+                group = _shards(coded.dictionary) % GROUPS
+                code = coded.indices.to_numpy()
+                row = np.repeat(np.arange(batch.num_rows), batch.column("freqs").value_lengths().to_numpy())
+                f, dl = batch.column("freqs").flatten().to_numpy().astype(np.float64), batch.column("dl").to_numpy().astype(np.float64)
+                cell = group[code] * parts + batch.column("part").to_numpy()[row]
+                own = np.flatnonzero(group[code] % passes == k)
+                order = own[np.argsort(cell[own], kind="stable")]
+                cell, code, row = cell[order], code[order], row[order]
+                weight = f[order] * (k1 + 1.0) / (f[order] + k1 * ((1.0 - b) + b * dl / avgdl)[row])
+                start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])[: len(cell)])
+                upto = np.append(start, len(cell)).astype(np.int32)
+                found = [np.unique(code[x:y], return_inverse=True) for x, y in zip(upto[:-1], upto[1:], strict=True)]
+                ends = np.cumsum([0, *(len(x) for x, _ in found)]).astype(np.int32)
+                names, at = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([u for u, _ in found], [i for _, i in found]))
+                terms = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), coded.dictionary.take(pa.array(names)).cast(pa.string())), " ")
+                lists = [pa.ListArray.from_arrays(pa.array(upto), x) for x in [pa.array(at.astype(np.int32)), *(batch.column(c).take(pa.array(row)) for c in keys), pa.array(weight)]]
+                yield pa.RecordBatch.from_arrays([pa.array(cell[start].astype(np.int32)), terms, *lists], ["cell", "terms", "at", *keys, "tf_weight"])
+
+        lists = [t.StructField(c, t.ArrayType(kind)) for c, kind in [("at", t.IntegerType()), *self._kinds()]]
+        schema = t.StructType([t.StructField("cell", t.IntegerType()), t.StructField("terms", t.StringType()), *lists])
+        part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int").alias("part")
+        return self.counts.select(*keys, "dl", "terms", "freqs", part).mapInArrow(run, schema)
+
+    def by_term(self, parts: int, passes: int, k: int) -> DataFrame:
+        """(shard, term, keys, tf_weight): the same, sorted by shard and term, a term's keys and weights in lists of up to RUN."""
+        columns = [c for c, _ in self._kinds()]
+
+        def run(rows: pa.Table) -> pa.Table:
+            many = pc.list_value_length(pc.split_pattern(rows["terms"], " ")).to_numpy()
+            before = np.repeat(np.cumsum(many) - many, pc.list_value_length(rows["at"]).to_numpy())
+            coded = pa.concat_arrays(flat_terms(rows["terms"]).chunks).dictionary_encode()
+            by_name = pc.sort_indices(coded.dictionary).to_numpy()
+            shard = _shards(coded.dictionary)
+            by_name = by_name[np.argsort(shard[by_name], kind="stable")]
+            place = np.empty(len(by_name), np.int64)
+            place[by_name] = np.arange(len(place))
+            code = place[coded.indices.to_numpy()][before + pc.list_flatten(rows["at"]).to_numpy()]
+            order = np.argsort(code, kind="stable")
+            code = code[order]
+            fresh = np.append(True, code[1:] != code[:-1])
+            since = np.arange(len(code)) - np.maximum.accumulate(np.where(fresh, np.arange(len(code)), 0))
+            start = np.flatnonzero(since % RUN == 0)
+            upto = pa.array(np.append(start, len(code)).astype(np.int32))
+            names = by_name[code[start]]
+            lists = [pa.ListArray.from_arrays(upto, pc.list_flatten(rows[c]).combine_chunks().take(pa.array(order))) for c in columns]
+            return pa.table([pa.array(shard[names].astype(np.int32)), coded.dictionary.take(pa.array(names)).cast(pa.string()), *lists], ["shard", "term", *columns])
+
+        schema = t.StructType([t.StructField("shard", t.IntegerType()), t.StructField("term", t.StringType()), *(t.StructField(c, t.ArrayType(kind)) for c, kind in self._kinds())])
+        return self.by_shard(parts, passes, k).groupBy("cell").applyInArrow(run, schema)
+
+    def _kinds(self) -> list[tuple[str, t.DataType]]:
+        return [*((c, self.counts.schema[c].dataType) for c in self.keys), ("tf_weight", t.DoubleType())]
+
 
 def build_packed(units: DataFrame, keys: list[str], text: str = "text", settings: Settings = DEFAULT, known: DataFrame | None = None) -> tuple[DataFrame, Packed]:
     """(terms, packed): the sparse index. Texts are tokenised once; the counts are written, a row for each unit, and everything
@@ -221,6 +298,11 @@ def bucket_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def shard_of(term: Column) -> Column:
+    """The folder of a term among those of ``save_postings``, which Python tasks can tell as well."""
+    return F.pmod(F.crc32(F.encode(term, "UTF-8")), F.lit(BUCKETS)).cast("int")
+
+
 def save_by_term(rows: DataFrame, path: str) -> None:
     """Writes rows with a term in a folder for each bucket, sorted by term.
 
@@ -229,18 +311,40 @@ def save_by_term(rows: DataFrame, path: str) -> None:
     """
     rest = [c for c in rows.columns if c != "term"]
     placed = rows.withColumn("bucket", bucket_of(F.col("term")))
-    placed.repartitionByRange("bucket", "term", *rest).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    write(placed.repartitionByRange("bucket", "term", *rest).sortWithinPartitions("bucket", "term"), path, "overwrite", ["bucket"])
+
+
+def save_postings(packed: Packed, total: int, path: str) -> None:
+    """Writes ``packed.by_term`` in a folder for each shard, sorted by term; ``total`` is the number of postings.
+
+    Lists are shuffled and written, not single postings. A group's lists are dealt to parts by unit, so a term that many
+    units hold is cut into several files. Of more than PASS postings some groups are written at a time, so that what
+    lies shuffled on the disks does not grow with the table until each group has its own pass.
+    """
+    parts, passes = -(-total // (GROUPS * PART)) or 1, min(GROUPS, -(-total // PASS) or 1)
+    for k in range(passes):
+        write(packed.by_term(parts, passes, k).sortWithinPartitions("shard", "term"), path, "append" if k else "overwrite", ["shard"])
+
+
+def saved_postings(rows: DataFrame) -> DataFrame:
+    """(term, shard, keys, tf_weight): a row for each posting that ``save_postings`` wrote; what ``save_by_term`` wrote stays."""
+    lists = [f.name for f in rows.schema if isinstance(f.dataType, t.ArrayType)]
+    if not lists:
+        return rows
+    return rows.select("term", "shard", F.inline(F.arrays_zip(*lists)))
 
 
 def of_terms(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """The rows of a table of terms that can match ``asked`` (term): of a saved table only the folders of those terms are
     read, and in them the row groups that can hold one. More than LITERALS distinct terms touch most of it anyway."""
-    if "bucket" not in rows.columns:
+    folder = next((c for c in ("bucket", "shard") if c in rows.columns), None)
+    if folder is None:
         return rows
-    found = asked.select("term", bucket_of(F.col("term")).alias("bucket")).distinct().limit(LITERALS + 1).collect()
+    own = bucket_of(F.col("term")) if folder == "bucket" else shard_of(F.col("term"))
+    found = asked.select("term", own.alias(folder)).distinct().limit(LITERALS + 1).collect()
     if len(found) <= LITERALS:
-        rows = rows.where(F.col("bucket").isin(sorted({r["bucket"] for r in found})) & F.col("term").isin([r["term"] for r in found]))
-    return rows.drop("bucket")
+        rows = rows.where(F.col(folder).isin(sorted({r[folder] for r in found})) & F.col("term").isin([r["term"] for r in found]))
+    return rows.drop(folder)
 
 
 def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:

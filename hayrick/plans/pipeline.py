@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from hayrick.config import DEFAULT, Settings
 from hayrick.functions import text as T
 from hayrick.operators import blocks, bounded, chunking, dense, metrics, numfilter, ranking, sparse
-from hayrick.session import materialize, size_in_bytes
+from hayrick.session import discard, materialize, size_in_bytes, write
 
 
 @dataclass
@@ -26,9 +26,10 @@ class Index:
     numbers: DataFrame
     vectors: DataFrame | None  # packed by page, see dense.pack
     settings: Settings
-    peaks: DataFrame | None = None  # bounds of terms in pages; a saved index has them
+    peaks: DataFrame | bounded.PagePeaks | None = None  # bounds of terms in pages; a saved index has them
     packed: sparse.Packed | None = None  # the postings as counts by chunk; an index that was built here has them
     only: DataFrame | None = None  # the terms (term) of the only queries that it can answer
+    home: str | None = None  # the folder that has the chunks already
 
     def save(self, path: str, with_bounds: bool = False) -> None:
         """Parquet tables; terms and postings lie by term, so that a search reads the folders of its terms alone.
@@ -37,31 +38,48 @@ class Index:
         """
         if self.only is not None:
             raise ValueError("an index for one batch of queries is not saved")
-        self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-        self.pages.write.mode("overwrite").parquet(f"{path}/pages")
+        if self.home != path:
+            write(self.chunks, f"{path}/chunks", "overwrite")
+        write(self.pages, f"{path}/pages", "overwrite")
         sparse.save_by_term(self.terms, f"{path}/terms")
-        sparse.save_by_term(self.postings, f"{path}/postings")
-        if with_bounds:
-            sparse.save_by_term(materialize(bounded.page_peaks(self.postings, self.pages), "index-peaks"), f"{path}/peaks")
-        self.numbers.write.mode("overwrite").parquet(f"{path}/numbers")
+        if self.packed is not None:
+            sparse.save_postings(self.packed, self.terms.agg(F.sum("df")).first()[0] or 0, f"{path}/postings")
+            if with_bounds:
+                write(bounded.packed_peaks(self.packed), f"{path}/peaks", "overwrite")
+        else:
+            sparse.save_by_term(self.postings, f"{path}/postings")
+            if with_bounds:
+                sparse.save_by_term(materialize(bounded.page_peaks(self.postings, self.pages), "index-peaks"), f"{path}/peaks")
+        write(self.numbers, f"{path}/numbers", "overwrite")
         if self.vectors is not None:
-            self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+            write(self.vectors, f"{path}/vectors", "overwrite")
+
+    def discard(self) -> None:
+        """Removes what was written to build the index and is saved since; only a loaded index can be read then."""
+        discard(self.chunks, self.pages, self.terms, *([] if self.packed is None else [self.packed.counts]), *([] if self.vectors is None else [self.vectors]))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, settings: Settings = DEFAULT, with_vectors: bool = True, with_bounds: bool = False) -> Index:
         """The saved tables. ``with_bounds`` ranks the sparse leg by bounds, which pays for short queries (see README)."""
         read = lambda name: spark.read.parquet(f"{path}/{name}")
         peaks = read("peaks") if with_bounds else None
-        return cls(read("chunks"), read("pages"), read("terms"), read("postings"), read("numbers"), read("vectors") if with_vectors else None, settings, peaks)
+        if with_bounds and "term" not in peaks.columns:
+            peaks = bounded.PagePeaks(peaks)
+        return cls(read("chunks"), read("pages"), read("terms"), sparse.saved_postings(read("postings")), read("numbers"), read("vectors") if with_vectors else None, settings, peaks)
 
 
-def build_index(pages: DataFrame, settings: Settings = DEFAULT, encoder: dense.Encoder | None = None, vectors: DataFrame | None = None) -> Index:
+def build_index(pages: DataFrame, settings: Settings = DEFAULT, encoder: dense.Encoder | None = None, vectors: DataFrame | None = None, path: str | None = None) -> Index:
     """Chunks, postings, numbers and vectors of pages (page_id, title, content, page_ord).
 
-    The chunk table is written once and read by everything after it.
+    The chunk table is written once and read by everything after it: under ``path``, if the index will be saved there.
     """
-    chunks = materialize(chunking.chunk_pages(pages, settings), "index-chunks")
-    return index_chunks(chunks, settings, encoder, vectors)
+    chunks = chunking.chunk_pages(pages, settings)
+    if path is None:
+        return index_chunks(materialize(chunks, "index-chunks"), settings, encoder, vectors)
+    write(chunks, f"{path}/chunks", "overwrite")
+    index = index_chunks(chunks.sparkSession.read.schema(chunks.schema).parquet(f"{path}/chunks"), settings, encoder, vectors)
+    index.home = path
+    return index
 
 
 def index_chunks(chunks: DataFrame, settings: Settings = DEFAULT, encoder: dense.Encoder | None = None, vectors: DataFrame | None = None, only: DataFrame | None = None) -> Index:

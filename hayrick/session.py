@@ -105,6 +105,12 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def write(df: DataFrame, path: str, mode: str = "errorifexists", by: list[str] | None = None) -> None:
+    """Writes ``df`` as Parquet, in folders ``by`` these columns; nothing that it shuffled is left when it ends."""
+    with freed_shuffles(df.sparkSession):
+        df.write.option("compression", "zstd").mode(mode).parquet(path, partitionBy=by)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -112,8 +118,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    with freed_shuffles(spark):
-        df.write.option("compression", "zstd").parquet(path)
+    write(df, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from hayrick import session
 from hayrick.config import Settings
 from hayrick.operators import bounded, sparse
 from hayrick.plans import pipeline
@@ -83,3 +84,39 @@ def test_alpha_must_allow_bounds(spark):
     index = pipeline.index_chunks(made(spark, 10))
     with pytest.raises(ValueError, match="alpha"):
         bounded.best_pages(asked(spark), index.terms, index.postings, bounded.page_peaks(index.postings, index.pages), index.pages, 3, 1.5, 30)
+
+
+def test_packed_peaks_are_no_less_and_nearly_equal(spark):
+    rows = made(spark, 120)
+    twice = materialize(rows.unionByName(rows.withColumn("text", F.concat("text", F.lit(" w9 w10")))), "made")
+    for chunks, exact in ((materialize(rows.coalesce(1).sortWithinPartitions(*KEYS), "made"), True), (twice, False)):
+        index = pipeline.index_chunks(chunks)
+        want = {(r["term"], r["page_id"]): r for r in bounded.page_peaks(index.postings, index.pages).collect()}
+        found = bounded.PagePeaks(bounded.packed_peaks(index.packed)).rows(index.pages)
+        got = {(r["term"], r["page_id"]): r for r in found.groupBy("term", "page_id").agg(F.min("n_chunks").alias("n_chunks"), F.sum("peak").alias("peak"), F.sum("total").alias("total")).collect()}
+        assert got.keys() == want.keys()
+        for key, own in got.items():
+            assert own["n_chunks"] == want[key]["n_chunks"]
+            assert own["peak"] >= want[key]["peak"] - 1e-12 and own["total"] >= want[key]["total"] - 1e-12
+            assert not exact or (own["peak"] < want[key]["peak"] * 1.000001 and own["total"] < want[key]["total"] * 1.000001)
+
+
+def test_postings_saved_in_passes_and_chunks_written_once(spark, tmp_path, monkeypatch):
+    """Several passes, parts and lists a term; the chunk table lies in the saved index alone, and nothing else is left of the build."""
+    for name, n in (("PASS", 300), ("PART", 40), ("RUN", 3)):
+        monkeypatch.setattr(sparse, name, n)
+    pages = made(spark, 150).groupBy("page_id").agg(F.lit("").alias("title"), F.array_join(F.collect_list("text"), " ").alias("content"), F.min("page_ord").alias("page_ord"))
+    plain = pipeline.build_index(pages)
+    before = set(session._cuts)
+    built = pipeline.build_index(pages, path=str(tmp_path / "index"))
+    built.save(str(tmp_path / "index"), with_bounds=True)
+    built.discard()
+    assert not [x for x in session._cuts if x not in before and "asked" not in x]
+    loaded = pipeline.Index.load(spark, str(tmp_path / "index"), with_vectors=False, with_bounds=True)
+    key = lambda rows: sorted((r["term"], r["page_id"], r["chunk_id"], r["tf_weight"]) for r in rows.collect())
+    assert key(loaded.postings) == key(plain.postings)
+    words = asked(spark).where("query_id = 22").select(F.explode(F.split("query", " ")).alias("term"))
+    assert key(sparse.of_terms(loaded.postings, words)) == key(plain.postings.where("term in ('w3', 'w90')"))
+    lists_ = spark.read.parquet(str(tmp_path / "index" / "postings"))
+    assert lists_.where(F.size("page_id") > 3).count() == 0 and lists_.where(F.col("shard") != sparse.shard_of(F.col("term"))).count() == 0
+    assert lists(loaded, asked(spark)) == lists(plain, asked(spark))
